@@ -52,7 +52,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     links = staged(links.filter("parent_id is not null").join(known, ["conv_key", "parent_id"]).select("conv_key", "node_id", F.col("parent_id").alias("up")), "chat-up")
     largest = nodes.groupBy("conv_key").count().agg(F.max("count")).first()[0] or 0
     jumps = [links]
-    while 1 << len(jumps) <= largest:
+    while 1 << (len(jumps) - 1) < largest:
         far = jumps[-1].alias("a").join(jumps[-1].alias("b"), (F.col("a.conv_key") == F.col("b.conv_key")) & (F.col("a.up") == F.col("b.node_id")))
         far = staged(far.select("a.conv_key", "a.node_id", "b.up"), "chat-up")
         if far.isEmpty():
@@ -60,9 +60,9 @@ def paths(nodes: DataFrame) -> DataFrame:
         jumps.append(far)
     parents = links.select("conv_key", F.col("up").alias("node_id")).distinct()
     leaves = nodes.join(parents, ["conv_key", "node_id"], "left_anti").select("conv_key", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("above"))
-    if 1 << len(jumps) > largest:  # as far as a walk without a repeat can go, and one step more: who still has an ancestor there is below a cycle
-        endless = jumps[-1].select("conv_key", F.col("node_id").alias("leaf_id"))
-        leaves = leaves.join(endless, ["conv_key", "leaf_id"], "left_anti") if 1 << (len(jumps) - 1) >= largest else leaves
+    if 1 << (len(jumps) - 1) >= largest:  # further than any walk without a repeat goes: whoever still has an ancestor there is below a cycle
+        endless = jumps.pop().select("conv_key", F.col("node_id").alias("leaf_id"))
+        leaves = leaves.join(endless, ["conv_key", "leaf_id"], "left_anti")
     walk = leaves
     for k in range(len(jumps) - 1, -1, -1):
         up = walk.join(jumps[k], ["conv_key", "node_id"]).select("conv_key", "leaf_id", F.col("up").alias("node_id"), (F.col("above") + (1 << k)).alias("above"))
