@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op2_chat
+from .lm import op1_lm_scoring
 from .packing import op6_packing
 from .token_files import op9_token_files
 from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat, op5_warc, op6_packing, op9_token_files)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op5_warc, op6_packing, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
