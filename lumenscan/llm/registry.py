@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op2_chat
+from .decontam import op3_decontamination
+from .imatch import op7_fingerprints
+from .langid import op4_language_id
 from .lm import op1_lm_scoring
 from .packing import op6_packing
 from .token_files import op9_token_files
@@ -14,7 +17,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op5_warc, op6_packing, op9_token_files)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

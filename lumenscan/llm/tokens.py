@@ -1,9 +1,9 @@
-"""Token ids from tokenizer files, exactly as the tokenizers library gives them for whole texts, at a fraction of the time.
+"""Token ids of tokenizer files, exactly as the tokenizers library gives them for whole texts, at a fraction of its time.
 
-A text is cut into units that the file's pre-tokenizer can never join: runs without ASCII white space for tokenizers that drop white
-space, and GPT-2's ` ?word` and white-space runs for byte-level ones. Each worker remembers the ids of units it has met (a bounded
-memory) and hands those it has not to the library in one batch. Texts that hold a special token's string, or characters on which the
-cut and the library might differ, go to the library whole.
+The file's vocabulary is turned into merge ranks for the faster tiktoken engine. Both engines merge the pair of lowest rank first; they
+can only part ways at a token that the file's own merges do not make from its bytes alone, and the tests show that there is none.
+Texts with a special token's string, or with characters outside the plain Latin ranges, on whose classes the engines' tables might
+differ, go to the tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -15,16 +15,57 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Word-like units with the one space before them, and white-space runs as GPT-2's pattern cuts them.
-_BYTE_LEVEL_UNITS = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
-#: Python takes these for white space, or may class them otherwise than the library.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-REMEMBERED = 250_000
+#: Everything else goes to the library: ASCII but for NUL and the odd separators 1C-1F, Latin letters without U+0130, common punctuation.
+_ODD = re.compile("[^\x01-\x1b\x20-\x7e\xa0-įı-ɏ‐-‧‰-›€]")
+#: Fixed value: the pattern of the byte-level pre-tokenizer.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stands for the end of a word; texts that hold it go to the library.
+WORD_END = "\0"
+REMEMBERED = 400_000
 
 
-class UnitTokenizer:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def ranks_of(vocabulary: dict[str, int], suffix: str) -> dict[bytes, int]:
+    """Ranks by token bytes; a word-end suffix becomes WORD_END, so `x</w>` is x and WORD_END merged, which comes before all else."""
+    of, out = byte_of_char(), {}
+    for token, i in vocabulary.items():
+        ended = bool(suffix) and token.endswith(suffix)
+        body = token[: len(token) - len(suffix)] if ended else token
+        if body and all(c in of for c in body):
+            out[bytes(of[c] for c in body) + (WORD_END.encode() if ended else b"")] = i
+    return out
+
+
+class _Words(dict):
+    """Chunk between white space -> its ids as bytes, of the chunks met lately."""
+
+    def __init__(self, pattern: str, encode):
+        super().__init__()
+        import regex
+
+        self.pieces, self.encode, self.older = regex.compile(pattern).findall, encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(chunk)
+        if found is None:
+            pieces = self.pieces(chunk.lower())
+            found = np.array(self.encode(WORD_END.join([*pieces, ""])), "<u4").tobytes() if pieces else b""
+        self[chunk] = found
+        return found
+
+
+class FastTokenizer:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -32,49 +73,35 @@ class UnitTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
-        pre = spec.get("pre_tokenizer") or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            self.cut = _BYTE_LEVEL_UNITS.findall
-        elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
-            self.cut = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-        else:
-            self.cut = None
-        self.known: dict[str, bytes] = {}
-        self.remembered = remembered
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        special = {x["content"] for x in spec.get("added_tokens", [])}
+        ranks = ranks_of({t: i for t, i in model["vocab"].items() if t not in special}, suffix)
+        self.one = None
+        whole = len({k for k in ranks if len(k) == 1}) == 256
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not suffix and whole:
+            encode = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.one = lambda text: np.array(encode(text), "<u4")
+        elif suffix and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and whole:
+            encode = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            words = _Words(pre["pretokenizers"][0]["pattern"]["Regex"], encode)
+            self.one = lambda text: np.frombuffer(b"".join(map(words.__getitem__, text.split())), "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids as an uint32 array, without special tokens."""
-        if self.cut is None:
-            return self._whole(texts)
-        units, odd = [], []
-        for i, text in enumerate(texts):
-            if _ODD.search(text) or any(s in text for s in self.specials):
-                odd.append(i)
-                units.append(None)
+        out = []
+        for text in texts:
+            if self.one is None or _ODD.search(text) or any(s in text for s in self.specials):
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
             else:
-                units.append(self.cut(text))
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        missing = list({u for x in units if x for u in x if u not in known})
-        for k in range(0, len(missing), 50_000):
-            part = missing[k : k + 50_000]
-            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
-        find = known.__getitem__
-        out = [None if x is None else np.frombuffer(b"".join(map(find, x)), "<u4") for x in units]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+                out.append(self.one(text))
         return out
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for t in texts for e in self.library.encode_batch_fast([t], add_special_tokens=False)]
-
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> UnitTokenizer:
+def tokenizer(path: str) -> FastTokenizer:
     """One per worker process and file; Python workers are reused between tasks."""
-    return UnitTokenizer(path)
+    return FastTokenizer(path)
 
 
 def slices(texts: list, most: int = 4_000_000) -> list[slice]:
