@@ -1,7 +1,8 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
 A term is kept if the share of documents that hold it lies in a band, which is a band of inverse document frequencies. The sorted
-distinct kept terms are hashed once for each of SUBSETS random lexicons, each of which holds about 1 / THIN of the terms. The lexicon is
+distinct kept terms are hashed once for each of SUBSETS random lexicons, which hold about 1/4, 1/8, 1/16 or 1/32 of the terms: the fuller
+ones tell close texts apart, the thinner ones survive more edits. The lexicon is
 bounded by arithmetic, not by the corpus: the shares of all terms add up to the mean number d of distinct terms in a document, so at
 most d / LOW_SHARE terms reach the band (some 300,000 for texts of 300 different words). It is looked up in a constant two-level
 array by hash, so no document is ever taken apart into rows again.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 LOW_SHARE, HIGH_SHARE = 0.001, 0.2
-SUBSETS, THIN, LEAST = 8, 4, 3
+SUBSETS, LEAST = 16, 2
 LEXICON_BUCKETS = 1 << 14
 #: Rows of one sort group of the next-document step.
 GROUP_ROWS = 2000
@@ -58,7 +59,8 @@ def subset_hashes(kept: Column, terms: Column) -> Column:
     pairs = F.transform(kept, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h")))
 
     def one(s: Column) -> Column:
-        inside = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["h"], s), F.lit(THIN)) == 0)
+        thin = F.when(s % 4 == 0, 4).when(s % 4 == 1, 8).when(s % 4 == 2, 16).otherwise(32)
+        inside = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["h"], s), thin) == 0)
         chosen = F.when(F.size(inside) >= LEAST, F.transform(inside, lambda p: p["t"])).otherwise(terms)
         return F.lpad(F.lower(F.hex(F.xxhash64(F.array_join(chosen, " "), s))), 16, "0")
 
@@ -71,8 +73,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / F.lit(float(SUBSETS))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with `next`, a struct of those columns of the next row by (doc_id, text).
+def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """rows (doc_id, text) with the derived columns, and `next`, a struct of the text and those columns of the next row by (doc_id, text).
 
     Rows are dealt to groups by ranges of doc_id, so the one shuffle is of group-sized sorts; the last row of a group takes the first row
     of the next group that has any. Ids far from evenly spread make groups uneven (they spill), never wrong."""
@@ -80,13 +82,13 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     groups = max(1, math.ceil(total / GROUP_ROWS))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // groups))
     rows = rows.withColumn("grp", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
-    own = F.struct(*columns)
-    heads = staged(rows.groupBy("grp").agg(F.min_by(own, F.struct("doc_id", "text")).alias("head")), "imatch-heads")
+    heads = staged(rows.groupBy("grp").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")), "imatch-heads")
+    own = F.struct("text", *derived)
     after = heads.select("grp", F.lead("grp").over(Window.orderBy("grp")).alias("later"), F.min("grp").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
     after = after.select("grp", F.coalesce("later", "first").alias("later"))
-    heads = staged(after.join(heads.select(F.col("grp").alias("later"), "head"), "later").select("grp", "head"), "imatch-heads")
+    heads = after.join(heads.withColumns(derived).select(F.col("grp").alias("later"), own.alias("head")), "later").select("grp", "head")
     ordered = Window.partitionBy("grp").orderBy("doc_id", "text")
-    return rows.withColumn("lead", F.lead(own).over(ordered)).join(heads, "grp").withColumn("next", F.coalesce("lead", "head")).drop("lead", "head", "grp")
+    return rows.withColumns(derived).withColumn("lead", F.lead(own).over(ordered)).join(heads, "grp").withColumn("next", F.coalesce("lead", "head")).drop("lead", "head", "grp")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -98,8 +100,7 @@ def edited(text: Column, following: Column) -> Column:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = lexicon(docs)
-    rows = docs.withColumn("fingerprint", fingerprint(terms_of(F.col("text")), words))
-    rows = with_next(rows, ["text", "fingerprint"]).withColumn("edited", edited(F.col("text"), F.col("next.text")))
+    rows = with_next(docs, {"fingerprint": fingerprint(terms_of(F.col("text")), words)}).withColumn("edited", edited(F.col("text"), F.col("next.text")))
     rows = rows.withColumn("edited_fingerprint", fingerprint(terms_of(F.col("edited")), words))
     return rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
