@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op2_chat
 from .decontam import op3_decontamination
 from .imatch import op7_fingerprints
+from .jaccard_join import op10_jaccard_join
 from .langid import op4_language_id
 from .lm import op1_lm_scoring
 from .packing import op6_packing
@@ -18,7 +19,7 @@ from .warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
