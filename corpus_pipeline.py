@@ -1,8 +1,77 @@
-"""The corpus pipeline: stages over the documents table."""
+"""The corpus pipeline over the documents table: five stages, each written as Parquet and read again as the next one's documents.
 
-STAGES = []
+Each stage decides on all that its predecessor kept. Rows with a null doc id are judged like others, except that the Jaccard stage
+keeps them. An empty table passes through every stage; columns beyond doc_id and text are carried along as they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenscan.llm.common import staged, table
+from lumenscan.llm.decontam import judged
+from lumenscan.llm.jaccard_join import joined_components
+from lumenscan.llm.langid import UND, identified, trained
+from lumenscan.llm.packing import pack
+from lumenscan.llm.suffix_dedup import deduplicated
+
+#: A language is taken as found unless the answer is hardly better than a guess among four.
+LEAST_SCORE = 0.3
+#: At most so many ids are broadcast to leave documents out (16 bytes each); beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    ids = staged(ids.distinct(), "left-out")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labels teach; those without a letter, or in no language it can tell, go."""
+    found = identified(docs, trained(docs), docs.columns)
+    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that Jaccard links join, the one of smallest doc id stays."""
+    groups = joined_components(docs)
+    out = _without(docs, groups.filter("doc_id != component_id").select("doc_id"), "doc_id").select(*docs.columns)
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 200-byte strings are cut out of the texts; a document of which nothing is left goes."""
+    out = deduplicated(docs, least_kept=1)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more go. The verdict is the text's, so texts stand for rows."""
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    verdicts = judged(keyed.select(F.col("__text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, verdicts.filter("contaminated").select(F.col("doc_id").alias("__text_key")), "__text_key").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document is in the packed sequences."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", packing),
+]
+#: Language identification is a fitted kernel model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

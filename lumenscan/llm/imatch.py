@@ -4,8 +4,8 @@ A term is kept if the share of documents that hold it lies in a band, which is a
 distinct kept terms are hashed once for each of SUBSETS random lexicons, which hold about 1/4, 1/8, 1/16 or 1/32 of the terms: the fuller
 ones tell close texts apart, the thinner ones survive more edits. The lexicon is
 bounded by arithmetic, not by the corpus: the shares of all terms add up to the mean number d of distinct terms in a document, so at
-most d / LOW_SHARE terms reach the band (some 300,000 for texts of 300 different words). It is looked up in a constant two-level
-array by hash, so no document is ever taken apart into rows again.
+most d / LOW_SHARE terms reach the band (some 300,000 for texts of 300 different words). It is looked up by hash in a constant
+array, so no document is ever taken apart into rows again.
 
 Defined results: null text is an empty one; a random lexicon that keeps fewer than LEAST terms of a text hashes all its distinct terms
 instead, so short or odd texts equal only texts with the same terms; texts without terms are all alike; the next document is by
@@ -26,6 +26,8 @@ SUBSETS, LEAST = 16, 2
 LEXICON_BUCKETS = 1 << 14
 #: Rows of one sort group of the next-document step.
 GROUP_ROWS = 2000
+#: Control characters, which no term holds.
+MARK, BREAK = "\x01", "\x02"
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -38,20 +40,21 @@ def _bucket(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE) -> Column:
-    """A constant: an array of LEXICON_BUCKETS arrays of terms, from all whole texts."""
+    """A constant array of LEXICON_BUCKETS strings, each the terms of a bucket between MARKs, from all whole texts."""
     total = docs.count()
     terms = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").count()
     kept = staged(terms.filter((F.col("count") >= low * total) & (F.col("count") <= high * total)).select("term"), "imatch-lexicon")
-    buckets = kept.groupBy(_bucket(F.col("term")).cast("long").alias("id")).agg(F.collect_list("term").alias("terms"))
-    every = docs.sparkSession.range(LEXICON_BUCKETS).join(buckets, "id", "left").select("id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    between = F.concat(F.lit(MARK), F.array_join(F.sort_array(F.collect_list("term")), MARK), F.lit(MARK))
+    buckets = kept.groupBy(_bucket(F.col("term")).cast("long").alias("id")).agg(between.alias("terms"))
+    every = docs.sparkSession.range(LEXICON_BUCKETS).join(buckets, "id", "left").select("id", F.coalesce("terms", F.lit("")).alias("terms"))
     rows = every.agg(F.array_sort(F.collect_list(F.struct("id", "terms"))).alias("x"))
-    constant = rows.select(F.to_json(F.transform("x", lambda b: b["terms"]))).first()[0]
-    return F.from_json(F.lit(constant), "array<array<string>>")  # of a literal, so it is parsed once, when the plan is optimized
+    constant = rows.select(F.array_join(F.transform("x", lambda b: b["terms"]), BREAK)).first()[0]
+    return F.split(F.lit(constant), BREAK, -1)  # of a literal, so it is split once, when the plan is optimized
 
 
 def fingerprint(terms: Column, lexicon: Column) -> Column:
     """SUBSETS hashes of the terms, joined by `-`."""
-    kept = F.filter(terms, lambda t: F.array_contains(F.element_at(lexicon, (_bucket(t) + 1).cast("int")), t))
+    kept = F.filter(terms, lambda t: F.contains(F.element_at(lexicon, (_bucket(t) + 1).cast("int")), F.concat(F.lit(MARK), t, F.lit(MARK))))
     return F.array_join(subset_hashes(F.array_sort(kept), F.array_sort(terms)), "-")
 
 

@@ -131,7 +131,7 @@ def identified(docs: DataFrame, model: Classifier | None, keep: list[str]) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], [*schema.names, "lang_pred", "score"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(F.col("text").cast("string").alias("text"), *[F.col(c) for c in keep]).mapInArrow(score, f"{out}, lang_pred string, score double")
+    return docs.select(F.col("text").cast("string").alias("scored_text"), *[F.col(c) for c in keep]).mapInArrow(score, f"{out}, lang_pred string, score double")
 
 
 def in_fold(column: str = "doc_id") -> Column:

@@ -320,13 +320,13 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """docs with their text as bytes in `text_bytes` and `spans`. AQE splits the join where many rows have one text."""
     text = utf8("text")
     spans = repeated_spans(docs)
-    return docs.withColumns({"text_bytes": text, "text_key": F.unhex(F.md5(text))}).join(spans.withColumnRenamed("key", "text_key"), "text_key", "left").drop("text_key")
+    return docs.withColumns({"__text_bytes": text, "__text_key": F.unhex(F.md5(text))}).join(spans.withColumnsRenamed({"key": "__text_key", "spans": "__spans"}), "__text_key", "left").drop("__text_key")
 
 
 def deduplicated(docs: DataFrame, least_kept: int = 0) -> DataFrame:
     """docs with the repeated bytes cut out of text (bytes that no longer form a character are dropped); all other columns as they are."""
     names = docs.columns
-    rows = with_spans(docs).select(*[c for c in names if c != "text"], F.col("text").isNull().alias("no_text"), "text_bytes", "spans")
+    rows = with_spans(docs).select(*[c for c in names if c != "text"], F.col("text").isNull().alias("__no_text"), "__text_bytes", "__spans")
     rest = [f for f in docs.schema if f.name != "text"]
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,4 +352,4 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return with_spans(docs).select("doc_id", "text_bytes", "spans").mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "__text_bytes", "__spans").mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
