@@ -15,6 +15,7 @@ instead, so short or odd texts equal only texts with the same terms; texts witho
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,22 +53,27 @@ def lexicon(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE) -
     return F.split(F.lit(constant), BREAK, -1)  # of a literal, so it is split once, when the plan is optimized
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fingerprint(terms: Column, lexicon: Column) -> Column:
     """SUBSETS hashes of the terms, joined by `-`."""
-    kept = F.filter(terms, lambda t: F.contains(F.element_at(lexicon, (_bucket(t) + 1).cast("int")), F.concat(F.lit(MARK), t, F.lit(MARK))))
-    return F.array_join(subset_hashes(F.array_sort(kept), F.array_sort(terms)), "-")
+    kept = lambda all_terms: F.filter(all_terms, lambda t: F.contains(F.element_at(lexicon, (_bucket(t) + 1).cast("int")), F.concat(F.lit(MARK), t, F.lit(MARK))))
+    return let(F.sort_array(terms), lambda t: let(F.array_join(t, " "), lambda whole: subset_hashes(kept(t), whole)))
 
 
-def subset_hashes(kept: Column, terms: Column) -> Column:
-    pairs = F.transform(kept, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h")))
+def subset_hashes(kept: Column, whole: Column) -> Column:
+    """kept: the sorted kept terms; whole: all terms, joined."""
 
-    def one(s: Column) -> Column:
-        thin = F.when(s % 4 == 0, 4).when(s % 4 == 1, 8).when(s % 4 == 2, 16).otherwise(32)
-        inside = F.filter(pairs, lambda p: F.pmod(F.xxhash64(p["h"], s), thin) == 0)
-        chosen = F.when(F.size(inside) >= LEAST, F.transform(inside, lambda p: p["t"])).otherwise(terms)
-        return F.lpad(F.lower(F.hex(F.xxhash64(F.array_join(chosen, " "), s))), 16, "0")
+    def one(pairs: Column, s: int) -> Column:
+        # other bits of the terms' hashes for each lexicon
+        inside = F.filter(pairs, lambda p: F.shiftrightunsigned(p["h"], 3 * s).bitwiseAND((4 << s % 4) - 1) == 0)
+        text = let(inside, lambda x: F.when(F.size(x) >= LEAST, F.array_join(F.transform(x, lambda p: p["t"]), " ")).otherwise(whole))
+        return F.lpad(F.lower(F.hex(F.xxhash64(text, F.lit(s)))), 16, "0")
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    return let(F.transform(kept, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h"))), lambda pairs: F.concat_ws("-", *[one(pairs, s) for s in range(SUBSETS)]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,7 +91,10 @@ def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
     groups = max(1, math.ceil(total / GROUP_ROWS))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // groups))
     rows = rows.withColumn("grp", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
-    heads = staged(rows.groupBy("grp").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")), "imatch-heads")
+    # a number a group, written, so that its known size decides how it is joined; then the few texts that it names
+    ids = staged(rows.groupBy("grp").agg(F.min("doc_id").alias("doc_id")), "imatch-ids").select("grp", F.col("doc_id").alias("head_id"))
+    firsts = rows.join(ids, "grp").filter(F.col("doc_id").eqNullSafe(F.col("head_id"))).select("grp", "text")
+    heads = staged(firsts.groupBy("grp").agg(F.min("text").alias("text")), "imatch-heads")
     own = F.struct("text", *derived)
     after = heads.select("grp", F.lead("grp").over(Window.orderBy("grp")).alias("later"), F.min("grp").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
     after = after.select("grp", F.coalesce("later", "first").alias("later"))
