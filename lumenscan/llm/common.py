@@ -86,7 +86,7 @@ def crc_of_id(column: str = "doc_id") -> Column:
 class WordHash(dict):
     """word -> 64-bit hash, remembering at most `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from .common import WordHash, mixed, ngram_hashes, shuffle_parts, staged, table, utf8
 
 WORDS, THRESHOLD = 4, 85
-#: Cells of the count sketch (a byte each in the end), and tokens after which a task sends what it has counted.
-SKETCH_LOG, SKETCH_CHUNKS, FLUSH_TOKENS = 22, 64, 4_000_000
+#: Cells of the count sketch (two bytes each in a task, one in the end), and into how many pieces it is cut to be summed.
+SKETCH_LOG, SKETCH_CHUNKS = 22, 64
 ORDERS = 3
+#: A task sends its prefix tokens whenever so many have come together.
+FLUSH_TOKENS = 500_000
 #: Posting lists of tokens met more often than this are split by class, so that no list has to fit a task.
 LONG_LIST = 1_000_000
 _U64 = np.uint64
@@ -82,29 +84,23 @@ def described(docs: DataFrame, n_words: int) -> DataFrame:
     """A row for each document with its class, set size and bitmap; and the tasks' token counts by sketch cell."""
 
     def describe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size = WordHash(), [], 0
-
-        def counts() -> Iterator[pa.RecordBatch]:
-            cells = np.bincount((np.concatenate(held) >> _U64(64 - SKETCH_LOG)).astype(np.int64), minlength=1 << SKETCH_LOG)
-            blobs = [x.tobytes() for x in np.minimum(cells, 65535).astype("<u2").reshape(SKETCH_CHUNKS, -1)]
-            none = [pa.nulls(SKETCH_CHUNKS, f.type) for f in list(_DOC)[:-2]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], schema=_DOC)
-
+        cache, total = WordHash(), None
         for batch in source:
-            sets = [token_set(t, cache, n_words) for t in batch.column(1).to_pylist()]
-            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), 8)
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                schema=_DOC,
-            )
-            held += sets
-            size += sum(map(len, sets))
-            if size >= FLUSH_TOKENS:
-                yield from counts()
-                held, size = [], 0
-        if size:
-            yield from counts()
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = [token_set(t, cache, n_words) for t in part.column(1).to_pylist()]
+                bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), 8)
+                m = len(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    schema=_DOC,
+                )
+                total = np.zeros(1 << SKETCH_LOG, "<u2") if total is None else total
+                cells, n = np.unique(np.concatenate(sets) >> _U64(64 - SKETCH_LOG), return_counts=True)
+                total[cells.astype(np.int64)] = np.minimum(total[cells.astype(np.int64)] + n, 65535)
+        if total is not None:
+            none = [pa.nulls(SKETCH_CHUNKS, f.type) for f in list(_DOC)[:-2]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SKETCH_CHUNKS, -1)], pa.binary())], schema=_DOC)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(describe, DOC_DDL)
 
@@ -149,16 +145,16 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "tokens", "classes", "sizes", "split"])
 
         for batch in source:
-            for text in batch.column(0).to_pylist():
-                tokens = token_set(text, cache, n_words)
+            for text in batch.column(0):
+                tokens = token_set(text.as_py(), cache, n_words)
                 if len(tokens) and (c := class_of(tokens)) not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 500_000:
                         seen.add(c)
                     held.append((prefix(tokens, levels, 0, threshold), c, len(tokens)))
                     size += len(held[-1][0])
-            if size >= 2_000_000:
-                yield from flush()
-                held, size = [], 0
+                if size >= FLUSH_TOKENS:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
