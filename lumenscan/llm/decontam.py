@@ -13,7 +13,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, staged, table, utf8
+from .common import WordHash, lean, staged, table, utf8
 
 WINDOW = 13
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
 #: The benchmark is matched in blocks of so many words, so that what a task holds of it does not grow with the benchmark.
 BLOCK_WORDS = 2_000_000
 SEGMENT_DDL = "doc_ids binary, null_ids binary, n_words binary, terms binary, lengths binary, positions binary"
@@ -68,7 +67,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([_segment(ids, words)], schema=_SEGMENT)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return staged(rows.mapInArrow(build, SEGMENT_DDL), "postings", row_group=16 << 20)
+    return staged(rows.mapInArrow(lean(build), SEGMENT_DDL), "postings", row_group=16 << 20)
 
 
 class Segment:
@@ -108,7 +107,7 @@ def corpus_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "n"])
 
-    sums = index.select("terms", "lengths").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = index.select("terms", "lengths").mapInArrow(lean(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(terms), np.int64)
     for r in sums.collect():
         out[r[0]] = r[1]
@@ -173,9 +172,6 @@ def occurrences(segment: Segment, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return window, start
 
 
-MATCH_DDL = "segment_doc long, doc_id long, n_words long, spans array<int>, items array<string>"
-
-
 def matches(index: DataFrame, items: list[tuple[str, bytes]], size: int = WINDOW) -> DataFrame:
     """For each indexed document: doc_id, n_words, spans (first and last hit word, merged, in a flat array), items (ids with a window
     in it). items: (id, text) pairs of one block of the benchmark."""
@@ -186,8 +182,8 @@ def matches(index: DataFrame, items: list[tuple[str, bytes]], size: int = WINDOW
     def match(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in source:
-            for row in batch.to_pylist():
-                s = Segment(row)
+            for i in range(batch.num_rows):
+                s = Segment({f.name: batch.column(k)[i].as_py() for k, f in enumerate(batch.schema)})
                 window, start = occurrences(s, w)
                 doc = np.searchsorted(s.starts, start, "right") - 1
                 spans: list[list[int]] = [[] for _ in s.doc_ids]
@@ -206,7 +202,7 @@ def matches(index: DataFrame, items: list[tuple[str, bytes]], size: int = WINDOW
                     ["doc_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(match, "doc_id long, n_words long, spans array<int>, items array<string>")
+    return index.mapInArrow(lean(match), "doc_id long, n_words long, spans array<int>, items array<string>")
 
 
 def proximity(index: DataFrame, words: list[str], within: int) -> DataFrame:
@@ -236,7 +232,7 @@ def proximity(index: DataFrame, words: list[str], within: int) -> DataFrame:
                 if best:
                     yield pa.RecordBatch.from_arrays([pa.array([s.doc_ids[d] for d, _, _ in best], pa.int64()), pa.array([a for _, a, _ in best], pa.int64()), pa.array([b for _, _, b in best], pa.int64())], ["doc_id", "first", "last"])
 
-    return index.mapInArrow(near, "doc_id long, first long, last long")
+    return index.mapInArrow(lean(near), "doc_id long, first long, last long")
 
 
 def contaminated(n_hit, n_words):
@@ -285,7 +281,3 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def sha_of_items(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, ngram_hashes, shuffle_parts, staged, table, utf8
+from .common import WordHash, lean, mixed, ngram_hashes, shuffle_parts, staged, table, utf8
 
 WORDS, THRESHOLD = 4, 85
 #: Cells of the count sketch (two bytes each in a task, one in the end), and into how many pieces it is cut to be summed.
@@ -102,7 +102,7 @@ def described(docs: DataFrame, n_words: int) -> DataFrame:
             none = [pa.nulls(SKETCH_CHUNKS, f.type) for f in list(_DOC)[:-2]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SKETCH_CHUNKS, -1)], pa.binary())], schema=_DOC)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(describe, DOC_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(lean(describe), DOC_DDL)
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -158,7 +158,7 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
         if held:
             yield from flush()
 
-    packed = docs.select(utf8("text").alias("text")).mapInArrow(post, "part int, tokens binary, classes binary, sizes binary, split binary")
+    packed = docs.select(utf8("text").alias("text")).mapInArrow(lean(post), "part int, tokens binary, classes binary, sizes binary, split binary")
     return packed.groupBy("part").applyInArrow(_lists, "token long, cls long, n long, leader long, split boolean")
 
 
@@ -202,7 +202,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, n_wo
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(own, "cls long, text binary")
+    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
     texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, n_wo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(lean(compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

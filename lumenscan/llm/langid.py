@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, table
+from .common import crc_of_id, lean, table
 
 GRAMS = (1, 2, 3, 4)
 #: n-grams are hashed to so many places.
@@ -100,7 +100,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier | Non
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["k", "lang", "bits"])
 
     sample = labelled.filter(pick < limit[F.col("lang")]).select(pick.alias("k"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = sorted((r[1], r[0], bytes(r[2])) for r in sample.mapInArrow(encode, "k long, lang string, bits binary").collect())
+    found = sorted((r[1], r[0], bytes(r[2])) for r in sample.mapInArrow(lean(encode), "k long, lang string, bits binary").collect())
     taken: dict[str, int] = {}
     rows, labels = [], []
     for lang, _, bits in found:
@@ -122,8 +122,8 @@ def identified(docs: DataFrame, model: Classifier | None, keep: list[str]) -> Da
             texts = batch.column(0).to_pylist()
             langs, scores = [UND] * len(texts), np.zeros(len(texts))
             able = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
-            for k in range(0, len(able), 256):
-                part = able[k : k + 256]
+            for k in range(0, len(able), 128):
+                part = able[k : k + 128]
                 found, s = model.predict(np.array([present(texts[i]) for i in part]))
                 for i, lang in zip(part, found, strict=True):
                     langs[i] = lang
@@ -131,7 +131,7 @@ def identified(docs: DataFrame, model: Classifier | None, keep: list[str]) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], [*schema.names, "lang_pred", "score"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(F.col("text").cast("string").alias("scored_text"), *[F.col(c) for c in keep]).mapInArrow(score, f"{out}, lang_pred string, score double")
+    return docs.select(F.col("text").cast("string").alias("scored_text"), *[F.col(c) for c in keep]).mapInArrow(lean(score), f"{out}, lang_pred string, score double")
 
 
 def in_fold(column: str = "doc_id") -> Column:

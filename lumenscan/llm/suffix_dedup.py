@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, shuffle_parts, staged, table, utf8
+from .common import lean, mixed, shuffle_parts, staged, table, utf8
 from .lm import LogFrequencyFilter, build_block
 
 LENGTH = 200
@@ -143,7 +143,7 @@ def repeated_anchors(docs: DataFrame, max_bytes: int) -> LogFrequencyFilter:
         if held:
             yield from flush()
 
-    counts = docs.select(utf8("text").alias("text")).mapInArrow(count, "part int, hashes binary, many binary")
+    counts = docs.select(utf8("text").alias("text")).mapInArrow(lean(count), "part int, hashes binary, many binary")
     blocks = staged(counts.groupBy("part").applyInArrow(_block_of(max_bytes // parts), "part int, block binary"), "anchor-filter").toArrow()
     at = {p: i for i, p in enumerate(blocks.column(0).to_pylist())}
     return LogFrequencyFilter([memoryview(blocks.column(1)[at[p]].as_buffer()) if p in at else b"\0" * 8 for p in range(parts)])
@@ -204,7 +204,7 @@ def contexts(docs: DataFrame, repeated: LogFrequencyFilter, parts: int) -> DataF
         if met:
             yield from flush()
 
-    return _keyed(docs).mapInArrow(find, CONTEXT_DDL)
+    return _keyed(docs).mapInArrow(lean(find), CONTEXT_DDL)
 
 
 def refine(texts: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def covers(found: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
         return rows.select("part", "id", "context", "times").groupBy("part").applyInArrow(_refined, COVER_DDL)
     plain = rows.join(hot, "anchor", "left_anti").select("part", "id", "context", "times").groupBy("part").applyInArrow(_refined, COVER_DDL)
     once = rows.join(hot, "anchor", "left_semi").groupBy("id").agg(F.first("context").alias("context"), F.sum("times").alias("times"))
-    strings = staged(once.mapInArrow(_strings, "string binary, id long, place int, times long"), "hot-strings")
+    strings = staged(once.mapInArrow(lean(_strings), "string binary, id long, place int, times long"), "hot-strings")
     many = strings.groupBy("string").agg(F.sum("times").alias("n")).filter("n > 1").select("string")
     single = strings.join(many, "string", "left_semi").select("id", F.col("place").alias("first"), F.col("place").alias("last"))
     return plain.unionByName(single)
@@ -336,7 +336,7 @@ def deduplicated(docs: DataFrame, least_kept: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*[f.name for f in rest], "text"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string"])
-    return rows.mapInArrow(cut, ddl).select(*names).filter(F.coalesce(F.length("text"), F.lit(0)) >= least_kept)
+    return rows.mapInArrow(lean(cut), ddl).select(*names).filter(F.coalesce(F.length("text"), F.lit(0)) >= least_kept)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,4 +352,4 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return with_spans(docs).select("doc_id", "__text_bytes", "__spans").mapInArrow(judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "__text_bytes", "__spans").mapInArrow(lean(judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, staged, table, task_tag
+from .common import file_system, lean, new_folder, staged, table, task_tag
 from .tokens import slices, tokenizer
 
 MAGIC = b"LTOK"
@@ -48,7 +48,7 @@ def train(docs: DataFrame, path: str, end_id: int, wide: bool) -> bytes:
             ids = tokenizer(path).encode([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([serialized(np.append(x, end_id), wide)[:SAMPLE_BYTES] for x in ids], pa.binary())], ["sample"])
 
-    sample = docs.filter(pick < int(share * 1_000_000)).select("text").mapInArrow(encode, "sample binary").limit(SAMPLE_DOCS)
+    sample = docs.filter(pick < int(share * 1_000_000)).select("text").mapInArrow(lean(encode), "sample binary").limit(SAMPLE_DOCS)
     samples = [bytes(r[0]) for r in sample.collect()]
     size = min(DICT_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 8 or size < 256:
@@ -75,7 +75,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, dictionary: bytes, wide: bo
                 frames = [zstd.compress(serialized(x, wide)) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([len(x) for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, frame binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(encode), "doc_id long, n_tokens long, frame binary")
 
 
 def write_files(frames: DataFrame, folder: str, dictionary: bytes, wide: bool, file_rows: int = 20_000) -> DataFrame:
@@ -106,7 +106,7 @@ def write_files(frames: DataFrame, folder: str, dictionary: bytes, wide: bool, f
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [f"{folder}/{name}"], "documents": pa.array([len(ids)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())})
 
     ordered = frames.repartitionByRange(max(1, -(-rows // file_rows)), "doc_id").sortWithinPartitions("doc_id", "frame")
-    return staged(ordered.mapInArrow(write, "part int, file string, documents long, tokens long"), "token-files")
+    return staged(ordered.mapInArrow(lean(write), "part int, file string, documents long, tokens long"), "token-files")
 
 
 class TokenFile:
@@ -169,7 +169,7 @@ def read_files(files: DataFrame, dictionary: bytes, with_ids: bool = False) -> D
                             out["ids"] = pa.array([x.tolist() for x in docs], pa.list_(pa.int32()))
                         yield pa.RecordBatch.from_pydict(out)
 
-    return numbered.repartition(min(max(1, files.count()), 10_000), "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return numbered.repartition(min(max(1, files.count()), 10_000), "file").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, staged, table, task_tag, utf8
+from .common import file_system, lean, new_folder, staged, table, task_tag, utf8
 
 CHUNK = 1 << 16
 ROLL_BYTES = 32 << 20
@@ -59,10 +59,12 @@ def members(stream, chunk: int = CHUNK) -> Iterator[Iterator[bytes]]:
         def pieces() -> Iterator[bytes]:
             nonlocal rest
             while not gz.eof:
-                if not rest:
-                    raise ValueError("archive ends inside a gzip member")
                 out = gz.decompress(rest, 1 << 20)
-                rest = gz.unconsumed_tail or (b"" if gz.eof else stream.read(chunk))
+                rest = gz.unconsumed_tail
+                if not rest and not gz.eof:
+                    rest = stream.read(chunk)
+                    if not rest and not out:
+                        raise ValueError("archive ends inside a gzip member")
                 if out:
                     yield out
             rest = gz.unused_data or stream.read(chunk)
@@ -152,7 +154,7 @@ def write_archives(plan: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), WRITTEN, strict=True)], schema=WRITTEN)
 
-    return staged(plan.select("page_id", "url", "payload", "first_id").mapInArrow(write, "file string, records long, bytes long"), "warc-files")
+    return staged(plan.select("page_id", "url", "payload", "first_id").mapInArrow(lean(write), "file string, records long, bytes long"), "warc-files")
 
 
 def read_archives(files: DataFrame, payloads: bool = True, opener: Callable | None = None) -> DataFrame:
@@ -176,7 +178,7 @@ def read_archives(files: DataFrame, payloads: bool = True, opener: Callable | No
                     yield pa.RecordBatch.from_pylist(rows, schema=READ)
 
     tasks = max(1, files.count())
-    return files.select("file").repartition(min(tasks, 10_000), "file").mapInArrow(read, READ_DDL)
+    return files.select("file").repartition(min(tasks, 10_000), "file").mapInArrow(lean(read), READ_DDL)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
