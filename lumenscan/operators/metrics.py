@@ -53,7 +53,7 @@ def halstead(operators: Column, operands: Column, unique_operators: Column, uniq
     volume = F.when(vocabulary > 0, length * F.log2(vocabulary)).otherwise(0.0)
     difficulty = F.when(unique_operands > 0, unique_operators / 2.0 * (operands / unique_operands)).otherwise(0.0)
     effort = volume * difficulty
-    named = {"vocabulary": vocabulary.cast("long"), "length": length.cast("long"), "volume": volume, "difficulty": difficulty, "effort": effort, "time_minutes": effort / 18.0, "bugs_estimate": volume / 3000.0}
+    named = {"vocabulary": vocabulary.cast("long"), "program_length": length.cast("long"), "volume": volume, "difficulty": difficulty, "effort": effort, "time_minutes": effort / 18.0, "bugs_estimate": volume / 3000.0}
     return [c.alias(n) for n, c in named.items()]
 
 
