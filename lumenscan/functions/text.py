@@ -70,7 +70,7 @@ def entropy(text: Column) -> Column:
 
 def confidence(matched: Column, rule_entropy: Column) -> Column:
     length = F.least(F.octet_length(matched) / 40.0, F.lit(0.1))
-    factor = F.coalesce(F.least(rule_entropy / 10.0, F.lit(0.05)), F.lit(0.0))
+    factor = F.when(rule_entropy.isNotNull(), F.least(rule_entropy / 10.0, F.lit(0.05))).otherwise(0.0)
     return F.least(F.lit(0.85) + length + factor, F.lit(0.99))
 
 

@@ -114,7 +114,7 @@ def _entropy(x: str) -> str:
 
 
 def _confidence(x: str, e: str) -> str:
-    return f"least(0.85 + least(strlen({x}) / 40.0, 0.1) + coalesce(least({e} / 10.0, 0.05), 0.0), 0.99)"
+    return f"least(0.85 + least(strlen({x}) / 40.0, 0.1) + CASE WHEN {e} IS NULL THEN 0.0 ELSE least({e} / 10.0, 0.05) END, 0.99)"
 
 
 _SECRET_LINES = f"SELECT c_custkey AS id, {SECRET_PATH} AS path, 1 AS line_number, {SECRET_LINE} AS content FROM customer"

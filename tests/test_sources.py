@@ -1,0 +1,68 @@
+"""Lines, diffs, chunks, embedded shell, directories."""
+
+import pytest
+
+from lumenscan.sources.files import diff_chunks, diff_lines, directory, embedded_shell, files, lines
+
+
+@pytest.mark.parametrize(("text", "expected"), [("", []), ("\n", [""]), ("a", ["a"]), ("a\r\nb", ["a", "b"]), ("a\n\n", ["a", ""]), ("a\r", ["a\r"]), ("a\rb\n", ["a\rb"]), ("\r\n", [""]), (None, [])])
+def test_lines(spark, text, expected):
+    rows = spark.createDataFrame([("p", text)], "path string, content string")
+    found = lines(rows).orderBy("line_number").collect()
+    assert [r["content"] for r in found] == expected
+    assert [r["line_number"] for r in found] == list(range(1, len(expected) + 1))
+
+
+DIFF = "diff --git a/src/a.ts b/src/a.ts\n--- a/src/a.ts\n+++ b/src/a.ts\n@@ -1,2 +1,3 @@\n a\n+b\n c\n"
+
+
+def _diff(spark, text, only_new=True):
+    rows = diff_lines(spark.createDataFrame([(1, text)], "diff_id long, diff string"), only_new)
+    return sorted((r["path"], r["line_number"], r["content"]) for r in rows.collect() if r["line_number"] is not None)
+
+
+def test_diff_new_code_only(spark):
+    assert _diff(spark, DIFF) == [("src/a.ts", 2, "b")]
+
+
+def test_diff_with_context(spark):
+    assert _diff(spark, DIFF, False) == [("src/a.ts", 1, "a"), ("src/a.ts", 2, "b"), ("src/a.ts", 3, "c")]
+
+
+def test_diff_corner_cases(spark):
+    text = "+before any hunk\n" + DIFF + "-gone\n+d\n\\ No newline\n\n+e\ndiff --git a/x b/x\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\ndiff --git a/y b/y\n+++ b/b/y\n@@ no number @@\n+first\n++ header\n"
+    assert _diff(spark, text) == [("src/a.ts", 2, "b"), ("src/a.ts", 4, "d"), ("src/a.ts", 5, "e"), ("y", 1, "first"), ("y", 2, "+ header")]
+
+
+def test_diff_file_without_lines(spark):
+    rows = diff_lines(spark.createDataFrame([(1, "diff --git a/z b/z\n+++ b/z\n")], "diff_id long, diff string")).collect()
+    assert [(r["path"], r["line_number"]) for r in rows] == [("z", None)]
+
+
+def test_chunks(spark):
+    text = "".join(f"+line {i}\n" for i in range(701))
+    found = diff_chunks(spark.createDataFrame([(1, text), (2, ""), (3, " \n")], "diff_id long, diff string"), 200, 4000).orderBy("chunk").collect()
+    assert {r["diff_id"] for r in found} == {1}
+    assert len(found) > 1 and all(r["text"].strip() for r in found)
+    assert "".join(r["text"] for r in found) == text
+    assert all(r["text"].count("\n") <= 200 and len(r["text"]) < 4000 for r in found)
+
+
+def _shell(spark, path, text):
+    found = embedded_shell(lines(files(spark, [(path, text)]))).orderBy("line_number").collect()
+    return [(r["line_number"], r["content"]) for r in found]
+
+
+def test_embedded_shell(spark):
+    text = "jobs:\n  - run: |\n      eval a\n\n    x: y\n  script:\n    - make\n    - |\n      deep\n    - echo b\nafter_script: done\nname: z\n"
+    assert _shell(spark, ".github/workflows/ci.yml", text) == [(3, "  eval a"), (4, ""), (5, "x: y"), (7, "make"), (9, "deep"), (10, "echo b"), (11, "done")]
+    assert _shell(spark, "docs/ci.yml", text) == []
+
+
+def test_directory(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("hé\n")
+    (tmp_path / "b.bin").write_bytes(b"\xff\xfe")
+    found = {r["path"].split("/")[-1]: r["content"] for r in directory(spark, str(tmp_path)).collect()}
+    assert found == {"x.txt": "hé\n", "b.bin": ""}
+    assert directory(spark, str(tmp_path), max_files=1).count() == 1
