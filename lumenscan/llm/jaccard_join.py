@@ -6,9 +6,9 @@ function of the token is a valid order, so the sketch's errors cost time, not re
 order's prefixes go into an inverted index that makes the candidates; a candidate pair must also share prefix tokens under the other
 orders before its sets are compared.
 
-Documents with equal sets form one class from the start. A posting list does not emit its pairs: first each class is compared with the
-least class of its lists only. That joins most near copies into components. Then only pairs of a list whose classes are still in
-different components are compared. No link between components is lost, and a group of n copies costs some n comparisons.
+Documents with equal sets form one class from the start. A posting list does not emit its pairs: first each class is compared with two
+of the least classes of its lists only. That joins most near copies into components. Then only pairs of a list whose classes are still
+in different components are compared. No link between components is lost, and a group of n copies costs some n comparisons.
 Pairs are screened by size and by parity bitmaps (the bits in which they differ never outnumber the tokens in which the sets differ).
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; a component's id is its smallest
@@ -248,8 +248,11 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     classes = staged(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_BITS)]), "join-classes")
     lists = staged(postings(docs, sketch, n_words, threshold, long_list), "join-lists")
 
-    # each class with the least one of its lists; parts of split lists through their own least ones
-    stars = lists.filter("cls != leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+    # each class with two of the least ones of its lists: the one it shares most lists with, and the least; parts of split lists through
+    # their own least ones
+    stars = lists.filter("cls != leader").groupBy("cls", "leader").count()
+    stars = stars.groupBy("cls").agg(F.array_distinct(F.array(F.max_by("leader", F.struct("count", "leader")), F.min("leader"))).alias("leaders"))
+    stars = stars.select(F.explode("leaders").alias("a"), F.col("cls").alias("b"))
     tops = lists.filter("split").groupBy("token").agg(F.min("leader").alias("a"))
     tops = lists.filter("split").select("token", F.col("leader").alias("b")).distinct().join(tops, "token").filter("a != b").select("a", "b")
     tried = staged(_screened(stars.unionByName(tops).distinct(), classes, threshold), "join-pairs")
@@ -258,7 +261,7 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
 
     # pairs of a list that are still apart
     placed = lists.select("token", "cls").join(comps, "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"))
-    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("token")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
     rows = staged(placed.join(apart, "token").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
     one = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", *_BITS)])
     two = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", *_BITS)])
