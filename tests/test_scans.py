@@ -38,7 +38,7 @@ def test_excluding_reveals_nothing(spark):
 
 
 def test_limits_and_order(spark):
-    text = "key ghp_" + "a1B2" * 9 + "\nxoxp\nstripe sk_test_" + "0a1b2c3d4e5f6g7h8i9j0k1l" + "\n"
+    text = "key ghp_" + "a1B2" * 9 + "\nxoxp\nfrom s3://my-bucket\n"
     assert [f["line_number"] for f in _contents(spark, [("a", text)])] == [1, 3]
     assert [f["line_number"] for f in _contents(spark, [("a", text)], ScanOptions(max_findings=1))] == [1]
     assert _contents(spark, [("a", text)], ScanOptions(max_findings=0)) == []
@@ -59,11 +59,11 @@ def test_rotation(spark):
 
 def test_iac(spark):
     rows = [
-        ("Dockerfile", "FROM node:latest\nUSER root\nENV API_KEY=abc\n"), ("k8s/a.yaml", "privileged: true\n"), ("main.tf", 'acl = "public-read"\nstorage_encrypted = false\n'),
+        ("Dockerfile", "FROM node:latest\nUSER root\nENV API_KEY=abc\n"), ("infra/k8s/a.yaml", "privileged: true\n"), ("main.tf", 'acl = "public-read"\nstorage_encrypted = false\n'),
         (".github/workflows/ci.yml", "uses: actions/checkout@main\n"), ("notes.txt", "USER root\n"),
     ]
     found = {(r["file_path"], r["line_number"]): r["rule_id"] for r in iac.scan_contents(files(spark, rows)).collect()}
-    assert found == {("Dockerfile", 2): "DOCK-IAC-003", ("Dockerfile", 3): "DOCK-IAC-001", ("k8s/a.yaml", 1): "K8S-IAC-002", ("main.tf", 1): "TF-IAC-001", ("main.tf", 2): "TF-IAC-007", (".github/workflows/ci.yml", 1): "CI-IAC-004"}
+    assert found == {("Dockerfile", 2): "DOCK-IAC-003", ("Dockerfile", 3): "DOCK-IAC-001", ("infra/k8s/a.yaml", 1): "K8S-IAC-002", ("main.tf", 1): "TF-IAC-001", ("main.tf", 2): "TF-IAC-007", (".github/workflows/ci.yml", 1): "CI-IAC-004"}
     assert {r["iac_type"] for r in iac.scan_contents(files(spark, rows), ScanOptions(iac_types=["terraform"])).collect()} == {"terraform"}
 
 
