@@ -12,15 +12,14 @@ from .imatch import op7_fingerprints
 from .jaccard_join import op10_jaccard_join
 from .langid import op4_language_id
 from .lm import op1_lm_scoring
+from .oracle import oracle_sql
 from .packing import op6_packing
 from .suffix_dedup import op8_suffix_dedup
 from .token_files import op9_token_files
 from .warc import op5_warc
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files, op10_jaccard_join)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
