@@ -1,14 +1,16 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
 A term is kept if the share of documents that hold it lies in a band, which is a band of inverse document frequencies. The sorted
-distinct kept terms are hashed once for each of SUBSETS random lexicons, which hold about 1/4, 1/8, 1/16 or 1/32 of the terms: the fuller
-ones tell close texts apart, the thinner ones survive more edits. The lexicon is
+distinct kept terms are hashed once for each of SUBSETS random lexicons, which hold 1/4, 1/8, ... 1/512 of the terms, so that texts of any
+length have lexicons that keep a few of theirs: fuller ones tell close texts apart, thinner ones survive more edits. The lexicon is
 bounded by arithmetic, not by the corpus: the shares of all terms add up to the mean number d of distinct terms in a document, so at
 most d / LOW_SHARE terms reach the band (some 300,000 for texts of 300 different words). It is looked up by hash in a constant
 array, so no document is ever taken apart into rows again.
 
-Defined results: null text is an empty one; a random lexicon that keeps fewer than LEAST terms of a text hashes all its distinct terms
-instead, so short or odd texts equal only texts with the same terms; texts without terms are all alike; the next document is by
+A fingerprint starts with the hash of all the text's distinct terms; a lexicon that keeps none of them leaves its place empty. Likeness
+is the share of lexicons that agree among those that keep a term of either text; if there is none, the first hashes decide.
+
+Defined results: null text is an empty one; texts without terms are all alike; the next document is by
 (doc_id, text), null ids first; a table of one row is its own next document. Extra columns are ignored.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 LOW_SHARE, HIGH_SHARE = 0.001, 0.2
-SUBSETS, LEAST = 16, 2
+SUBSETS, LEVELS = 16, 8
 LEXICON_BUCKETS = 1 << 14
 #: Rows of one sort group of the next-document step.
 GROUP_ROWS = 2000
@@ -58,28 +60,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _hex(text: Column, seed: int) -> Column:
+    return F.lpad(F.lower(F.hex(F.xxhash64(text, F.lit(seed)))), 16, "0")
+
+
 def fingerprint(terms: Column, lexicon: Column) -> Column:
-    """SUBSETS hashes of the terms, joined by `-`."""
+    """The hash of all terms, then SUBSETS hashes of kept ones, joined by `-`."""
     kept = lambda all_terms: F.filter(all_terms, lambda t: F.contains(F.element_at(lexicon, (_bucket(t) + 1).cast("int")), F.concat(F.lit(MARK), t, F.lit(MARK))))
-    return let(F.sort_array(terms), lambda t: let(F.array_join(t, " "), lambda whole: subset_hashes(kept(t), whole)))
+    return let(F.sort_array(terms), lambda t: F.concat_ws("-", _hex(F.array_join(t, " "), -1), subset_hashes(kept(t))))
 
 
-def subset_hashes(kept: Column, whole: Column) -> Column:
-    """kept: the sorted kept terms; whole: all terms, joined."""
+def subset_hashes(kept: Column) -> Column:
+    """kept: the sorted kept terms."""
 
     def one(pairs: Column, s: int) -> Column:
         # other bits of the terms' hashes for each lexicon
-        inside = F.filter(pairs, lambda p: F.shiftrightunsigned(p["h"], 3 * s).bitwiseAND((4 << s % 4) - 1) == 0)
-        text = let(inside, lambda x: F.when(F.size(x) >= LEAST, F.array_join(F.transform(x, lambda p: p["t"]), " ")).otherwise(whole))
-        return F.lpad(F.lower(F.hex(F.xxhash64(text, F.lit(s)))), 16, "0")
+        inside = F.filter(pairs, lambda p: F.shiftrightunsigned(p["h"], 3 * s).bitwiseAND((4 << s % LEVELS) - 1) == 0)
+        return let(inside, lambda x: F.when(F.size(x) > 0, _hex(F.array_join(F.transform(x, lambda p: p["t"]), " "), s)).otherwise(""))
 
     return let(F.transform(kept, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h"))), lambda pairs: F.concat_ws("-", *[one(pairs, s) for s in range(SUBSETS)]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of random lexicons on which two fingerprints agree."""
-    pairs = F.zip_with(F.split(a, "-"), F.split(b, "-"), lambda x, y: (x == y).cast("int"))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / F.lit(float(SUBSETS))
+    """The share of random lexicons on which two fingerprints agree, of those that keep anything of either."""
+    pairs = F.filter(F.zip_with(F.split(a, "-", -1), F.split(b, "-", -1), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: (p["x"] != "") | (p["y"] != ""))
+    same = lambda all_pairs: F.size(F.filter(all_pairs, lambda p: p["x"] == p["y"]))
+    whole = (F.substring_index(a, "-", 1) == F.substring_index(b, "-", 1)).cast("int")
+    return let(pairs, lambda p: F.when(F.size(p) > 1, (same(p) - whole) / (F.size(p) - 1)).otherwise(whole.cast("double")))
 
 
 def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:

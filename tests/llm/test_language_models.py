@@ -104,9 +104,11 @@ def test_fingerprints(spark):
         assert r["edited"] == r["text"][: n - n // 2] + following["text"][: n // 2]
     by = {r["doc_id"]: r["fp"] for r in found}
     assert by[0] == by[3] and by[6] == by[9] and by[0] != by[12]
-    assert len(by[0].split("-")) == imatch.SUBSETS
+    assert len(by[0].split("-")) == imatch.SUBSETS + 1
     likeness = spark.createDataFrame([(by[0], by[3]), (by[0], by[12])], "a string, b string").select(imatch.likeness(F.col("a"), F.col("b")).alias("x"))
     assert [r["x"] for r in likeness.collect()] == [1.0, 0.0]
+    near = spark.createDataFrame([("w-a-b---c", "v-a-x-----d".replace("-----", "---")), ("w----", "w----"), ("w----", "v----")], "a string, b string").select(imatch.likeness(F.col("a"), F.col("b")).alias("x"))
+    assert [round(r["x"], 4) for r in near.collect()] == [0.3333, 1.0, 0.0]  # of three lexicons that keep anything one agrees
 
 
 def test_fingerprint_lexicon_is_a_band(spark):
@@ -120,8 +122,8 @@ def test_fingerprint_lexicon_is_a_band(spark):
 def test_fingerprints_by_hand(spark):
     text = "beta alpha beta, Alpha gamma"
     lexicon = F.split(F.lit(imatch.BREAK.join([""] * imatch.LEXICON_BUCKETS)), imatch.BREAK, -1)
-    got = spark.createDataFrame([(text,)], "t string").select(imatch.fingerprint(imatch.terms_of(F.col("t")), lexicon).alias("x"), F.xxhash64(F.lit("alpha beta gamma"), F.lit(3)).alias("h")).first()
-    assert got["x"].split("-")[3] == f"{got['h'] & (2**64 - 1):016x}"  # no kept term: all distinct terms, sorted
+    got = spark.createDataFrame([(text,)], "t string").select(imatch.fingerprint(imatch.terms_of(F.col("t")), lexicon).alias("x"), F.xxhash64(F.lit("alpha beta gamma"), F.lit(-1)).alias("h")).first()
+    assert got["x"] == f"{got['h'] & (2**64 - 1):016x}" + "-" * imatch.SUBSETS  # all distinct terms, sorted; no lexicon keeps any
 
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
