@@ -24,18 +24,20 @@ class ScanOptions:
 
 
 RULE_DDL = (
-    "rule_ord int, pattern_ord int, rule_id string, title string, message string, severity string, provider string, suggestion string, keywords array<string>, "
+    "rule_ord int, pattern_ord int, rule_id string, title string, message string, severity string, provider string, suggestion string, keyword string, "
     "pattern string, width int, allowlist string, rule_entropy double"
 )
 
 
 def rule_patterns(spark: SparkSession, rules: list[SecretRule]) -> DataFrame:
-    """A row for each pattern of each rule; a few hundred rows, which plans broadcast."""
+    """A row for each keyword of each pattern of each rule (the empty keyword, which every line holds, for rules without): a few hundred
+    rows, which plans broadcast."""
     rows = []
     for i, r in enumerate(rules):
         allow = "|".join(f"(?:{java_regex(p)})" for p in r.allowlist_patterns) or None
         for j, p in enumerate(r.patterns):
-            rows.append((i, j, r.rule_id, r.title, r.message, r.severity, r.provider, r.suggestion or DEFAULT_SUGGESTION, [k.lower() for k in r.keywords], java_regex(p), min_width(p), allow, r.entropy))
+            for k in {k.lower() for k in r.keywords} or {""}:
+                rows.append((i, j, r.rule_id, r.title, r.message, r.severity, r.provider, r.suggestion or DEFAULT_SUGGESTION, k, java_regex(p), min_width(p), allow, r.entropy))
     return spark.createDataFrame(rows, RULE_DDL)
 
 
@@ -45,8 +47,7 @@ def line_matches(line_rows: DataFrame, rules: list[SecretRule] | None = None) ->
     spark = line_rows.sparkSession
     patterns = rule_patterns(spark, builtin_secret_rules() if rules is None else rules)
     low = line_rows.withColumn("low", F.lower("content"))
-    keyword = (F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(F.col("low"), k))
-    hits = low.join(F.broadcast(patterns), (F.octet_length("content") >= F.col("width")) & keyword & F.expr("content rlike pattern")).drop("low")
+    hits = low.join(F.broadcast(patterns), (F.octet_length("content") >= F.col("width")) & F.contains("low", "keyword") & F.expr("content rlike pattern")).drop("low")
     hits = hits.withColumn("matched_text", F.expr("regexp_extract(content, pattern, 0)"))
     text = F.col("matched_text")
     allowed = F.col("allowlist").isNotNull() & F.coalesce(F.expr("matched_text rlike allowlist"), F.lit(False))
