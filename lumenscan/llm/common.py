@@ -29,6 +29,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/lumenscan/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that staged() has written in this process, oldest first.
+_written: list[str] = []
+
+
+def staged_so_far() -> int:
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables staged since then, but for one: what was made on the way to it."""
+    kept = getattr(keep, "_lumenscan_path", None)
+    for path in _written[since:]:
+        if path != kept:
+            delete(spark, path)
+    _written[since:] = [kept] if kept else []
+
+
 def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
@@ -36,6 +53,7 @@ def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     if row_group:
         writer = writer.option("parquet.block.size", row_group)
     writer.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenscan_path = path
     return out

@@ -111,8 +111,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier | Non
     return Classifier(np.array(rows), labels) if rows else None
 
 
-def identified(docs: DataFrame, model: Classifier | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, with lang_pred and score from the text alone."""
+def identified(docs: DataFrame, model: Classifier | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, with the predicted language and its score from the text alone, under these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
 
@@ -128,10 +128,10 @@ def identified(docs: DataFrame, model: Classifier | None, keep: list[str]) -> Da
                 for i, lang in zip(part, found, strict=True):
                     langs[i] = lang
                 scores[part] = s
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], [*schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], [*schema.names, *names])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(F.col("text").cast("string").alias("scored_text"), *[F.col(c) for c in keep]).mapInArrow(lean(score), f"{out}, lang_pred string, score double")
+    return docs.select(F.col("text").cast("string").alias("scored_text"), *[F.col(c) for c in keep]).mapInArrow(lean(score), f"{out}, {names[0]} string, {names[1]} double")
 
 
 def in_fold(column: str = "doc_id") -> Column:

@@ -54,7 +54,7 @@ def docs(spark, texts):
 def folder(spark, docs, texts, tmp_path_factory):
     """A folder of tables, with a column that no operator knows."""
     out = tmp_path_factory.mktemp("tables")
-    docs.withColumn("key", F.lit(1)).write.parquet(str(out / "documents.parquet"))
+    docs.withColumns({c: F.lit(1) for c in ("key", "score", "spans", "cls", "n", "grp", "lang_pred")}).write.parquet(str(out / "documents.parquet"))
     items = [(1, texts[0]), (2, texts[7]), (3, "only three words"), (4, None), (5, ""), (10, texts[0])]
     spark.createDataFrame(items, TABLES["benchmark"]).write.parquet(str(out / "benchmark.parquet"))
     pages = [(i, f"http://x/{i} y" if i % 3 else None, None if i == 7 else "<p>é</p>" * (i % 5)) for i in range(40)]
@@ -72,6 +72,11 @@ def empty(spark, tmp_path_factory):
     return str(out)
 
 
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_queries_take_extra_columns(spark, folder, name):
+    assert queries()[name](spark, folder).limit(1).count() == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_empty_tables(spark, empty, name):
     assert queries()[name](spark, empty).count() == (1 if name.startswith("op2_") else 0)
