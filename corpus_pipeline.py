@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm.common import staged, table
+from lumenscan.llm.common import staged, staged_so_far, sweep, table
 from lumenscan.llm.decontam import judged
 from lumenscan.llm.jaccard_join import joined_components
 from lumenscan.llm.langid import UND, identified, trained
@@ -31,8 +31,8 @@ def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; those without a letter, or in no language it can tell, go."""
-    found = identified(docs, trained(docs), docs.columns)
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    found = identified(docs, trained(docs), docs.columns, ("__lang", "__score"))
+    return found.filter((F.col("__lang") != UND) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = staged_so_far()
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
