@@ -7,8 +7,8 @@ order's prefixes go into an inverted index that makes the candidates; a candidat
 orders before its sets are compared.
 
 Documents with equal sets form one class from the start. A posting list does not emit its pairs: first each class is compared with two
-of the least classes of its lists only. That joins most near copies into components. Then only pairs of a list whose classes are still
-in different components are compared. No link between components is lost, and a group of n copies costs some n comparisons.
+of the least classes of its lists only. That joins most near copies into components. Then classes are compared with the other least
+ones, and at last all pairs of a list, but each time only classes that are still in different components. No link between components is lost, and a group of n copies costs some n comparisons.
 Pairs are screened by size and by parity bitmaps (the bits in which they differ never outnumber the tokens in which the sets differ).
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; a component's id is its smallest
@@ -226,18 +226,28 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, n_wo
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, comp) of every class with an edge (a, b): comp is the least class of its component. Each round takes the least label around
-    and then that label's own label, so chains shorten by half; rounds are written to the shared folder."""
-    both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-edges")
-    labels = staged(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "join-labels")
-    while True:
-        around = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
-        new = labels.join(around, "cls").select("cls", "comp", F.least("comp", "near").alias("to"))
-        jump = labels.select(F.col("cls").alias("to"), F.col("comp").alias("far"))
-        new = staged(new.join(jump, "to", "left").select("cls", F.col("comp").alias("old"), F.least("to", F.coalesce("far", "to")).alias("comp")), "join-labels")
-        labels = new.select("cls", "comp")
-        if new.filter("old != comp").isEmpty():
-            return labels
+    """(cls, comp) of every class with an edge (a, b). Each round merges a class with the least one next to it and keeps the edges between
+    what is left; class ids are hashes, so about half goes each time. Rounds are written to the shared folder."""
+    edges, rounds = staged(edges.distinct(), "join-edges"), []
+    while not rounds or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        merged = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("comp")), "join-merged")
+        rounds.append(merged)
+        ends = [merged.select(F.col("cls").alias(x), F.col("comp").alias(f"{x}_to")) for x in ("a", "b")]
+        left = edges.join(ends[0], "a").join(ends[1], "b").filter("a_to != b_to")
+        edges = staged(left.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "join-edges")
+    out = rounds.pop()
+    while rounds:
+        out = rounds.pop().withColumnRenamed("comp", "to").join(out.withColumnRenamed("cls", "to"), "to", "left").select("cls", F.coalesce("comp", "to").alias("comp"))
+    return out
+
+
+def merged_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (cls, comp) after merging along the links."""
+    ends = [comps.select(F.col("cls").alias(x), F.col("comp").alias(f"{x}_comp")) for x in ("a", "b")]
+    apart = links.join(ends[0], "a").join(ends[1], "b").filter("a_comp != b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    found = components(apart).select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
+    return staged(comps.join(found, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "join-components")
 
 
 def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = THRESHOLD, long_list: int = LONG_LIST) -> DataFrame:
@@ -256,21 +266,29 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     tops = lists.filter("split").groupBy("token").agg(F.min("leader").alias("a"))
     tops = lists.filter("split").select("token", F.col("leader").alias("b")).distinct().join(tops, "token").filter("a != b").select("a", "b")
     tried = staged(_screened(stars.unionByName(tops).distinct(), classes, threshold), "join-pairs")
-    links = staged(verified(tried, classes, docs, sketch, n_words, threshold), "join-links")
-    comps = components(links)
+    comps = staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "join-components")
+    comps = merged_components(comps, staged(verified(tried, classes, docs, sketch, n_words, threshold), "join-links"))
 
-    # pairs of a list that are still apart
-    placed = lists.select("token", "cls").join(comps, "cls", "left").select("token", "cls", F.coalesce("comp", "cls").alias("comp"))
+    # classes that are still apart from others of the least ones of their lists
+    led = lists.join(comps, "cls").join(comps.select(F.col("cls").alias("leader"), F.col("comp").alias("leader_comp")), "leader").filter("comp != leader_comp")
+    led = led.select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = staged(_screened(led, classes, threshold), "join-pairs")
+    if not more.isEmpty():
+        tried = tried.unionByName(more)
+        comps = merged_components(comps, staged(verified(more, classes, docs, sketch, n_words, threshold), "join-links"))
+
+    # all pairs of a list that are still apart
+    placed = lists.select("token", "cls").join(comps, "cls")
     apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
     rows = staged(placed.join(apart, "token").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
     one = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", *_BITS)])
     two = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", *_BITS)])
     more = one.join(two, "token").filter((F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _may_link("a_", "b_", threshold))
     more = more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "join-pairs")
     if not more.isEmpty():
-        links = staged(links.unionByName(verified(more, classes, docs, sketch, n_words, threshold)), "join-links")
-        comps = components(links)
+        comps = merged_components(comps, staged(verified(more, classes, docs, sketch, n_words, threshold), "join-links"))
 
     named = classes.select("cls", F.col("doc_id").alias("least")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
