@@ -39,6 +39,14 @@ def loc(text: Column) -> Column:
     return F.aggregate(all_lines, start, step, lambda s: F.struct(F.size(all_lines).cast("long").alias("total_lines"), s["code"].alias("code_lines"), s["comment"].alias("comment_lines"), s["blank"].alias("blank_lines")))
 
 
+def total_lines(text: Column) -> Column:
+    return F.size(lines_of(text)).cast("long")
+
+
+def code_lines(text: Column) -> Column:
+    return loc(text)["code_lines"]
+
+
 def file_loc(file_rows: DataFrame) -> DataFrame:
     return numbered(file_rows).select("file_ord", "path", loc(F.col("content")).alias("x")).select("file_ord", "path", "x.*")
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lumenscan.functions.comments import without_inline_comment
 from lumenscan.functions.complexity import complexity
 from lumenscan.functions.halstead import counts
 from lumenscan.functions.spans import in_range, spans
@@ -26,6 +27,16 @@ def test_loc(spark, text, expected):
     assert _loc(spark, text) == expected
 
 
+@pytest.mark.parametrize(("line", "code"), [("a = 1 // b", "a = 1 "), ("x # y", "x "), ("s = \"a // b\" # c", "s = \"a // b\" "), ("u = 'it\\'s # no' / 2", "u = 'it\\'s # no' / 2"), ("q = `open # ", "q = `open # "), ("#", ""), ("", "")])
+def test_inline_comments(line, code):
+    assert without_inline_comment(line) == code
+
+
+def test_line_helpers(spark):
+    r = spark.createDataFrame([("a\n// b\n\n",)], "t string").select(metrics.total_lines(F.col("t")).alias("n"), metrics.code_lines(F.col("t")).alias("c")).first()
+    assert (r["n"], r["c"]) == (3, 1)
+
+
 SPANS = [
     ("python", "@dec\nasync def f(a, b=1, *c):\n    return a\n\nclass X:\n    def g(self): pass\n", [("f", 1, 3, ["a", "b"]), ("g", 6, 6, ["self"])]),
     ("rust", "// fn no()\npub async fn add<T>(mut a: T, &self, b: Vec<(u8, u8)>) {\n  let s = \"}\"; // }\n}\ntrait T {\n    fn t(&self);\n}\n", [("add", 2, 4, ["a", "b"]), ("t", 6, 6, [])]),
