@@ -36,11 +36,11 @@ Q = LENGTH // 4
 #: So many q-grams start in a string.
 GRAMS = LENGTH - Q + 1
 #: Texts are looked at in pieces of so many strings, long ones in several.
-PIECE, CHUNK = 1 << 20, 2 << 20
+PIECE, CHUNK = 1 << 19, 1 << 20
 MAX_FILTER_BYTES = 128 << 20
 #: A bucket with more different contexts than this is compared string by string.
 HOT_CONTEXTS = 50_000
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 _U64 = np.uint64
 _ODD = _U64(0x9E3779B97F4A7C15)
 _UNODD = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -287,7 +287,7 @@ def covers(found: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, spans): for each different text with a repeat, its repeated bytes as pairs of start and end, unmerged, in a flat array."""
-    parts = max(64, 4 * shuffle_parts(docs.sparkSession))
+    parts = max(64, 8 * shuffle_parts(docs.sparkSession))
     found = staged(contexts(docs, repeated_anchors(docs, MAX_FILTER_BYTES), parts), "contexts", row_group=32 << 20)
     cover = staged(covers(found), "covers")
     texts = found.filter("key is not null").groupBy("key").agg(F.first(F.struct("contexts", "firsts")).alias("x"))

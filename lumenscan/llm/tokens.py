@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -56,8 +57,14 @@ class _Words(dict):
             self.clear()
         found = self.older.get(chunk)
         if found is None:
-            pieces = self.pieces(chunk.lower())
-            found = np.array(self.encode(WORD_END.join([*pieces, ""])), "<u4").tobytes() if pieces else b""
+            text = chunk.lower()
+            if text.isalpha():  # most chunks are a word, or a word and a mark: no pattern needed
+                ended = text + WORD_END
+            elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+                ended = text[:-1] + WORD_END + text[-1] + WORD_END
+            else:
+                ended = "".join(p + WORD_END for p in self.pieces(text))
+            found = array("I", self.encode(ended)).tobytes()
         self[chunk] = found
         return found
 
