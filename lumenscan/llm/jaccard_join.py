@@ -277,9 +277,9 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
         tried = tried.unionByName(more)
         comps = merged_components(comps, staged(verified(more, classes, docs, sketch, n_words, threshold), "join-links"))
 
-    # all pairs of a list that are still apart
+    # all pairs of a list that are still apart; the one pair of a list of two has been tried
     placed = lists.select("token", "cls").join(comps, "cls")
-    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("token")
     rows = staged(placed.join(apart, "token").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
     one = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", *_BITS)])
     two = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", *_BITS)])
