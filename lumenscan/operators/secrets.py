@@ -43,15 +43,18 @@ def rule_patterns(spark: SparkSession, rules: list[SecretRule]) -> DataFrame:
 
 def line_matches(line_rows: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
     """The first accepted match of each line. Lines are joined with the broadcast patterns on keyword, least length and pattern, cheapest
-    test first; only the hits, which are few, are judged and shuffled."""
+    test first; only the hits, which are few, are shuffled."""
     spark = line_rows.sparkSession
     patterns = rule_patterns(spark, builtin_secret_rules() if rules is None else rules)
     low = line_rows.withColumn("low", F.lower("content"))
-    hits = low.join(F.broadcast(patterns), (F.octet_length("content") >= F.col("width")) & F.contains("low", "keyword") & F.expr("content rlike pattern")).drop("low")
-    hits = hits.withColumn("matched_text", F.expr("regexp_extract(content, pattern, 0)"))
-    text = F.col("matched_text")
-    allowed = F.col("allowlist").isNotNull() & F.coalesce(F.expr("matched_text rlike allowlist"), F.lit(False))
-    hits = hits.filter(~allowed & ~is_allowlisted(text) & ~is_placeholder(text) & ~is_repetitive(text))
+    text = F.expr("regexp_extract(content, pattern, 0)")
+    allowed = F.col("allowlist").isNotNull() & F.coalesce(F.expr("regexp_extract(content, pattern, 0) rlike allowlist"), F.lit(False))
+    accepted = ~allowed & ~is_allowlisted(text) & ~is_placeholder(text) & ~is_repetitive(text)
+    # nested cases, not a conjunction: the optimizer would move the costly tests of a conjunction to the front
+    tested = F.lit(False)
+    for test, then in ((F.expr("content rlike pattern"), accepted), (F.contains("low", "keyword"), None), (F.octet_length("content") >= F.col("width"), None)):
+        tested = F.when(test, tested if then is None else then).otherwise(False)
+    hits = low.join(F.broadcast(patterns), tested).withColumn("matched_text", text)
     first = F.min_by(F.struct("rule_id", "title", "message", "severity", "provider", "suggestion", "matched_text", "rule_entropy"), F.struct("rule_ord", "pattern_ord")).alias("x")
     return hits.groupBy("file_ord", "path", "line_number").agg(first).select("file_ord", "path", "line_number", "x.*")
 
