@@ -36,6 +36,8 @@ ORDERS = 3
 FLUSH_TOKENS = 500_000
 #: Posting lists of tokens met more often than this are split by class, so that no list has to fit a task.
 LONG_LIST = 1_000_000
+#: So many of a class's least tokens travel with it in the last round.
+HEAD_TOKENS = 24
 _U64 = np.uint64
 _BITS = [f"b{i}" for i in range(8)]
 
@@ -280,10 +282,15 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     # all pairs of a list that are still apart; the one pair of a list of two has been tried
     placed = lists.select("token", "cls").join(comps, "cls")
     apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("token")
-    rows = staged(placed.join(apart, "token").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
-    one = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", *_BITS)])
-    two = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", *_BITS)])
-    more = one.join(two, "token").filter((F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _may_link("a_", "b_", threshold))
+    rows = placed.join(apart, "token")
+    # with the least of each class's tokens, a pair that shares many need not come up at each: it does at the least one they share
+    heads = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEAD_TOKENS).alias("head"))
+    rows = staged(rows.join(heads, "cls").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
+    one = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
+    two = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
+    shared_before = F.coalesce(F.array_min(F.array_intersect("a_head", "b_head")) < F.col("token"), F.lit(False))
+    wanted = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _may_link("a_", "b_", threshold)
+    more = one.join(two, "token").filter(F.when(wanted, ~shared_before).otherwise(False))
     more = more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "join-pairs")
