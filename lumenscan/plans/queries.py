@@ -24,8 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores (one small file), dealt out over all of them; any other as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_ord"), F.format_string("docs/%d.txt", "doc_id").alias("path"), F.col("text").alias("content"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("file_ord"), F.format_string("docs/%d.txt", "doc_id").alias("path"), F.col("text").alias("content"))
 
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
