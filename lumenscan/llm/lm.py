@@ -2,10 +2,11 @@
 
 Counting: every task hashes its n-grams, sums equal ones and sends them, packed by hash range ("part"), to where the part is reduced.
 A part's reducer quantises each count c to level 1 + floor(log_b c) and sets the bits of the events (n-gram, 1) ... (n-gram, level) in
-the part's block of the filter. Blocks are collected and broadcast; their total size never exceeds MAX_FILTER_BYTES (blocks that would
-need more bits get fewer bits an event, hence more false positives; nothing is dropped). Scoring probes (n-gram, 1), (n-gram, 2), ...
-until one is missing, turns the level back into a count, and interpolates orders: p(w|h) = (c(hw) + a p(w|h')) / (c(h) + a), where a is
-fitted by leave-one-out likelihood on a bounded sample of the training documents.
+the part's block of the filter. The filter has BITS_PER_EVENT bits an event whatever the corpus, so it grows with it. Blocks of up to
+MAX_BROADCAST_BYTES together are collected and broadcast; beyond, they stay where they are and the distinct probes of each chunk of texts
+are shuffled to the blocks by part, and the levels found back to the chunk: the same probes of the same bits. Scoring probes (n-gram, 1),
+(n-gram, 2), ... until one is missing, turns the level back into a count, and interpolates orders: p(w|h) = (c(hw) + a p(w|h')) /
+(c(h) + a), where a is fitted by leave-one-out likelihood on a bounded sample of the training documents.
 
 The base score needs exact counts. Those of the HEAD_WORDS most frequent words (a fixed number) are broadcast; occurrences of rarer
 words are joined with the exact count table, so that no dictionary grows with the corpus.
@@ -17,7 +18,7 @@ doc id are scored each for itself; with no training text every count is 0. Extra
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,16 @@ from .common import WordHash, crc_of_id, lean, mixed, shuffle_parts, staged, tab
 BASE = 1.5
 #: An event sets 3 bits in each of 2 words; with 12 bits of filter an event, some 6 in 1,000 absent events seem present.
 BITS_PER_EVENT, WORDS, BITS_PER_WORD = 12, 2, 3
-MAX_FILTER_BYTES = 256 << 20
+#: A filter of more bytes is not broadcast; its blocks are joined.
+MAX_BROADCAST_BYTES = 256 << 20
+#: What a block may take at most: 32 bits choose a word in it.
+MAX_BLOCK_BYTES = 8 << 32
+#: Training bytes a part, so that what a reducer holds does not grow with the corpus.
+PART_BYTES = 64 << 20
+#: Texts are scored in chunks of so many.
+CHUNK_TEXTS = 500
+#: A part's probes are looked up so many at a time.
+LOOKUP_PROBES = 500_000
 HEAD_WORDS = 1 << 18
 FIT_DOCS = 1000
 FIT_GRID = tuple(2.0**k for k in range(-2, 15))
@@ -103,6 +113,17 @@ class LogFrequencyFilter:
         return COUNT_AT[self.levels(hashes)]
 
 
+class Answers:
+    """The levels that the blocks gave for a chunk's probes; asked for these only."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
+        by = np.argsort(hashes)
+        self.hashes, self.levels = hashes[by], levels[by]
+
+    def counts(self, hashes: np.ndarray) -> np.ndarray:
+        return COUNT_AT[self.levels[np.searchsorted(self.hashes, hashes)]]
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
     return text.lower().split()
@@ -142,6 +163,14 @@ def histories(seq: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def probes_of(seq: np.ndarray, order: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes that observed() asks for, part by part, and where each part begins."""
+    h = np.unique(np.concatenate([mixed(seq), *grams(seq, order)[1:], *histories(seq, order)[1:]]))
+    part = h % _U64(parts)
+    by = np.argsort(part, kind="stable")
+    return h[by], np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+
+
 def counted(train: DataFrame, order: int, parts: int) -> DataFrame:
     """(part, kind, hashes, counts) of the training texts, packed; kind 1 are words."""
 
@@ -189,7 +218,7 @@ START_GRAM = int(mixed(np.array([START], np.uint64))[0])
 WORD_ROWS = "part int, block binary, word long, n long"
 
 
-def _reducer(max_block: int):
+def _reducer():
     schema = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("word", pa.int64()), ("n", pa.int64())])
 
     def reduce(t: pa.Table) -> pa.Table:
@@ -207,7 +236,7 @@ def _reducer(max_block: int):
                 all_c.append(c)
                 if kind == 1:
                     words, word_counts = h, c
-        block = build_block(np.concatenate(all_h), np.concatenate(all_c), max_block)
+        block = build_block(np.concatenate(all_h), np.concatenate(all_c), MAX_BLOCK_BYTES)
         n = len(words)
         return pa.table([pa.array([part] * (n + 1), pa.int32()), pa.array([block] + [None] * n, pa.binary()), pa.array(np.concatenate([[0], words.view(np.int64)]), pa.int64()), pa.array(np.concatenate([[0], word_counts]), pa.int64())], schema=schema)
 
@@ -215,16 +244,22 @@ def _reducer(max_block: int):
 
 
 class Model:
-    """What scoring needs: the broadcast filter and head counts, the exact word table, the totals and the fitted weights."""
+    """What scoring needs: the filter (broadcast, or its blocks) and the broadcast head counts, the exact word table, the totals and the
+    fitted weights."""
 
-    def __init__(self, train: DataFrame, order: int = 2, max_filter_bytes: int = MAX_FILTER_BYTES, head_words: int = HEAD_WORDS, fit_docs: int = FIT_DOCS):
+    def __init__(self, train: DataFrame, order: int = 2, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, head_words: int = HEAD_WORDS, fit_docs: int = FIT_DOCS):
         spark = train.sparkSession
-        self.order, self.parts = order, max(64, 2 * shuffle_parts(spark))
-        reduced = staged(counted(train, order, self.parts).groupBy("part").applyInArrow(_reducer(max_filter_bytes // self.parts), WORD_ROWS), "lm-counts", row_group=16 << 20)
-        found = reduced.filter("block is not null").select("part", "block").toArrow()
-        at = {p: i for i, p in enumerate(found.column(0).to_pylist())}
-        self.filter = LogFrequencyFilter([memoryview(found.column(1)[at[p]].as_buffer()) if p in at else b"\0" * 8 for p in range(self.parts)])
-        del found
+        self.texts, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(utf8("text"))), F.lit(0))).first()
+        self.order, self.parts = order, max(64, 2 * shuffle_parts(spark), -(-size // PART_BYTES))
+        reduced = staged(counted(train, order, self.parts).groupBy("part").applyInArrow(_reducer(), WORD_ROWS), "lm-counts", row_group=16 << 20)
+        self.blocks = reduced.filter("block is not null").select("part", "block")
+        self.filter_bytes = self.blocks.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
+        self.joined, self.filter = self.filter_bytes > max_broadcast_bytes, None
+        if not self.joined:
+            found = self.blocks.toArrow()
+            at = {p: i for i, p in enumerate(found.column(0).to_pylist())}
+            self.filter = LogFrequencyFilter([memoryview(found.column(1)[at[p]].as_buffer()) if p in at else b"\0" * 8 for p in range(self.parts)])
+            del found
         self.words = reduced.filter("block is null").select("word", "n")
         total = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.tokens, self.vocabulary = int(total[0]), int(total[1])
@@ -250,63 +285,112 @@ class Model:
         """The interpolation weight of most leave-one-out likelihood over at most fit_docs training texts of smallest hash."""
         if self.order == 1:
             return 1.0
-        total = train.count()
-        share = int(1_000_000 * min(1.0, fit_docs / max(1, total)))
-        shared, order, norm = self.shared, self.order, self.norm
+        share = int(1_000_000 * min(1.0, fit_docs / max(1, self.texts)))
+        order, norm = self.order, self.norm
 
-        def likelihood(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache, sums = WordHash(), np.zeros(len(FIT_GRID))
-            for batch in source:
-                texts = batch.column(0).to_pylist()
-                for k in range(0, len(texts), 200):
-                    seq, _ = sequence_of(texts[k : k + 200], cache, order)
-                    counts = observed(seq, shared.value[0], order)
-                    for g, a in enumerate(FIT_GRID):
-                        sums[g] += log_probabilities(counts, norm, a, left_out=1.0).sum()
+        def likelihood(row: int, doc_ids: pa.Array, held_out: pa.Array, seq: np.ndarray, lengths: np.ndarray, answers) -> Iterator[pa.RecordBatch]:
+            counts = observed(seq, answers, order)
+            sums = [log_probabilities(counts, norm, a, left_out=1.0).sum() for a in FIT_GRID]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(FIT_GRID)), pa.int32()), pa.array(sums, pa.float64())], ["g", "s"])
 
         pick = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1_000_000)) < max(share, 1)
-        sums = train.filter(pick).select(utf8("text").alias("text")).mapInArrow(lean(likelihood), "g int, s double").groupBy("g").agg(F.sum("s").alias("s")).collect()
+        rows = train.filter(pick).select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), utf8("text").alias("text"))
+        sums = self._answered(rows, likelihood, "g int, s double").groupBy("g").agg(F.sum("s").alias("s")).collect()
         return FIT_GRID[max(sums, key=lambda r: (r[1], -r[0]))[0]] if sums else 1.0
 
+    def _answered(self, rows: DataFrame, judge: Callable[..., Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+        """judge(first row number, doc_ids, held_out, sequence, lengths, filter) over chunks of rows (doc_id, held_out, text)."""
+        shared, order, parts = self.shared, self.order, self.parts
+
+        def chunks_of(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            row, cache = TaskContext.get().partitionId() << 33, WordHash()
+            for batch in source:
+                for k in range(0, batch.num_rows, CHUNK_TEXTS):
+                    part = batch.slice(k, CHUNK_TEXTS)
+                    yield row, part.column(0), part.column(1), *sequence_of(part.column(2).to_pylist(), cache, order)
+                    row += part.num_rows
+
+        if not self.joined:
+
+            def direct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for chunk in chunks_of(source):
+                    yield from judge(*chunk, shared.value[0])
+
+            return rows.mapInArrow(lean(direct), ddl)
+
+        def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row, doc_ids, held_out, seq, lengths in chunks_of(source):
+                words, index = np.unique(seq, return_inverse=True)
+                packed = [words.tobytes(), index.astype("<u4").tobytes(), lengths.astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([held_out.to_pylist()], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in packed)], ["chunk", "doc_ids", "held_out", "words", "index", "lengths"])
+
+        def sequence(words: bytes, index: bytes) -> np.ndarray:
+            return np.frombuffer(words, np.uint64)[np.frombuffer(index, "<u4")]
+
+        def probe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in source:
+                for chunk, words, index in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    h, cuts = probes_of(sequence(words, index), order, parts)
+                    some = np.flatnonzero(np.diff(cuts)).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([h[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "chunk", "hashes"])
+
+        def look_up(probes: pa.Table, blocks: pa.Table) -> pa.Table:
+            block = LogFrequencyFilter([blocks.column("block")[0].as_py() if blocks.num_rows else b"\0" * 8])
+            asked, out, at = probes.column("hashes").to_pylist(), [], 0
+            while at < len(asked):
+                n = np.cumsum([len(x) // 8 for x in asked[at : at + LOOKUP_PROBES]])
+                take = max(1, int(np.searchsorted(n, LOOKUP_PROBES, "right")))
+                levels = block.levels(np.frombuffer(b"".join(asked[at : at + take]), np.uint64)).astype(np.uint8)
+                out += [x.tobytes() for x in np.split(levels, n[: take - 1])]
+                at += take
+            return pa.table({"part": probes.column("part").cast(pa.int32()), "chunk": probes.column("chunk"), "levels": pa.array(out, pa.binary())})
+
+        def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+            row, doc_ids, held_out, words, index, lengths = (chunk.column(c)[0] for c in ("chunk", "doc_ids", "held_out", "words", "index", "lengths"))
+            seq = sequence(words.as_py(), index.as_py())
+            h, cuts = probes_of(seq, order, parts)
+            levels = np.zeros(len(h), np.uint8)
+            for p, found in zip(answers.column("part").to_pylist(), answers.column("levels").to_pylist(), strict=True):
+                levels[cuts[p] : cuts[p + 1]] = np.frombuffer(found, np.uint8)
+            return pa.Table.from_batches(judge(row.as_py(), doc_ids.values, held_out.values, seq, np.frombuffer(lengths.as_py(), "<i8"), Answers(h, levels)))
+
+        chunks = staged(rows.mapInArrow(lean(pack), "chunk long, doc_ids array<long>, held_out array<boolean>, words binary, index binary, lengths binary"), "lm-chunks", row_group=16 << 20)
+        probes = chunks.select("chunk", "words", "index").mapInArrow(lean(probe), "part int, chunk long, hashes binary")
+        answers = probes.groupBy("part").cogroup(self.blocks.groupBy("part")).applyInArrow(look_up, "part int, chunk long, levels binary")
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, ddl)
+
     def scored(self, docs: DataFrame, held_out: Column) -> DataFrame:
         """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
         shared, order, norm, weight = self.shared, self.order, self.norm, self.weight
         fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("n", pa.int64())]
         schema = pa.schema(fields)
 
-        def score(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row, cache = TaskContext.get().partitionId() << 33, WordHash()
-            model, head, head_counts = shared.value
-            for batch in source:
-                texts = batch.column(2).to_pylist()
-                for k in range(0, len(texts), 500):
-                    part = texts[k : k + 500]
-                    seq, lengths = sequence_of(part, cache, order)
-                    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-                    logs = log_probabilities(observed(seq, model, order), norm, weight)
-                    words, inverse = np.unique(grams(seq, 1)[0], return_inverse=True)
-                    at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
-                    in_head = head[at] == words if len(head) else np.zeros(len(words), bool)
-                    exact = np.where(in_head, head_counts[at] if len(head) else 0, 0)
-                    token_head = in_head[inverse]
-                    base = np.where(token_head, np.log10(exact + 0.1)[inverse], 0.0)
-                    rows = row + np.arange(len(part))
-                    row += len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows), batch.column(0)[k : k + 500], batch.column(1)[k : k + 500], pa.array(lengths), pa.array(np.add.reduceat(token_head.astype(np.int64), starts)),
-                         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], schema=schema)
-                    rare = np.flatnonzero(~token_head)
-                    if len(rare):
-                        doc = np.repeat(np.arange(len(part)), lengths)[rare]
-                        pair, n = np.unique(doc.astype(np.uint64) * _U64(len(words)) + inverse[rare].astype(np.uint64), return_counts=True)
-                        m = len(pair)
-                        none = [pa.nulls(m, f[1]) for f in fields[1:7]]
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[(pair // _U64(len(words))).astype(np.int64)]), *none, pa.array(words[(pair % _U64(len(words))).astype(np.int64)].view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+        def score(row: int, doc_ids: pa.Array, held_out: pa.Array, seq: np.ndarray, lengths: np.ndarray, answers) -> Iterator[pa.RecordBatch]:
+            _, head, head_counts = shared.value
+            starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+            logs = log_probabilities(observed(seq, answers, order), norm, weight)
+            words, inverse = np.unique(grams(seq, 1)[0], return_inverse=True)
+            at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
+            in_head = head[at] == words if len(head) else np.zeros(len(words), bool)
+            exact = np.where(in_head, head_counts[at] if len(head) else 0, 0)
+            token_head = in_head[inverse]
+            base = np.where(token_head, np.log10(exact + 0.1)[inverse], 0.0)
+            n = len(lengths)
+            rows = row + np.arange(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), doc_ids, held_out, pa.array(lengths), pa.array(np.add.reduceat(token_head.astype(np.int64), starts)),
+                 pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+            rare = np.flatnonzero(~token_head)
+            if len(rare):
+                doc = np.repeat(np.arange(n), lengths)[rare]
+                pair, times = np.unique(doc.astype(np.uint64) * _U64(len(words)) + inverse[rare].astype(np.uint64), return_counts=True)
+                m = len(pair)
+                none = [pa.nulls(m, f[1]) for f in fields[1:7]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[(pair // _U64(len(words))).astype(np.int64)]), *none, pa.array(words[(pair % _U64(len(words))).astype(np.int64)].view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), utf8("text").alias("text"))
         ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, word long, n long"
-        found = staged(rows.mapInArrow(lean(score), ddl), "lm-scores")
+        found = staged(self._answered(rows, score, ddl), "lm-scores")
         rare = found.filter("word is not null").select("row", "word", F.col("n").alias("times"))
         rare = rare.join(self.tail, "word", "left").select(
             "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens"),

@@ -48,6 +48,22 @@ def test_lm_third_order_and_empty(spark):
     assert all(math.isfinite(r["score"]) for r in lm.Model(none).scored(rows, F.lit(True)).collect())
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_filter_beyond_one_broadcast(spark, monkeypatch, order):
+    """A filter that is too large to be broadcast keeps its bits an event, and is joined with the same scores."""
+    held = (crc_of_id() % 10) == 0
+    rows = docs(spark, TEXTS).repartition(3)
+    whole = lm.Model(rows.filter(~held), order)
+    monkeypatch.setattr(lm, "CHUNK_TEXTS", 7)
+    monkeypatch.setattr(lm, "LOOKUP_PROBES", 20)
+    model = lm.Model(rows.filter(~held), order, 64)
+    assert (whole.joined, model.joined) == (False, True) and model.filter_bytes == whole.filter_bytes > 64 and model.weight == whole.weight
+    a, b = ({r["doc_id"]: r for r in m.scored(rows, held).collect()} for m in (whole, model))
+    assert a.keys() == b.keys() == set(range(len(TEXTS)))
+    for i, r in a.items():
+        assert tuple(b[i])[:5] == tuple(r)[:5] and (b[i]["base_score"], b[i]["score"]) == pytest.approx((r["base_score"], r["score"]))
+
+
 def test_filter_never_misses_and_quantises():
     rng = np.random.default_rng(1)
     h, counts = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64)), None
