@@ -7,8 +7,8 @@ the term's offset, are the candidate starts, and is intersected with the offset-
 Building and matching are narrow: no posting is ever shuffled, and a hot term is spread over all segments.
 
 Terms are held by 64-bit hash. Defined results: null text has no words and is never hit; rows that share a doc id are judged each for
-itself; items without words never match; repeated items count each; an empty index or benchmark matches nothing. Extra columns are
-ignored.
+itself; items without words never match; items that share an id count once, those without one together as one that the list of ids
+leaves out; an empty index or benchmark matches nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def corpus_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 class Windows:
     """The distinct windows of a block of items: matrix of term numbers, each with the order in which its terms are intersected."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
         cache, by_words = WordHash(), {}
         for number, (_, text) in enumerate(items):
             words = words_of(text)
@@ -172,9 +172,9 @@ def occurrences(segment: Segment, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return window, start
 
 
-def matches(index: DataFrame, items: list[tuple[str, bytes]], size: int = WINDOW) -> DataFrame:
-    """For each indexed document: doc_id, n_words, spans (first and last hit word, merged, in a flat array), items (ids with a window
-    in it). items: (id, text) pairs of one block of the benchmark."""
+def matches(index: DataFrame, items: list[tuple[str | None, bytes]], size: int = WINDOW) -> DataFrame:
+    """For each indexed document: doc_id, n_words, spans (first and last hit word, merged, in a flat array), items (distinct ids with
+    a window in it, null last). items: (id, text) pairs of one block of the benchmark."""
     w = Windows(items, size)
     w.order(corpus_frequencies(index, w.terms) if len(w.terms) else np.zeros(0, np.int64))
     shared = index.sparkSession.sparkContext.broadcast(w)
@@ -198,7 +198,7 @@ def matches(index: DataFrame, items: list[tuple[str, bytes]], size: int = WINDOW
                     else:
                         spans[d] += [first, last]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(s.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(w.item_ids[i] for i in x) for x in found], pa.list_(pa.string()))],
+                    [pa.array(s.doc_ids, pa.int64()), pa.array(s.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted({w.item_ids[i] for i in x}, key=lambda i: (i is None, i)) for x in found], pa.list_(pa.string()))],
                     ["doc_id", "n_words", "spans", "items"],
                 )
 
@@ -250,7 +250,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ext
     for r in rows.toLocalIterator():
         if held > BLOCK_WORDS:
             blocks, held = [*blocks, []], 0
-        blocks[-1].append((r[0] if r[0] is not None else "", bytes(r[1])))
+        blocks[-1].append((r[0], bytes(r[1])))
         held += len(r[1]) // 5
     if len(blocks) == 1:
         found = matches(index, blocks[0], size)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lumenscan.llm import chat, decontam, jaccard_join, packing, suffix_dedup, token_files, warc
 from lumenscan.llm.common import file_system, new_folder
-from lumenscan.llm.registry import queries
+from lumenscan.llm.registry import oracle_sql, queries
 from lumenscan.llm.tokens import tokenizer
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -220,6 +220,23 @@ def test_benchmark_in_blocks(spark, folder, monkeypatch):
     assert sorted(map(tuple, queries()["op3_decontamination"](spark, folder).collect())) == whole
 
 
+@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 1])
+def test_items_that_share_an_id(spark, tmp_path, monkeypatch, block_words):
+    """Ids count once, in one block of the benchmark as in several, as the SQL has it."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block_words)
+    items = [(7, "one two three four five"), (7, "six seven eight nine ten"), (7, "one two three four five"), (10, "eleven twelve"), (None, "one two three four five"), (None, "eleven twelve")]
+    rows = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "eleven twelve"), (3, "one two three"), (4, "six seven eight nine ten")]
+    for name, data, schema in (("benchmark", items, TABLES["benchmark"]), ("documents", rows, "doc_id long, text string")):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = sorted(map(tuple, queries()["op3_decontamination"](spark, str(tmp_path)).collect()))
+    assert [r[3] for r in found] == [3, 2, 0, 1]
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert found == sorted(con.execute(oracle_sql()["op3_decontamination"]).fetchall())
+
+
 def test_proximity(spark):
     rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "c x x x x x a"), (3, "a a c"), (4, None)], "doc_id long, text string")
     found = {tuple(r) for r in decontam.proximity(decontam.build_index(rows), ["a", "c"], 3).collect()}
