@@ -1,7 +1,7 @@
 """The corpus pipeline over the documents table: five stages, each written as Parquet and read again as the next one's documents.
 
-Each stage decides on all that its predecessor kept. Rows with a null doc id are judged like others, except that the Jaccard stage
-keeps them. An empty table passes through every stage; columns beyond doc_id and text are carried along as they are.
+Each stage decides on all that its predecessor kept. Rows with a null doc id, and rows that share one, are judged like others. An empty
+table passes through every stage; columns beyond doc_id and text are carried along as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from lumenscan.llm.suffix_dedup import deduplicated
 
 #: A language is taken as found unless the answer is hardly better than a guess among four.
 LEAST_SCORE = 0.3
-#: At most so many ids are broadcast to leave documents out (16 bytes each); beyond, the join is shuffled.
+#: At most so many ids or keys are broadcast to leave documents out (16 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
 
@@ -36,11 +36,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that Jaccard links join, the one of smallest doc id stays."""
-    groups = joined_components(docs)
-    out = _without(docs, groups.filter("doc_id != component_id").select("doc_id"), "doc_id").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """Of each group of documents that Jaccard links join, one row of smallest doc id stays, one without an id only if none has one.
+    Ids may be null or repeated, so rows stand for their id and text together; those without words stay, each its own group."""
+    keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    found = joined_components(keyed.select(F.col("__row_key").alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__row_key")).agg(F.min("component_id").alias("grp"), F.count("*").alias("rows"))
+    ids = keyed.groupBy("__row_key").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    found = staged(found.join(ids, "__row_key"), "row-groups")
+    best = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row_key")).alias("best")).select(F.col("best.__row_key").alias("__row_key"))
+    out = _without(keyed, found.join(best, "__row_key", "left_anti").select("__row_key"), "__row_key")
+    repeated = staged(found.filter("rows > 1").select("__row_key"), "repeated-rows")
+    if not repeated.isEmpty():
+        out = out.join(repeated, "__row_key", "left_anti").unionByName(out.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
+    return out.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -414,6 +414,27 @@ def test_pipeline(spark, folder):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 20
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows go for what their texts are, whatever they share an id with or whether they have one; one row of each group stays."""
+    rng = np.random.default_rng(11)
+    a, b, c, d, e = (prose(rng, 80).split() for _ in range(5))
+    near = lambda words: " ".join([*words[:-1], "changed"])
+    text = " ".join
+    rows = [
+        (3, text(a)), (7, near(a)), (7, text(b)),  # id 7 is a near copy of 3, and a text of its own
+        (9, text(c)), (9, near(c)), (9, text(c)),  # near and exact copies of one id
+        (None, text(d)), (None, near(d)), (None, text(d)),  # copies without an id
+        (None, text(a)), (12, near(e)), (None, text(e)),  # copies of rows with an id
+        (5, ""), (5, None), (None, " "),  # without words: each for itself
+    ]
+    groups = {text(x): k for k, words in enumerate((a, b, c, d, e)) for x in (words, near(words).split())}
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string").repartition(3), "")
+    assert kept.columns == ["doc_id", "text", "source"]
+    kept = kept.collect()
+    assert sorted(((r["doc_id"] or -1), groups[r["text"]]) for r in kept if (r["text"] or "").strip()) == [(-1, 3), (3, 0), (7, 1), (9, 2), (12, 4)]
+    assert sum(not (r["text"] or "").strip() for r in kept) == 3
+
+
 def test_null_and_repeated_ids(spark, tmp_path):
     """Rows without an id, and rows that share one, go through every query and stage."""
     rows = [(None, "some words here", None, None, None), (None, None, None, None, None), (1, "some words here", "en", "s", 3), (1, "other words over there", "en", "s", 3), (1, "some words here", "en", "s", 3)]
