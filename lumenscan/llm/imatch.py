@@ -10,8 +10,9 @@ array, so no document is ever taken apart into rows again.
 A fingerprint starts with the hash of all the text's distinct terms; a lexicon that keeps none of them leaves its place empty. Likeness
 is the share of lexicons that agree among those that keep a term of either text; if there is none, the first hashes decide.
 
-Defined results: null text is an empty one; texts without terms are all alike; the next document is by
-(doc_id, text), null ids first; a table of one row is its own next document. Extra columns are ignored.
+Defined results: null text is an empty one; texts without terms are all alike; the next document is by (doc_id, hash of the text), a
+null id counting as the least number; a table of one row is its own next document; an empty table gives an empty result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .common import staged, table
 LOW_SHARE, HIGH_SHARE = 0.001, 0.2
 SUBSETS, LEVELS = 16, 8
 LEXICON_BUCKETS = 1 << 14
-#: Rows of one sort group of the next-document step.
-GROUP_ROWS = 2000
+#: Rows of one sort group of the next-document step, how many groups there are at most, and sampled keys a group.
+GROUP_ROWS, MAX_GROUPS, SAMPLED = 2000, 1 << 16, 16
+KEY = ("at", "hash", "place")
+LEAST_ID = -(1 << 63)
 #: Control characters, which no term holds.
 MARK, BREAK = "\x01", "\x02"
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -89,25 +92,56 @@ def likeness(a: Column, b: Column) -> Column:
     return let(pairs, lambda p: F.when(F.size(p) > 1, (same(p) - whole) / (F.size(p) - 1)).otherwise(whole.cast("double")))
 
 
-def with_next(rows: DataFrame, derived: dict[str, Column]) -> DataFrame:
-    """rows (doc_id, text) with the derived columns, and `next`, a struct of the text and those columns of the next row by (doc_id, text).
-
-    Rows are dealt to groups by ranges of doc_id, so the one shuffle is of group-sized sorts; the last row of a group takes the first row
-    of the next group that has any. Ids far from evenly spread make groups uneven (they spill), never wrong."""
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    groups = max(1, math.ceil(total / GROUP_ROWS))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // groups))
-    rows = rows.withColumn("grp", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
-    # a number a group, written, so that its known size decides how it is joined; then the few texts that it names
-    ids = staged(rows.groupBy("grp").agg(F.min("doc_id").alias("doc_id")), "imatch-ids").select("grp", F.col("doc_id").alias("head_id"))
-    firsts = rows.join(ids, "grp").filter(F.col("doc_id").eqNullSafe(F.col("head_id"))).select("grp", "text")
+def _upto(bounds: list[tuple[int, ...]], key: tuple[str, ...]) -> Column:
+    """How many of the sorted bounds are no greater than the row's key columns: a binary search in constant arrays."""
+    # of literals, so they are split once, when the plan is optimized
+    columns = [F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*bounds, strict=True)]
+
+    def no_greater(i: Column) -> Column:
+        out = F.lit(True)
+        for values, name in reversed(list(zip(columns, key, strict=True))):
+            value = F.element_at(values, i)
+            out = (value < F.col(name)) | ((value == F.col(name)) & out)
+        return out
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.when(at + step <= len(bounds), no_greater(at + step)).otherwise(False), at + step).otherwise(at))
+
+
+def grouped(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """rows (doc_id, text, place) with their sort key (at, hash, place) and `grp`, ascending with it, of about group_rows rows: ranges
+    between quantiles of a sample of the keys. A null id counts as the least number. Rows that share an id are told apart by their
+    text's hash, equal rows by their place."""
+    keyed = rows.withColumns({"at": F.coalesce("doc_id", F.lit(LEAST_ID)), "hash": F.xxhash64("text")})
+    total = rows.count()
+    groups = min(MAX_GROUPS, -(-total // group_rows))
+    if groups < 2:
+        return keyed.withColumn("grp", F.lit(0))
+    picked = F.pmod(F.xxhash64(*KEY), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLED * groups / total))
+    sample = keyed.filter(picked).agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias("x"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), lambda i: F.floor(i * F.size("x") / groups).cast("int"))
+    found = sample.select(F.when(F.size("x") > 0, F.transform(F.array_distinct(F.filter(places, lambda i: i > 0)), lambda i: F.element_at(F.col("x"), i))).alias("bounds")).first()[0]
+    return keyed.withColumn("grp", _upto([tuple(x) for x in found], KEY) if found else F.lit(0))
+
+
+def with_next(rows: DataFrame, derived: dict[str, Column], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """rows (doc_id, text, place) with the derived columns, and `next`, a struct of the text and those columns of the next row by
+    (doc_id, hash of the text, place), after the last row the first one's. `place` is any number that tells equal rows apart and is the
+    same whenever the rows are read.
+
+    Rows are dealt to groups of even size, so the one shuffle is of group-sized sorts, which spill if they must; the last row of a group
+    takes the first row of the next group that has any. What single tasks see of all groups is a row each, at most MAX_GROUPS."""
+    rows = grouped(rows, group_rows)
+    # a key a group, written, so that its known size decides how it is joined; then the few texts that it names
+    ids = staged(rows.groupBy("grp").agg(F.min(F.struct(*KEY)).alias("head")), "imatch-ids").select("grp", *[F.col(f"head.{k}").alias(f"head_{k}") for k in KEY])
+    firsts = rows.join(ids, "grp").filter(" and ".join(f"{k} = head_{k}" for k in KEY)).select("grp", "text")
     heads = staged(firsts.groupBy("grp").agg(F.min("text").alias("text")), "imatch-heads")
     own = F.struct("text", *derived)
     after = heads.select("grp", F.lead("grp").over(Window.orderBy("grp")).alias("later"), F.min("grp").over(Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
     after = after.select("grp", F.coalesce("later", "first").alias("later"))
     heads = after.join(heads.withColumns(derived).select(F.col("grp").alias("later"), own.alias("head")), "later").select("grp", "head")
-    ordered = Window.partitionBy("grp").orderBy("doc_id", "text")
-    return rows.withColumns(derived).withColumn("lead", F.lead(own).over(ordered)).join(heads, "grp").withColumn("next", F.coalesce("lead", "head")).drop("lead", "head", "grp")
+    ordered = Window.partitionBy("grp").orderBy(*KEY)
+    return rows.withColumns(derived).withColumn("lead", F.lead(own).over(ordered)).join(heads, "grp").withColumn("next", F.coalesce("lead", "head")).drop("lead", "head", "grp", "at", "hash", "place")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -116,12 +150,19 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - half), F.left(following, half))
 
 
-def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = lexicon(docs)
-    rows = with_next(docs, {"fingerprint": fingerprint(terms_of(F.col("text")), words)}).withColumn("edited", edited(F.col("text"), F.col("next.text")))
+def fingerprinted(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """docs (doc_id, text, place): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    words = lexicon(docs, low, high)
+    rows = with_next(docs, {"fingerprint": fingerprint(terms_of(F.col("text")), words)}, group_rows).withColumn("edited", edited(F.col("text"), F.col("next.text")))
     rows = rows.withColumn("edited_fingerprint", fingerprint(terms_of(F.col("edited")), words))
     return rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
     )
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts; see the module's defined results."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")  # the same at each reading, however files are split
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), place.alias("place"))
+    return fingerprinted(docs)
