@@ -1,15 +1,23 @@
 """Scoring, language identification, fingerprints, tokenizers."""
 
+import hashlib
 import math
+import re
+import struct
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lumenscan.llm import imatch, langid, lm
+from lumenscan.llm import imatch, langid, lm, tokens
 from lumenscan.llm.common import crc_of_id
 from lumenscan.llm.tokens import BYTE_LEVEL_PATTERN, FastTokenizer, byte_of_char
 
@@ -106,24 +114,77 @@ def test_kernel_is_an_inner_product():
     assert (a == b).all() and a.sum() == len({" ", "a", "b", " a", "ab", "ba", "b ", " ab", "aba", "bab", "ab ", " aba", "abab", "bab "})
 
 
-def test_fingerprints(spark):
+def xxhash64(text, *numbers):
+    """As Spark's function of that name has it for a string and integers."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    for n in numbers:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", n), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_fingerprints(rows, low, high):
+    """The whole of op7 over (doc_id, text) rows."""
+    n_rows, least = len(rows), -(2**63)
+    terms = lambda t: sorted({w for w in re.split(imatch.NOT_A_WORD, t.lower()) if w})
+    holding = Counter(w for _, t in rows for w in terms(t or ""))
+    lexicon = {w for w, n in holding.items() if low * n_rows <= n <= high * n_rows}
+    order = sorted(((i if i is not None else least, xxhash64(t or ""), i, t or "") for i, t in rows), key=lambda r: r[:2])
+
+    def fingerprint(text):
+        words = terms(text)
+        out, kept = [f"{xxhash64(' '.join(words), -1) & (2**64 - 1):016x}"], [w for w in words if w in lexicon]
+        for s in range(imatch.SUBSETS):
+            own = [w for w in kept if ((xxhash64(w) & (2**64 - 1)) >> 3 * s) % (4 << s % imatch.LEVELS) == 0]
+            out.append(f"{xxhash64(' '.join(own), s) & (2**64 - 1):016x}" if own else "")
+        return "-".join(out)
+
+    def likeness(a, b):
+        a, b = a.split("-"), b.split("-")
+        some = [x == y for x, y in zip(a[1:], b[1:], strict=True) if x or y]
+        return sum(some) / len(some) if some else float(a[0] == b[0])
+
+    out = []
+    for k, (_, _, i, text) in enumerate(order):
+        following, n = order[(k + 1) % n_rows][3], len(text)
+        edited = text[: n - n // 2] + following[: n // 2]
+        own, other = fingerprint(text), fingerprint(edited)
+        out.append((i, n, hashlib.sha256(edited.encode()).hexdigest(), own, other, round(likeness(own, other), 9), round(likeness(own, fingerprint(following)), 9)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("group_rows", [imatch.GROUP_ROWS, 7])
+def test_fingerprints_against_brute_force(spark, group_rows):
+    """Extreme and stray ids, null ones, repeated ids with different texts, equal rows, null and empty texts, characters outside ASCII."""
     common = [f"w{i} w{i + 1} w{i + 2} filler{i % 5} end" for i in range(40)]
-    texts = [common[0] * 3, common[0] * 3, None, "", "odd", "naïve 日本 text", *common]
-    rows = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)] + [(None, "null id")], "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
-    lexicon = imatch.lexicon(rows, 0.0, 0.5)
-    found = imatch.with_next(rows, {"fp": imatch.fingerprint(imatch.terms_of(F.col("text")), lexicon)}).withColumn("edited", imatch.edited(F.col("text"), F.col("next.text"))).collect()
-    order = sorted(found, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
-    for i, r in enumerate(order):
-        following = order[(i + 1) % len(order)]
-        assert r["next"]["text"] == following["text"] and r["next"]["fp"] == following["fp"]
-        n = len(r["text"])
-        assert r["edited"] == r["text"][: n - n // 2] + following["text"][: n // 2]
-    by = {r["doc_id"]: r["fp"] for r in found}
-    assert by[0] == by[3] and by[6] == by[9] and by[0] != by[12]
-    assert len(by[0].split("-")) == imatch.SUBSETS + 1
-    likeness = spark.createDataFrame([(by[0], by[3]), (by[0], by[12])], "a string, b string").select(imatch.likeness(F.col("a"), F.col("b")).alias("x"))
-    assert [r["x"] for r in likeness.collect()] == [1.0, 0.0]
-    near = spark.createDataFrame([("w-a-b---c", "v-a-x-----d".replace("-----", "---")), ("w----", "w----"), ("w----", "v----")], "a string, b string").select(imatch.likeness(F.col("a"), F.col("b")).alias("x"))
+    rows = [(i * 3, t) for i, t in enumerate([common[0] * 3, common[0] * 3, None, "", "odd", "naïve 日本 text 😀😀 x", *common])]
+    rows += [(None, "null id"), (None, "another null id"), (2**63 - 1, "most"), (-(2**63), "least"), (10**15, "stray"), *[(9, f"same id {i}") for i in range(20)], *[(12, "equal rows")] * 30]
+    data = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, place long").withColumn("text", F.coalesce("text", F.lit(""))).repartition(3)
+    found = imatch.fingerprinted(data, 0.01, 0.5, group_rows).collect()
+    found = sorted((tuple(r)[:5] + (round(r["near_edited"], 9), round(r["near_next"], 9)) for r in found), key=str)
+    assert found == brute_fingerprints(rows, 0.01, 0.5)
+    by = {}
+    for r in found:
+        by.setdefault(r[1:4:2], set()).add(r[3])
+    assert any(0 < r[6] < 1 for r in found) and len({r[3] for r in found if r[0] in (0, 3)}) == 1
+
+
+def test_even_groups_whatever_the_ids(spark):
+    """One stray id, and an id that a third of the rows share, do not make groups uneven."""
+    rows = spark.range(6000).selectExpr("case when id = 0 then 1000000000000000 when id % 3 = 0 then 77 when id % 50 = 1 then null else id end as doc_id", "if(id % 3 = 0 and id % 2 = 0, 'equal', concat('text ', id)) as text", "id as place")
+    sizes = [r["count"] for r in imatch.grouped(rows, 100).groupBy("grp").count().collect()]
+    assert len(sizes) > 45 and max(sizes) < 300 and sum(sizes) == 6000
+
+
+def test_query_of_fingerprints(spark, tmp_path):
+    """The query with its production band: rare terms are in it here, since the table is small."""
+    rows = [(i, f"shared words {'x' if i % 2 else 'y'} t{i % 9} u{i}" * (1 + i % 3)) for i in range(60)] + [(3, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted((tuple(r)[:5] + (round(r["near_edited"], 9), round(r["near_next"], 9)) for r in imatch.op7_fingerprints(spark, str(tmp_path)).collect()), key=str)
+    assert found == brute_fingerprints(rows, imatch.LOW_SHARE, imatch.HIGH_SHARE)
+
+
+def test_likeness(spark):
+    near = spark.createDataFrame([("w-a-b---c", "v-a-x---d"), ("w----", "w----"), ("w----", "v----")], "a string, b string").select(imatch.likeness(F.col("a"), F.col("b")).alias("x"))
     assert [round(r["x"], 4) for r in near.collect()] == [0.3333, 1.0, 0.0]  # of three lexicons that keep anything one agrees
 
 
@@ -146,13 +207,42 @@ FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 ODD = ["a  b   c\n\n d\t\te \n x", "  lead", "tail  ", "\x1c a\x1fb", "é é ΑΣ İ", "<|endoftext|> x <|startoftext|>", "", "\n", "don't we'll I'M DON'T's", "日本語 123 ４５", "a​b ﻿c", "x\r\n y\x85z", "a\xa0b \xad c½ ²x ª", "\x00 a", "____ !!! '' '", "ﬁ x", "é"]
 
 
+@lru_cache
+def library(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 @pytest.mark.parametrize("name", FILES)
-def test_tokenizer_equals_the_library(name):
-    fast = FastTokenizer(public_tokenizers.path(name))
-    assert fast.one is not None
-    texts = ODD + ["The quick brown fox, it's 1999 and we'll see — “yes”… naïve façade Straße\n\n  end " * 3, "zxqv" * 50]
-    for text, ids in zip(texts, fast.encode(texts), strict=True):
-        assert ids.tolist() == fast.library.encode(text, add_special_tokens=False).ids, text
+def test_tokenizer_equals_the_library(name, monkeypatch):
+    """With the library's own object as the file describes it, special strings included."""
+    fast, own = FastTokenizer(public_tokenizers.path(name)), library(name)
+    assert fast.many is not None
+    texts = ODD + ["The quick brown fox, it's 1999 and we'll see — “yes”… naïve façade Straße\n\n  end " * 3, "zxqv" * 50, "a <|endoftext|> b", "<|startoftext|>x"]
+    for most in (1_000_000, 7):
+        monkeypatch.setattr(tokens, "LONG_TEXT", most)
+        for text, ids in zip(texts, fast.encode(texts), strict=True):
+            assert ids.tolist() == own.encode(text, add_special_tokens=False).ids, text
+    assert (50256 if "byte" in name else 49407) in fast.encode(["a <|endoftext|> b"])[0]
+    assert fast.encode([]) == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab sStTrReEvVmMlLdD'’.,!?\n\t\xa0éßÀ19½–…", max_size=30), min_size=1, max_size=5))
+def test_tokenizer_on_marks_and_contractions(texts):
+    for name in FILES:
+        fast, own = tokens.tokenizer(public_tokenizers.path(name)), library(name)
+        assert [x.tolist() for x in fast.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizer_of_another_kind(tmp_path):
+    """A file whose normalizer or pattern the fast way does not know goes to the library."""
+    import json
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    fast = FastTokenizer(str(tmp_path / "t.json"))
+    assert fast.many is None and fast.encode(["Some Text"])[0].tolist() == fast.library.encode("Some Text", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -165,7 +255,7 @@ def test_every_token_is_made_from_its_own_bytes(name):
     vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
     ids = [vocabulary["".join(m) if not isinstance(m, str) else m.replace(" ", "")] for m in merges]
     assert ids == sorted(ids)
-    model = FastTokenizer(public_tokenizers.path(name)).library.model
+    model = library(name).model
     whole = [t for t in vocabulary if t not in special and (t.endswith(suffix) if suffix else True)]
     assert all(len(model.tokenize(t[: len(t) - len(suffix)])) == 1 for t in whole)
 
