@@ -1,10 +1,12 @@
 """Exact Jaccard join of documents on word n-gram sets, by prefix filters under several global token orders.
 
 If two sets are similar enough, then under any global order of tokens each has, among its first n - ceil(t n) + 1 tokens, one that the
-other has among its first ones. Three orders are used. All put rare tokens first, by a sketch of token counts of fixed size (any
-function of the token is a valid order, so the sketch's errors cost time, not results), and break ties by different hashes. The first
-order's prefixes go into an inverted index that makes the candidates; a candidate pair must also share prefix tokens under the other
-orders before its sets are compared.
+other has among its first ones. Three orders are used. The first puts rare tokens first, by a sketch of token counts of fixed size (any
+function of the token is a valid order, so the sketch's errors cost time, not results); its prefixes go into an inverted index that
+makes the candidates. The other two are by hashes that have nothing to do with it, so that a pair that shares a rare token by chance,
+or a passage, seldom passes them too: a class carries its prefixes under them as 32-bit signatures (shortening a token can only let
+more pass), and a pair whose signatures do not meet under both is dropped before any text is fetched. Long lists are divided by the
+second order's prefix tokens, so that only classes that share a token under both orders become pairs.
 
 Documents with equal sets form one class from the start. A posting list does not emit its pairs: first each class is compared with two
 of the least classes of its lists only. That joins most near copies into components. Then classes are compared with the other least
@@ -38,6 +40,8 @@ FLUSH_TOKENS = 500_000
 LONG_LIST = 1_000_000
 #: So many of a class's least tokens travel with it in the last round.
 HEAD_TOKENS = 24
+#: In the last round, lists of more classes are divided by the second order's prefix tokens.
+WHOLE_LIST = 32
 _U64 = np.uint64
 _BITS = [f"b{i}" for i in range(8)]
 
@@ -67,23 +71,34 @@ def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
     return n + (-threshold * n) // 100 + 1
 
 
-def ranks(tokens: np.ndarray, sketch: np.ndarray, order: int) -> np.ndarray:
-    """Place of each token in a global order: by the logarithm of its sketched count, then by the order's own hash."""
+def prefix(tokens: np.ndarray, sketch: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """The first tokens by the logarithm of their sketched count, then by hash."""
+    size = prefix_size(len(tokens), threshold)
+    if size >= len(tokens):
+        return tokens
     level = sketch[(tokens >> _U64(64 - SKETCH_LOG)).astype(np.int64)].astype(np.uint64)
-    return (level << _U64(57)) | (mixed(tokens + _U64(order * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> _U64(7))
+    return tokens[np.argpartition((level << _U64(57)) | (mixed(tokens) >> _U64(7)), size - 1)[:size]]
 
 
-def prefix(tokens: np.ndarray, sketch: np.ndarray, order: int, threshold: int = THRESHOLD) -> np.ndarray:
-    size = prefix_size(len(tokens), threshold)
-    return tokens[np.argpartition(ranks(tokens, sketch, order), size - 1)[:size]] if size < len(tokens) else tokens
+def signature(tokens: np.ndarray, order: int, threshold: int = THRESHOLD) -> np.ndarray:
+    """32 bits of each of the first tokens under order 1 (their own hashes, as they are sorted) or 2 (the hashes times an odd number)."""
+    size = prefix_size(len(tokens), threshold) if len(tokens) else 0
+    if order == 1:
+        return tokens[:size].astype(np.uint32).view(np.int32)
+    turned = tokens * _U64(0xD6E8FEB86659FD93)
+    return (np.partition(turned, size - 1)[:size] if 0 < size < len(tokens) else turned).astype(np.uint32).view(np.int32)
+
 
+DOC_DDL = "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", s1 array<int>, s2 array<int>, chunk int, counts binary"
+_DOC = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((b, pa.int64()) for b in _BITS), ("s1", pa.list_(pa.int32())), ("s2", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
-DOC_DDL = "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", chunk int, counts binary"
-_DOC = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((b, pa.int64()) for b in _BITS), ("chunk", pa.int32()), ("counts", pa.binary())])
 
+def _lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32), np.concatenate(arrays))
 
-def described(docs: DataFrame, n_words: int) -> DataFrame:
-    """A row for each document with its class, set size and bitmap; and the tasks' token counts by sketch cell."""
+
+def described(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
+    """A row for each document with its class, set size, bitmap and signatures; and the tasks' token counts by sketch cell."""
 
     def describe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, total = WordHash(), None
@@ -94,7 +109,8 @@ def described(docs: DataFrame, n_words: int) -> DataFrame:
                 bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), 8)
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)),
+                     *(_lists_of([signature(s, k, threshold) for s in sets]) for k in (1, 2)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                     schema=_DOC,
                 )
                 total = np.zeros(1 << SKETCH_LOG, "<u2") if total is None else total
@@ -152,7 +168,7 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
                 if len(tokens) and (c := class_of(tokens)) not in seen:
                     if len(seen) < 500_000:
                         seen.add(c)
-                    held.append((prefix(tokens, levels, 0, threshold), c, len(tokens)))
+                    held.append((prefix(tokens, levels, threshold), c, len(tokens)))
                     size += len(held[-1][0])
                 if size >= FLUSH_TOKENS:
                     yield from flush()
@@ -192,9 +208,16 @@ def _screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
     return pairs.join(left, "a").join(right, "b").filter(_may_link("a_", "b_", threshold)).select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, n_words: int, threshold: int) -> DataFrame:
-    """pairs (a, b) whose sets share prefix tokens under every order and are similar enough. The text of a class is that of its
-    smallest doc id; only texts of pairs move, once a side, and those of the second side once a pair."""
+def _in_orders(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b) that share prefix tokens under the other orders as well, as far as signatures tell."""
+    left, right = (classes.select(F.col("cls").alias(x), F.col("s1").alias(f"{x}_1"), F.col("s2").alias(f"{x}_2")) for x in ("a", "b"))
+    both = F.arrays_overlap("a_1", "b_1") & F.arrays_overlap("a_2", "b_2")
+    return pairs.join(left, "a").join(right, "b").filter(both).select("a", "b")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
+    """pairs (a, b) whose sets are similar enough. The text of a class is that of its smallest doc id; only texts of pairs move, once a
+    side, and those of the second side once a pair."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "doc_id"), "cls")
 
     def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,19 +231,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sketch, n_wo
     texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, levels, last = WordHash(), sketch.value, (None, None)
+        cache, last = WordHash(), (None, None)
         for batch in source:
             keep = []
             for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if last[0] != a:
-                    tokens = token_set(text_a, cache, n_words)
-                    last = (a, (tokens, [prefix(tokens, levels, k, threshold) for k in range(ORDERS)]))
-                (x, own), y = last[1], token_set(text_b, cache, n_words)
-                common = all(np.intersect1d(own[k], prefix(y, levels, k, threshold), assume_unique=True).size for k in range(ORDERS))
-                if common:
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    common = 100 * both >= threshold * (len(x) + len(y) - both)
-                keep.append(common)
+                    last = (a, token_set(text_a, cache, n_words))
+                x, y = last[1], token_set(text_b, cache, n_words)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
@@ -252,12 +271,12 @@ def merged_components(comps: DataFrame, links: DataFrame) -> DataFrame:
     return staged(comps.join(found, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")), "join-components")
 
 
-def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = THRESHOLD, long_list: int = LONG_LIST) -> DataFrame:
+def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = THRESHOLD, long_list: int = LONG_LIST, whole_list: int = WHOLE_LIST) -> DataFrame:
     """doc_id, n_shingles, cls (documents with equal sets share it), component_id for each row of docs."""
-    found = staged(described(docs, n_words), "join-documents")
+    found = staged(described(docs, n_words, threshold), "join-documents")
     own = found.filter("chunk is null")
     sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(found))
-    classes = staged(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_BITS)]), "join-classes")
+    classes = staged(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_BITS, "s1", "s2")]), "join-classes")
     lists = staged(postings(docs, sketch, n_words, threshold, long_list), "join-lists")
 
     # each class with two of the least ones of its lists: the one it shares most lists with, and the least; parts of split lists through
@@ -267,35 +286,41 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     stars = stars.select(F.explode("leaders").alias("a"), F.col("cls").alias("b"))
     tops = lists.filter("split").groupBy("token").agg(F.min("leader").alias("a"))
     tops = lists.filter("split").select("token", F.col("leader").alias("b")).distinct().join(tops, "token").filter("a != b").select("a", "b")
-    tried = staged(_screened(stars.unionByName(tops).distinct(), classes, threshold), "join-pairs")
+    tried = staged(_in_orders(_screened(stars.unionByName(tops).distinct(), classes, threshold), classes), "join-pairs")
     comps = staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "join-components")
-    comps = merged_components(comps, staged(verified(tried, classes, docs, sketch, n_words, threshold), "join-links"))
+    comps = merged_components(comps, staged(verified(tried, classes, docs, n_words, threshold), "join-links"))
 
     # classes that are still apart from others of the least ones of their lists
     led = lists.join(comps, "cls").join(comps.select(F.col("cls").alias("leader"), F.col("comp").alias("leader_comp")), "leader").filter("comp != leader_comp")
     led = led.select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(_screened(led, classes, threshold), "join-pairs")
+    more = staged(_in_orders(_screened(led, classes, threshold), classes), "join-pairs")
     if not more.isEmpty():
         tried = tried.unionByName(more)
-        comps = merged_components(comps, staged(verified(more, classes, docs, sketch, n_words, threshold), "join-links"))
+        comps = merged_components(comps, staged(verified(more, classes, docs, n_words, threshold), "join-links"))
 
-    # all pairs of a list that are still apart; the one pair of a list of two has been tried
+    # pairs of a list that are still apart; the one pair of a list of two has been tried
     placed = lists.select("token", "cls").join(comps, "cls")
-    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("token")
+    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("token", "k")
     rows = placed.join(apart, "token")
     # with the least of each class's tokens, a pair that shares many need not come up at each: it does at the least one they share
     heads = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEAD_TOKENS).alias("head"))
     rows = staged(rows.join(heads, "cls").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
-    one = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
-    two = rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
+    # a long list is a list for each of the second order's prefix tokens in it
+    second = rows.filter(F.col("k") > whole_list).join(classes.select("cls", F.explode("s1").alias("second")), "cls")
+    several = second.groupBy("token", "second").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token", "second")
+    second = second.join(several, ["token", "second"]).drop("k")
+    whole = rows.filter(F.col("k") <= whole_list).drop("k").withColumn("second", F.lit(0))  # a token is here or there, never both
+    rows = whole.unionByName(second)
+    one = rows.select("token", "second", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
+    two = rows.select("token", "second", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
     shared_before = F.coalesce(F.array_min(F.array_intersect("a_head", "b_head")) < F.col("token"), F.lit(False))
     wanted = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _may_link("a_", "b_", threshold)
-    more = one.join(two, "token").filter(F.when(wanted, ~shared_before).otherwise(False))
-    more = more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    more = one.join(two, ["token", "second"]).filter(F.when(wanted, ~shared_before).otherwise(False))
+    more = _in_orders(more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct(), classes)
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "join-pairs")
     if not more.isEmpty():
-        comps = merged_components(comps, staged(verified(more, classes, docs, sketch, n_words, threshold), "join-links"))
+        comps = merged_components(comps, staged(verified(more, classes, docs, n_words, threshold), "join-links"))
 
     named = classes.select("cls", F.col("doc_id").alias("least")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -305,4 +330,5 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under Jaccard links; see the module's defined results."""
     return joined_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

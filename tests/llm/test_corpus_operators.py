@@ -161,9 +161,9 @@ def test_jaccard_join(spark, folder, texts):
     assert found == {i * 2: (n, c * 2) for i, (n, c) in enumerate(brute_components(texts))}
 
 
-@pytest.mark.parametrize("long_list", [jaccard_join.LONG_LIST, 4])
-def test_jaccard_chain_and_split_lists(spark, long_list):
-    """Neighbours in a chain of edits are alike, its ends are not; all is one component, also with posting lists in parts."""
+@pytest.mark.parametrize(("long_list", "whole_list"), [(jaccard_join.LONG_LIST, jaccard_join.WHOLE_LIST), (4, 2), (jaccard_join.LONG_LIST, 2)])
+def test_jaccard_chain_and_split_lists(spark, long_list, whole_list):
+    """Neighbours in a chain of edits are alike, its ends are not; all is one component, also with posting lists in parts or divided."""
     rng = np.random.default_rng(8)
     words = prose(rng, 120).split()
     chain = [" ".join(words)]
@@ -172,7 +172,7 @@ def test_jaccard_chain_and_split_lists(spark, long_list):
         chain.append(" ".join(words))
     texts = [*chain, *(prose(rng, 100) for _ in range(20))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined_components(rows, long_list=long_list).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.joined_components(rows, long_list=long_list, whole_list=whole_list).collect()}
     assert found == {i: c for i, (_, c) in enumerate(brute_components(texts))}
     assert {found[i] for i in range(25)} == {0}
 
@@ -186,8 +186,24 @@ def test_bounds_hold(a, b):
     differ = sum(bin((int(p) ^ int(q)) & (2**64 - 1)).count("1") for p, q in zip(jaccard_join.parity(x), jaccard_join.parity(y), strict=True))
     assert differ <= len(a ^ b)
     if 100 * len(a & b) >= 85 * len(a | b):
-        for k in range(jaccard_join.ORDERS):
-            assert set(jaccard_join.prefix(x, sketch, k).tolist()) & set(jaccard_join.prefix(y, sketch, k).tolist())
+        assert set(jaccard_join.prefix(x, sketch).tolist()) & set(jaccard_join.prefix(y, sketch).tolist())
+        for k in (1, 2):
+            assert set(jaccard_join.signature(x, k).tolist()) & set(jaccard_join.signature(y, k).tolist())
+
+
+def test_orders_drop_pairs_by_chance(spark):
+    """Sets that share one rare token meet under the first order only: their pair is dropped by the signatures."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(60)]
+    sketch = np.ones(1 << jaccard_join.SKETCH_LOG, np.uint8)
+    rare = np.uint64(2**62 + 12345)
+    sketch[int(rare >> np.uint64(64 - jaccard_join.SKETCH_LOG))] = 0
+    sets = [np.unique(np.append(s, rare)) for s in sets]
+    assert all(rare in jaccard_join.prefix(s, sketch) for s in sets)
+    classes = spark.createDataFrame([(i, *(jaccard_join.signature(s, k).tolist() for k in (1, 2))) for i, s in enumerate(sets)], "cls long, s1 array<int>, s2 array<int>")
+    pairs = spark.createDataFrame([(i, j) for j in range(60) for i in range(j)], "a long, b long")
+    assert jaccard_join._in_orders(pairs, classes).count() < 20
+    assert jaccard_join._in_orders(spark.createDataFrame([(5, 5)], "a long, b long"), classes).count() == 1
 
 
 # --- decontamination ---
@@ -267,6 +283,11 @@ def test_packing(spark, folder, texts):
             at += length
         assert at <= 2048
     assert len(sequences) <= -(-total // 2048) + 1
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE)
+    for i, t in enumerate(texts):
+        assert sum(r["length"] for r in pieces[i * 2]) == len(library.encode(t or "", add_special_tokens=False).ids) + 1
 
 
 @settings(max_examples=60, deadline=None)
@@ -278,6 +299,45 @@ def test_best_fit(lengths):
     assert len(bins) <= sum(lengths) * 2 // 50 + 1  # no two bins fit together
 
 
+def test_rounds_hold_a_bounded_number_of_bins():
+    """100,000 documents of 1,100 to 2,000 tokens, of which no two fit together, and a few short ones: groups hand on a fixed number of
+    bins, and the short ones still find their places as in one packing of all."""
+    rng = np.random.default_rng(4)
+    lengths = [*rng.integers(1100, 2001, 100_000).tolist(), *rng.integers(20, 60, 3000).tolist()]
+    rng.shuffle(lengths)
+    groups, sequences = [lengths[k : k + 1000] for k in range(0, len(lengths), 1000)], 0
+    groups = [[([{"offset": 0}], n) for n in g] for g in groups]
+    while True:
+        last = len(groups) <= packing.FAN_IN
+        merged = [sum(groups[k : k + packing.FAN_IN], []) for k in range(0, len(groups), packing.FAN_IN)] if sequences else groups
+        left = []
+        for g in merged:
+            assert not sequences or len(g) <= packing.FAN_IN * packing.OPEN_BINS
+            bins = packing._bins_of([m for m, _ in g], [n for _, n in g], 2048, last and bool(sequences), 0)
+            sequences += sum(b["done"] for b in bins)
+            left.append([(b["members"], b["fill"]) for b in bins if not b["done"]])
+        groups = left
+        if not any(groups):
+            break
+    assert sequences <= 1.01 * len(packing.best_fit(lengths, 2048))
+
+
+@pytest.mark.parametrize("open_bins", [1, 512])
+def test_packing_in_chunks(spark, docs, texts, open_bins):
+    """Bins that one chunk of a task leaves open take pieces of the next; the sequence count stays near that of one packing of all."""
+    bins = packing.local_bins(docs.coalesce(2), BYTE, 0, 512, 5, open_bins).collect()
+    assert all(sum(not b["done"] for b in bins if b["grp"] == g) <= open_bins for g in (0, 1))
+    for b in bins:
+        at = 0
+        for m in b["members"]:
+            assert m["offset"] == at
+            at += m["length"]
+        assert at == b["fill"] <= 512
+    lengths = [n for t in texts for _, n in packing.cut(len(tokenizer(BYTE).encode([t or ""])[0]) + 1, 512)]
+    assert sorted(m["length"] for b in bins for m in b["members"]) == sorted(lengths)
+    assert len(bins) <= len(packing.best_fit(lengths, 512)) + (4 if open_bins > 1 else 20)
+
+
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(1, 2048) == [(0, 1)]
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
@@ -302,14 +362,18 @@ def test_token_files(spark, folder, texts):
         at += len(ids)
 
 
-def test_token_files_random_access(spark, docs):
+def test_token_files_random_access(spark, docs, texts):
     dictionary = token_files.train(docs, WORD, 2, False)
     files = token_files.write_files(token_files.encoded(docs, WORD, 2, dictionary, False), new_folder(spark, "t"), dictionary, False, file_rows=7)
     assert files.count() > 3
     fs, path = file_system(files.orderBy("part").first()["file"])
     with fs.open_input_file(path) as stream:
         f = token_files.TokenFile(stream, dictionary)
-        assert len(f) and f.document(len(f) - 1).tolist() == f.document(len(f) - 1).tolist() and f.document(0)[-1] == 2
+        whole = [x for _, docs in f.stretches() for x in docs]
+        assert len(whole) == len(f) == 7
+        for i in (6, 0, 3, 5):  # seeking to a document gives what reading all does, and what the tokenizer gave
+            text = next(t for k, t in enumerate(texts) if k * 2 == f.doc_id(i))
+            assert f.document(i).tolist() == whole[i].tolist() == [*tokenizer(WORD).encode([text or ""])[0].tolist(), 2]
         stream.seek(0)
         with pytest.raises(ValueError, match="another dictionary"):
             token_files.TokenFile(stream, dictionary + b"x")
@@ -317,6 +381,16 @@ def test_token_files_random_access(spark, docs):
     assert ids.filter(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
+def test_token_files_of_one_id(spark):
+    """Rows that share an id, or have none, are dealt over files; nothing is lost and starts stay gapless."""
+    rows = spark.createDataFrame([(None if i % 3 else 5, f"text {i % 40} words") for i in range(120)], "doc_id long, text string")
+    files = token_files.write_files(token_files.encoded(rows, WORD, 2, b"", False), new_folder(spark, "t"), b"", False, file_rows=10)
+    assert files.count() >= 8 and files.agg(F.max("documents")).first()[0] <= 40
+    found = sorted(map(tuple, token_files.read_files(files, b"").select("start", "n_tokens", "doc_id").collect()))
+    assert len(found) == 120 and [r[2] for r in found] == [None] * 80 + [5] * 40
+    assert [r[0] for r in found] == np.concatenate([[0], np.cumsum([r[1] for r in found])[:-1]]).tolist()
+
+
 # --- WARC ---
 
 
