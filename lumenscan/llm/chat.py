@@ -117,6 +117,7 @@ def threads(conversations: DataFrame) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back; see the module's defined results."""
     control = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,34 +18,53 @@ from pyspark.sql import functions as F
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset, a local one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder of this machine serves a local
+    session; on a cluster, whose machines do not share folders, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "lumenscan-work")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used."""
-    return f"{work_root(spark)}/lumenscan/{name}-{uuid.uuid4().hex}"
+#: The paths made so far by the work that collects them, in this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-#: Paths that staged() has written in this process, oldest first.
-_written: list[str] = []
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has used."""
+    path = f"{work_root(spark)}/lumenscan/{name}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
 
 
-def staged_so_far() -> int:
-    return len(_written)
+def swept(spark: SparkSession, work: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What work() returns, as a staged table; all other folders made on the way to it are deleted."""
+    outer, token = _made.get(), _made.set([])
+    try:
+        out = staged(work(), name)
+        for path in _made.get():
+            if path != out._lumenscan_path:
+                delete(spark, path)
+    finally:
+        _made.reset(token)
+    if outer is not None:
+        outer.append(out._lumenscan_path)
+    return out
 
 
-def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete the tables staged since then, but for one: what was made on the way to it."""
-    kept = getattr(keep, "_lumenscan_path", None)
-    for path in _written[since:]:
-        if path != kept:
-            delete(spark, path)
-    _written[since:] = [kept] if kept else []
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
@@ -53,7 +74,6 @@ def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     if row_group:
         writer = writer.option("parquet.block.size", row_group)
     writer.parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenscan_path = path
     return out

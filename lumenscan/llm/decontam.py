@@ -280,4 +280,5 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of each document lie in windows of benchmark items; see the module's defined results."""
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

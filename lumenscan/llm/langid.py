@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, lean, table
+from .common import crc_of_id, lean, table, unused
 
 GRAMS = (1, 2, 3, 4)
 #: n-grams are hashed to so many places.
@@ -131,7 +131,8 @@ def identified(docs: DataFrame, model: Classifier | None, keep: list[str], names
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], [*schema.names, *names])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(F.col("text").cast("string").alias("scored_text"), *[F.col(c) for c in keep]).mapInArrow(lean(score), f"{out}, {names[0]} string, {names[1]} double")
+    names_sql = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double"), strict=True))
+    return docs.select(F.col("text").cast("string").alias(unused(docs, "scored_text")[0]), *[F.col(c) for c in keep]).mapInArrow(lean(score), f"{out}, {names_sql}")
 
 
 def in_fold(column: str = "doc_id") -> Column:
@@ -144,6 +145,7 @@ def trained(docs: DataFrame) -> Classifier | None:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document by a model of the three folds that are not held out; see the module's defined results."""
     docs = table(spark, sf_dir, "documents")
     model = trained(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold().alias("held_out"), "text")

@@ -426,6 +426,7 @@ def log_probabilities(counts: list[tuple[np.ndarray, np.ndarray]], norm: float,
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of each document, learnt from nine folds of ten; see the module's defined results."""
     docs = table(spark, sf_dir, "documents")
     held_out = (crc_of_id() % 10) == 0
     return Model(docs.filter(~held_out)).scored(docs, held_out)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op2_chat
+from .common import swept
 from .decontam import op3_decontamination
 from .imatch import op7_fingerprints
 from .jaccard_join import op10_jaccard_join
@@ -21,5 +23,17 @@ from .warc import op5_warc
 __all__ = ["oracle_sql", "queries"]
 
 
+_QUERIES = (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files, op10_jaccard_join)
+
+
+def _cleaned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return swept(spark, lambda: query(spark, sf_dir), query.__name__)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files, op10_jaccard_join)}
+    """Each query by name. A query leaves its result in the work folder, and none of what it made on the way."""
+    return {f.__name__: _cleaned(f) for f in _QUERIES}

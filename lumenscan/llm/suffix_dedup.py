@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, shuffle_parts, staged, table, utf8
+from .common import lean, mixed, shuffle_parts, staged, table, unused, utf8
 from .lm import LogFrequencyFilter, build_block
 
 LENGTH = 200
@@ -316,18 +316,22 @@ def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with their text as bytes in `text_bytes` and `spans`. AQE splits the join where many rows have one text."""
-    text = utf8("text")
-    spans = repeated_spans(docs)
-    return docs.withColumns({"__text_bytes": text, "__text_key": F.unhex(F.md5(text))}).join(spans.withColumnsRenamed({"key": "__text_key", "spans": "__spans"}), "__text_key", "left").drop("__text_key")
+def with_spans(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str, str]:
+    """The columns `keep` of docs with the text's bytes and its repeated spans, and the names of these two columns. AQE splits the join
+    where many rows have one text."""
+    text_bytes, key, spans = unused(docs, "text_bytes", "text_key", "repeated_spans")
+    found = repeated_spans(docs).select(F.col("key").alias(key), F.col("spans").alias(spans))
+    rows = docs.select(*[F.col(c) for c in keep], utf8("text").alias(text_bytes), F.unhex(F.md5(utf8("text"))).alias(key))
+    return rows.join(found, key, "left").drop(key), text_bytes, spans
 
 
 def deduplicated(docs: DataFrame, least_kept: int = 0) -> DataFrame:
-    """docs with the repeated bytes cut out of text (bytes that no longer form a character are dropped); all other columns as they are."""
+    """docs with the repeated bytes cut out of text (bytes that no longer form a character are dropped; a null text stays null); all other
+    columns as they are. Rows whose text has then fewer than least_kept characters go."""
     names = docs.columns
-    rows = with_spans(docs).select(*[c for c in names if c != "text"], F.col("text").isNull().alias("__no_text"), "__text_bytes", "__spans")
+    [no_text] = unused(docs, "no_text")
     rest = [f for f in docs.schema if f.name != "text"]
+    rows, text_bytes, spans = with_spans(docs.withColumn(no_text, F.col("text").isNull()), [*(f.name for f in rest), no_text])
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -336,10 +340,12 @@ def deduplicated(docs: DataFrame, least_kept: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [*[f.name for f in rest], "text"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string"])
+    rows = rows.select(*[f.name for f in rest], no_text, text_bytes, spans)
     return rows.mapInArrow(lean(cut), ddl).select(*names).filter(F.coalesce(F.length("text"), F.lit(0)) >= least_kept)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of each document's bytes as strings of 200 that repeat; see the module's defined results."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def judge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,4 +358,5 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return with_spans(docs).select("doc_id", "__text_bytes", "__spans").mapInArrow(lean(judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, text_bytes, spans = with_spans(docs, ["doc_id"])
+    return rows.select("doc_id", text_bytes, spans).mapInArrow(lean(judge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -182,6 +182,7 @@ def read_archives(files: DataFrame, payloads: bool = True, opener: Callable | No
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record a page, written and read back; see the module's defined results."""
     files = write_archives(planned(table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
     found = read_archives(files, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_ok", "payload_ok")
