@@ -11,15 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenscan.llm.common import staged, staged_so_far, sweep, table
+from lumenscan.llm.common import discard, staged, swept, table, unused
 from lumenscan.llm.decontam import judged
 from lumenscan.llm.jaccard_join import joined_components
 from lumenscan.llm.langid import UND, identified, trained
 from lumenscan.llm.packing import pack
 from lumenscan.llm.suffix_dedup import deduplicated
 
-#: A language is taken as found unless the answer is hardly better than a guess among four.
-LEAST_SCORE = 0.3
 #: At most so many ids or keys are broadcast to leave documents out (16 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -30,24 +28,25 @@ def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labels teach; those without a letter, or in no language it can tell, go."""
-    found = identified(docs, trained(docs), docs.columns, ("__lang", "__score"))
-    return found.filter((F.col("__lang") != UND) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents that language identification gives a language; those it calls `und`, without a text or a letter, go."""
+    lang, score = unused(docs, "found_lang", "found_score")
+    return identified(docs, trained(docs), docs.columns, (lang, score)).filter(F.col(lang) != UND).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that Jaccard links join, one row of smallest doc id stays, one without an id only if none has one.
     Ids may be null or repeated, so rows stand for their id and text together; those without words stay, each its own group."""
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    found = joined_components(keyed.select(F.col("__row_key").alias("doc_id"), "text")).filter("n_shingles > 0")
-    found = found.groupBy(F.col("doc_id").alias("__row_key")).agg(F.min("component_id").alias("grp"), F.count("*").alias("rows"))
-    ids = keyed.groupBy("__row_key").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
-    found = staged(found.join(ids, "__row_key"), "row-groups")
-    best = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row_key")).alias("best")).select(F.col("best.__row_key").alias("__row_key"))
-    out = _without(keyed, found.join(best, "__row_key", "left_anti").select("__row_key"), "__row_key")
-    repeated = staged(found.filter("rows > 1").select("__row_key"), "repeated-rows")
+    [key] = unused(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    found = joined_components(keyed.select(F.col(key).alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("grp"), F.count("*").alias("rows"))
+    ids = keyed.groupBy(key).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    found = staged(found.join(ids, key), "row-groups")
+    best = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", key)).alias("best")).select(F.col(f"best.{key}").alias(key))
+    out = _without(keyed, found.join(best, key, "left_anti").select(key), key)
+    repeated = staged(found.filter("rows > 1").select(key), "repeated-rows")
     if not repeated.isEmpty():
-        out = out.join(repeated, "__row_key", "left_anti").unionByName(out.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
+        out = out.join(repeated, key, "left_anti").unionByName(out.join(repeated, key, "left_semi").dropDuplicates([key]))
     return out.select(*docs.columns)
 
 
@@ -59,9 +58,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth or more go. The verdict is the text's, so texts stand for rows."""
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    verdicts = judged(keyed.select(F.col("__text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(keyed, verdicts.filter("contaminated").select(F.col("doc_id").alias("__text_key")), "__text_key").select(*docs.columns)
+    [key] = unused(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    verdicts = judged(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, verdicts.filter("contaminated").select(F.col("doc_id").alias(key)), key).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,9 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        before = staged_so_far()
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        sweep(spark, before, docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The rows of the last stage. A stage's tables go when its result is written, and that when the next one's is."""
+    docs = first = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        before, docs = docs, swept(spark, lambda s=stage, d=docs: s(spark, d, sf_dir), f"pipeline-{name}")
+        if before is not first:
+            discard(before)
+    return docs
