@@ -6,6 +6,10 @@ only: corpus frequencies come from the list lengths; each window is then looked
 the term's offset, are the candidate starts, and is intersected with the offset-adjusted lists of its other terms in order of rarity.
 Building and matching are narrow: no posting is ever shuffled, and a hot term is spread over all segments.
 
+The benchmark is a stated query set of any size: it is read a few megabytes at a time and matched in blocks of BLOCK_WINDOWS windows
+against the whole index, so neither the driver nor a task ever holds more of it than a block. Rows of the index have numbers of their own,
+by which what several blocks found of a document comes together.
+
 Terms are held by 64-bit hash. Defined results: null text has no words and is never hit; rows that share a doc id are judged each for
 itself; items without words never match; items that share an id count once, those without one together as one that the list of ids
 leaves out; an empty index or benchmark matches nothing. Extra columns are ignored.
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +29,10 @@ from .common import WordHash, lean, staged, table, utf8
 
 WINDOW = 13
 SEGMENT_BYTES = 1 << 19
-#: The benchmark is matched in blocks of so many words, so that what a task holds of it does not grow with the benchmark.
-BLOCK_WORDS = 2_000_000
-SEGMENT_DDL = "doc_ids binary, null_ids binary, n_words binary, terms binary, lengths binary, positions binary"
-_SEGMENT = pa.schema([(n, pa.binary()) for n in ("doc_ids", "null_ids", "n_words", "terms", "lengths", "positions")])
+#: Windows of a block of the benchmark, some 200 bytes each; and how much of the benchmark is fetched at a time.
+BLOCK_WINDOWS, FETCH_BYTES = 300_000, 8 << 20
+SEGMENT_DDL = "segment long, doc_ids binary, null_ids binary, n_words binary, terms binary, lengths binary, positions binary"
+_SEGMENT = pa.schema([("segment", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "null_ids", "n_words", "terms", "lengths", "positions"))])
 #: Bytes of words are kept (A-Z as a-z), all others become spaces.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -36,7 +41,7 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
-def _segment(doc_ids: list, words: list[np.ndarray]) -> dict[str, bytes]:
+def _segment(number: int, doc_ids: list, words: list[np.ndarray]) -> dict[str, bytes | int]:
     lengths = np.array([len(w) for w in words], "<u4")
     # one position is left free between documents, so that no window can cross
     starts = np.concatenate([[0], np.cumsum(lengths.astype(np.int64) + 1)])[:-1]
@@ -45,7 +50,7 @@ def _segment(doc_ids: list, words: list[np.ndarray]) -> dict[str, bytes]:
     by = np.argsort(all_words, kind="stable")
     terms, counts = np.unique(all_words[by], return_counts=True)
     return {
-        "doc_ids": np.array([d or 0 for d in doc_ids], "<i8").tobytes(), "null_ids": np.array([d is None for d in doc_ids], "u1").tobytes(), "n_words": lengths.tobytes(),
+        "segment": number, "doc_ids": np.array([d or 0 for d in doc_ids], "<i8").tobytes(), "null_ids": np.array([d is None for d in doc_ids], "u1").tobytes(), "n_words": lengths.tobytes(),
         "terms": terms.astype("<u8").tobytes(), "lengths": counts.astype("<u4").tobytes(), "positions": positions[by].astype("<u4").tobytes(),
     }
 
@@ -54,17 +59,17 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of docs (doc_id, text), written to the shared folder, one row a segment."""
 
     def build(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, ids, words, held = WordHash(), [], [], 0
+        cache, ids, words, held, number = WordHash(), [], [], 0, TaskContext.get().partitionId() << 32
         for batch in source:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 words.append(cache.of(words_of(text)))
                 held += len(text) + 16
                 if held >= SEGMENT_BYTES:
-                    yield pa.RecordBatch.from_pylist([_segment(ids, words)], schema=_SEGMENT)
-                    ids, words, held = [], [], 0
+                    yield pa.RecordBatch.from_pylist([_segment(number, ids, words)], schema=_SEGMENT)
+                    ids, words, held, number = [], [], 0, number + 1
         if ids:
-            yield pa.RecordBatch.from_pylist([_segment(ids, words)], schema=_SEGMENT)
+            yield pa.RecordBatch.from_pylist([_segment(number, ids, words)], schema=_SEGMENT)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     return staged(rows.mapInArrow(lean(build), SEGMENT_DDL), "postings", row_group=16 << 20)
@@ -73,7 +78,8 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Segment:
     """One row of the index, with the lists of the terms asked for."""
 
-    def __init__(self, row: dict[str, bytes]):
+    def __init__(self, row: dict[str, bytes | int]):
+        self.number = row["segment"]
         ids, null = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["null_ids"], "u1")
         self.doc_ids = [None if n else int(i) for i, n in zip(ids, null, strict=True)]
         self.n_words = np.frombuffer(row["n_words"], "<u4").astype(np.int64)
@@ -115,23 +121,33 @@ def corpus_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of a block of items: matrix of term numbers, each with the order in which its terms are intersected."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
-        cache, by_words = WordHash(), {}
-        for number, (_, text) in enumerate(items):
-            words = words_of(text)
-            for k in range(max(1, len(words) - size + 1) if words else 0):
-                by_words.setdefault(tuple(words[k : k + size]), set()).add(number)
+    """The distinct windows of a block of items (id, word hashes): matrix of term numbers, each with the order in which its terms are
+    intersected, and the items it is in."""
+
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], size: int):
+        some = [i for i, (_, words) in enumerate(items) if len(words)]
+        counts = [max(1, len(items[i][1]) - size + 1) for i in some]
+        table = np.zeros((sum(counts), size + 1), np.uint64)  # the last column: the window's length
+        at = 0
+        for i, n in zip(some, counts, strict=True):
+            words = items[i][1]
+            if len(words) >= size:
+                table[at : at + n, :size] = np.lib.stride_tricks.sliding_window_view(words, size)
+            else:
+                table[at, : len(words)] = words
+            table[at : at + n, size] = min(size, len(words))
+            at += n
+        _, first, window = np.unique(table.view(f"V{8 * (size + 1)}").ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(window.astype(np.int64) * max(1, len(items)) + np.repeat(np.array(some, np.int64), counts))
         self.item_ids = [i for i, _ in items]
-        keys = list(by_words)
-        self.items = [sorted(by_words[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        hashes = np.zeros((len(keys), size), np.uint64)
-        for i, k in enumerate(keys):
-            hashes[i, : len(k)] = cache.of(list(k))
-        self.terms, inverse = np.unique(hashes, return_inverse=True)
-        self.matrix = inverse.reshape(hashes.shape).astype(np.int32)
+        self.items = pairs % max(1, len(items))
+        self.items_from = np.searchsorted(pairs // max(1, len(items)), np.arange(len(first) + 1))
+        self.lengths = table[first, size].astype(np.int64)
+        self.terms, inverse = np.unique(table[first, :size], return_inverse=True)
+        self.matrix = inverse.reshape(len(first), size).astype(np.int32)
+
+    def items_of(self, window: int) -> list[int]:
+        return self.items[self.items_from[window] : self.items_from[window + 1]].tolist()
 
     def order(self, frequencies: np.ndarray) -> None:
         """From now on each window's terms are taken from the rarest in the corpus to the most frequent."""
@@ -172,9 +188,9 @@ def occurrences(segment: Segment, w: Windows) -> tuple[np.ndarray, np.ndarray]:
     return window, start
 
 
-def matches(index: DataFrame, items: list[tuple[str | None, bytes]], size: int = WINDOW) -> DataFrame:
-    """For each indexed document: doc_id, n_words, spans (first and last hit word, merged, in a flat array), items (distinct ids with
-    a window in it, null last). items: (id, text) pairs of one block of the benchmark."""
+def matches(index: DataFrame, items: list[tuple[str | None, np.ndarray]], size: int = WINDOW) -> DataFrame:
+    """For each indexed document: segment and place, doc_id, n_words, spans (first and last hit word, merged, in a flat array), items
+    (distinct ids with a window in it, null last). items: (id, word hashes) pairs of one block of the benchmark."""
     w = Windows(items, size)
     w.order(corpus_frequencies(index, w.terms) if len(w.terms) else np.zeros(0, np.int64))
     shared = index.sparkSession.sparkContext.broadcast(w)
@@ -192,17 +208,18 @@ def matches(index: DataFrame, items: list[tuple[str | None, bytes]], size: int =
                     d = int(doc[k])
                     first = int(start[k] - s.starts[d])
                     last = first + int(w.lengths[window[k]]) - 1
-                    found[d].update(w.items[window[k]])
+                    found[d].update(w.items_of(window[k]))
                     if spans[d] and first <= spans[d][-1] + 1:
                         spans[d][-1] = max(spans[d][-1], last)
                     else:
                         spans[d] += [first, last]
+                own = len(s.doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(s.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted({w.item_ids[i] for i in x}, key=lambda i: (i is None, i)) for x in found], pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"],
+                    [pa.array([s.number] * own, pa.int64()), pa.array(range(own), pa.int32()), pa.array(s.doc_ids, pa.int64()), pa.array(s.n_words), pa.array(spans, pa.list_(pa.int32())), pa.array([sorted({w.item_ids[i] for i in x}, key=lambda i: (i is None, i)) for x in found], pa.list_(pa.string()))],
+                    ["segment", "place", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(lean(match), "doc_id long, n_words long, spans array<int>, items array<string>")
+    return index.mapInArrow(lean(match), "segment long, place int, doc_id long, n_words long, spans array<int>, items array<string>")
 
 
 def proximity(index: DataFrame, words: list[str], within: int) -> DataFrame:
@@ -240,27 +257,43 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated for each row of docs.
-
-    The benchmark is a stated query set: it is read in blocks of BLOCK_WORDS words, each matched against the whole index."""
-    index = build_index(docs)
-    blocks, held = [[]], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text")).orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        if held > BLOCK_WORDS:
-            blocks, held = [*blocks, []], 0
-        blocks[-1].append((r[0], bytes(r[1])))
-        held += len(r[1]) // 5
-    if len(blocks) == 1:
-        found = matches(index, blocks[0], size)
-    else:  # blocks see the same rows in the same order, but a table keeps no order: rows are told apart by id and word count
-        found = None
-        for b in blocks:
-            part = staged(matches(index, b, size).withColumn("row", F.monotonically_increasing_id()), "block-matches")
-            found = part if found is None else found.unionByName(part)
-        found = found.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found
+def blocks_of(benchmark: DataFrame, size: int = WINDOW) -> Iterator[list[tuple[str | None, np.ndarray]]]:
+    """The benchmark's items as (id, word hashes), in blocks of BLOCK_WINDOWS windows; an item of more is spread over several."""
+    rows, cache = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text")), WordHash()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block, held = [], 0
+    for r in rows.repartition(max(1, -(-total // FETCH_BYTES))).toLocalIterator():
+        words = cache.of(words_of(bytes(r[1])))
+        windows = max(1, len(words) - size + 1) if len(words) else 0
+        for at in range(0, windows, BLOCK_WINDOWS):
+            block.append((r[0], words[at : at + BLOCK_WINDOWS + size - 1]))
+            held += min(BLOCK_WINDOWS, windows - at)
+            if held >= BLOCK_WINDOWS:
+                yield block
+                block, held = [], 0
+    if block:
+        yield block
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, spans, items for each row of docs; the benchmark is taken in blocks."""
+    index, found, several = build_index(docs), None, False
+    blocks = blocks_of(benchmark, size)
+    block, after = next(blocks, []), next(blocks, None)
+    while True:
+        part = matches(index, block, size)
+        several = several or after is not None
+        if several:  # only what was found, and one row a document
+            part = staged(part.filter("size(spans) > 0") if found is not None else part, "block-matches")
+        found = part if found is None else found.unionByName(part)
+        if after is None:
+            break
+        block, after = after, next(blocks, None)
+    if several:
+        found = found.groupBy("segment", "place").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        )
+    return found.drop("segment", "place")
 
 
 def hit_words(spans):

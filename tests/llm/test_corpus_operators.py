@@ -232,15 +232,15 @@ def test_decontamination(spark, folder, texts):
 
 def test_benchmark_in_blocks(spark, folder, monkeypatch):
     whole = sorted(map(tuple, queries()["op3_decontamination"](spark, folder).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 5)  # items of more windows are spread over blocks
     assert sorted(map(tuple, queries()["op3_decontamination"](spark, folder).collect())) == whole
 
 
-@pytest.mark.parametrize("block_words", [decontam.BLOCK_WORDS, 1])
-def test_items_that_share_an_id(spark, tmp_path, monkeypatch, block_words):
+@pytest.mark.parametrize("windows", [decontam.BLOCK_WINDOWS, 1])
+def test_items_that_share_an_id(spark, tmp_path, monkeypatch, windows):
     """Ids count once, in one block of the benchmark as in several, as the SQL has it."""
     duckdb = pytest.importorskip("duckdb")
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", windows)
     items = [(7, "one two three four five"), (7, "six seven eight nine ten"), (7, "one two three four five"), (10, "eleven twelve"), (None, "one two three four five"), (None, "eleven twelve")]
     rows = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "eleven twelve"), (3, "one two three"), (4, "six seven eight nine ten")]
     for name, data, schema in (("benchmark", items, TABLES["benchmark"]), ("documents", rows, "doc_id long, text string")):
@@ -253,6 +253,17 @@ def test_items_that_share_an_id(spark, tmp_path, monkeypatch, block_words):
     assert found == sorted(con.execute(oracle_sql()["op3_decontamination"]).fetchall())
 
 
+def test_large_benchmark_is_held_by_the_block(spark, monkeypatch):
+    """The driver never holds more than a block and a word's margin."""
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 100)
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40 + i))) for i in range(60)] + [(99, " ".join(map(str, range(1000))))], "item_id long, text string")
+    seen = list(decontam.blocks_of(rows))
+    windows = [sum(max(1, len(w) - 12) for _, w in b) for b in seen]
+    assert max(windows) < 200 + 100 and sum(windows) == sum(40 + i - 12 for i in range(60)) + 988
+    w = decontam.Windows(seen[0], 13)
+    assert len(w.matrix) == windows[0] and [w.items_of(k) for k in range(len(w.matrix))] != []
+
+
 def test_proximity(spark):
     rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "c x x x x x a"), (3, "a a c"), (4, None)], "doc_id long, text string")
     found = {tuple(r) for r in decontam.proximity(decontam.build_index(rows), ["a", "c"], 3).collect()}
