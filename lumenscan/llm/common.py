@@ -6,8 +6,9 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -144,23 +145,6 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembering at most `limit` words."""
-
-    def __init__(self, limit: int = 250_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -170,6 +154,85 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_U64 = np.uint64
+ODD, UNODD = _U64(0x9E3779B97F4A7C15), _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A random value for each byte.
+BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+#: For words_of-like tables: A-Z as a-z, the ASCII white space as a space, all else as it is.
+SPACED = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+#: Texts are hashed so many bytes at a time; longer words than LONG_WORD one by one.
+STRETCH, LONG_WORD = 1 << 20, 1 << 16
+
+
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of ODD, and of its inverse, modulo 2^64."""
+    out = []
+    for base in (ODD, UNODD):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _stretches(data: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches that end before a space; a word longer than a stretch is one."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", min(at + STRETCH, len(data)))
+        end = len(data) if end < 0 else end
+        if end - at > 2 * STRETCH:
+            word = max(data.rfind(b" ", at, at + STRETCH) + 1, at)
+            if word > at:
+                yield at, word
+            at = word
+        yield at, end
+        at = end
+
+
+def word_hashes(texts: list[bytes], table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and how many each text has. The table turns bytes into those of words, or into a
+    space. A word's hash is a polynomial over its bytes' random values, modulo 2^64, mixed with its length and scrambled."""
+    data = b" ".join(texts).translate(table)
+    hashes, firsts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for a, b in _stretches(data):
+        chars = np.frombuffer(data, np.uint8, b - a, a)
+        edges = np.flatnonzero(np.diff(chars != 32, prepend=False, append=False))
+        first, size = edges[::2], edges[1::2] - edges[::2]
+        if len(size) == 1 and size[0] > LONG_WORD:
+            h = np.zeros(1, np.uint64)
+        else:
+            up, down = powers(2 * STRETCH + 1)
+            total = np.zeros(len(chars) + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[chars] * up[: len(chars)], out=total[1:])
+            h = mixed((total[edges[1::2]] - total[first]) * down[first] + size.astype(np.uint64) * UNODD)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[a + first[i] : a + first[i] + size[i]])
+        hashes.append(h)
+        firsts.append(first + a)
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.empty(0, np.int64)
+    upto = np.searchsorted(np.concatenate(firsts), ends)
+    return np.concatenate(hashes), np.diff(upto, prepend=0)
+
+
+def words_by_text(texts: list[bytes], table: bytes = SPACED) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    hashes, counts = word_hashes(texts, table)
+    return np.split(hashes, np.cumsum(counts)[:-1]) if texts else []
+
+
+def parts_of(sizes: Iterable[int], most_rows: int, most_bytes: int = 4 << 20) -> Iterator[slice]:
+    """Runs of neighbours of at most most_rows, and of about most_bytes together."""
+    first, held, n = 0, 0, 0
+    for n, size in enumerate(sizes, 1):
+        held += size
+        if n - first >= most_rows or held >= most_bytes:
+            yield slice(first, n)
+            first, held = n, 0
+    if first < n:
+        yield slice(first, n)
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n word hashes; order matters."""
     if len(words) < n:

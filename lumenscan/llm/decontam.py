@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, lean, staged, table, utf8
+from .common import lean, parts_of, staged, table, utf8, word_hashes, words_by_text
 
 WINDOW = 13
 SEGMENT_BYTES = 1 << 19
@@ -37,10 +38,6 @@ _SEGMENT = pa.schema([("segment", pa.int64()), *((n, pa.binary()) for n in ("doc
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(WORD_TABLE).split()
-
-
 def _segment(number: int, doc_ids: list, words: list[np.ndarray]) -> dict[str, bytes | int]:
     lengths = np.array([len(w) for w in words], "<u4")
     # one position is left free between documents, so that no window can cross
@@ -59,15 +56,17 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of docs (doc_id, text), written to the shared folder, one row a segment."""
 
     def build(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, ids, words, held, number = WordHash(), [], [], 0, TaskContext.get().partitionId() << 32
+        ids, words, held, number = [], [], 0, TaskContext.get().partitionId() << 32
         for batch in source:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(doc_id)
-                words.append(cache.of(words_of(text)))
-                held += len(text) + 16
-                if held >= SEGMENT_BYTES:
-                    yield pa.RecordBatch.from_pylist([_segment(number, ids, words)], schema=_SEGMENT)
-                    ids, words, held, number = [], [], 0, number + 1
+            for own in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 1000, SEGMENT_BYTES):
+                texts = batch.column(1)[own].to_pylist()
+                for doc_id, text, found in zip(batch.column(0)[own].to_pylist(), texts, words_by_text(texts, WORD_TABLE), strict=True):
+                    ids.append(doc_id)
+                    words.append(found)
+                    held += len(text) + 16
+                    if held >= SEGMENT_BYTES:
+                        yield pa.RecordBatch.from_pylist([_segment(number, ids, words)], schema=_SEGMENT)
+                        ids, words, held, number = [], [], 0, number + 1
         if ids:
             yield pa.RecordBatch.from_pylist([_segment(number, ids, words)], schema=_SEGMENT)
 
@@ -225,7 +224,7 @@ def matches(index: DataFrame, items: list[tuple[str | None, np.ndarray]], size:
 def proximity(index: DataFrame, words: list[str], within: int) -> DataFrame:
     """(doc_id, first, last): the closest stretches of at most `within` words that hold all the words, in any order: for each occurrence
     of the rarest word, the nearest occurrence of each other on either side."""
-    terms = np.unique(WordHash().of([w for x in words for w in words_of(x.encode())]))
+    terms = np.unique(word_hashes([x.encode() for x in words], WORD_TABLE)[0])
     by_rarity = np.argsort(corpus_frequencies(index, terms), kind="stable")
 
     def near(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +258,11 @@ def contaminated(n_hit, n_words):
 
 def blocks_of(benchmark: DataFrame, size: int = WINDOW) -> Iterator[list[tuple[str | None, np.ndarray]]]:
     """The benchmark's items as (id, word hashes), in blocks of BLOCK_WINDOWS windows; an item of more is spread over several."""
-    rows, cache = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text")), WordHash()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     block, held = [], 0
     for r in rows.repartition(max(1, -(-total // FETCH_BYTES))).toLocalIterator():
-        words = cache.of(words_of(bytes(r[1])))
+        [words] = words_by_text([bytes(r[1])], WORD_TABLE)
         windows = max(1, len(words) - size + 1) if len(words) else 0
         for at in range(0, windows, BLOCK_WINDOWS):
             block.append((r[0], words[at : at + BLOCK_WINDOWS + size - 1]))

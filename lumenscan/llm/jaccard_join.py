@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, lean, mixed, ngram_hashes, shuffle_parts, staged, table, utf8
+from .common import lean, mixed, ngram_hashes, parts_of, shuffle_parts, staged, table, utf8, words_by_text
 
 WORDS, THRESHOLD = 4, 85
 #: Cells of the count sketch (two bytes each in a task, one in the end), and into how many pieces it is cut to be summed.
@@ -46,16 +47,9 @@ _U64 = np.uint64
 _BITS = [f"b{i}" for i in range(8)]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def token_set(text: bytes, cache: WordHash, n: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct word n-grams; of fewer words the whole sequence; nothing without words."""
-    words = cache.of(words_of(text))
-    if not len(words):
-        return words
-    return np.unique(ngram_hashes(words, min(n, len(words))))
+def token_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its distinct word n-grams; of fewer words the whole sequence; nothing without words."""
+    return [np.unique(ngram_hashes(words, min(n, len(words)))) if len(words) else words for words in words_by_text(texts)]
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -101,11 +95,11 @@ def described(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """A row for each document with its class, set size, bitmap and signatures; and the tasks' token counts by sketch cell."""
 
     def describe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = WordHash(), None
+        total = None
         for batch in source:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                sets = [token_set(t, cache, n_words) for t in part.column(1).to_pylist()]
+            for chosen in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 500):
+                part = batch.slice(chosen.start, chosen.stop - chosen.start)
+                sets = token_sets(part.column(1).to_pylist(), n_words)
                 bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), 8)
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +140,7 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
     parts = max(64, 4 * shuffle_parts(docs.sparkSession))
 
     def post(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, levels = WordHash(), sketch.value
+        levels = sketch.value
         seen, held, size = set(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -163,13 +157,13 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "tokens", "classes", "sizes", "split"])
 
         for batch in source:
-            for text in batch.column(0):
-                tokens = token_set(text.as_py(), cache, n_words)
-                if len(tokens) and (c := class_of(tokens)) not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(c)
-                    held.append((prefix(tokens, levels, threshold), c, len(tokens)))
-                    size += len(held[-1][0])
+            for chosen in parts_of(pc.binary_length(batch.column(0)).to_pylist(), 500):
+                for tokens in token_sets(batch.column(0)[chosen].to_pylist(), n_words):
+                    if len(tokens) and (c := class_of(tokens)) not in seen:
+                        if len(seen) < 500_000:
+                            seen.add(c)
+                        held.append((prefix(tokens, levels, threshold), c, len(tokens)))
+                        size += len(held[-1][0])
                 if size >= FLUSH_TOKENS:
                     yield from flush()
                     held, size = [], 0
@@ -221,9 +215,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "doc_id"), "cls")
 
     def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
         for batch in source:
-            keep = [class_of(token_set(t, cache, n_words)) == c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keep = []
+            for chosen in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 500):
+                keep += [class_of(x) == c for c, x in zip(batch.column(0)[chosen].to_pylist(), token_sets(batch.column(1)[chosen].to_pylist(), n_words), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text"))
@@ -231,15 +226,17 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int
     texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last = WordHash(), (None, None)
+        last = (None, None)
         for batch in source:
             keep = []
-            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != a:
-                    last = (a, token_set(text_a, cache, n_words))
-                x, y = last[1], token_set(text_b, cache, n_words)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            for chosen in parts_of(pc.binary_length(batch.column(3)).to_pylist(), 500):
+                one, two = batch.column(0)[chosen].to_pylist(), token_sets(batch.column(3)[chosen].to_pylist(), n_words)
+                for k, (a, y) in enumerate(zip(one, two, strict=True), chosen.start):
+                    if last[0] != a:
+                        last = (a, token_sets([batch.column(2)[k].as_py()], n_words)[0])
+                    x = last[1]
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")

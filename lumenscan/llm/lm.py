@@ -6,7 +6,11 @@ the part's block of the filter. The filter has BITS_PER_EVENT bits an event what
 MAX_BROADCAST_BYTES together are collected and broadcast; beyond, they stay where they are and the distinct probes of each chunk of texts
 are shuffled to the blocks by part, and the levels found back to the chunk: the same probes of the same bits. Scoring probes (n-gram, 1),
 (n-gram, 2), ... until one is missing, turns the level back into a count, and interpolates orders: p(w|h) = (c(hw) + a p(w|h')) /
-(c(h) + a), where a is fitted by leave-one-out likelihood on a bounded sample of the training documents.
+(c(h) + a). Every text is scored under each a of FIT_GRID; the one that counts is that of most leave-one-out likelihood over all training
+texts, whose sums come from the same pass. Tokens with equal levels have equal probabilities, so few logarithms are taken.
+
+Inside a part an n-gram is known by KEY_BITS bits of its hash; parts have a bounded size, so this does not get worse with the corpus (7 in
+a million of absent n-grams meet another's key in a part of 8 million). Words are known by 64 bits.
 
 The base score needs exact counts. Those of the HEAD_WORDS most frequent words (a fixed number) are broadcast; occurrences of rarer
 words are joined with the exact count table, so that no dictionary grows with the corpus.
@@ -22,11 +26,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, crc_of_id, lean, mixed, shuffle_parts, staged, table, utf8
+from .common import crc_of_id, lean, mixed, parts_of, shuffle_parts, staged, table, utf8, word_hashes
 
 BASE = 1.5
 #: An event sets 3 bits in each of 2 words; with 12 bits of filter an event, some 6 in 1,000 absent events seem present.
@@ -37,13 +43,14 @@ MAX_BROADCAST_BYTES = 256 << 20
 MAX_BLOCK_BYTES = 8 << 32
 #: Training bytes a part, so that what a reducer holds does not grow with the corpus.
 PART_BYTES = 64 << 20
-#: Texts are scored in chunks of so many.
-CHUNK_TEXTS = 500
+#: Texts are scored in chunks of so many, or of so many bytes.
+CHUNK_TEXTS, CHUNK_BYTES = 1000, 2 << 20
 #: A part's probes are looked up so many at a time.
 LOOKUP_PROBES = 500_000
 HEAD_WORDS = 1 << 18
-FIT_DOCS = 1000
 FIT_GRID = tuple(2.0**k for k in range(-2, 15))
+KEY_BYTES = 5
+KEY_BITS = 8 * KEY_BYTES
 END, START = 0xE4D_0F_7E47, 0x57A27_0F_7E47
 #: A task's n-grams are summed whenever so many tokens have come together.
 FLUSH_TOKENS = 1_500_000
@@ -88,18 +95,37 @@ def build_block(hashes: np.ndarray, counts: np.ndarray, max_bytes: int) -> bytes
     return block.astype("<u8").tobytes()
 
 
+def placed(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part (of a power of two) and key of each hash."""
+    return (hashes & _U64(parts - 1)).astype(np.int64), (hashes >> _U64(parts.bit_length() - 1)) & _U64((1 << KEY_BITS) - 1)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 class LogFrequencyFilter:
+    """Blocks, one a part; their number is a power of two."""
+
     def __init__(self, blocks: list):
         self.words = np.array([len(b) // 8 for b in blocks], np.uint64)
         self.first = np.concatenate([[0], np.cumsum(self.words)])[:-1].astype(np.uint64)
         self.data = np.frombuffer(b"".join(blocks), "<u8")
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        part = (hashes % _U64(len(self.words))).astype(np.int64)
-        out, alive, level = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 1
+        return self.levels_at(*placed(hashes, len(self.words)))
+
+    def levels_at(self, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(alive) and level < len(COUNT_AT):
             words, first, passed = self.words[part[alive]], self.first[part[alive]], None
-            for place, mask in word_places(hashes[alive], level, words):
+            for place, mask in word_places(keys[alive], level, words):
                 if passed is None:
                     passed = np.flatnonzero(self.data[place + first] & mask == mask)
                 else:
@@ -109,35 +135,26 @@ class LogFrequencyFilter:
             level += 1
         return out
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        return COUNT_AT[self.levels(hashes)]
-
 
 class Answers:
     """The levels that the blocks gave for a chunk's probes; asked for these only."""
 
     def __init__(self, hashes: np.ndarray, levels: np.ndarray):
         by = np.argsort(hashes)
-        self.hashes, self.levels = hashes[by], levels[by]
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        return COUNT_AT[self.levels[np.searchsorted(self.hashes, hashes)]]
-
+        self.hashes, self.known = hashes[by], levels[by].astype(np.int64)
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.lower().split()
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        return self.known[np.searchsorted(self.hashes, hashes)]
 
 
-def sequence_of(texts: list[bytes], cache: WordHash, order: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' tokens end to end, each text with order-1 START tokens before and END behind; and each text's token count."""
-    parts, lengths = [], np.empty(len(texts), np.int64)
-    lead, end = np.full(order - 1, START, np.uint64), np.array([END], np.uint64)
-    for i, text in enumerate(texts):
-        ids = cache.of(words_of(text))
-        lengths[i] = len(ids) + 1
-        parts += [lead, ids, end]
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), lengths
+    words, counts = word_hashes(texts)
+    out = np.full(len(words) + order * len(texts), START, np.uint64)
+    before = np.arange(len(texts)) * order + (order - 1)  # tokens that are no word, up to a text's first
+    out[np.arange(len(words)) + np.repeat(before, counts)] = words
+    out[np.cumsum(counts) + before] = END
+    return out, counts + 1
 
 
 def grams(seq: np.ndarray, order: int) -> list[np.ndarray]:
@@ -166,16 +183,16 @@ def histories(seq: np.ndarray, order: int) -> list[np.ndarray]:
 def probes_of(seq: np.ndarray, order: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes that observed() asks for, part by part, and where each part begins."""
     h = np.unique(np.concatenate([mixed(seq), *grams(seq, order)[1:], *histories(seq, order)[1:]]))
-    part = h % _U64(parts)
+    part = placed(h, parts)[0]
     by = np.argsort(part, kind="stable")
-    return h[by], np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+    return h[by], np.searchsorted(part[by], np.arange(parts + 1))
 
 
 def counted(train: DataFrame, order: int, parts: int) -> DataFrame:
-    """(part, kind, hashes, counts) of the training texts, packed; kind 1 are words."""
+    """(part, kind, hashes, counts) of the training texts, packed; kind 1 are words, by their whole hash, kind 2 other n-grams, by key."""
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size = WordHash(), [[] for _ in range(order + 1)], 0
+        held, size, leads = [[] for _ in range(order + 1)], 0, start_grams(order)
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
@@ -183,11 +200,12 @@ def counted(train: DataFrame, order: int, parts: int) -> DataFrame:
                 h = np.concatenate(held[n])
                 held[n].clear()
                 h, c = np.unique(h, return_counts=True)
-                part = h % _U64(parts)
+                part, keys = placed(h, parts)
                 by = np.argsort(part, kind="stable")
-                h, c, cuts = h[by], c[by].astype("<u4"), np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+                h, keys, c, cuts = h[by], keys[by], c[by].astype("<u4"), np.searchsorted(part[by], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)):
-                    rows.append((int(p), min(n, 2), h[cuts[p] : cuts[p + 1]].tobytes(), c[cuts[p] : cuts[p + 1]].tobytes()))
+                    own = slice(cuts[p], cuts[p + 1])
+                    rows.append((int(p), min(n, 2), h[own].tobytes() if n == 1 else packed(keys[own]), c[own].tobytes()))
                     if len(rows) >= 256:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "kind", "hashes", "counts"])
                         rows = []
@@ -196,13 +214,13 @@ def counted(train: DataFrame, order: int, parts: int) -> DataFrame:
 
         types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         for batch in source:
-            texts = batch.column(0).to_pylist()
-            for k in range(0, len(texts), 500):
-                seq, _ = sequence_of(texts[k : k + 500], cache, order)
+            for own in parts_of(pc.binary_length(batch.column(0)).to_pylist(), CHUNK_TEXTS, CHUNK_BYTES):
+                texts = batch.column(0)[own].to_pylist()
+                seq, _ = sequence_of(texts, order)
                 for n, h in enumerate(grams(seq, order), 1):
                     held[n].append(h)
-                if order > 1:
-                    held[2].append(np.full(len(texts[k : k + 500]), START_GRAM, np.uint64))
+                for h in leads:
+                    held[2].append(np.full(len(texts), h, np.uint64))
                 size += len(seq)
                 if size >= FLUSH_TOKENS:
                     yield from flush()
@@ -213,30 +231,33 @@ def counted(train: DataFrame, order: int, parts: int) -> DataFrame:
     return train.select(utf8("text").alias("text")).mapInArrow(lean(count), "part int, kind int, hashes binary, counts binary")
 
 
-#: The history of a text's first word: as often seen as there are texts.
-START_GRAM = int(mixed(np.array([START], np.uint64))[0])
+def start_grams(order: int) -> list[np.uint64]:
+    """The histories of a text's first word, which are as often seen as there are texts: runs of 1 ... order-1 STARTs."""
+    out, start = [], np.array([START], np.uint64)
+    for n in range(1, order):
+        out.append(mixed(start if n == 1 else out[-1] * _ORDER_SALT + start + _U64(n)))
+    return [h[0] for h in out]
+
+
 WORD_ROWS = "part int, block binary, word long, n long"
 
 
-def _reducer():
+def _reducer(parts: int):
     schema = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("word", pa.int64()), ("n", pa.int64())])
 
+    def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *counts])
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+        return keys[first], np.add.reduceat(counts[by], first) if len(first) else counts
+
     def reduce(t: pa.Table) -> pa.Table:
-        part, kinds = t.column("part")[0].as_py(), t.column("kind").to_numpy()
-        hs = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        cs = [np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]
-        all_h, all_c, words, word_counts = [], [], np.empty(0, np.uint64), np.empty(0, np.int64)
-        for kind in (1, 2):
-            chosen = np.flatnonzero(kinds == kind)
-            if len(chosen):
-                h, inverse = np.unique(np.concatenate([hs[i] for i in chosen]), return_inverse=True)
-                c = np.zeros(len(h), np.int64)
-                np.add.at(c, inverse, np.concatenate([cs[i] for i in chosen]))
-                all_h.append(h)
-                all_c.append(c)
-                if kind == 1:
-                    words, word_counts = h, c
-        block = build_block(np.concatenate(all_h), np.concatenate(all_c), MAX_BLOCK_BYTES)
+        part, kinds = t.column("part")[0].as_py(), t.column("kind").to_pylist()
+        hs, cs = t.column("hashes").to_pylist(), [np.frombuffer(x, "<u4").astype(np.int64) for x in t.column("counts").to_pylist()]
+        words, word_counts = summed([np.frombuffer(h, np.uint64) for h, k in zip(hs, kinds, strict=True) if k == 1], [c for c, k in zip(cs, kinds, strict=True) if k == 1])
+        keys, counts = summed([unpacked(h) for h, k in zip(hs, kinds, strict=True) if k == 2], [c for c, k in zip(cs, kinds, strict=True) if k == 2])
+        block = build_block(np.concatenate([placed(words, parts)[1], keys]), np.concatenate([word_counts, counts]), MAX_BLOCK_BYTES)
         n = len(words)
         return pa.table([pa.array([part] * (n + 1), pa.int32()), pa.array([block] + [None] * n, pa.binary()), pa.array(np.concatenate([[0], words.view(np.int64)]), pa.int64()), pa.array(np.concatenate([[0], word_counts]), pa.int64())], schema=schema)
 
@@ -244,14 +265,15 @@ def _reducer():
 
 
 class Model:
-    """What scoring needs: the filter (broadcast, or its blocks) and the broadcast head counts, the exact word table, the totals and the
-    fitted weights."""
+    """What scoring needs: the filter (broadcast, or its blocks) and the broadcast head counts, the exact word table, the totals; and, once
+    scored() or fit() has seen the training texts, the weight."""
 
-    def __init__(self, train: DataFrame, order: int = 2, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, head_words: int = HEAD_WORDS, fit_docs: int = FIT_DOCS):
+    def __init__(self, train: DataFrame, order: int = 2, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, head_words: int = HEAD_WORDS):
         spark = train.sparkSession
-        self.texts, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(utf8("text"))), F.lit(0))).first()
-        self.order, self.parts = order, max(64, 2 * shuffle_parts(spark), -(-size // PART_BYTES))
-        reduced = staged(counted(train, order, self.parts).groupBy("part").applyInArrow(_reducer(), WORD_ROWS), "lm-counts", row_group=16 << 20)
+        size = train.agg(F.coalesce(F.sum(F.octet_length(utf8("text"))), F.lit(0))).first()[0]
+        self.train, self.order, self.weight = train, order, None
+        self.parts = 1 << (max(64, 2 * shuffle_parts(spark), -(-size // PART_BYTES)) - 1).bit_length()
+        reduced = staged(counted(train, order, self.parts).groupBy("part").applyInArrow(_reducer(self.parts), WORD_ROWS), "lm-counts", row_group=16 << 20)
         self.blocks = reduced.filter("block is not null").select("part", "block")
         self.filter_bytes = self.blocks.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
         self.joined, self.filter = self.filter_bytes > max_broadcast_bytes, None
@@ -279,35 +301,17 @@ class Model:
         sc = spark.sparkContext
         self.shared = sc.broadcast((self.filter, self.head, self.head_counts))
         del self.filter  # workers have it; the driver need not keep a copy
-        self.weight = self._fit(train, fit_docs)
-
-    def _fit(self, train: DataFrame, fit_docs: int) -> float:
-        """The interpolation weight of most leave-one-out likelihood over at most fit_docs training texts of smallest hash."""
-        if self.order == 1:
-            return 1.0
-        share = int(1_000_000 * min(1.0, fit_docs / max(1, self.texts)))
-        order, norm = self.order, self.norm
-
-        def likelihood(row: int, doc_ids: pa.Array, held_out: pa.Array, seq: np.ndarray, lengths: np.ndarray, answers) -> Iterator[pa.RecordBatch]:
-            counts = observed(seq, answers, order)
-            sums = [log_probabilities(counts, norm, a, left_out=1.0).sum() for a in FIT_GRID]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(FIT_GRID)), pa.int32()), pa.array(sums, pa.float64())], ["g", "s"])
-
-        pick = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1_000_000)) < max(share, 1)
-        rows = train.filter(pick).select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), utf8("text").alias("text"))
-        sums = self._answered(rows, likelihood, "g int, s double").groupBy("g").agg(F.sum("s").alias("s")).collect()
-        return FIT_GRID[max(sums, key=lambda r: (r[1], -r[0]))[0]] if sums else 1.0
 
     def _answered(self, rows: DataFrame, judge: Callable[..., Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
         """judge(first row number, doc_ids, held_out, sequence, lengths, filter) over chunks of rows (doc_id, held_out, text)."""
-        shared, order, parts = self.shared, self.order, self.parts
+        shared, order, parts, chunk_texts = self.shared, self.order, self.parts, CHUNK_TEXTS
 
         def chunks_of(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            row, cache = TaskContext.get().partitionId() << 33, WordHash()
+            row = TaskContext.get().partitionId() << 33
             for batch in source:
-                for k in range(0, batch.num_rows, CHUNK_TEXTS):
-                    part = batch.slice(k, CHUNK_TEXTS)
-                    yield row, part.column(0), part.column(1), *sequence_of(part.column(2).to_pylist(), cache, order)
+                for own in parts_of(pc.binary_length(batch.column(2)).to_pylist(), chunk_texts, CHUNK_BYTES):
+                    part = batch.slice(own.start, own.stop - own.start)
+                    yield row, part.column(0), part.column(1), *sequence_of(part.column(2).to_pylist(), order)
                     row += part.num_rows
 
         if not self.joined:
@@ -321,26 +325,27 @@ class Model:
         def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, doc_ids, held_out, seq, lengths in chunks_of(source):
                 words, index = np.unique(seq, return_inverse=True)
-                packed = [words.tobytes(), index.astype("<u4").tobytes(), lengths.astype("<i8").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([held_out.to_pylist()], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in packed)], ["chunk", "doc_ids", "held_out", "words", "index", "lengths"])
+                binaries = [words.tobytes(), zstandard.compress(index.astype("<u4").tobytes(), 1), lengths.astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([held_out.to_pylist()], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in binaries)], ["chunk", "doc_ids", "held_out", "words", "index", "lengths"])
 
         def sequence(words: bytes, index: bytes) -> np.ndarray:
-            return np.frombuffer(words, np.uint64)[np.frombuffer(index, "<u4")]
+            return np.frombuffer(words, np.uint64)[np.frombuffer(zstandard.decompress(index), "<u4")]
 
         def probe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in source:
                 for chunk, words, index in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     h, cuts = probes_of(sequence(words, index), order, parts)
                     some = np.flatnonzero(np.diff(cuts)).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([h[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "chunk", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([packed(placed(h[cuts[p] : cuts[p + 1]], parts)[1]) for p in some], pa.binary())], ["part", "chunk", "keys"])
 
         def look_up(probes: pa.Table, blocks: pa.Table) -> pa.Table:
             block = LogFrequencyFilter([blocks.column("block")[0].as_py() if blocks.num_rows else b"\0" * 8])
-            asked, out, at = probes.column("hashes").to_pylist(), [], 0
+            asked, out, at = probes.column("keys").to_pylist(), [], 0
             while at < len(asked):
-                n = np.cumsum([len(x) // 8 for x in asked[at : at + LOOKUP_PROBES]])
+                n = np.cumsum([len(x) // KEY_BYTES for x in asked[at : at + LOOKUP_PROBES]])
                 take = max(1, int(np.searchsorted(n, LOOKUP_PROBES, "right")))
-                levels = block.levels(np.frombuffer(b"".join(asked[at : at + take]), np.uint64)).astype(np.uint8)
+                keys = unpacked(b"".join(asked[at : at + take]))
+                levels = block.levels_at(np.zeros(len(keys), np.int64), keys).astype(np.uint8)
                 out += [x.tobytes() for x in np.split(levels, n[: take - 1])]
                 at += take
             return pa.table({"part": probes.column("part").cast(pa.int32()), "chunk": probes.column("chunk"), "levels": pa.array(out, pa.binary())})
@@ -355,20 +360,27 @@ class Model:
             return pa.Table.from_batches(judge(row.as_py(), doc_ids.values, held_out.values, seq, np.frombuffer(lengths.as_py(), "<i8"), Answers(h, levels)))
 
         chunks = staged(rows.mapInArrow(lean(pack), "chunk long, doc_ids array<long>, held_out array<boolean>, words binary, index binary, lengths binary"), "lm-chunks", row_group=16 << 20)
-        probes = chunks.select("chunk", "words", "index").mapInArrow(lean(probe), "part int, chunk long, hashes binary")
+        probes = chunks.select("chunk", "words", "index").mapInArrow(lean(probe), "part int, chunk long, keys binary")
         answers = probes.groupBy("part").cogroup(self.blocks.groupBy("part")).applyInArrow(look_up, "part int, chunk long, levels binary")
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, ddl)
 
-    def scored(self, docs: DataFrame, held_out: Column) -> DataFrame:
-        """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-        shared, order, norm, weight = self.shared, self.order, self.norm, self.weight
-        fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("n", pa.int64())]
+    def _judged(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, held_out, text). Three kinds of rows, written: a document with its sums over tokens; a rare word of a document; a
+        chunk's leave-one-out log likelihoods over its rows that are not held out, by weight."""
+        shared, order, norm = self.shared, self.order, self.norm
+        fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("scores", pa.list_(pa.float64())), ("word", pa.int64()), ("n", pa.int64()), ("fit", pa.list_(pa.float64()))]
         schema = pa.schema(fields)
 
-        def score(row: int, doc_ids: pa.Array, held_out: pa.Array, seq: np.ndarray, lengths: np.ndarray, answers) -> Iterator[pa.RecordBatch]:
+        def judge(row: int, doc_ids: pa.Array, held_out: pa.Array, seq: np.ndarray, lengths: np.ndarray, answers) -> Iterator[pa.RecordBatch]:
             _, head, head_counts = shared.value
             starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-            logs = log_probabilities(observed(seq, answers, order), norm, weight)
+            counts, kind = observed(seq, answers, order)
+            scores = np.stack([np.add.reduceat(log_probabilities(counts, norm, a)[kind], starts) for a in FIT_GRID], axis=1)
+            learnt = np.repeat(~np.asarray(held_out.to_numpy(zero_copy_only=False), bool), lengths)
+            fit = None
+            if learnt.any():
+                times = np.bincount(kind, learnt, len(counts[0][0]))
+                fit = [float(log_probabilities(counts, norm, a, left_out=1.0) @ times) for a in FIT_GRID]
             words, inverse = np.unique(grams(seq, 1)[0], return_inverse=True)
             at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
             in_head = head[at] == words if len(head) else np.zeros(len(words), bool)
@@ -378,19 +390,34 @@ class Model:
             n = len(lengths)
             rows = row + np.arange(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), doc_ids, held_out, pa.array(lengths), pa.array(np.add.reduceat(token_head.astype(np.int64), starts)),
-                 pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+                [pa.array(rows), doc_ids, held_out, pa.array(lengths), pa.array(np.add.reduceat(token_head.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)),
+                 pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(FIT_GRID), scores.ravel()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([fit] + [None] * (n - 1), fields[9][1])], schema=schema)
             rare = np.flatnonzero(~token_head)
             if len(rare):
                 doc = np.repeat(np.arange(n), lengths)[rare]
                 pair, times = np.unique(doc.astype(np.uint64) * _U64(len(words)) + inverse[rare].astype(np.uint64), return_counts=True)
                 m = len(pair)
                 none = [pa.nulls(m, f[1]) for f in fields[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[(pair // _U64(len(words))).astype(np.int64)]), *none, pa.array(words[(pair % _U64(len(words))).astype(np.int64)].view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[(pair // _U64(len(words))).astype(np.int64)]), *none, pa.array(words[(pair % _U64(len(words))).astype(np.int64)].view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(m, fields[9][1])], schema=schema)
+
+        ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, scores array<double>, word long, n long, fit array<double>"
+        return staged(self._answered(rows, judge, ddl), "lm-scores")
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), utf8("text").alias("text"))
-        ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, word long, n long"
-        found = staged(self._answered(rows, score, ddl), "lm-scores")
+    def _fitted(self, found: DataFrame) -> float | None:
+        """The weight of most likelihood, the greatest of equal ones; None if nothing has been learnt from."""
+        sums = found.filter("fit is not null").agg(*[F.sum(F.col("fit")[i]) for i in range(len(FIT_GRID))]).first()
+        return None if sums[0] is None else max(zip(sums, FIT_GRID, strict=True))[1]
+
+    def scored(self, docs: DataFrame, held_out: Column) -> DataFrame:
+        """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The rows that are not held out are
+        the training texts; if docs has none, the weight is fitted on the training texts by themselves."""
+        pick = lambda rows, out: rows.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), utf8("text").alias("text"))
+        found = self._judged(pick(docs, held_out))
+        if self.weight is None:
+            self.weight = self._fitted(found)
+        if self.weight is None:
+            self.weight = self._fitted(self._judged(pick(self.train, F.lit(False)))) or 1.0
+        found = found.withColumn("score", F.element_at("scores", FIT_GRID.index(self.weight) + 1))
         rare = found.filter("word is not null").select("row", "word", F.col("n").alias("times"))
         rare = rare.join(self.tail, "word", "left").select(
             "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n_tokens"),
@@ -402,19 +429,25 @@ class Model:
         return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * norm_log).alias("base_score"), "score")
 
 
-def observed(seq: np.ndarray, model: LogFrequencyFilter, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 ... order, at each token that is no START, the counts of its n-gram and of the history, by membership probes."""
+def observed(seq: np.ndarray, model: LogFrequencyFilter | Answers, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For n = 1 ... order the counts of an n-gram and of its history, by membership probes, of each kind of token; and the kind of each
+    token that is no START. Tokens are of a kind if all these levels are equal."""
     words, inverse = np.unique(mixed(seq), return_inverse=True)
-    every = model.counts(words)[inverse]
+    every = model.levels(words)[inverse]
     at = np.flatnonzero(seq != _U64(START))
     c = every[at]
-    out = [(c, c)]
+    levels = [c]
     for n, gram, history in zip(range(2, order + 1), grams(seq, order)[1:], histories(seq, order), strict=True):
-        before = every[at - 1] if n == 2 else model.counts(history)
+        before = every[at - 1] if n == 2 else model.levels(history)
         # an n-gram is no more frequent than its parts: a false positive without them counts nothing
-        c = np.minimum(np.minimum(model.counts(gram), before), c)
-        out.append((c, before))
-    return out
+        c = np.minimum(np.minimum(model.levels(gram), before), c)
+        levels += [c, before]
+    code = np.zeros(len(at), np.int64)
+    for x in levels:  # below 128
+        code = code << 7 | x
+    code, kind = np.unique(code, return_inverse=True)
+    counts = [COUNT_AT[code >> 7 * k & 127] for k in reversed(range(len(levels)))]
+    return [(counts[0], counts[0]), *zip(counts[1::2], counts[2::2], strict=True)], kind
 
 
 def log_probabilities(counts: list[tuple[np.ndarray, np.ndarray]], norm: float, weight: float, left_out: float = 0.0) -> np.ndarray:

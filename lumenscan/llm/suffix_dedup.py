@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, shuffle_parts, staged, table, unused, utf8
+from .common import BYTE_VALUE, ODD, STRETCH, lean, mixed, powers, shuffle_parts, staged, table, unused, utf8
 from .lm import LogFrequencyFilter, build_block
 
 LENGTH = 200
@@ -42,32 +42,19 @@ MAX_FILTER_BYTES = 128 << 20
 HOT_CONTEXTS = 50_000
 FLUSH_BYTES = 12 << 20
 _U64 = np.uint64
-_ODD = _U64(0x9E3779B97F4A7C15)
-_UNODD = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
 
 
 class Rolling:
     """Hashes of all substrings of a length: a polynomial over the bytes' random values, modulo 2^64, then scrambled."""
 
-    def __init__(self) -> None:
-        self.up = self.down = np.empty(0, np.uint64)
-
     def of(self, data: np.ndarray, size: int) -> np.ndarray:
         n = len(data) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        if len(self.up) < len(data) + 1:
-            self.up, self.down = _powers(_ODD, len(data) + 1), _powers(_UNODD, len(data) + 1)
+        up, down = powers(max(2 * STRETCH, 1 << len(data).bit_length()) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * self.up[: len(data)], out=total[1:])
-        return mixed((total[size:] - total[:n]) * self.down[:n])
+        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+        return mixed((total[size:] - total[:n]) * down[:n])
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -229,7 +216,7 @@ def refine(texts: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarra
             own, at, left, right = own[alive], at[alive], left[alive], right[alive]
             code = left * _U64(len(data) + 1) + right  # pointers are ranks now
         else:
-            code = mixed(left * _ODD + right)
+            code = mixed(left * ODD + right)
         _, rank = np.unique(code, return_inverse=True)
         members = np.bincount(rank, times[own])
         rank = np.where(members[rank] > 1, rank + 1, 0).astype(np.uint64)

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenscan.llm import imatch, langid, lm, tokens
+from lumenscan.llm import common, imatch, langid, lm, tokens
 from lumenscan.llm.common import crc_of_id
 from lumenscan.llm.tokens import BYTE_LEVEL_PATTERN, FastTokenizer, byte_of_char
 
@@ -56,32 +56,93 @@ def test_lm_third_order_and_empty(spark):
     assert all(math.isfinite(r["score"]) for r in lm.Model(none).scored(rows, F.lit(True)).collect())
 
 
+def brute_scores(texts, learnt, order):
+    """log10 probabilities by exact n-gram counts, quantised as the filter's levels are, under the weight of most leave-one-out likelihood."""
+    quantised = lambda n: lm.COUNT_AT[lm.level_of(np.array([n]))[0]] if n else 0.0
+    tokens = [[*["<s>"] * (order - 1), *(t or "").encode().lower().split(), "</s>"] for t in texts]
+    c = Counter()
+    for i in learnt:
+        c.update(("<s>",) * n for n in range(1, order))
+        for k in range(order - 1, len(tokens[i])):
+            for n in range(1, order + 1):
+                c[tuple(tokens[i][k - n + 1 : k + 1])] += 1
+    words = [w for i in learnt for w in tokens[i][order - 1 :]]
+    norm = len(words) + 0.1 * (len(set(words)) + 1)
+
+    def score(i, a, left_out=0.0):
+        total = 0.0
+        for k in range(order - 1, len(tokens[i])):
+            p = (max(quantised(c[(tokens[i][k],)]) - left_out, 0) + 0.1) / norm
+            for n in range(2, order + 1):
+                gram = tuple(tokens[i][k - n + 1 : k + 1])
+                p = (max(quantised(c[gram]) - left_out, 0) + a * p) / (max(quantised(c[gram[:-1]]) - left_out, 0) + a)
+            total += math.log10(min(p, 1.0))
+        return total
+
+    a = max(lm.FIT_GRID, key=lambda a: sum(score(i, a, 1.0) for i in learnt)) if learnt else 1.0
+    return a, [score(i, a) for i in range(len(texts))]
+
+
 @pytest.mark.parametrize("order", [2, 3])
-def test_filter_beyond_one_broadcast(spark, monkeypatch, order):
-    """A filter that is too large to be broadcast keeps its bits an event, and is joined with the same scores."""
+def test_score_against_counting(spark, order, monkeypatch):
+    """The broadcast filter, and one of 30 times the bytes that may be broadcast, give the model's probabilities. The filter has 12 bits an
+    event, so a few absent n-grams count as seen: texts are within 0.02 a token of exact counts, and most are equal."""
     held = (crc_of_id() % 10) == 0
     rows = docs(spark, TEXTS).repartition(3)
-    whole = lm.Model(rows.filter(~held), order)
+    weight, expected = brute_scores(TEXTS, [i for i in range(len(TEXTS)) if zlib.crc32(str(i).encode()) % 10], order)
     monkeypatch.setattr(lm, "CHUNK_TEXTS", 7)
     monkeypatch.setattr(lm, "LOOKUP_PROBES", 20)
-    model = lm.Model(rows.filter(~held), order, 64)
-    assert (whole.joined, model.joined) == (False, True) and model.filter_bytes == whole.filter_bytes > 64 and model.weight == whole.weight
+    whole = lm.Model(rows.filter(~held), order)
+    model = lm.Model(rows.filter(~held), order, whole.filter_bytes // 30)
+    assert (whole.joined, model.joined) == (False, True) and model.filter_bytes == whole.filter_bytes
     a, b = ({r["doc_id"]: r for r in m.scored(rows, held).collect()} for m in (whole, model))
-    assert a.keys() == b.keys() == set(range(len(TEXTS)))
+    assert a.keys() == b.keys() == set(range(len(TEXTS))) and whole.weight == model.weight == weight
     for i, r in a.items():
         assert tuple(b[i])[:5] == tuple(r)[:5] and (b[i]["base_score"], b[i]["score"]) == pytest.approx((r["base_score"], r["score"]))
+    apart = [abs(a[i]["score"] - x) / a[i]["n_tokens"] for i, x in enumerate(expected)]
+    assert max(apart) < 0.02 and np.mean([x < 1e-9 for x in apart]) > 0.8
+
+
+def test_weight_without_training_rows(spark):
+    """Texts that are all held out are scored with the weight of the training texts."""
+    rows = docs(spark, TEXTS)
+    both, apart = lm.Model(rows), lm.Model(rows)
+    both.scored(rows, F.lit(False)).count()
+    apart.scored(rows.limit(3), F.lit(True)).count()
+    assert both.weight == apart.weight
 
 
 def test_filter_never_misses_and_quantises():
     rng = np.random.default_rng(1)
-    h, counts = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64)), None
+    h = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    h = lm.mixed(h)
     counts = rng.integers(1, 1000, len(h))
-    f = lm.LogFrequencyFilter([lm.build_block(h[h % np.uint64(2) == p], counts[h % np.uint64(2) == p], 1 << 30) for p in (0, 1)])
+    part, keys = lm.placed(h, 2)
+    assert lm.unpacked(lm.packed(keys)).tolist() == keys.tolist()
+    f = lm.LogFrequencyFilter([lm.build_block(keys[part == p], counts[part == p], 1 << 30) for p in (0, 1)])
     assert (f.levels(h) >= lm.level_of(counts)).all()
     assert (f.levels(h) == lm.level_of(counts)).mean() > 0.98
-    assert (f.levels(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.02
+    assert (f.levels(lm.mixed(rng.integers(0, 2**63, 20_000).astype(np.uint64))) > 0).mean() < 0.02
     small = lm.build_block(h, counts, 64)
-    assert len(small) == 64  # bounded, whatever it holds
+    assert len(small) == 64  # never more than it may
+
+
+def test_word_hashes(monkeypatch):
+    """Words as bytes.split has them; equal words have equal hashes, however texts are cut into stretches."""
+    texts = ["Aa b\tC\n", "", "x" * 5000, " é  É aa", "\x0b\x0c\r\x1c a", "y" * 70, "b " * 300]
+    data = [t.encode() for t in texts]
+    words = [t.lower().split() for t in data]
+    whole = common.words_by_text(data)
+    monkeypatch.setattr(common, "STRETCH", 100)
+    monkeypatch.setattr(common, "LONG_WORD", 64)
+    parts = common.words_by_text(data)
+    of = {}
+    for own, x, y in zip(words, whole, parts, strict=True):
+        assert len(own) == len(x) == len(y)
+        for w, h, k in zip(own, x.tolist(), y.tolist(), strict=True):
+            assert of.setdefault(w, h) == h and (len(w) > 64 or h == k)
+    assert len(set(of.values())) == len(of) and len(of) > 7
+    assert common.words_by_text([]) == [] and [len(x) for x in common.words_by_text([b""])] == [0]
 
 
 def test_language_id(spark):
