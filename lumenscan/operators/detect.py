@@ -13,7 +13,9 @@ TARGET_FILE_NAMES = {"dockerfile": ("dockerfile", "containerfile"), "docker-comp
 
 
 def visited(paths: DataFrame) -> DataFrame:
-    """Paths that no pruned directory lies on."""
+    """Different paths that no pruned directory lies on. The optimizer moves filters on a path below distinct(), but not below an aggregate,
+    so what is made of a path is computed once a path and not once a row."""
+    paths = paths.select("path").distinct().groupBy("path").agg(F.max("path").alias("p")).select(F.col("p").alias("path"))
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     return paths.filter(~F.arrays_overlap(dirs, F.array(*map(F.lit, PRUNED_DIRS))))
 

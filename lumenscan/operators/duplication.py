@@ -7,6 +7,7 @@ Groups are ordered by line count, then by their first instance, and hashes are d
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,38 +44,57 @@ def tokens(line: Column) -> Column:
     return F.size(F.filter(F.split(line, r"(?U)\s+", -1), lambda t: F.octet_length(t) > 1))
 
 
-def _files(file_rows: DataFrame) -> DataFrame:
+def _renamed(all_lines: pd.Series) -> pd.Series:
+    return all_lines.map(lambda x: [renamed_identifiers(line) for line in x])
+
+
+def _files(file_rows: DataFrame, ignore_whitespace: bool = True, ignore_identifiers: bool = False) -> DataFrame:
     rows = numbered(file_rows).withColumn("raw", lines_of(F.col("content")))
-    rows = rows.select("file_ord", "path", "raw", F.transform("raw", normalized).alias("norm"))
-    sums = F.aggregate("norm", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + tokens(x))))
-    return rows.withColumn("sums", sums)  # tokens before each line
+    rows = rows.select("file_ord", "path", "raw", (F.transform("raw", normalized) if ignore_whitespace else F.col("raw")).alias("norm"))
+    if ignore_identifiers:  # names are numbered in order of appearance, which no built-in function can do
+        rows = rows.withColumn("norm", F.pandas_udf(_renamed, "array<string>")("norm"))
+    return rows
+
 
+def _token_sums(rows: DataFrame) -> DataFrame:
+    """file_ord, sums: how many tokens stand before each line of a file, and at last in all."""
+    counted = rows.select("file_ord", F.posexplode(F.transform("norm", tokens)).alias("pos", "n"))
+    upto = counted.select("file_ord", "pos", F.sum("n").over(Window.partitionBy("file_ord").orderBy("pos")).alias("s"))
+    every = upto.groupBy("file_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
+    return every.select("file_ord", F.concat(F.array(F.lit(0).cast("long")), F.transform("x", lambda r: r["s"])).alias("sums"))
 
-def blocks(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False) -> DataFrame:
-    """hash, file_ord, path, line_start, line_end, n_tokens, preview of every block that may have a twin."""
-    rows = _files(file_rows)
+
+def blocks(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False, **normalizer: bool) -> DataFrame:
+    """hash, file_ord, path, line_start, line_end, n_tokens, preview of every block that may have a twin. normalizer: ignore_whitespace (by
+    default) and ignore_identifiers (not)."""
+    rows = _files(file_rows, **normalizer)
     own = ["file_ord"] if within_files else []
     last = F.size("norm") - min_lines + 1
-    seeds = rows.filter(last >= 1).select("file_ord", F.explode(F.sequence(F.lit(1), last)).alias("at"), "norm")
-    seeds = seeds.select("file_ord", "at", F.xxhash64(F.array_join(F.slice("norm", F.col("at"), F.lit(min_lines)), "\n")).alias("seed"))
+    # seeds are made inside the array, so that a row for each does not carry the file along
+    seed = lambda at: F.xxhash64(F.array_join(F.slice("norm", at, F.lit(min_lines)), "\n"))
+    seeds = rows.filter(last >= 1).select("file_ord", F.posexplode(F.transform(F.sequence(F.lit(1), last), seed)).alias("pos", "seed")).select("file_ord", (F.col("pos") + 1).alias("at"), "seed")
     twins = seeds.groupBy("seed", *own).count().filter("count > 1").select("seed", *own)
     hits = seeds.join(twins, ["seed", *own], "left_semi").select("file_ord", "at").distinct()
     run = F.col("at") - F.row_number().over(Window.partitionBy("file_ord").orderBy("at"))
     runs = hits.withColumn("run", run).groupBy("file_ord", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    starts = runs.select("file_ord", "b", F.explode(F.sequence("a", "b")).alias("line_start"))
-    ends = starts.select("file_ord", "line_start", F.explode(F.sequence(F.col("line_start") + min_lines - 1, F.col("b") + min_lines - 1)).alias("line_end"))
-    found = ends.join(rows, "file_ord").withColumn("n_tokens", F.element_at("sums", F.col("line_end") + 1) - F.element_at("sums", F.col("line_start"))).filter(F.col("n_tokens") >= min_tokens)
-    size = F.col("line_end") - F.col("line_start") + 1
-    return found.select(
-        F.left(F.sha2(F.array_join(F.slice("norm", F.col("line_start"), size), "\n"), 256), F.lit(16)).alias("hash"), "file_ord", "path", "line_start", "line_end", "n_tokens",
-        F.array_join(F.slice("raw", F.col("line_start"), F.least(size, F.lit(3))), "\n").alias("preview"),
-    )
+    repeated = rows.join(runs.select("file_ord").distinct(), "file_ord", "left_semi")
+    size = F.col("b") - F.col("a") + min_lines
+    runs = runs.join(repeated, "file_ord").join(_token_sums(repeated), "file_ord").select("file_ord", "path", "a", "b", *[F.slice(c, F.col("a"), size + int(c == "sums")).alias(c) for c in ("norm", "raw", "sums")])
+    starts = runs.select("*", F.explode(F.sequence("a", "b")).alias("line_start")).withColumn("first", F.col("line_start") - F.col("a") + 1)
+    count = lambda end: end - F.col("line_start") + 1
+    n_tokens = lambda end: F.element_at("sums", (F.col("first") + count(end)).cast("int")) - F.element_at("sums", F.col("first").cast("int"))
+    block = lambda end: F.struct(
+        F.left(F.sha2(F.array_join(F.slice("norm", F.col("first"), count(end)), "\n"), 256), F.lit(16)).alias("hash"), end.alias("line_end"), n_tokens(end).alias("n_tokens")
+    )
+    ends = F.sequence(F.col("line_start") + min_lines - 1, F.col("b") + min_lines - 1)
+    found = starts.select("file_ord", "path", "line_start", F.array_join(F.slice("raw", F.col("first"), 3), "\n").alias("preview"), F.explode(F.transform(F.filter(ends, lambda e: n_tokens(e) >= min_tokens), block)).alias("x"))
+    return found.select("x.hash", "file_ord", "path", "line_start", "x.line_end", "x.n_tokens", "preview")
 
 
-def instances(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False) -> DataFrame:
+def instances(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False, **normalizer: bool) -> DataFrame:
     """Instances of groups with at least two, blocks merged: hash, token_count and line_count (of the group's first), file_ord, path,
     line_start, line_end, preview, and the group's first instance for ordering."""
-    found = blocks(file_rows, min_lines, min_tokens, within_files)
+    found = blocks(file_rows, min_lines, min_tokens, within_files, **normalizer)
     key = ["hash", "file_ord"] if within_files else ["hash"]
     order = Window.partitionBy("hash", "file_ord").orderBy("line_start")
     found = found.withColumn("new", (F.col("line_start") > F.coalesce(F.lag("line_end").over(order), F.lit(-(10**9))) + GAP).cast("int")).withColumn("island", F.sum("new").over(order))
@@ -86,22 +106,22 @@ def instances(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int
     return merged.drop("n_tokens", "island").join(group, key)
 
 
-def groups(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def groups(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, **normalizer: bool) -> DataFrame:
     """hash, token_count, line_count, instances, the longest first."""
-    rows = instances(file_rows, min_lines, min_tokens)
+    rows = instances(file_rows, min_lines, min_tokens, **normalizer)
     own = F.struct("file_ord", "line_start", F.col("path").alias("file_path"), "line_end", F.col("preview").alias("content_preview"))
     out = rows.groupBy("hash", "token_count", "line_count", "first_path", "first_line").agg(F.array_sort(F.collect_list(own)).alias("x"))
     shown = F.transform("x", lambda i: F.struct(i["file_path"].alias("file_path"), i["line_start"].alias("line_start"), i["line_end"].alias("line_end"), i["content_preview"].alias("content_preview")))
     return out.orderBy(F.desc("line_count"), "first_path", "first_line", "hash").select("hash", "token_count", "line_count", shown.alias("instances"))
 
 
-def percentages(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False) -> DataFrame:
+def percentages(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False, **normalizer: bool) -> DataFrame:
     """duplication_percentage, of all files together (one row) or of each by itself (file_ord).
 
     In group order an instance counts its group's line count unless it overlaps one counted before in its file: a fold over each file's
     instances."""
     rows = numbered(file_rows)
-    found = instances(rows, min_lines, min_tokens, within_files)
+    found = instances(rows, min_lines, min_tokens, within_files, **normalizer)
     item = F.struct((-F.col("line_count")).alias("by"), "first_path", "first_line", "hash", "line_start", "line_end", F.col("line_count").cast("long").alias("lines"))
     per_file = found.groupBy("file_ord").agg(F.array_sort(F.collect_list(item)).alias("x"))
     start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("taken"), F.lit(0).cast("long").alias("n"))

@@ -38,9 +38,9 @@ class AnalysisOptions:
 RULE_DDL = "rule_ord int, language string, rule_id string, category string, pattern string, message string, suggestion string, severity string, name string, cwe array<string>"
 
 
-def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions) -> DataFrame:
-    """The rules that can report anything: valid patterns (as one alternation), asked for, severe enough. Filters apply to the rules, before
-    a single line is matched."""
+def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The rules that can report anything: valid patterns (as one alternation), asked for, severe enough; and their patterns by language.
+    Filters apply to the rules, before a single line is matched."""
     rows = []
     for language in bundle.pattern_languages():
         for i, r in enumerate(bundle.patterns_for(language)):
@@ -56,7 +56,19 @@ def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions
             meta = bundle.find_rule(r["rule_id"]) or {}
             rows.append((i, language, r["rule_id"], r["category"], "|".join(good), r["message"], r.get("suggestion"), meta.get("severity"), meta.get("name"), meta.get("cwe") or []))
     out = spark.createDataFrame(rows, RULE_DDL).withColumn("severity", rule_severity(F.col("severity")))
-    return out.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(options.minimum_severity)))
+    patterns: dict[str, list[str]] = {}
+    for r in rows:
+        patterns.setdefault(r[1], []).append(r[4])
+    return out.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(options.minimum_severity))), patterns
+
+
+def may_match(patterns: dict[str, list[str]], kind: Column, content: Column) -> Column:
+    """Whether any of its kind's patterns matches the content: one constant expression a kind, compiled once, so that lines without a match
+    meet no rule at all. (Patterns that come as a column are compiled anew for each pair of a line and a rule.)"""
+    out = F.lit(False)
+    for name, own in sorted(patterns.items()):
+        out = F.when(kind == name, content.rlike("|".join(f"(?:{p})" for p in own))).otherwise(out)
+    return out
 
 
 def file_language(path: Column, bundle: RuleBundle) -> Column:
@@ -76,8 +88,8 @@ def scannable(path: Column, options: AnalysisOptions) -> Column:
     return ~is_traversal(path) & ~matches_globs(path, options.ignore_paths)
 
 
-def _matched(line_rows: DataFrame, rules: DataFrame, shell: bool) -> DataFrame:
-    found = line_rows.join(F.broadcast(rules), "language").filter(F.expr("content rlike pattern"))
+def _matched(line_rows: DataFrame, rules: DataFrame, patterns: dict[str, list[str]], shell: bool) -> DataFrame:
+    found = line_rows.filter(may_match(patterns, F.col("language"), F.col("content"))).join(F.broadcast(rules), "language").filter(F.expr("content rlike pattern"))
     number = F.least(F.col("line_number").cast("long"), F.lit(2**31 - 1)).cast("int")
     cwe = F.when(F.size("cwe") > 0, F.concat(F.lit(" [CWE: "), F.array_join("cwe", ", "), F.lit("]"))).otherwise("")
     return found.select(
@@ -90,11 +102,11 @@ def _matched(line_rows: DataFrame, rules: DataFrame, shell: bool) -> DataFrame:
 def scan_lines(line_rows: DataFrame, bundle: RuleBundle, options: AnalysisOptions | None = None) -> DataFrame:
     """Issues of lines (file_ord, path, line_number, content), shell in CI files included, with columns that keep scan order."""
     options = options or AnalysisOptions()
-    rules = rule_frame(line_rows.sparkSession, bundle, options)
+    rules, patterns = rule_frame(line_rows.sparkSession, bundle, options)
     rows = line_rows.filter("content is not null").filter(scannable(F.col("path"), options)).withColumn("language", file_language(F.col("path"), bundle)).filter("language is not null")
     # CI files are recognised by their path; their language may be another one (any YAML file)
     shell = embedded_shell(rows.select("file_ord", "path", "line_number", "content")).filter(trimmed(F.col("content")) != "").withColumn("language", F.lit("shell"))
-    return _matched(rows, rules, False).unionByName(_matched(shell, rules, True))
+    return _matched(rows, rules, patterns, False).unionByName(_matched(shell, rules, patterns, True))
 
 
 def scan_files(file_rows: DataFrame, bundle: RuleBundle, options: AnalysisOptions | None = None) -> DataFrame:

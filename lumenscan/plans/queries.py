@@ -17,7 +17,7 @@ from lumenscan.operators import autofix, detect, duplication, iac, metrics, sast
 from lumenscan.plans import analysis
 from lumenscan.sources.files import diff_chunks, diff_lines, embedded_shell, lines
 
-from . import oracle
+from . import examples, oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,45 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").selectExpr("p_partkey AS file_ord", oracle.FILE_PATH + " AS path", oracle.FILE_TEXT + " AS content")
 
 
+def ci_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_ord", oracle.CI_PATH + " AS path", oracle.CI_TEXT + " AS content")
+
+
+def _numbered_examples(spark: SparkSession, rows: list[tuple], name: str, at: str) -> DataFrame:
+    """A part's example, by its key: a few hundred rows, broadcast."""
+    return F.broadcast(spark.createDataFrame([(*r[:-1], r[-1]) for r in rows], f"{at} long, " + ("example_path string, " if len(rows[0]) == 3 else "") + f"{name} string"))
+
+
+def secret_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line a part: one that a secret rule matches, or nearly."""
+    rows = examples.secret_examples()
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), (F.col("p_partkey") % len(rows)).alias("i"))
+    found = parts.join(_numbered_examples(spark, rows, "content", "i"), "i")
+    return found.select("file_ord", F.format_string("src/app/f%d.env", "file_ord").alias("path"), F.lit(1).alias("line_number"), "content")
+
+
+def secret_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a part of two example lines, in folders that are ignored, by default or on request, or not."""
+    rows = examples.secret_examples()
+    parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("i"), ((F.col("p_partkey") * 7 + 2) % len(rows)).alias("j"))
+    found = parts.join(_numbered_examples(spark, rows, "one", "i"), "i").join(_numbered_examples(spark, rows, "two", "j"), "j")
+    return found.selectExpr("p_partkey AS file_ord", oracle.SECRET_FILE_PATH + " AS path", "concat(one, chr(10), 'plain', chr(13), chr(10), two, chr(10)) AS content")
+
+
+def iac_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = examples.iac_examples()
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), (F.col("p_partkey") % len(rows)).alias("i"))
+    found = parts.join(_numbered_examples(spark, rows, "content", "i"), "i")
+    return found.select("file_ord", F.format_string("d%d/%s", "file_ord", "example_path").alias("path"), F.lit(1).alias("line_number"), "content")
+
+
+def iac_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = examples.iac_examples()
+    parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("i"), ((F.col("p_partkey") + 2) % len(rows)).alias("j"))
+    found = parts.join(_numbered_examples(spark, rows, "one", "i"), "i").join(_numbered_examples(spark, rows, "two", "j").drop("example_path"), "j")
+    return found.selectExpr("p_partkey AS file_ord", f"concat({oracle.IAC_FILE_DIR}, example_path) AS path", "concat(one, chr(10), two, chr(10), chr(10), one, chr(10)) AS content")
+
+
 # --- sources ---
 
 
@@ -86,8 +125,12 @@ def diff_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ci_shell_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_ord", oracle.CI_PATH + " AS path", oracle.CI_TEXT + " AS content")
-    return embedded_shell(lines(rows)).select("path", F.col("line_number").cast("long").alias("line_number"), "content")
+    return embedded_shell(lines(ci_files(spark, sf_dir))).select("path", F.col("line_number").cast("long").alias("line_number"), "content")
+
+
+def ci_shell_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules for shell, over the shell in CI files."""
+    return sast.scan_files(ci_files(spark, sf_dir), RuleBundle()).select("rule_id", "file_path", "line_start", "severity", "title", "code_snippet")
 
 
 # --- scalar functions ---
@@ -111,6 +154,11 @@ def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ignored_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").selectExpr(oracle.GLOB_PATH + " AS path").distinct()
+    return rows.select("path", P.matches_globs(F.col("path"), ["src/gen/*", "*.min.js", "docs/**", "lib/[tz]*"]).alias("ignored"))
+
+
 def severity_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
     rows = _table(spark, sf_dir, "orders").selectExpr(oracle.SEVERITY + " AS s").distinct()
@@ -136,6 +184,18 @@ def secrets_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_contents(document_files(spark, sf_dir)).select("rule_id", "file_path", "line_number", "severity", "masked_text", F.round("confidence", 6).alias("confidence"))
 
 
+def secret_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the catalog on a line made for it and on a near miss."""
+    found = secrets.finding_rows(secrets.line_matches(secret_catalog_lines(spark, sf_dir)))
+    return found.select("rule_id", "file_path", "severity", "provider", "matched_text", "masked_text", F.round("confidence", 6).alias("confidence"))
+
+
+def secrets_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as from a directory: ignored paths, and the first finding of each file that is severe enough."""
+    options = secrets.ScanOptions(ignore_paths=["skip/"], max_findings=1, minimum_severity="medium")
+    return secrets.scan_files(secret_files(spark, sf_dir), options).select("rule_id", "file_path", "line_number", "severity")
+
+
 def secret_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.rule_stats(spark)
 
@@ -166,10 +226,26 @@ def iac_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iac_in_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = secrets.ScanOptions(iac_types=["dockerfile", "terraform"], minimum_severity="high", max_findings=50)
+    options = secrets.ScanOptions(iac_types=["dockerfile", "terraform"], minimum_severity="high")
     return iac.scan_lines(iac_lines(spark, sf_dir), options).select("rule_id", "file_path", "line_number", "severity", "iac_type")
 
 
+def iac_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = iac.finding_rows(iac.line_matches(iac_catalog_lines(spark, sf_dir)))
+    return found.select("rule_id", "file_path", "severity", "iac_type", "matched_pattern", "source")
+
+
+def iac_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as from a directory, at most two findings of each."""
+    options = secrets.ScanOptions(ignore_paths=["skip/"], max_findings=2)
+    return iac.scan_files(iac_files(spark, sf_dir), options).select("rule_id", "file_path", "line_number", "severity")
+
+
+def iac_file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.iac_issues(iac_files(spark, sf_dir))
+    return found.groupBy("rule_id", "severity", "category", "title", "description", "source").agg(F.count("*").alias("issues"))
+
+
 def iac_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iac.rule_stats(spark)
 
@@ -211,6 +287,14 @@ def file_length_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.alerts(measures, metrics.Thresholds(file_length=(20, 60))).select("metric_type", "level", "file_path", "current_value", "threshold", "message")
 
 
+def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of alerts at their own thresholds, over a measure a line item."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr(
+        oracle.MEASURE_KIND + " AS metric_type", "concat('f', l_partkey) AS file_path", "CASE WHEN l_orderkey % 8 >= 4 THEN concat('fn', l_suppkey % 7) END AS function_name", "cast(l_linenumber AS int) AS line_number", oracle.MEASURE + " AS value",
+    )
+    return metrics.alerts(rows)
+
+
 def pr_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity")).cast("long").alias("n"))
     return changes.select(F.col("l_suppkey").alias("change"), metrics.pr_size(F.col("n") % 1500).alias("size"))
@@ -234,6 +318,11 @@ def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("hash", "line_count", "token_count").agg(F.count("*").alias("n")).groupBy("line_count", "token_count", "n").agg(F.count("*").alias("n_groups"))
 
 
+def duplicate_blocks_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of equal blocks of code whose white space counts."""
+    return duplication.instances(code_files(spark, sf_dir), ignore_whitespace=False).select("hash", "path", "line_start", "line_end", "line_count", "token_count")
+
+
 def duplicate_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplication.percentages(document_files(spark, sf_dir)).select(F.round("duplication_percentage", 6).alias("duplication_percentage"))
 
@@ -263,9 +352,9 @@ def project_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    file_length_alerts, lines_of_documents, diff_added_lines, diff_all_lines, diff_chunk_sizes, ci_shell_lines, text_functions, path_functions, severity_functions, secrets_in_lines, secrets_in_diff,
-    secrets_in_documents, secret_rule_stats, secret_issues, secret_rotation, entropy_tokens, iac_in_lines, iac_in_diff, iac_rule_stats, code_issues, code_issues_ranked, code_fixes, diff_analysis,
-    document_loc, code_loc, pr_sizes, function_metrics, file_metrics, change_summary, duplicate_blocks, duplicate_share, project_list, project_languages, project_targets, project_profile, project_builds,
+    file_length_alerts, lines_of_documents, diff_added_lines, diff_all_lines, diff_chunk_sizes, ci_shell_lines, ci_shell_issues, text_functions, path_functions, ignored_globs, severity_functions, secrets_in_lines, secrets_in_diff,
+    secrets_in_documents, secret_catalog, secrets_in_files, secret_rule_stats, secret_issues, secret_rotation, entropy_tokens, iac_in_lines, iac_in_diff, iac_catalog, iac_in_files, iac_file_issues, iac_rule_stats, code_issues, code_issues_ranked, code_fixes, diff_analysis,
+    document_loc, code_loc, pr_sizes, threshold_alerts, function_metrics, file_metrics, change_summary, duplicate_blocks, duplicate_blocks_as_written, duplicate_share, project_list, project_languages, project_targets, project_profile, project_builds,
 )
 
 

@@ -91,6 +91,15 @@ def test_duplication(spark):
     assert duplication.percentages(files(spark, [("a", "")])).first()[0] == 0.0
 
 
+def test_duplication_of_renamed_code(spark):
+    """Files that differ in names only are duplicates if identifiers are ignored; white space counts if it is not."""
+    rows = files(spark, [("a.rs", BLOCK), ("b.rs", BLOCK.replace("value", "other_name").replace("compute", "work")), ("c.rs", BLOCK.replace(" = ", "  = "))])
+    pairs = lambda **options: {tuple(i["file_path"] for i in g["instances"]) for g in duplication.groups(rows, 11, 10, **options).collect()}
+    assert pairs() == {("a.rs", "c.rs")} and pairs(ignore_identifiers=True) == {("a.rs", "b.rs", "c.rs")}
+    assert pairs(ignore_whitespace=False) == set()
+    assert duplication.renamed_identifiers("let foo = bar(foo, 1);") == "let $_1 = $_2($_1, 1);"
+
+
 def test_duplication_against_all_windows(spark):
     """Every window, normalized and grouped, as the definition has it."""
     texts = {"a": "q\n" + BLOCK + "z\n", "b": BLOCK + BLOCK, "c": "one two\n" * 30}
