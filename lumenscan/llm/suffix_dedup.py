@@ -3,7 +3,9 @@
 Initial buckets are q-grams (Q bytes). Not every suffix is sorted: of the q-grams inside a string of LENGTH bytes, the one of least hash
 (the leftmost of equal ones) is the string's anchor. Equal strings have equal anchors at equal offsets, so only strings in the same
 anchor bucket need comparing, and a text has about one anchor in 75 bytes. Buckets with one member hold no repeat: a Bloom filter of
-the others, of bounded size, leaves them out where the texts are (its false positives cost time, not results).
+the others, with as many bits for each at every size, leaves them out where the texts are (its false positives cost time, not results).
+A filter of up to MAX_BROADCAST_BYTES is broadcast; beyond, the distinct anchors of each chunk of texts are shuffled to its blocks, and
+the chunk's texts to the answers.
 
 What is left of a text are contexts: an anchor with the stretch of strings it stands for. Equal contexts are counted where they arise
 and travel once a task. A bucket's contexts are refined together: the bucket identifier of a position (its q-gram) is paired with that
@@ -24,12 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, ODD, STRETCH, lean, mixed, powers, shuffle_parts, staged, table, unused, utf8
-from .lm import LogFrequencyFilter, build_block
+from .common import BYTE_VALUE, ODD, STRETCH, lean, mixed, parts_of, powers, shuffle_parts, staged, table, unused, utf8
+from .lm import MAX_BLOCK_BYTES, LogFrequencyFilter, build_block, packed, placed, unpacked
 
 LENGTH = 200
 Q = LENGTH // 4
@@ -37,9 +41,12 @@ Q = LENGTH // 4
 GRAMS = LENGTH - Q + 1
 #: Texts are looked at in pieces of so many strings, long ones in several.
 PIECE, CHUNK = 1 << 19, 1 << 20
-MAX_FILTER_BYTES = 128 << 20
-#: A bucket with more different contexts than this is compared string by string.
-HOT_CONTEXTS = 50_000
+MAX_BROADCAST_BYTES = 128 << 20
+#: Bytes of text a part of the filter, and of a chunk of texts.
+PART_BYTES, CHUNK_BYTES = 256 << 20, 8 << 20
+#: A bucket with more different contexts than this (some 270 bytes each) is compared string by string, so that a part's task holds little
+#: of any one bucket.
+HOT_CONTEXTS = 4_000
 FLUSH_BYTES = 12 << 20
 _U64 = np.uint64
 
@@ -105,20 +112,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
 
-def repeated_anchors(docs: DataFrame, max_bytes: int) -> LogFrequencyFilter:
-    """A filter of the anchors that occur more than once, from counts over all texts."""
-    parts = max(64, 2 * shuffle_parts(docs.sparkSession))
+def repeated_anchors(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The filter of the anchors that occur more than once, from counts over all texts: (part, block) rows, and the number of parts."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(utf8("text"))), F.lit(0))).first()[0]
+    parts = 1 << (max(64, 2 * shuffle_parts(docs.sparkSession), -(-size // PART_BYTES)) - 1).bit_length()
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, size = Rolling(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            part = h % _U64(parts)
+            part, keys = placed(h, parts)
             by = np.argsort(part, kind="stable")
-            h, many, cuts = h[by], (n[by] > 1).astype("u1"), np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64))
+            keys, many, cuts = keys[by], (n[by] > 1).astype("u1"), np.searchsorted(part[by], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(cuts)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()), pa.array([many[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "hashes", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(keys[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()), pa.array([many[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "keys", "many"])
 
         for batch in source:
             for chunk in pieces(batch.column(0).to_pylist()):
@@ -130,70 +138,128 @@ def repeated_anchors(docs: DataFrame, max_bytes: int) -> LogFrequencyFilter:
         if held:
             yield from flush()
 
-    counts = docs.select(utf8("text").alias("text")).mapInArrow(lean(count), "part int, hashes binary, many binary")
-    blocks = staged(counts.groupBy("part").applyInArrow(_block_of(max_bytes // parts), "part int, block binary"), "anchor-filter").toArrow()
-    at = {p: i for i, p in enumerate(blocks.column(0).to_pylist())}
-    return LogFrequencyFilter([memoryview(blocks.column(1)[at[p]].as_buffer()) if p in at else b"\0" * 8 for p in range(parts)])
+    counts = docs.select(utf8("text").alias("text")).mapInArrow(lean(count), "part int, keys binary, many binary")
+    return staged(counts.groupBy("part").applyInArrow(_block, "part int, block binary"), "anchor-filter"), parts
 
 
-def _block_of(max_bytes: int):
-    def block(t: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()])
-        many = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("many").to_pylist()])
-        h, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-        more = np.bincount(inverse, many, len(h)) > 0
-        kept = h[(n > 1) | more]
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "block": pa.array([build_block(kept, np.ones(len(kept), np.int64), max_bytes)], pa.binary())})
-
-    return block
+def _block(t: pa.Table) -> pa.Table:
+    keys = np.concatenate([unpacked(x) for x in t.column("keys").to_pylist()])
+    many = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("many").to_pylist()])
+    keys, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+    kept = keys[(n > 1) | (np.bincount(inverse, many, len(keys)) > 0)]
+    return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "block": pa.array([build_block(kept, np.ones(len(kept), np.int64), MAX_BLOCK_BYTES)], pa.binary())})
 
 
 CONTEXT_DDL = "key binary, contexts array<long>, firsts array<int>, id long, anchor long, part int, context binary, times long"
 _CONTEXT = pa.schema([("key", pa.binary()), ("contexts", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("id", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("context", pa.binary()), ("times", pa.int64())])
 
 
-def contexts(docs: DataFrame, repeated: LogFrequencyFilter, parts: int) -> DataFrame:
+def _contexts_of(keys: list[bytes], texts: list[bytes], known: LogFrequencyFilter | Members, parts: int, met: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    """A row for each text with candidates: its contexts and where their first strings start. The contexts themselves go into met."""
+    rolling = Rolling()
+    of: dict[int, tuple[list, list]] = {}
+    for chunk in pieces(texts):
+        piece, first, runs, hashes, data, starts = anchors(chunk, rolling)
+        some = np.flatnonzero(known.levels(hashes) > 0)
+        raw = data.tobytes()
+        for p, f, n, h in zip(piece[some].tolist(), first[some].tolist(), runs[some].tolist(), hashes[some].tolist(), strict=True):
+            context = raw[f : f + n + LENGTH - 1]
+            i = xxhash.xxh3_64_intdigest(context) - (1 << 63)
+            ids, firsts = of.setdefault(chunk[p][0], ([], []))
+            ids.append(i)
+            firsts.append(chunk[p][1] + f - int(starts[p]))
+            if i in met:
+                met[i][3] += 1
+            else:
+                met[i] = [h - (1 << 63), h % parts, context, 1]
+    yield pa.RecordBatch.from_pylist([{"key": keys[d], "contexts": ids, "firsts": firsts} for d, (ids, firsts) in of.items()], schema=_CONTEXT)
+
+
+def _met_rows(met: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    """Each context with how often it was met."""
+    rows = [{"id": i, "anchor": a, "part": p, "context": c, "times": n} for i, (a, p, c, n) in met.items()]
+    for k in range(0, len(rows), 20_000):
+        yield pa.RecordBatch.from_pylist(rows[k : k + 20_000], schema=_CONTEXT)
+
+
+def contexts(docs: DataFrame, blocks: DataFrame, filter_parts: int, parts: int, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Two kinds of rows: for each text with candidates its contexts and where their first strings start; and, once a task, each
     context with how often it was met."""
-    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
+    if size > max_broadcast_bytes:
+        return _contexts_by_join(docs, blocks, filter_parts, parts)
+    found = blocks.toArrow()
+    at = {p: i for i, p in enumerate(found.column(0).to_pylist())}
+    shared = docs.sparkSession.sparkContext.broadcast(LogFrequencyFilter([memoryview(found.column(1)[at[p]].as_buffer()) if p in at else b"\0" * 8 for p in range(filter_parts)]))
 
     def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, known, met, size = Rolling(), shared.value, {}, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = [{"id": i, "anchor": a, "part": p, "context": c, "times": n} for i, (a, p, c, n) in met.items()]
-            for k in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_pylist(rows[k : k + 20_000], schema=_CONTEXT)
-
+        known, met = shared.value, {}
         for batch in source:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            of: dict[int, tuple[list, list]] = {}
-            for chunk in pieces(texts):
-                piece, first, runs, hashes, data, starts = anchors(chunk, rolling)
-                some = np.flatnonzero(known.levels(hashes) > 0)
-                raw = data.tobytes()
-                for k, p, f, n, h in zip(some.tolist(), piece[some].tolist(), first[some].tolist(), runs[some].tolist(), hashes[some].tolist(), strict=True):
-                    context = raw[f : f + n + LENGTH - 1]
-                    i = xxhash.xxh3_64_intdigest(context) - (1 << 63)
-                    ids, firsts = of.setdefault(chunk[p][0], ([], []))
-                    ids.append(i)
-                    firsts.append(chunk[p][1] + f - int(starts[p]))
-                    if i in met:
-                        met[i][3] += 1
-                    else:
-                        met[i] = [h - (1 << 63), h % parts, context, 1]
-                        size += len(context) + 200
-                if size >= FLUSH_BYTES:
-                    yield from flush()
+            for own in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 1_000, CHUNK_BYTES // 4):
+                yield from _contexts_of(batch.column(0)[own].to_pylist(), batch.column(1)[own].to_pylist(), known, parts, met)
+                if len(met) * (LENGTH + 300) >= FLUSH_BYTES:
+                    yield from _met_rows(met)
                     met.clear()
-                    size = 0
-            yield pa.RecordBatch.from_pylist([{"key": keys[d], "contexts": ids, "firsts": firsts} for d, (ids, firsts) in of.items()], schema=_CONTEXT)
-        if met:
-            yield from flush()
+        yield from _met_rows(met)
 
     return _keyed(docs).mapInArrow(lean(find), CONTEXT_DDL)
 
 
+def _contexts_by_join(docs: DataFrame, blocks: DataFrame, filter_parts: int, parts: int) -> DataFrame:
+    """The same where the filter is too large to be broadcast: chunks of texts are written, their distinct anchors go to the blocks, and
+    chunks and answers meet."""
+
+    def pack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in source:
+            for own in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 1_000, CHUNK_BYTES):
+                n = own.stop - own.start
+                yield pa.RecordBatch.from_arrays([pa.array([number] * n), batch.column(0)[own], batch.column(1)[own]], ["chunk", "key", "text"])
+                number += 1
+
+    def probe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in source:
+            chunk = np.asarray(batch.column(0))
+            for c in np.unique(chunk).tolist():  # a batch's end may cut a chunk; then it asks twice
+                h = np.unique(np.concatenate([np.empty(0, np.uint64), *(anchors(x, rolling)[3] for x in pieces(batch.column(1).filter(pa.array(chunk == c)).to_pylist()))]))
+                part, keys = placed(h, filter_parts)
+                for p in np.unique(part).tolist():
+                    own = part == p
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([c]), pa.array([packed(keys[own])], pa.binary()), pa.array([h[own].tobytes()], pa.binary())], ["part", "chunk", "keys", "hashes"])
+
+    def look_up(asked: pa.Table, block: pa.Table) -> pa.Table:
+        known = LogFrequencyFilter([block.column("block")[0].as_py() if block.num_rows else b"\0" * 8])
+        out = []
+        for keys, hashes in zip(asked.column("keys").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+            keys = unpacked(keys)
+            out.append(np.frombuffer(hashes, np.uint64)[known.levels_at(np.zeros(len(keys), np.int64), keys) > 0].tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "hashes": pa.array(out, pa.binary())})
+
+    def find(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        known, met = Members(np.frombuffer(b"".join(answers.column("hashes").to_pylist()), np.uint64)), {}
+        rows = list(_contexts_of(chunk.column("key").to_pylist(), chunk.column("text").to_pylist(), known, parts, met))
+        return pa.Table.from_batches([*rows, *_met_rows(met)], schema=_CONTEXT)
+
+    chunks = staged(_keyed(docs).mapInArrow(lean(pack), "chunk long, key binary, text binary"), "anchor-chunks", row_group=32 << 20)
+    probes = chunks.select("chunk", "text").mapInArrow(lean(probe), "part int, chunk long, keys binary, hashes binary")
+    answers = probes.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(look_up, "chunk long, hashes binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(find, CONTEXT_DDL)
+
+
+class Members:
+    """A filter that knows its members one by one."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return (self.hashes[at] == hashes).astype(np.int64)
+
+
 def refine(texts: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(context, string) of every string of LENGTH bytes in the contexts that occurs more than once, contexts counting `times`."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -275,7 +341,8 @@ def covers(found: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(key, spans): for each different text with a repeat, its repeated bytes as pairs of start and end, unmerged, in a flat array."""
     parts = max(64, 8 * shuffle_parts(docs.sparkSession))
-    found = staged(contexts(docs, repeated_anchors(docs, MAX_FILTER_BYTES), parts), "contexts", row_group=32 << 20)
+    blocks, filter_parts = repeated_anchors(docs)
+    found = staged(contexts(docs, blocks, filter_parts, parts, MAX_BROADCAST_BYTES), "contexts", row_group=32 << 20)
     cover = staged(covers(found), "covers")
     texts = found.filter("key is not null").groupBy("key").agg(F.first(F.struct("contexts", "firsts")).alias("x"))
     places = texts.select("key", F.explode(F.arrays_zip(F.col("x.contexts").alias("id"), F.col("x.firsts").alias("at"))).alias("p")).select("key", F.col("p.id").alias("id"), F.col("p.at").alias("at"))
