@@ -85,13 +85,14 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier | None:
-    """labelled: doc_id, text, lang. Each language gives an equal share of the sample, its texts of smallest hash."""
+    """labelled: doc_id, text, lang. Each language gives an equal share of the sample, its rows of smallest hash; rows of one id and text
+    count once, so that the sample is bounded however often one repeats."""
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect() if r[0] is not None}
     if not counts:
         return None
     share = max(1, sample_docs // len(counts))
-    pick = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
-    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, 1.2 * share / n)) + 1))])
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40))
+    limit = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int((1 << 40) * min(1.0, 1.2 * share / n)) + 1))])
 
     def encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -99,7 +100,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier | Non
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["k", "lang", "bits"])
 
-    sample = labelled.filter(pick < limit[F.col("lang")]).select(pick.alias("k"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sample = labelled.filter(pick < limit[F.col("lang")]).select(pick.alias("k"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropDuplicates(["k", "lang"])
     found = sorted((r[1], r[0], bytes(r[2])) for r in sample.mapInArrow(lean(encode), "k long, lang string, bits binary").collect())
     taken: dict[str, int] = {}
     rows, labels = [], []

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import struct
 import zlib
@@ -163,6 +164,20 @@ def test_language_id(spark):
     assert by[240]["score"] == 0 and all(0 <= r["score"] <= 1 for r in found)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no tables")
+def test_language_id_held_out_accuracy(spark):
+    """The query over the driver's documents: the fold that it has not learnt from."""
+    found = langid.op4_language_id(spark, "/root/testdata/sf0.01").filter("held_out")
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null").select("doc_id", "lang").join(found, "doc_id").filter("lang_pred != 'und'").collect()
+    assert len(rows) > 150 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+
+
+def test_language_sample_is_bounded(spark):
+    """A labelled row that fills a third of the table comes into the sample once."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'the same text', concat('words number ', id)) as text", "'en' as lang")
+    assert langid.fit(rows, sample_docs=50) is not None
+
+
 def test_language_id_without_labels(spark):
     rows = docs(spark, ["some text"]).withColumn("lang", F.lit(None).cast("string"))
     assert langid.trained(rows) is None
