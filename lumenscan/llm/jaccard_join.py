@@ -4,9 +4,9 @@ If two sets are similar enough, then under any global order of tokens each has,
 other has among its first ones. Three orders are used. The first puts rare tokens first, by a sketch of token counts of fixed size (any
 function of the token is a valid order, so the sketch's errors cost time, not results); its prefixes go into an inverted index that
 makes the candidates. The other two are by hashes that have nothing to do with it, so that a pair that shares a rare token by chance,
-or a passage, seldom passes them too: a class carries its prefixes under them as 32-bit signatures (shortening a token can only let
-more pass), and a pair whose signatures do not meet under both is dropped before any text is fetched. Long lists are divided by the
-second order's prefix tokens, so that only classes that share a token under both orders become pairs.
+or a passage, seldom passes them too. A class carries its prefixes under them as 32-bit signatures (shortening a token can only let more
+pass), and a pair that does not meet under both is dropped before any text is fetched. Long lists are divided by the second order's prefix
+tokens, so that only classes that share a token under both orders become pairs.
 
 Documents with equal sets form one class from the start. A posting list does not emit its pairs: first each class is compared with two
 of the least classes of its lists only. That joins most near copies into components. Then classes are compared with the other least
@@ -41,8 +41,9 @@ FLUSH_TOKENS = 500_000
 LONG_LIST = 1_000_000
 #: So many of a class's least tokens travel with it in the last round.
 HEAD_TOKENS = 24
-#: In the last round, lists of more classes are divided by the second order's prefix tokens.
-WHOLE_LIST = 32
+#: In the last round, lists of more classes are divided by the second order's prefix tokens: a pair is screened in a fraction of the time
+#: that it takes to deal a class out by each of its tokens.
+WHOLE_LIST = 2_000
 _U64 = np.uint64
 _BITS = [f"b{i}" for i in range(8)]
 
@@ -194,19 +195,17 @@ def _may_link(a: str, b: str, threshold: int) -> Column:
     return (100 * F.least(f"{a}n", f"{b}n") >= threshold * F.greatest(f"{a}n", f"{b}n")) & (differ * (100 + threshold) <= (100 - threshold) * total)
 
 
-def _screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """pairs (a, b) that sizes and bitmaps allow."""
-    own = classes.select("cls", "n", *_BITS)
-    left = own.select(F.col("cls").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *_BITS)])
-    right = own.select(F.col("cls").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", *_BITS)])
-    return pairs.join(left, "a").join(right, "b").filter(_may_link("a_", "b_", threshold)).select("a", "b")
+def _in_orders() -> Column:
+    """The pair shares prefix tokens under the second and third order."""
+    return F.arrays_overlap("a_s1", "b_s1") & F.arrays_overlap("a_s2", "b_s2")
 
 
-def _in_orders(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) that share prefix tokens under the other orders as well, as far as signatures tell."""
-    left, right = (classes.select(F.col("cls").alias(x), F.col("s1").alias(f"{x}_1"), F.col("s2").alias(f"{x}_2")) for x in ("a", "b"))
-    both = F.arrays_overlap("a_1", "b_1") & F.arrays_overlap("a_2", "b_2")
-    return pairs.join(left, "a").join(right, "b").filter(both).select("a", "b")
+def _screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """pairs (a, b) that sizes and bitmaps allow, and that share prefix tokens under the second and third order."""
+    carried = ("n", *_BITS, "s1", "s2")
+    left, right = (classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in carried]) for x in ("a", "b"))
+    allowed = F.when(_may_link("a_", "b_", threshold), _in_orders()).otherwise(False)
+    return pairs.join(left, "a").join(right, "b").filter(allowed).select("a", "b")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
@@ -216,10 +215,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int
 
     def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            keep = []
             for chosen in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 500):
-                keep += [class_of(x) == c for c, x in zip(batch.column(0)[chosen].to_pylist(), token_sets(batch.column(1)[chosen].to_pylist(), n_words), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                part = batch.slice(chosen.start, chosen.stop - chosen.start)
+                sets = token_sets(part.column(1).to_pylist(), n_words)
+                yield part.filter(pa.array([class_of(x) == c for c, x in zip(part.column(0).to_pylist(), sets, strict=True)], pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text"))
     texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
@@ -283,14 +282,14 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     stars = stars.select(F.explode("leaders").alias("a"), F.col("cls").alias("b"))
     tops = lists.filter("split").groupBy("token").agg(F.min("leader").alias("a"))
     tops = lists.filter("split").select("token", F.col("leader").alias("b")).distinct().join(tops, "token").filter("a != b").select("a", "b")
-    tried = staged(_in_orders(_screened(stars.unionByName(tops).distinct(), classes, threshold), classes), "join-pairs")
+    tried = staged(_screened(stars.unionByName(tops).distinct(), classes, threshold), "join-pairs")
     comps = staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "join-components")
     comps = merged_components(comps, staged(verified(tried, classes, docs, n_words, threshold), "join-links"))
 
     # classes that are still apart from others of the least ones of their lists
     led = lists.join(comps, "cls").join(comps.select(F.col("cls").alias("leader"), F.col("comp").alias("leader_comp")), "leader").filter("comp != leader_comp")
     led = led.select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = staged(_in_orders(_screened(led, classes, threshold), classes), "join-pairs")
+    more = staged(_screened(led, classes, threshold), "join-pairs")
     if not more.isEmpty():
         tried = tried.unionByName(more)
         comps = merged_components(comps, staged(verified(more, classes, docs, n_words, threshold), "join-links"))
@@ -301,19 +300,20 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     rows = placed.join(apart, "token")
     # with the least of each class's tokens, a pair that shares many need not come up at each: it does at the least one they share
     heads = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEAD_TOKENS).alias("head"))
-    rows = staged(rows.join(heads, "cls").join(classes.select("cls", "n", *_BITS), "cls"), "join-apart")
+    rows = staged(rows.join(heads, "cls").join(classes.select("cls", "n", *_BITS, "s1", "s2"), "cls"), "join-apart")
     # a long list is a list for each of the second order's prefix tokens in it
-    second = rows.filter(F.col("k") > whole_list).join(classes.select("cls", F.explode("s1").alias("second")), "cls")
-    several = second.groupBy("token", "second").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token", "second")
-    second = second.join(several, ["token", "second"]).drop("k")
-    whole = rows.filter(F.col("k") <= whole_list).drop("k").withColumn("second", F.lit(0))  # a token is here or there, never both
-    rows = whole.unionByName(second)
-    one = rows.select("token", "second", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
-    two = rows.select("token", "second", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "head", "n", *_BITS)])
-    shared_before = F.coalesce(F.array_min(F.array_intersect("a_head", "b_head")) < F.col("token"), F.lit(False))
+    long, rows = rows.filter(F.col("k") > whole_list), rows.filter(F.col("k") <= whole_list).drop("k").withColumns({"second": F.lit(0), "second_head": F.array().cast("array<int>")})
+    if not long.isEmpty():
+        second = long.withColumn("second_head", F.slice(F.sort_array("s1"), 1, HEAD_TOKENS)).select("*", F.explode("s1").alias("second")).drop("k")
+        several = second.groupBy("token", "second").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token", "second")
+        rows = rows.unionByName(second.join(several, ["token", "second"]))  # a token's list is whole or divided, never both
+    one = rows.select("token", "second", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "head", "second_head", "n", *_BITS, "s1", "s2")])
+    two = rows.select("token", "second", *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "head", "second_head", "n", *_BITS, "s1", "s2")])
+    earlier = lambda heads, at: F.coalesce(F.array_min(F.array_intersect(f"a_{heads}", f"b_{heads}")) < F.col(at), F.lit(False))
+    shared_before = earlier("head", "token") | earlier("second_head", "second")
     wanted = (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _may_link("a_", "b_", threshold)
-    more = one.join(two, ["token", "second"]).filter(F.when(wanted, ~shared_before).otherwise(False))
-    more = _in_orders(more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct(), classes)
+    more = one.join(two, ["token", "second"]).filter(F.when(wanted, ~shared_before & _in_orders()).otherwise(False))
+    more = more.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(more.join(tried, ["a", "b"], "left_anti"), "join-pairs")
     if not more.isEmpty():
