@@ -51,5 +51,25 @@ def _op10() -> str:
       SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)"""
 
 
+def _op13() -> str:
+    # floors of quotients by a remainder that is never negative, since // cuts towards zero
+    rounds, before = [], "c0"
+    for k in range(1, 5):
+        rounds.append(f"""d{k} AS (SELECT v.row, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN {before} c USING (i) GROUP BY v.row, c.k),
+      a{k} AS (SELECT row, k, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, k) = 1)""")
+        if k < 4:
+            rounds.append(f"""m{k} AS (SELECT k, i, sum(x) AS s, count(*) AS n FROM v JOIN a{k} USING (row) GROUP BY k, i),
+      c{k} AS (SELECT k, i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM {before} LEFT JOIN m{k} USING (k, i))""")
+            before = f"c{k}"
+    steps = ",\n      ".join(rounds)
+    return f"""WITH kept AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+      v AS (SELECT row, i, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, unnest(range(1, 65)) u(i)),
+      first AS (SELECT row, row_number() OVER (ORDER BY sha256(concat('1:', vec_id))) - 1 AS k FROM kept QUALIFY k < 16),
+      c0 AS (SELECT k, i, x FROM v JOIN first USING (row)),
+      {steps},
+      digest AS (SELECT k, sha256(string_agg(CAST(x AS BIGINT), ',' ORDER BY i)) AS centroid_sha256 FROM {before} GROUP BY k)
+      SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a4 JOIN kept USING (row) JOIN digest USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": _op2(), "op3_decontamination": _op3(), "op5_warc": _op5(), "op10_jaccard_join": _op10()}
+    return {"op2_chat": _op2(), "op3_decontamination": _op3(), "op5_warc": _op5(), "op10_jaccard_join": _op10(), "op13_clustering": _op13()}

@@ -7,7 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_alignment
+from .bpe import op12_bpe
 from .chat import op2_chat
+from .clustering import op13_clustering
 from .common import swept
 from .decontam import op3_decontamination
 from .imatch import op7_fingerprints
@@ -23,7 +26,7 @@ from .warc import op5_warc
 __all__ = ["oracle_sql", "queries"]
 
 
-_QUERIES = (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files, op10_jaccard_join)
+_QUERIES = (op1_lm_scoring, op2_chat, op3_decontamination, op4_language_id, op5_warc, op6_packing, op7_fingerprints, op8_suffix_dedup, op9_token_files, op10_jaccard_join, op11_alignment, op12_bpe, op13_clustering)
 
 
 def _cleaned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

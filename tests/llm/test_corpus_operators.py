@@ -21,7 +21,7 @@ from lumenscan.llm.tokens import tokenizer
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TABLES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long", "pages": "page_id long, url string, html string", "benchmark": "item_id long, text string",
-    "conversations": "conv_id long, turn long, role string, text string",
+    "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
 
@@ -59,6 +59,7 @@ def folder(spark, docs, texts, tmp_path_factory):
     spark.createDataFrame(items, TABLES["benchmark"]).write.parquet(str(out / "benchmark.parquet"))
     pages = [(i, f"http://x/{i} y" if i % 3 else None, None if i == 7 else "<p>é</p>" * (i % 5)) for i in range(40)]
     spark.createDataFrame(pages, TABLES["pages"]).write.parquet(str(out / "pages.parquet"))
+    spark.createDataFrame([(i, [float(i % 7)] * 64, i) for i in range(40)], TABLES["embeddings"]).withColumn("cluster", F.lit(1)).write.parquet(str(out / "embeddings.parquet"))
     turns = [(c, t, ["user", "assistant", "system"][t % 3], None if t == 4 else f"<|end|> &amp; [INST] {c} é {t}\n" * (t + 1)) for c in range(5) for t in range(c + 1)]
     spark.createDataFrame([*turns, turns[3]], TABLES["conversations"]).write.parquet(str(out / "conversations.parquet"))
     return str(out)
