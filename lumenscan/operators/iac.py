@@ -8,32 +8,35 @@ from pyspark.sql import functions as F
 from lumenscan.catalog.loader import IacRule, builtin_iac_rules, java_regex
 from lumenscan.functions.paths import IAC_IGNORED, IAC_TYPES, iac_type, iac_type_named, is_traversal
 from lumenscan.functions.text import IAC_PLACEHOLDERS, is_placeholder, known_severity
+from lumenscan.operators.matching import tested
 from lumenscan.operators.secrets import ScanOptions, by_severity, first_findings, scannable, selected
 from lumenscan.sources.files import lines
 
 DEFAULT_SUGGESTION = "Review and fix this security issue."
 CONFIDENCE = 0.90
-RULE_DDL = "rule_ord int, pattern_ord int, iac_type string, rule_id string, title string, message string, severity string, suggestion string, rule_source string, pattern string"
+RULE_DDL = "pattern_no int, iac_type string, rule_id string, title string, message string, severity string, suggestion string, rule_source string, pattern string"
 
 
-def rule_patterns(spark: SparkSession, rules: list[IacRule]) -> DataFrame:
-    """A row for each pattern and kind; a rule of no known kind stands for every kind."""
-    rows = []
-    for i, r in enumerate(rules):
+def rule_patterns(spark: SparkSession, rules: list[IacRule]) -> tuple[DataFrame, list[str]]:
+    """A row for each pattern and kind; a rule of no known kind stands for every kind. Also the patterns by their number, in order of
+    rules."""
+    rows, patterns = [], []
+    for r in rules:
         kind = iac_type_named(r.iac_type)
-        for j, p in enumerate(r.patterns):
+        for p in r.patterns:
             for k in IAC_TYPES if kind == "unknown" else (kind,):
-                rows.append((i, j, k, r.rule_id, r.title, r.message, r.severity, r.suggestion or DEFAULT_SUGGESTION, r.source, java_regex(p)))
-    return spark.createDataFrame(rows, RULE_DDL)
+                rows.append((len(patterns), k, r.rule_id, r.title, r.message, r.severity, r.suggestion or DEFAULT_SUGGESTION, r.source, java_regex(p)))
+            patterns.append(java_regex(p))
+    return spark.createDataFrame(rows, RULE_DDL), patterns
 
 
 def line_matches(line_rows: DataFrame, rules: list[IacRule] | None = None) -> DataFrame:
     """Lines of known kinds, joined with the broadcast rules of their kind; the first accepted match of each."""
-    patterns = rule_patterns(line_rows.sparkSession, builtin_iac_rules() if rules is None else rules)
+    table, patterns = rule_patterns(line_rows.sparkSession, builtin_iac_rules() if rules is None else rules)
     typed = line_rows.withColumn("iac_type", iac_type(F.col("path"))).filter("iac_type != 'unknown'")
-    hits = typed.join(F.broadcast(patterns), "iac_type").filter(F.expr("content rlike pattern")).withColumn("matched_pattern", F.expr("regexp_extract(content, pattern, 0)"))
+    hits = typed.join(F.broadcast(table), "iac_type").filter(tested(F.col("pattern_no"), F.col("content"), patterns)).withColumn("matched_pattern", F.expr("regexp_extract(content, pattern, 0)"))
     hits = hits.filter(~is_placeholder(F.col("matched_pattern"), IAC_PLACEHOLDERS))
-    first = F.min_by(F.struct("rule_id", "title", "message", "severity", "suggestion", "iac_type", "matched_pattern", "rule_source"), F.struct("rule_ord", "pattern_ord")).alias("x")
+    first = F.min_by(F.struct("rule_id", "title", "message", "severity", "suggestion", "iac_type", "matched_pattern", "rule_source"), "pattern_no").alias("x")
     return hits.groupBy("file_ord", "path", "line_number").agg(first).select("file_ord", "path", "line_number", "x.*")
 
 

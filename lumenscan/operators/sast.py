@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenscan.catalog.loader import RuleBundle, java_regex, python_regex
 from lumenscan.functions.paths import file_name, is_traversal, matches_globs
 from lumenscan.functions.text import issue_category, parsed_minimum, rule_severity, severity_rank, trimmed
+from lumenscan.operators.matching import tested
 from lumenscan.sources.files import embedded_shell, lines, numbered
 
 CI_LANGUAGES = ("github-actions", "gitlab-ci", "azure-pipelines")
@@ -35,13 +36,13 @@ class AnalysisOptions:
         return cls(**own | {"minimum_severity": parsed_minimum(job.get("minimum_severity"))})
 
 
-RULE_DDL = "rule_ord int, language string, rule_id string, category string, pattern string, message string, suggestion string, severity string, name string, cwe array<string>"
+RULE_DDL = "rule_ord int, language string, rule_id string, category string, pattern_no int, message string, suggestion string, severity string, name string, cwe array<string>"
 
 
-def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions) -> DataFrame:
+def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions) -> tuple[DataFrame, list[str]]:
     """The rules that can report anything: valid patterns (as one alternation), asked for, severe enough. Filters apply to the rules, before
-    a single line is matched."""
-    rows = []
+    a single line is matched. Also the alternations by their number."""
+    rows, patterns = [], []
     for language in bundle.pattern_languages():
         for i, r in enumerate(bundle.patterns_for(language)):
             good = []
@@ -54,9 +55,10 @@ def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions
             if not good or r["rule_id"] in options.exclude_rules or (options.include_rules and r["rule_id"] not in options.include_rules):
                 continue
             meta = bundle.find_rule(r["rule_id"]) or {}
-            rows.append((i, language, r["rule_id"], r["category"], "|".join(good), r["message"], r.get("suggestion"), meta.get("severity"), meta.get("name"), meta.get("cwe") or []))
+            rows.append((i, language, r["rule_id"], r["category"], len(patterns), r["message"], r.get("suggestion"), meta.get("severity"), meta.get("name"), meta.get("cwe") or []))
+            patterns.append("|".join(good))
     out = spark.createDataFrame(rows, RULE_DDL).withColumn("severity", rule_severity(F.col("severity")))
-    return out.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(options.minimum_severity)))
+    return out.filter(severity_rank(F.col("severity")) >= severity_rank(F.lit(options.minimum_severity))), patterns
 
 
 def file_language(path: Column, bundle: RuleBundle) -> Column:
@@ -76,8 +78,8 @@ def scannable(path: Column, options: AnalysisOptions) -> Column:
     return ~is_traversal(path) & ~matches_globs(path, options.ignore_paths)
 
 
-def _matched(line_rows: DataFrame, rules: DataFrame, shell: bool) -> DataFrame:
-    found = line_rows.join(F.broadcast(rules), "language").filter(F.expr("content rlike pattern"))
+def _matched(line_rows: DataFrame, rules: DataFrame, patterns: list[str], shell: bool) -> DataFrame:
+    found = line_rows.join(F.broadcast(rules), "language").filter(tested(F.col("pattern_no"), F.col("content"), patterns))
     number = F.least(F.col("line_number").cast("long"), F.lit(2**31 - 1)).cast("int")
     cwe = F.when(F.size("cwe") > 0, F.concat(F.lit(" [CWE: "), F.array_join("cwe", ", "), F.lit("]"))).otherwise("")
     return found.select(
@@ -90,11 +92,11 @@ def _matched(line_rows: DataFrame, rules: DataFrame, shell: bool) -> DataFrame:
 def scan_lines(line_rows: DataFrame, bundle: RuleBundle, options: AnalysisOptions | None = None) -> DataFrame:
     """Issues of lines (file_ord, path, line_number, content), shell in CI files included, with columns that keep scan order."""
     options = options or AnalysisOptions()
-    rules = rule_frame(line_rows.sparkSession, bundle, options)
+    rules, patterns = rule_frame(line_rows.sparkSession, bundle, options)
     rows = line_rows.filter("content is not null").filter(scannable(F.col("path"), options)).withColumn("language", file_language(F.col("path"), bundle)).filter("language is not null")
     # CI files are recognised by their path; their language may be another one (any YAML file)
     shell = embedded_shell(rows.select("file_ord", "path", "line_number", "content")).filter(trimmed(F.col("content")) != "").withColumn("language", F.lit("shell"))
-    return _matched(rows, rules, False).unionByName(_matched(shell, rules, True))
+    return _matched(rows, rules, patterns, False).unionByName(_matched(shell, rules, patterns, True))
 
 
 def scan_files(file_rows: DataFrame, bundle: RuleBundle, options: AnalysisOptions | None = None) -> DataFrame:

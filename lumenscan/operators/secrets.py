@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenscan.catalog.loader import DEFAULT_SUGGESTION, SecretRule, builtin_secret_rules, java_regex, min_width
 from lumenscan.functions.paths import SECRET_IGNORED, any_regex, is_traversal, matches_ignore
 from lumenscan.functions.text import confidence, entropy, is_allowlisted, is_placeholder, is_repetitive, known_severity, masked, severity_rank
+from lumenscan.operators.matching import longest_keyword, tested
 from lumenscan.sources.files import lines
 
 
@@ -24,38 +25,45 @@ class ScanOptions:
 
 
 RULE_DDL = (
-    "rule_ord int, pattern_ord int, rule_id string, title string, message string, severity string, provider string, suggestion string, keyword string, "
+    "pattern_no int, rule_id string, title string, message string, severity string, provider string, suggestion string, keyword string, "
     "pattern string, width int, allowlist string, rule_entropy double"
 )
 
 
-def rule_patterns(spark: SparkSession, rules: list[SecretRule]) -> DataFrame:
-    """A row for each keyword of each pattern of each rule (the empty keyword, which every line holds, for rules without): a few hundred
-    rows, which plans broadcast."""
-    rows = []
-    for i, r in enumerate(rules):
+def rule_patterns(spark: SparkSession, rules: list[SecretRule]) -> tuple[DataFrame, list[str]]:
+    """A row for each pattern of each rule and each keyword that, found in a line, tells that the line holds one of the rule's own (the
+    empty keyword for rules without): some hundred rows, which plans broadcast. Also the patterns by their number, in order of rules."""
+    words = {k.lower() for r in rules for k in r.keywords}
+    rows, patterns = [], []
+    for r in rules:
+        own = {k.lower() for k in r.keywords}
+        told_by = {""} if not own or "" in own else {w for w in words if any(w.startswith(k) for k in own)}
         allow = "|".join(f"(?:{java_regex(p)})" for p in r.allowlist_patterns) or None
-        for j, p in enumerate(r.patterns):
-            for k in {k.lower() for k in r.keywords} or {""}:
-                rows.append((i, j, r.rule_id, r.title, r.message, r.severity, r.provider, r.suggestion or DEFAULT_SUGGESTION, k, java_regex(p), min_width(p), allow, r.entropy))
-    return spark.createDataFrame(rows, RULE_DDL)
+        for p in r.patterns:
+            for k in sorted(told_by):
+                rows.append((len(patterns), r.rule_id, r.title, r.message, r.severity, r.provider, r.suggestion or DEFAULT_SUGGESTION, k, java_regex(p), min_width(p), allow, r.entropy))
+            patterns.append(java_regex(p))
+    return spark.createDataFrame(rows, RULE_DDL), patterns
 
 
 def line_matches(line_rows: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
-    """The first accepted match of each line. Lines are joined with the broadcast patterns on keyword, least length and pattern, cheapest
-    test first; only the hits, which are few, are shuffled."""
-    spark = line_rows.sparkSession
-    patterns = rule_patterns(spark, builtin_secret_rules() if rules is None else rules)
-    low = line_rows.withColumn("low", F.lower("content"))
+    """The first accepted match of each line. One pattern finds the longest keyword at each place of a line; those found are joined with
+    the broadcast rules by equality, and a rule's own pattern is tried only then. Only the hits, which are few, are shuffled."""
+    rules = builtin_secret_rules() if rules is None else rules
+    table, patterns = rule_patterns(line_rows.sparkSession, rules)
+    words = {k.lower() for r in rules for k in r.keywords} - {""}
+    found = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(longest_keyword(words)), F.lit(1))) if words else F.array().cast("array<string>")
+    bare = [min_width(p) for r in rules if not r.keywords or "" in r.keywords for p in r.patterns]
+    if bare:  # rules without keywords need a line of their least length
+        found = F.when(F.octet_length("content") >= min(bare), F.array_append(found, F.lit(""))).otherwise(found)
     text = F.expr("regexp_extract(content, pattern, 0)")
     allowed = F.col("allowlist").isNotNull() & F.coalesce(F.expr("regexp_extract(content, pattern, 0) rlike allowlist"), F.lit(False))
     accepted = ~allowed & ~is_allowlisted(text) & ~is_placeholder(text) & ~is_repetitive(text)
+    pairs = line_rows.select("file_ord", "path", "line_number", "content", F.explode(found).alias("keyword")).join(F.broadcast(table), "keyword")
     # nested cases, not a conjunction: the optimizer would move the costly tests of a conjunction to the front
-    tested = F.lit(False)
-    for test, then in ((F.expr("content rlike pattern"), accepted), (F.contains("low", "keyword"), None), (F.octet_length("content") >= F.col("width"), None)):
-        tested = F.when(test, tested if then is None else then).otherwise(False)
-    hits = low.join(F.broadcast(patterns), tested).withColumn("matched_text", text)
-    first = F.min_by(F.struct("rule_id", "title", "message", "severity", "provider", "suggestion", "matched_text", "rule_entropy"), F.struct("rule_ord", "pattern_ord")).alias("x")
+    matches = F.when(tested(F.col("pattern_no"), F.col("content"), patterns), accepted).otherwise(False)
+    hits = pairs.filter(F.when(F.octet_length("content") >= F.col("width"), matches).otherwise(False)).withColumn("matched_text", text)
+    first = F.min_by(F.struct("rule_id", "title", "message", "severity", "provider", "suggestion", "matched_text", "rule_entropy"), "pattern_no").alias("x")
     return hits.groupBy("file_ord", "path", "line_number").agg(first).select("file_ord", "path", "line_number", "x.*")
 
 

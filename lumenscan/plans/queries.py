@@ -281,9 +281,9 @@ def code_loc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_length_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query: lines of code of every document, then alerts on long ones (here: above 20 and 60 lines)."""
-    loc = metrics.file_loc(document_files(spark, sf_dir))
-    measures = loc.select(F.lit("FILE_LENGTH").alias("metric_type"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("function_name"), F.lit(None).cast("int").alias("line_number"), F.col("total_lines").cast("double").alias("value"))
+    """The flagship query: the length of every document, then alerts on long ones (here: above 20 and 60 lines)."""
+    lines_of = metrics.total_lines(F.col("content")).cast("double").alias("value")
+    measures = document_files(spark, sf_dir).select(F.lit("FILE_LENGTH").alias("metric_type"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("function_name"), F.lit(None).cast("int").alias("line_number"), lines_of)
     return metrics.alerts(measures, metrics.Thresholds(file_length=(20, 60))).select("metric_type", "level", "file_path", "current_value", "threshold", "message")
 
 
@@ -314,8 +314,7 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal blocks in documents, as (number of instances, lines, tokens) counts."""
-    found = duplication.instances(document_files(spark, sf_dir))
-    return found.groupBy("hash", "line_count", "token_count").agg(F.count("*").alias("n")).groupBy("line_count", "token_count", "n").agg(F.count("*").alias("n_groups"))
+    return duplication.group_counts(document_files(spark, sf_dir))
 
 
 def duplicate_blocks_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
