@@ -1,11 +1,11 @@
 """Alignment of two tokenizers' tokens over the same bytes, with corpus-wide counts of aligned pairs.
 
 Text is encoded with a space before it by a byte-level BPE (A) and by a piece model (B, which adds the space itself). A two-pointer merge
-of the cumulative ends of A's and B's tokens emits a group wherever both end, and a link for each two tokens that share bytes. Texts are
-cut before single spaces between visible characters, where tokens of both end; alignments of the stretches between, which repeat, are
-remembered, a bounded number of them.
+of the cumulative ends of A's and B's tokens emits a group wherever both end. Between two neighbours in the merged order lie bytes of one
+token of A and one of B, and each two tokens that share bytes share exactly one such stretch, so every step of the merge is a link. Ends of
+many texts are merged at once: both lists ascend, and the stable sort of two ascending runs is that merge.
 
-A pair of ids counts once a document that holds it linked. Tasks put documents of about BLOCK_BYTES together as a block and emit a block's
+A pair of ids counts once a document that holds it linked. Tasks put documents of about BLOCK_CHARS together as a block and emit a block's
 distinct pairs, each with its number of documents there; Spark sums them by pair, takes each A id's maximum, and joins both back to the
 blocks' pairs. A pair that every document holds is thus one row a block, and what meets a block again is as large as its own texts.
 
@@ -17,7 +17,6 @@ result. Extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,29 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Recent, RankBpe, bpe
+from .bpe import bpe
 from .common import give_back, staged, table
 from .tokens import slices
 
 #: Documents of about so many characters form a block.
 BLOCK_CHARS = 4_000_000
-#: So many stretches of at most so many characters are remembered, and the last so many before them.
-CACHED, CACHED_CHARS = 100_000, 32
-_SPACE = "▁"
-
-
-def _visible(c: str) -> bool:
-    return "!" <= c <= "~" or c.isalnum()
-
-
-def stretches(text: str) -> list[str]:
-    """The text in stretches, each but the first beginning with a single space between two visible characters."""
-    cuts, at, last = [0], 0, ""
-    for piece in text.split(" "):
-        if piece and last and _visible(piece[0]) and _visible(last[-1]):
-            cuts.append(at - 1)
-        at, last = at + len(piece) + 1, piece
-    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
 class Pieces:
@@ -60,70 +42,66 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(names)]
-        #: No token crosses the place before a space if no piece holds a space behind anything else.
-        self.divisible = not any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in names)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
-
+        names = enumerate(self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in names]
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    """One per worker process and file."""
-    return Pieces(path)
-
-
-def merged(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Two pointers over cumulative ends: (numbers of A's and of B's tokens before) the end of each group, and the links (i, j)."""
-    groups, links, i, j = [], [], 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        links.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i, j = i + (a <= b), j + (b <= a)
-        if a == b:
-            groups.append((i, j))
-    return groups, links
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
 
 
 class Aligned:
-    """What a stretch is in both tokenizers."""
-
-    __slots__ = ("exact", "groups", "n_a", "n_b", "n_groups", "pairs")
-
-    def __init__(self, stretch: str, a: list[int], b: list[int], one: RankBpe, two: Pieces):
-        a_bytes, b_bytes = [one.bytes_of[i] for i in a], [two.bytes_of[i] for i in b]
-        self.exact = b"".join(a_bytes) == b"".join(b_bytes) == stretch.encode()
-        self.n_a, self.n_b, self.n_groups, self.groups, self.pairs = len(a), len(b), 0, "", b""
-        if self.exact:
-            groups, links = merged(np.cumsum([*map(len, a_bytes)]).tolist(), np.cumsum([*map(len, b_bytes)]).tolist())
-            self.n_groups, starts = len(groups), [(0, 0), *groups]
-            self.groups = ";".join(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) for (i, j), (k, m) in zip(starts, groups))
-            self.pairs = np.array([a[i] << 32 | b[j] for i, j in links], "<i8").tobytes()
+    """Many texts together: of each the numbers of tokens, groups and links, the groups as text and the links' pairs."""
+
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], a_sizes: np.ndarray, b_sizes: np.ndarray, names: list[str]):
+        self.n_a, self.n_b = ([len(x) for x in ids] for ids in (a, b))
+        one, two = (np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64) for ids in (a, b))
+        a_ends, b_ends = np.cumsum(a_sizes[one]), np.cumsum(b_sizes[two])
+        ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # a merge of two runs
+        both = ends[1:] == ends[:-1]
+        shared = ends[1:][both]
+        ends = ends[np.append(~both, True)[: len(ends)]]
+        i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        self.pairs = one[i] << 32 | two[j]
+        # texts end where tokens of both end
+        upto = a_ends[np.cumsum(self.n_a) - 1] if len(a_ends) else np.zeros(len(a), np.int64)
+        upto[np.cumsum(self.n_a) == 0] = 0
+        self.links, self.groups = np.searchsorted(ends, upto, "right"), np.searchsorted(shared, upto, "right")
+        # ids in the order of groups, A's before B's, each with what follows it: `,` in a group's half, `|` between the halves, `;` behind
+        a_of, b_of = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)  # the group of each token
+        a_last, b_last = np.append(a_of[1:] != a_of[:-1], True)[: len(one)], np.append(b_of[1:] != b_of[:-1], True)[: len(two)]
+        a_until, b_until = np.searchsorted(a_of, np.arange(len(shared)), "right"), np.searchsorted(b_of, np.arange(len(shared)), "right")
+        said = np.empty(len(one) + len(two), np.int64)
+        size = len(names) // 3
+        said[np.arange(len(one)) + np.concatenate([[0], b_until])[a_of]] = one + size * a_last
+        said[np.arange(len(two)) + a_until[b_of]] = two + 2 * size * b_last
+        self.said, self.names = said, names
+
+    def __iter__(self) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
+        """Of each text: numbers of A's and B's tokens and of groups, the groups as text, the pairs of all links (A's id in the high half)."""
+        at = links = groups = 0
+        for n_a, n_b, more_links, more_groups in zip(self.n_a, self.n_b, self.links.tolist(), self.groups.tolist(), strict=True):
+            text = "".join(map(self.names.__getitem__, self.said[at : at + n_a + n_b].tolist()))[:-1]
+            yield n_a, n_b, more_groups - groups, text, self.pairs[links:more_links]
+            at, links, groups = at + n_a + n_b, more_links, more_groups
 
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
-        self.one, self.two, self.recent = bpe(a_path), pieces(b_path), Recent(CACHED)
-
-    def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
-        """Of each whole text: numbers of A's and B's tokens and of groups, the groups as text, the pairs of all links (A's id in the high
-        half)."""
-        cut = [[] if not t else stretches(" " + t) if self.two.divisible else [" " + t] for t in texts]
-        wanted = set().union(*cut)
-        known = self.recent.known(wanted)
-        new = sorted(wanted - known.keys())
-        a, b = self.one.encode(new, specials=False), self.two.encode([s[1:] for s in new])
-        for s, x, y in zip(new, a, b, strict=True):
-            known[s] = Aligned(s, x.tolist(), y, self.one, self.two)
-            if len(s) <= CACHED_CHARS:
-                self.recent.put(s, known[s])
-        for own in cut:
-            parts = [known[s] for s in own]
-            if not all([p.exact for p in parts]):
-                parts = []
-            yield sum([p.n_a for p in parts]), sum([p.n_b for p in parts]), sum([p.n_groups for p in parts]), ";".join([p.groups for p in parts]), np.frombuffer(b"".join([p.pairs for p in parts]), "<i8")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.one, self.two = bpe(a_path), Pieces(b_path)
+        self.a_sizes = np.array([len(self.one.bytes_of.get(i, b"")) for i in range(max(self.one.bytes_of) + 1)], np.int64)
+        self.b_sizes = np.array([*map(len, self.two.bytes_of)], np.int64)
+        ids = range(max(len(self.a_sizes), len(self.b_sizes)))
+        self.names = [f"{i}{mark}" for mark in ",|;" for i in ids]
+
+    def align(self, texts: list[str]) -> Aligned:
+        texts = [" " + t if t else "" for t in texts]
+        a, b = [x.astype(np.int64) for x in self.one.encode(texts, specials=False)], self.two.encode([t[1:] for t in texts])
+        spoken = [b"".join(map(self.two.bytes_of.__getitem__, x.tolist())) for x in b]  # A's bytes are the text's by construction
+        for k, t in enumerate(texts):
+            if spoken[k] != t.encode():
+                a[k] = b[k] = np.empty(0, np.int64)
+        return Aligned(a, b, self.a_sizes, self.b_sizes, self.names)
 
 
 @lru_cache(maxsize=1)
@@ -132,7 +110,6 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-_DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups")
 DDL = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 
 
@@ -148,12 +125,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         return pd.DataFrame([(block, *none, pairs, n.astype(np.int32))], columns=names, dtype=object)
 
     def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
         try:
             for frame in source:
                 ids, texts = frame["doc_id"], [t or "" for t in frame["text"]]
-                for part in slices(texts, 500_000):
+                for part in slices(texts, 1_000_000):
                     rows = []
                     for doc_id, (n_a, n_b, n_groups, groups, links) in zip(ids[part], aligner(a_path, b_path).align(texts[part]), strict=True):
                         pairs, times = np.unique(links, return_counts=True)

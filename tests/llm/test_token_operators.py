@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,9 +28,23 @@ TEXTS = [
 ]
 
 
+@lru_cache
+def one_library(plain):
+    out = Tokenizer.from_file(BYTE)
+    out.encode_special_tokens = plain
+    return out
+
+
+@lru_cache
+def piece_library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECE)
+
+
 @pytest.fixture(scope="module")
 def library():
-    return Tokenizer.from_file(BYTE)
+    return one_library(False)
 
 
 @pytest.fixture(scope="module")
@@ -58,9 +73,8 @@ def test_encoding_is_the_librarys(library):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("".join(BITS)) | st.characters(exclude_categories=["Cs"]), max_size=30), max_size=4))
 def test_encoding_of_any_text(texts):
-    library = Tokenizer.from_file(BYTE)
-    assert [x.tolist() for x in bpe.bpe(BYTE).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
-    library.encode_special_tokens = True
+    assert [x.tolist() for x in bpe.bpe(BYTE).encode(texts)] == [one_library(False).encode(t, add_special_tokens=False).ids for t in texts]
+    library = one_library(True)
     assert [x.tolist() for x in bpe.bpe(BYTE).encode(texts, specials=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -107,10 +121,7 @@ def test_other_tokenizers_are_refused():
 
 def brute_alignment(texts):
     """Per text (a ids, b ids, groups, links), by comparing every two tokens."""
-    import sentencepiece
-
-    one, two = Tokenizer.from_file(BYTE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    one.encode_special_tokens = True
+    one, two = one_library(True), piece_library()
     of = bpe.byte_of_char()
     out = []
     for t in texts:
@@ -183,15 +194,27 @@ def test_alignment_of_any_text(texts):
         assert sorted(links.tolist()) == sorted(i << 32 | j for i, j in pairs)
 
 
-@given(st.lists(st.integers(1, 5), min_size=1, max_size=12), st.lists(st.integers(1, 5), min_size=1, max_size=12))
-def test_two_pointers(a, b):
-    short, long = sorted((a, b), key=sum)
-    short[-1] += sum(long) - sum(short)
-    x, y = np.cumsum(a).tolist(), np.cumsum(b).tolist()
-    groups, links = alignment.merged(x, y)
-    assert [x[i - 1] for i, _ in groups] == [y[j - 1] for _, j in groups] == sorted({*x} & {*y})
-    spans = [list(zip([0, *e[:-1]], e, strict=True)) for e in (x, y)]
-    assert links == [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if s < v and u < e]
+@given(st.lists(st.tuples(st.lists(st.integers(1, 5), max_size=12), st.lists(st.integers(1, 5), min_size=1, max_size=12)), max_size=4))
+def test_merged_ends(texts):
+    """Tokens of given sizes, ids being sizes; of some texts none."""
+    own = []
+    for a, b in texts:
+        if a:
+            short, long = sorted((a, b), key=sum)
+            short[-1] += sum(long) - sum(short)
+            own.append((a, b))
+        else:
+            own.append(([], []))
+    sizes = np.arange(100)
+    found = list(alignment.Aligned([np.array(a, np.int64) for a, _ in own], [np.array(b, np.int64) for _, b in own], sizes, sizes, [f"{i}{m}" for m in ",|;" for i in sizes]))
+    assert len(found) == len(own)
+    for (a, b), (n_a, n_b, n_groups, groups, pairs) in zip(own, found, strict=True):
+        spans = [list(zip([0, *e], e, strict=False)) for e in (np.cumsum(a).tolist(), np.cumsum(b).tolist())]
+        cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        inside = lambda ids, own, c, last: ",".join(str(i) for i, (s, e) in zip(ids, own, strict=True) if last <= s and e <= c)
+        want = ";".join(f"{inside(a, spans[0], c, last)}|{inside(b, spans[1], c, last)}" for last, c in zip([0, *cuts], cuts, strict=False))
+        assert (n_a, n_b, n_groups, groups) == (len(a), len(b), len(cuts), want)
+        assert pairs.tolist() == [a[i] << 32 | b[j] for i, (s, e) in enumerate(spans[0]) for j, (u, v) in enumerate(spans[1]) if s < v and u < e]
 
 
 # --- clustering ---
