@@ -10,7 +10,7 @@ from lumenscan.functions.paths import IAC_IGNORED, IAC_TYPES, iac_type, iac_type
 from lumenscan.functions.text import IAC_PLACEHOLDERS, is_placeholder, known_severity
 from lumenscan.operators.matching import tested
 from lumenscan.operators.secrets import ScanOptions, by_severity, first_findings, scannable, selected
-from lumenscan.sources.files import lines
+from lumenscan.sources.files import directory, lines
 
 DEFAULT_SUGGESTION = "Review and fix this security issue."
 CONFIDENCE = 0.90
@@ -71,6 +71,12 @@ def scan_files(file_rows: DataFrame, options: ScanOptions | None = None, rules:
     return scan_contents(file_rows.filter(scannable(F.col("path"), options, IAC_IGNORED)), options, rules)
 
 
+def scan_directory(spark: SparkSession, folder: str, options: ScanOptions | None = None, rules: list[IacRule] | None = None, max_files: int | None = None) -> DataFrame:
+    """The files below a folder; ignored ones are never opened."""
+    options = options or ScanOptions()
+    return scan_contents(directory(spark, folder, max_files, IAC_IGNORED, options.ignore_paths), options, rules)
+
+
 def as_issues(findings: DataFrame) -> DataFrame:
     number = F.col("line_number").cast("int")
     return findings.select(

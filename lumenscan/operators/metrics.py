@@ -16,11 +16,14 @@ from lumenscan.operators import duplication
 from lumenscan.sources.files import numbered
 
 
-def loc(text: Column) -> Column:
-    """struct<total_lines, code_lines, comment_lines, blank_lines>, whatever the language.
+#: Files of more bytes are counted in blocks of so many lines, by several tasks.
+LONG_FILE, BLOCK_LINES = 4 << 20, 10_000
+
 
-    Whether a line is a comment depends on an open block, which only `*/` (or a quote line) closes, so lines are folded in order."""
-    start = F.struct(F.lit(False).alias("open"), *[F.lit(0).cast("long").alias(n) for n in ("code", "comment", "blank")])
+def _folded(all_lines: Column, is_open: bool) -> Column:
+    """struct<open, code, comment, blank>: what lines come to, and whether a comment block is open behind them, if one is open or not
+    before them. Only `*/` (or a quote line) closes a block, so lines are folded in order."""
+    start = F.struct(F.lit(is_open).alias("open"), *[F.lit(0).cast("long").alias(n) for n in ("code", "comment", "blank")])
 
     def step(s: Column, line: Column) -> Column:
         t = trimmed(line)
@@ -35,8 +38,32 @@ def loc(text: Column) -> Column:
             opened.alias("open"), (s["code"] + (~blank & ~comment).cast("long")).alias("code"), (s["comment"] + (~blank & comment).cast("long")).alias("comment"), (s["blank"] + blank.cast("long")).alias("blank")
         )
 
+    return F.aggregate(all_lines, start, step)
+
+
+def loc(text: Column) -> Column:
+    """struct<total_lines, code_lines, comment_lines, blank_lines>, whatever the language."""
     all_lines = lines_of(text)
-    return F.aggregate(all_lines, start, step, lambda s: F.struct(F.size(all_lines).cast("long").alias("total_lines"), s["code"].alias("code_lines"), s["comment"].alias("comment_lines"), s["blank"].alias("blank_lines")))
+    named = lambda s: F.struct(F.size(all_lines).cast("long").alias("total_lines"), s["code"].alias("code_lines"), s["comment"].alias("comment_lines"), s["blank"].alias("blank_lines"))
+    return F.transform(F.array(_folded(all_lines, False)), named)[0]
+
+
+def long_file_loc(file_rows: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """file_ord, path, loc columns of files of any length. A block of lines is a function of whether a comment is open before it: it is
+    folded for both cases, wherever its lines are sent, and a file's few blocks are then composed in order."""
+    rows = numbered(file_rows)
+    line = rows.select("file_ord", F.posexplode(lines_of(F.col("content"))).alias("pos", "line")).withColumn("block", F.floor(F.col("pos") / block_lines))
+    blocks = line.groupBy("file_ord", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    both = blocks.select("file_ord", F.struct("block", F.size("lines").cast("long").alias("n"), _folded(F.col("lines"), False).alias("shut"), _folded(F.col("lines"), True).alias("open")).alias("x"))
+    zero = F.struct(F.lit(False).alias("open"), *[F.lit(0).cast("long").alias(n) for n in ("total", "code", "comment", "blank")])
+
+    def after(s: Column, x: Column) -> Column:
+        own = F.when(s["open"], x["open"]).otherwise(x["shut"])
+        return F.struct(own["open"].alias("open"), (s["total"] + x["n"]).alias("total"), *[(s[n] + own[n]).alias(n) for n in ("code", "comment", "blank")])
+
+    folded = both.groupBy("file_ord").agg(F.aggregate(F.array_sort(F.collect_list("x")), zero, after).alias("s"))
+    counts = [F.coalesce(F.col(f"s.{n}"), F.lit(0).cast("long")).alias(f"{n}_lines") for n in ("total", "code", "comment", "blank")]
+    return rows.select("file_ord", "path").join(folded, "file_ord", "left").select("file_ord", "path", *counts)
 
 
 def total_lines(text: Column) -> Column:
@@ -47,8 +74,12 @@ def code_lines(text: Column) -> Column:
     return loc(text)["code_lines"]
 
 
-def file_loc(file_rows: DataFrame) -> DataFrame:
-    return numbered(file_rows).select("file_ord", "path", loc(F.col("content")).alias("x")).select("file_ord", "path", "x.*")
+def file_loc(file_rows: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
+    """file_ord, path, loc columns: files as they come where they are, those of more than long_file bytes in blocks."""
+    rows = numbered(file_rows)
+    is_long = F.coalesce(F.octet_length("content") > long_file, F.lit(False))
+    short = rows.filter(~is_long).select("file_ord", "path", loc(F.col("content")).alias("x")).select("file_ord", "path", "x.*")
+    return short.unionByName(long_file_loc(rows.filter(is_long)))
 
 
 def pr_size(total_lines: Column) -> Column:
@@ -99,9 +130,9 @@ def files(file_rows: DataFrame) -> DataFrame:
     rows = rows.filter(~is_traversal(F.col("path")))
     per_function = functions(rows).groupBy("file_ord").agg(F.count("*").alias("n_functions"), F.avg("cyclomatic_complexity").alias("average_complexity"))
     own = duplication.percentages(rows, within_files=True)
-    out = rows.select("file_ord", "path", metrics_language(F.col("path")).alias("language"), loc(F.col("content")).alias("x")).join(per_function, "file_ord", "left").join(own, "file_ord", "left")
+    out = file_loc(rows).withColumn("language", metrics_language(F.col("path"))).join(per_function, "file_ord", "left").join(own, "file_ord", "left")
     return out.select(
-        "file_ord", F.col("path").alias("file_path"), "language", F.col("x.total_lines").alias("lines"), "x.*", F.coalesce("n_functions", F.lit(0)).alias("n_functions"),
+        "file_ord", F.col("path").alias("file_path"), "language", F.col("total_lines").alias("lines"), "total_lines", "code_lines", "comment_lines", "blank_lines", F.coalesce("n_functions", F.lit(0)).alias("n_functions"),
         F.coalesce("average_complexity", F.lit(0.0)).alias("average_complexity"), F.coalesce("duplication_percentage", F.lit(0.0)).alias("duplication_percentage"),
     )
 

@@ -11,7 +11,7 @@ from lumenscan.catalog.loader import DEFAULT_SUGGESTION, SecretRule, builtin_sec
 from lumenscan.functions.paths import SECRET_IGNORED, any_regex, is_traversal, matches_ignore
 from lumenscan.functions.text import confidence, entropy, is_allowlisted, is_placeholder, is_repetitive, known_severity, masked, severity_rank
 from lumenscan.operators.matching import longest_keyword, tested
-from lumenscan.sources.files import lines
+from lumenscan.sources.files import directory, lines
 
 
 @dataclass
@@ -121,6 +121,12 @@ def scan_files(file_rows: DataFrame, options: ScanOptions | None = None, rules:
     return scan_contents(file_rows.filter(scannable(F.col("path"), options, SECRET_IGNORED)), options, rules)
 
 
+def scan_directory(spark: SparkSession, folder: str, options: ScanOptions | None = None, rules: list[SecretRule] | None = None, max_files: int | None = None) -> DataFrame:
+    """The files below a folder; ignored ones are never opened."""
+    options = options or ScanOptions()
+    return scan_contents(directory(spark, folder, max_files, SECRET_IGNORED, options.ignore_paths), options, rules)
+
+
 def as_issues(findings: DataFrame) -> DataFrame:
     number = F.col("line_number").cast("int")
     return findings.select(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenscan.functions.paths import is_ci_path
+from lumenscan.functions.paths import is_ci_path, matches_ignore
 from lumenscan.functions.text import lines as lines_of
 from lumenscan.functions.text import trimmed
 
@@ -15,13 +20,21 @@ def files(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "path string, content string")
 
 
-def directory(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Every regular file below a folder; content that is not UTF-8 reads as empty. max_files keeps the first paths in order."""
+def directory(spark: SparkSession, folder: str, max_files: int | None = None, ignored: tuple[str, ...] = (), ignore_paths: list[str] | None = None) -> DataFrame:
+    """(path, content) of the regular files below a folder; content that is not UTF-8 reads as empty. Paths are judged when files are
+    listed: what matches `ignored` (regular expressions) or `ignore_paths`, or comes after the first max_files paths in order (ignored
+    ones count), is never opened. Files are put together into partitions by their bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = F.regexp_replace("path", r"\Afile:/+", "/")
+    listed = F.col("_metadata.file_path")  # a filter on it alone is applied to the listing
+    if max_files is not None:
+        last = raw.select(listed.alias("path")).orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
+        raw = raw.filter(listed <= F.lit(last)) if last is not None and max_files > 0 else raw.limit(0)
+    for p in ignored:
+        raw = raw.filter(~listed.rlike(p))
+    if ignore_paths:
+        raw = raw.filter(~matches_ignore(listed, ignore_paths))
     content = F.when(F.is_valid_utf8(F.col("content")), F.col("content").cast("string")).otherwise("")
-    out = raw.select(path.alias("path"), content.alias("content"))
-    return out if max_files is None else out.orderBy("path").limit(max_files)
+    return raw.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("path"), content.alias("content"))
 
 
 def numbered(file_rows: DataFrame) -> DataFrame:
@@ -77,21 +90,34 @@ def diff_lines(diffs: DataFrame, only_new_code: bool = True) -> DataFrame:
     return found.unionByName(empty.select("diff_id", "file_ord", "path", F.lit(None).cast("long").alias("line_number"), F.lit(None).cast("string").alias("content")))
 
 
+def chunk_starts(sizes: np.ndarray, max_lines: int, max_bytes: int) -> np.ndarray:
+    """The first line of each chunk, from the lines' byte lengths. The line that ends a chunk which starts at any given one is found by
+    prefix sums; the chunks are then those that the first line leads to, by following the pointers in strides that double."""
+    n = len(sizes)
+    sums = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) + 1)])
+    at = np.arange(n)
+    after = np.append(np.minimum(np.minimum(at + max_lines, n), np.maximum(at + 1, np.searchsorted(sums, sums[:n] + max_bytes) - 1)), n)
+    found = np.zeros(1, np.int64)
+    while n and found[-1] < n:
+        found, after = np.unique(np.concatenate([found, after[found]])), after[after]
+    return found[found < n]
+
+
 def diff_chunks(diffs: DataFrame, max_lines: int = 200, max_chars: int = 4000) -> DataFrame:
     """diff_id, chunk (from 0), text: pieces of at most max_lines lines (50 at least) and about max_chars bytes (2,000 at least), greedily
     filled; blank diffs give none."""
     most, size = max(50, max_lines), max(2000, max_chars)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"))
 
-    def step(s: Column, line: Column) -> Column:
-        full = (s["text"] != "") & ((s["n"] >= most) | (F.octet_length(s["text"]) + F.octet_length(line) + 1 >= size))
-        done = F.when(full, F.concat(s["done"], F.array(s["text"]))).otherwise(s["done"])
-        text = F.concat(F.when(full, F.lit("")).otherwise(s["text"]), line, F.lit("\n"))
-        return F.struct(done.alias("done"), text.alias("text"), (F.when(full, 0).otherwise(s["n"]) + 1).alias("n"))
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for k, own in enumerate(batch.column(1)):
+                lines = own.values
+                starts = chunk_starts(np.asarray(pc.binary_length(lines)), most, size).tolist()
+                texts = ["\n".join([*lines[a:b].to_pylist(), ""]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(starts), pa.int32())), pa.array(range(len(starts)), pa.int32()), pa.array(texts, pa.string())], ["diff_id", "chunk", "text"])
 
-    all_chunks = F.aggregate(lines_of(F.col("diff")), start, step, lambda s: F.when(s["text"] != "", F.concat(s["done"], F.array(s["text"]))).otherwise(s["done"]))
-    rows = diffs.filter(trimmed(F.col("diff")) != "")
-    return rows.select("diff_id", F.posexplode(all_chunks).alias("chunk", "text"))
+    rows = diffs.filter(trimmed(F.col("diff")) != "").select("diff_id", lines_of(F.col("diff")).alias("lines"))
+    return rows.mapInArrow(run, f"diff_id {rows.schema['diff_id'].dataType.simpleString()}, chunk int, text string")
 
 
 # --- shell embedded in CI files ---
@@ -102,13 +128,30 @@ LIST_KEYS = ("script:", "before_script:", "after_script:")
 BLOCK_MARKS = ("|", ">", "|-", ">-", "|+", ">+")
 
 
+#: Lines of a file are looked through in blocks of so many for those that begin a part.
+BLOCK_LINES = 10_000
+
+
+def _in_parts(line_rows: DataFrame, begins: Column) -> DataFrame:
+    """line_rows with `part`: the number of the last line of the file up to this one that begins a part, 0 before the first. Found in
+    each block of lines by itself, then carried over the blocks of a file, so that no task has to see a whole file."""
+    file = ["file_ord", "path"]
+    rows = line_rows.withColumns({"block": F.floor(F.col("line_number") / BLOCK_LINES), "begins": F.when(begins, F.col("line_number").cast("long"))})
+    in_block, before = Window.partitionBy(*file, "block").orderBy("line_number"), Window.partitionBy(*file).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", F.max("begins").over(in_block))
+    carried = rows.groupBy(*file, "block").agg(F.max("begins").alias("last")).select(*file, "block", F.max("last").over(before).alias("carried"))
+    return rows.join(carried, [*file, "block"]).withColumn("part", F.coalesce("part", "carried", F.lit(0).cast("long"))).drop("block", "begins", "carried")
+
+
 def embedded_shell(line_rows: DataFrame) -> DataFrame:
     """Shell lines of CI files among lines (file_ord, path, line_number, content): same columns, content being the command.
 
-    What a line is depends on the block or list that lines before it opened, so a file's lines are folded in order."""
-    ci = line_rows.filter(is_ci_path(F.col("path")))
+    What a line is depends on the block or list that lines before it opened. A line without indent ends both, whatever they are, so a
+    file is divided before each such line, and the lines of a part are folded in order."""
+    ci = line_rows.filter(is_ci_path(F.col("path"))).filter("content is not null")
+    ci = _in_parts(ci, ~F.col("content").rlike(r"(?U)\A(\s|\z)"))
     entry = F.struct("line_number", "content")
-    per_file = ci.groupBy("file_ord", "path").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    per_part = ci.groupBy("file_ord", "path", "part").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     none = F.lit(None).cast("int")
     start = F.struct(none.alias("block"), none.alias("list"), F.array().cast("array<struct<line_number:bigint,content:string>>").alias("out"))
 
@@ -142,5 +185,5 @@ def embedded_shell(line_rows: DataFrame) -> DataFrame:
             F.when(emitted.isNotNull(), F.concat(s["out"], F.array(F.struct(number.alias("line_number"), emitted.alias("content"))))).otherwise(s["out"]).alias("out"),
         )
 
-    folded = per_file.select("file_ord", "path", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x"))
+    folded = per_part.select("file_ord", "path", F.explode(F.aggregate("all", start, step, lambda s: s["out"])).alias("x"))
     return folded.select("file_ord", "path", "x.line_number", "x.content")
