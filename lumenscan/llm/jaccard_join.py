@@ -37,6 +37,8 @@ SKETCH_LOG, SKETCH_CHUNKS = 22, 64
 ORDERS = 3
 #: A task sends its prefix tokens whenever so many have come together.
 FLUSH_TOKENS = 500_000
+#: Prefix tokens that meet in one part of the index, of 21 bytes each.
+PART_TOKENS = 2_000_000
 #: Posting lists of tokens met more often than this are split by class, so that no list has to fit a task.
 LONG_LIST = 1_000_000
 #: So many of a class's least tokens travel with it in the last round.
@@ -84,27 +86,33 @@ def signature(tokens: np.ndarray, order: int, threshold: int = THRESHOLD) -> np.
     return (np.partition(turned, size - 1)[:size] if 0 < size < len(tokens) else turned).astype(np.uint32).view(np.int32)
 
 
-DOC_DDL = "doc_id long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", s1 array<int>, s2 array<int>, chunk int, counts binary"
-_DOC = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((b, pa.int64()) for b in _BITS), ("s1", pa.list_(pa.int32())), ("s2", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
+DOC_DDL = "doc_id long, row_key long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", s1 array<int>, s2 array<int>, chunk int, counts binary"
+_DOC = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((b, pa.int64()) for b in _BITS), ("s1", pa.list_(pa.int32())), ("s2", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def _lists_of(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32), np.concatenate(arrays))
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a key of both, by which a row's text is found again; rows that share it have the same text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+
+
 def described(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """A row for each document with its class, set size, bitmap and signatures; and the tasks' token counts by sketch cell."""
 
     def describe(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in source:
-            for chosen in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 500):
+            for chosen in parts_of(pc.binary_length(batch.column(2)).to_pylist(), 500):
                 part = batch.slice(chosen.start, chosen.stop - chosen.start)
-                sets = token_sets(part.column(1).to_pylist(), n_words)
+                sets = token_sets(part.column(2).to_pylist(), n_words)
                 bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), 8)
                 m = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)),
+                    [part.column(0), part.column(1), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)),
                      *(_lists_of([signature(s, k, threshold) for s in sets]) for k in (1, 2)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                     schema=_DOC,
                 )
@@ -115,7 +123,7 @@ def described(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
             none = [pa.nulls(SKETCH_CHUNKS, f.type) for f in list(_DOC)[:-2]]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SKETCH_CHUNKS, -1)], pa.binary())], schema=_DOC)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(lean(describe), DOC_DDL)
+    return keyed_texts(docs).mapInArrow(lean(describe), DOC_DDL)
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -135,10 +143,11 @@ def sketch_of(found: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: int) -> DataFrame:
+def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: int, n_tokens: int) -> DataFrame:
     """(token, cls, n, leader, split) of prefix tokens under the first order that at least two classes share; leader: the least class of
-    the list, or of its part if the list is split."""
-    parts = max(64, 4 * shuffle_parts(docs.sparkSession))
+    the list, or of its part if the list is split. n_tokens: at most so many are sent; a part, which is one group in a task's memory, is
+    to hold PART_TOKENS of them."""
+    parts = max(64, 4 * shuffle_parts(docs.sparkSession), -(-n_tokens // PART_TOKENS))
 
     def post(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sketch.value
@@ -209,19 +218,24 @@ def _screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
-    """pairs (a, b) whose sets are similar enough. The text of a class is that of its smallest doc id; only texts of pairs move, once a
-    side, and those of the second side once a pair."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "doc_id"), "cls")
+    """pairs (a, b) whose sets are similar enough. The text of a class is that of its row of smallest key, so that a row meets its own
+    class only, whatever its doc id; texts of pairs alone move, once a class and task, and those of the second side once a pair."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "row_key"), "cls")
 
     def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()  # of rows with one key one is enough; each is a copy of the others
         for batch in source:
             for chosen in parts_of(pc.binary_length(batch.column(1)).to_pylist(), 500):
                 part = batch.slice(chosen.start, chosen.stop - chosen.start)
+                new = [c not in sent for c in part.column(0).to_pylist()]
+                part = part.filter(pa.array(new, pa.bool_()))
                 sets = token_sets(part.column(1).to_pylist(), n_words)
-                yield part.filter(pa.array([class_of(x) == c for c, x in zip(part.column(0).to_pylist(), sets, strict=True)], pa.bool_()))
+                part = part.filter(pa.array([class_of(x) == c for c, x in zip(part.column(0).to_pylist(), sets, strict=True)], pa.bool_()))
+                if len(sent) < 500_000:
+                    sent.update(part.column(0).to_pylist())
+                yield part
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8("text").alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
+    texts = keyed_texts(docs).join(wanted, "row_key").select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
     texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +286,9 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     found = staged(described(docs, n_words, threshold), "join-documents")
     own = found.filter("chunk is null")
     sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(found))
-    classes = staged(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *_BITS, "s1", "s2")]), "join-classes")
-    lists = staged(postings(docs, sketch, n_words, threshold, long_list), "join-lists")
+    classes = staged(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), *[F.first(c).alias(c) for c in ("n", *_BITS, "s1", "s2")]), "join-classes")
+    sent = own.filter("n > 0").agg(F.sum(F.col("n") + F.floor(-threshold * F.col("n") / 100) + 1)).first()[0] or 0
+    lists = staged(postings(docs, sketch, n_words, threshold, long_list, int(sent)), "join-lists")
 
     # each class with two of the least ones of its lists: the one it shares most lists with, and the least; parts of split lists through
     # their own least ones

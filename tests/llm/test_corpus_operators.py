@@ -568,3 +568,22 @@ def test_null_and_repeated_ids(spark, tmp_path):
         assert query(spark, str(tmp_path)).count() == n, name
     # the null text has no language, copies go but for one, which is an item of the benchmark; one row is left, with four words and an end
     assert [(r["doc_id"], r["piece"], r["start"], r["offset"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [(1, 0, 0, 0)]
+
+
+def test_join_of_many_rows_without_ids(spark):
+    """Near-copy pairs whose rows have no ids, or share one: each text meets its own class only."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(1000):
+        words = prose(rng, 60).split()
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    for ids in ([None] * 2000, [7] * 2000):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(8)
+        keyed = jaccard_join.keyed_texts(rows)
+        assert keyed.select("row_key").distinct().count() == 2000
+        found = jaccard_join.joined_components(rows)
+        assert found.count() == 2000 and found.select("component_id").distinct().count() == 1
+        classes = found.select("cls").distinct().withColumn("row_key", F.lit(0))
+        assert classes.count() == 2000
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(r["component_id"] for r in jaccard_join.joined_components(own).collect()) == Counter({2 * i: 2 for i in range(1000)})
