@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenscan.catalog.loader import IacRule, builtin_iac_rules, java_regex
 from lumenscan.functions.paths import IAC_IGNORED, IAC_TYPES, iac_type, iac_type_named, is_traversal
 from lumenscan.functions.text import IAC_PLACEHOLDERS, is_placeholder, known_severity
+from lumenscan.operators import secrets
 from lumenscan.operators.matching import tested
 from lumenscan.operators.secrets import ScanOptions, by_severity, first_findings, scannable, selected
 from lumenscan.sources.files import directory, lines
@@ -85,11 +86,12 @@ def as_issues(findings: DataFrame) -> DataFrame:
     )
 
 
-def rule_stats(spark: SparkSession, rules: list[IacRule] | None = None) -> DataFrame:
-    """dimension (total, type, severity, source), value, rules."""
-    rows = spark.createDataFrame([(r.iac_type, r.severity, r.source) for r in (builtin_iac_rules() if rules is None else rules)], "type string, severity string, source string")
-    rows.createOrReplaceTempView("lumenscan_iac_rules")
-    return spark.sql(
-        "SELECT CASE WHEN grouping(type) = 0 THEN 'type' WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(source) = 0 THEN 'source' ELSE 'total' END AS dimension, "
-        "coalesce(type, severity, source, '') AS value, count(*) AS rules FROM lumenscan_iac_rules GROUP BY GROUPING SETS ((type), (severity), (source), ())"
-    )
+def rule_rows(spark: SparkSession, rules: list[IacRule] | None = None) -> DataFrame:
+    """rule_id, type, severity, source of a catalog."""
+    rows = [(r.rule_id, r.iac_type, r.severity, r.source) for r in (builtin_iac_rules() if rules is None else rules)]
+    return spark.createDataFrame(rows, "rule_id string, type string, severity string, source string")
+
+
+def rule_stats(rows: DataFrame) -> DataFrame:
+    """dimension (total, type, severity, source), value, rules, n, of a catalog or of findings."""
+    return secrets.rule_stats(rows, ("type", "severity", "source"))

@@ -135,14 +135,21 @@ def as_issues(findings: DataFrame) -> DataFrame:
     )
 
 
-def rule_stats(spark: SparkSession, rules: list[SecretRule] | None = None) -> DataFrame:
-    """dimension (total, provider, severity), value, rules; one pass with grouping sets."""
-    rows = spark.createDataFrame([(r.provider, r.severity) for r in (builtin_secret_rules() if rules is None else rules)], "provider string, severity string")
-    rows.createOrReplaceTempView("lumenscan_secret_rules")
-    return spark.sql(
-        "SELECT CASE WHEN grouping(provider) = 0 THEN 'provider' WHEN grouping(severity) = 0 THEN 'severity' ELSE 'total' END AS dimension, coalesce(provider, severity, '') AS value, count(*) AS rules "
-        "FROM lumenscan_secret_rules GROUP BY GROUPING SETS ((provider), (severity), ())"
-    )
+def rule_rows(spark: SparkSession, rules: list[SecretRule] | None = None) -> DataFrame:
+    """rule_id, provider, severity of a catalog."""
+    rows = [(r.rule_id, r.provider, r.severity) for r in (builtin_secret_rules() if rules is None else rules)]
+    return spark.createDataFrame(rows, "rule_id string, provider string, severity string")
+
+
+def rule_stats(rows: DataFrame, dimensions: tuple[str, ...] = ("provider", "severity")) -> DataFrame:
+    """dimension (total and those given), value, rules (different ones), n rows, of a catalog or of findings; one pass with grouping sets."""
+    sets = [[F.col(d)] for d in dimensions] + [[]]
+    said = F.lit("total")
+    for d in dimensions:
+        said = F.when(F.grouping(d) == 0, d).otherwise(said)
+    value = F.coalesce(*dimensions, F.lit(""))
+    out = rows.select("rule_id", *dimensions).groupingSets(sets, *dimensions).agg(said.alias("dimension"), F.count_distinct("rule_id").alias("rules"), F.count("*").alias("n"))
+    return out.select("dimension", value.alias("value"), "rules", "n")
 
 
 # --- tokens of high entropy ---

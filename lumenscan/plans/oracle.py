@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lumenscan.catalog.loader import DEFAULT_SUGGESTION, RuleBundle, builtin_iac_rules, builtin_secret_rules
+from lumenscan.catalog.loader import DEFAULT_SUGGESTION, IMPORT_SUGGESTIONS, RuleBundle, SecretRule, builtin_iac_rules, builtin_secret_rules
 from lumenscan.functions.paths import IAC_IGNORED, LANGUAGES, METRICS_SUFFIXES, SECRET_IGNORED
 from lumenscan.functions.halstead import COMMON, OPERATOR_WORDS, OTHER_OPERATOR_WORDS, OTHER_TYPE_WORDS, SYMBOLS, TYPE_WORDS
 from lumenscan.functions.text import GLOBAL_ALLOWLIST, IAC_PLACEHOLDERS, SECRET_PLACEHOLDERS
@@ -25,6 +25,28 @@ SECRET_LINE = (
     f"ELSE concat('jwt eyJ', substr({_H}, 1, 10), '.eyJ', substr({_H}, 5, 10), '.', {_H}) END"
 )
 TOKEN = f"CASE c_custkey % 6 WHEN 0 THEN substr({_H}, 1, 7) WHEN 1 THEN substr({_H}, 1, 11) WHEN 2 THEN {_H} WHEN 3 THEN concat('test', substr({_H}, 1, 9)) WHEN 4 THEN concat('aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa', substr({_H}, 1, 1)) ELSE concat('é', substr({_H}, 1, 20), 'ß') END"
+#: Rules of a user's own: what the first one's allowlist takes, the second one reports.
+OWN_RULES = [
+    SecretRule("OWN-1", "own/1", "Key", "A key.", "high", ["AKIA[0-9A-Z]{16}"], "own", ["akia"], None, ["^AKIA[0-7]"]), SecretRule("OWN-2", "own/2", "Part", "A part.", "low", ["AKIA[0-9A-Z]{8}"], "own", ["AKI"]),
+]
+TREE_FOLDER = "CASE file_ord % 5 WHEN 0 THEN 'node_modules' WHEN 1 THEN 'skip' WHEN 2 THEN 'app' ELSE 'src' END"
+ENTROPY_LINE = f"concat('key ', {_H}, ' ', substr('ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/=_-ghijklm', cast(c_custkey % 20 + 1 AS int), 30), {_H}, ' ', {_H}, md5({_H}), CASE WHEN c_custkey % 9 = 0 THEN ' TEST' ELSE ' ' END, {_H}, {_H})"
+COMMENTED = (
+    "CASE o_orderkey % 6 WHEN 0 THEN concat('x = ', o_orderkey, ' // note') WHEN 1 THEN concat('s = \"a // b\" # ', o_orderkey) WHEN 2 THEN concat('u = \"it # is\" / ', o_orderkey) "
+    "WHEN 3 THEN concat('url = \"http://h/', o_orderkey, '\"') WHEN 4 THEN concat('k # ', o_orderkey, ' // z') ELSE concat('plain ', o_orderkey) END"
+)
+META_JSON = (
+    "concat('{\"version\": \"1\", \"list\": [1], \"lang', p_partkey % 3, '\": {\"vulnerabilities\": [{\"id\": \"R', p_partkey % 97, '\", \"cwe\": [\"CWE-1\", \"CWE-2\"]', CASE WHEN p_size % 3 = 0 THEN concat(', \"name\": \"n', p_partkey, '\"') ELSE '' END, "
+    "CASE WHEN p_size % 2 = 0 THEN ', \"severity\": \"MINOR\"' ELSE '' END, '}], \"bugs\": [{\"id\": \"B', p_partkey % 31, '\"}, {\"name\": \"no id\"}]}, \"alpha\": {\"code_smells\": [{\"id\": \"R', p_partkey % 53, '\", \"name\": \"smell\"}]}}')"
+)
+PATTERN_JSON = (
+    "concat('{\"version\": \"2\", \"statistics\": {\"vulnerabilities\": [{\"ruleId\": \"S\", \"patterns\": [\"s\"], \"message\": \"s\"}]}, \"', CASE p_partkey % 5 WHEN 0 THEN 'py' WHEN 1 THEN 'Python' WHEN 2 THEN 'js' WHEN 3 THEN 'typescript' ELSE 'k8s' END, "
+    "'\": {\"bugs\": [{\"ruleId\": \"Q', p_partkey, '\", \"patterns\": [\"z\"], \"suggestion\": \"fix it\"', CASE WHEN p_size % 7 = 0 THEN '' ELSE ', \"message\": \"n\"' END, '}], \"vulnerabilities\": [{\"ruleId\": \"P', p_partkey, '\", \"patterns\": [\"x+\", \"y\"], \"message\": \"m\"}]}}')"
+)
+LEAK_JSON = (
+    "concat('{\"title\": \"t\", \"rules\": [{\"id\": \"', CASE p_partkey % 4 WHEN 0 THEN 'aws-' WHEN 1 THEN 'Test-' WHEN 2 THEN 'plain-' ELSE 'gitlab-private-' END, p_partkey, '\", \"description\": \"d\", \"keywords\": [\"k1\", \"k2\"]', CASE WHEN p_size % 5 = 0 THEN ', \"tags\": [\"tagged\", \"x\"]' ELSE '' END, "
+    "CASE WHEN p_size % 2 = 0 THEN ', \"entropy\": 3.5' ELSE '' END, CASE p_size % 4 WHEN 0 THEN ', \"regex\": \"a(b\"' WHEN 1 THEN ', \"path\": \"p/q\"' WHEN 2 THEN '' ELSE concat(', \"regex\": \"r', p_size, '\"') END, '}]}')"
+)
 IAC_PATH = (
     "CASE p_partkey % 5 WHEN 0 THEN concat('docker/Dockerfile.', cast(p_partkey AS string)) WHEN 1 THEN concat('stack', cast(p_partkey AS string), '/docker-compose.yml') "
     "WHEN 2 THEN concat('infra/k8s/app', cast(p_partkey AS string), '.yaml') WHEN 3 THEN concat('infra/main', cast(p_partkey AS string), '.tf') ELSE concat('.github/workflows/ci', cast(p_partkey AS string), '.yml') END"
@@ -131,10 +153,10 @@ _DOCS = "SELECT doc_id AS id, concat('docs/', doc_id, '.txt') AS path, text AS c
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
-def _secret_hits(lines: str) -> str:
+def _secret_hits(lines: str, rules: list[SecretRule] | None = None) -> str:
     """The first accepted match of each line of `lines` (id, path, line_number, content). A branch a pattern, so that each is compiled once."""
     branches = []
-    for i, r in enumerate(builtin_secret_rules()):
+    for i, r in enumerate(rules or builtin_secret_rules()):
         allow = f" AND NOT regexp_matches(matched_text, {_q('|'.join(r.allowlist_patterns))})" if r.allowlist_patterns else ""
         keyword = "(" + " OR ".join(f"contains(low, {_q(k.lower())})" for k in r.keywords) + ") AND " if r.keywords else ""
         for j, p in enumerate(r.patterns):
@@ -160,6 +182,7 @@ def _confidence(x: str, e: str) -> str:
 
 
 _SECRET_LINES = f"SELECT c_custkey AS id, {SECRET_PATH} AS path, 1 AS line_number, {SECRET_LINE} AS content FROM customer"
+_ENTROPY_LINES = f"SELECT c_custkey AS doc_id, {ENTROPY_LINE} AS text FROM customer"
 _IAC_LINES = f"SELECT p_partkey AS id, {IAC_PATH} AS path, CAST(p_size AS INTEGER) AS line_number, {IAC_LINE} AS content FROM part"
 _CODE_LINES = f"SELECT o_orderkey AS id, {CODE_PATH} AS path, CAST(o_orderkey % 97 + 1 AS INTEGER) AS line_number, {CODE_LINE} AS content FROM orders"
 def _secret_catalog() -> str:
@@ -393,14 +416,13 @@ _BUILD = (
 _DIFF_LINES = f"SELECT row_number() OVER () AS id, path, line_number, content FROM ({_DIFF_ITEMS}) WHERE flag = 'A'"
 
 
-def _tokens(kind: str, pattern: str, least: int, entropy: float, more: str = "TRUE") -> str:
-    return f"SELECT doc_id, '{kind}' AS kind, token, round({_entropy('token')}, 6) AS entropy FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_q(pattern)})) AS token FROM documents) WHERE strlen(token) >= {least} AND NOT regexp_matches(upper(token), {_q(_any(SECRET_PLACEHOLDERS))}) AND {_entropy('token')} >= {entropy} AND {more}"
+def _tokens(kind: str, pattern: str, least: int, entropy: float, more: str = "TRUE", rows: str = "SELECT doc_id, text FROM documents") -> str:
+    return f"SELECT doc_id, '{kind}' AS kind, token, round({_entropy('token')}, 6) AS entropy FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_q(pattern)})) AS token FROM ({rows})) WHERE strlen(token) >= {least} AND NOT regexp_matches(upper(token), {_q(_any(SECRET_PLACEHOLDERS))}) AND {_entropy('token')} >= {entropy} AND {more}"
 
 
-def _stats(dimensions: dict[str, list[str]]) -> str:
-    rows = [(d, v) for d, values in dimensions.items() for v in values]
-    total = len(next(iter(dimensions.values())))
-    return f"SELECT d AS dimension, v AS value, count(*) AS rules FROM {_values(rows, 'd, v')} GROUP BY d, v UNION ALL SELECT 'total', '', {total}"
+def _stats(hits: str, dimensions: dict[str, str]) -> str:
+    each = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {c} AS value, count(DISTINCT rule_id) AS rules, count(*) AS n FROM h GROUP BY {c}" for d, c in dimensions.items())
+    return f"WITH h AS ({hits}) {each} UNION ALL SELECT 'total', '', count(DISTINCT rule_id), count(*) FROM h"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -452,13 +474,31 @@ def oracle_sql() -> dict[str, str]:
         "secrets_in_lines": f"SELECT rule_id, path AS file_path, severity, provider, matched_text, {_mask('matched_text')} AS masked_text, round({_confidence('matched_text', 'rule_entropy')}, 6) AS confidence FROM ({secret})",
         "secrets_in_diff": f"SELECT rule_id, path AS file_path, line_number, severity, provider, {_mask('matched_text')} AS masked_text FROM ({_secret_hits('SELECT * FROM (' + _SECRET_LINES + ') WHERE NOT ' + _TRAVERSAL + ' AND NOT regexp_matches(path, ' + _q(regexes(SECRET_IGNORED)) + ') AND NOT contains(path, ' + _q('secret/skip') + ')')}) WHERE {_RANK} >= 4 AND rule_id <> 'SEC-GH-001'",
         "secrets_in_documents": f"SELECT rule_id, path AS file_path, CAST(line_number AS INTEGER) AS line_number, severity, {_mask('matched_text')} AS masked_text, round({_confidence('matched_text', 'rule_entropy')}, 6) AS confidence FROM ({_secret_hits(_lines(_DOCS))})",
-        "secret_rule_stats": _stats({"provider": [r.provider for r in builtin_secret_rules()], "severity": [r.severity for r in builtin_secret_rules()]}),
+        "secret_rule_stats": _stats(_secret_hits(_secret_catalog()), {"provider": "provider", "severity": "severity"}),
+        "secrets_with_allowlist": f"SELECT rule_id, path AS file_path, matched_text FROM ({_secret_hits(_SECRET_LINES, OWN_RULES)})",
+        "secrets_in_tree": f"SELECT {TREE_FOLDER} AS folder, rule_id, severity, count(*) AS findings FROM (SELECT *, id AS file_ord FROM ({_secret_hits('SELECT * FROM (' + _secret_catalog() + ') WHERE NOT contains(content, chr(10))')})) WHERE {TREE_FOLDER} NOT IN ('skip', 'node_modules') GROUP BY ALL",
         "secret_issues": f"SELECT rule_id, severity, 'secret' AS category, 'secret-detection' AS source, count(*) AS issues, count(DISTINCT concat(message, {_mask('matched_text')})) AS descriptions FROM ({secret}) GROUP BY rule_id, severity",
         "secret_rotation": f"SELECT provider, rotation_provider, rotation_severity, count(*) AS findings, max(steps) AS steps FROM (SELECT *, CASE WHEN lower(provider) = 'google' THEN 'gcp' WHEN lower(provider) IN ({', '.join(map(_q, known))}) THEN lower(provider) ELSE '*' END AS k FROM ({secret})) JOIN (SELECT * FROM {rotation}) USING (k) GROUP BY provider, rotation_provider, rotation_severity",
         "entropy_tokens": " UNION ALL ".join((_tokens("token", ENTROPY_TOKEN, 20, 4.0), _tokens("base64", BASE64, 40, 5.0), _tokens("hex", HEX, 32, 3.8, not_repetitive))),
         "iac_in_lines": f"SELECT rule_id, path AS file_path, line_number, severity, iac_type, matched_pattern, source FROM ({_iac_hits(_IAC_LINES)})",
         "iac_in_diff": f"SELECT rule_id, path AS file_path, line_number, severity, iac_type FROM ({_iac_hits(_IAC_LINES)}) WHERE iac_type IN ('dockerfile', 'terraform') AND {_RANK} >= 4",
-        "iac_rule_stats": _stats({"type": [r.iac_type for r in builtin_iac_rules()], "severity": [r.severity for r in builtin_iac_rules()], "source": [r.source for r in builtin_iac_rules()]}),
+        "iac_rule_stats": _stats(_iac_hits(_iac_catalog()), {"type": "iac_type", "severity": "severity", "source": "source"}),
+        "rule_metadata": "WITH e AS (SELECT p_partkey AS source_ord, 'alpha' AS language, 3 AS c, 'code_smells' AS category, concat('R', p_partkey % 53) AS rule_id, 'smell' AS name, NULL AS severity, '' AS cwe FROM part "
+        "UNION ALL SELECT p_partkey, concat('lang', p_partkey % 3), 0, 'vulnerabilities', concat('R', p_partkey % 97), CASE WHEN p_size % 3 = 0 THEN concat('n', p_partkey) END, CASE WHEN p_size % 2 = 0 THEN 'MINOR' END, 'CWE-1,CWE-2' FROM part "
+        "UNION ALL SELECT p_partkey, concat('lang', p_partkey % 3), 2, 'bugs', concat('B', p_partkey % 31), NULL, NULL, '' FROM part) "
+        "SELECT rule_id, coalesce(name, rule_id) AS name, coalesce(severity, 'MAJOR') AS severity, cwe, source_ord, language, category FROM e QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY source_ord, language, c) = 1",
+        "rule_patterns": "WITH e AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'py' WHEN 1 THEN 'Python' WHEN 2 THEN 'js' WHEN 3 THEN 'typescript' ELSE 'k8s' END AS key, p_size FROM part WHERE p_size % 7 <> 0), "
+        "l AS (SELECT *, CASE lower(key) WHEN 'py' THEN 'python' WHEN 'js' THEN 'typescript' WHEN 'k8s' THEN 'kubernetes' ELSE lower(key) END AS language FROM e), k AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY language ORDER BY p_partkey DESC) = 1) "
+        "SELECT language, 0 AS rule_ord, concat('P', p_partkey) AS rule_id, 'Vulnerability' AS category, 'x+ y' AS patterns, 'm' AS message, NULL AS suggestion FROM k UNION ALL SELECT language, 1, concat('Q', p_partkey), 'Bug', 'z', 'n', 'fix it' FROM k",
+        "leak_rule_import": "WITH e AS (SELECT *, concat(CASE p_partkey % 4 WHEN 0 THEN 'aws-' WHEN 1 THEN 'Test-' WHEN 2 THEN 'plain-' ELSE 'gitlab-private-' END, p_partkey) AS id FROM part), "
+        "i AS (SELECT concat('SEC-GL-', upper(id)) AS rule_id, concat('gitleaks/', id) AS external_id, CASE p_size % 4 WHEN 0 THEN 'a(b' WHEN 1 THEN 'p/q' ELSE concat('r', p_size) END AS patterns, CASE p_partkey % 4 WHEN 1 THEN 'low' WHEN 2 THEN 'high' ELSE 'critical' END AS severity, "
+        f"CASE WHEN p_size % 5 = 0 THEN 'tagged' ELSE 'generic' END AS provider, CASE p_partkey % 4 WHEN 0 THEN {_q(IMPORT_SUGGESTIONS[0][1])} WHEN 3 THEN {_q(IMPORT_SUGGESTIONS[2][1])} ELSE {_q(DEFAULT_SUGGESTION)} END AS suggestion, CASE WHEN p_size % 2 = 0 THEN 3.5 END AS entropy, 'k1,k2' AS keywords FROM e WHERE p_size % 4 <> 2), "
+        "b AS (SELECT concat('BASE-', s_suppkey) AS rule_id, concat('gitleaks/aws-', s_suppkey) AS external_id, 'x' AS patterns, 'low' AS severity, 'base' AS provider, 'none' AS suggestion, NULL::DOUBLE AS entropy, 'k' AS keywords FROM supplier) "
+        "SELECT *, CASE WHEN patterns = 'a(b' THEN concat('bad pattern ', chr(39), 'a(b', chr(39)) END AS fault FROM (SELECT * FROM b UNION ALL SELECT * FROM i WHERE external_id NOT IN (SELECT external_id FROM b))",
+        "rule_file_choice": "SELECT file, source_ord, text FROM (SELECT concat('f', l_partkey) AS file, l_orderkey * 10 + l_linenumber AS source_ord, concat('t', l_suppkey) AS text FROM lineitem WHERE l_orderkey % 3 <> 0) QUALIFY row_number() OVER (PARTITION BY file ORDER BY source_ord) = 1",
+        "fix_order": "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 5 = 0, CASE WHEN l_partkey % 5 <> 0 THEN l_discount END DESC, l_linenumber) AS INTEGER) AS place FROM lineitem",
+        "inline_comments": f"SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN concat('x = ', o_orderkey, ' ') WHEN 1 THEN 's = \"a // b\" ' WHEN 4 THEN 'k ' ELSE {COMMENTED} END AS code FROM orders",
+        "entropy_in_lines": " UNION ALL ".join((_tokens("token", ENTROPY_TOKEN, 20, 4.5, rows=_ENTROPY_LINES), _tokens("base64", BASE64, 40, 5.0, rows=_ENTROPY_LINES), _tokens("hex", HEX, 32, 3.8, not_repetitive, _ENTROPY_LINES))),
         "code_issues": f"SELECT rule_id, file_path, line_start, severity, category, title, description, code_snippet FROM ({_code_hits(_CODE_LINES)})",
         "code_issues_ranked": f"SELECT rule_id, file_path, line_start, severity, title FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line_start, title ORDER BY {_RANK} DESC, id, rule_ord) AS n FROM ({_code_hits(_CODE_LINES)}) WHERE {_RANK} >= 4 AND rule_id <> 'PY-SHELL') WHERE n = 1 ORDER BY {_RANK} DESC, file_path, line_start, id, rule_ord LIMIT 100",
         "document_loc": _loc(_DOCS),

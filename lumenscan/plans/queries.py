@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenscan.catalog import tables
 from lumenscan.catalog.loader import RuleBundle
 from lumenscan.functions import paths as P
 from lumenscan.functions import text as X
+from lumenscan.functions.comments import without_inline_comment
 from lumenscan.operators import autofix, detect, duplication, iac, metrics, sast, secrets
+from lumenscan.operators.work import cut, delete, new_folder
 from lumenscan.plans import analysis
 from lumenscan.sources.files import diff_chunks, diff_lines, embedded_shell, lines
 
@@ -197,7 +201,23 @@ def secrets_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.rule_stats(spark)
+    """How many rules, and how often, found something in the lines made for the catalog."""
+    return secrets.rule_stats(secrets.finding_rows(secrets.line_matches(secret_catalog_lines(spark, sf_dir))))
+
+
+def secrets_with_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own rules: what the first one's allowlist rejects goes to the second."""
+    return secrets.line_matches(secret_lines(spark, sf_dir), oracle.OWN_RULES).select("rule_id", F.col("path").alias("file_path"), "matched_text")
+
+
+def secrets_in_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in a tree of files by folder; ignored folders are never opened."""
+    root = new_folder(spark, "tree")
+    secret_catalog_lines(spark, sf_dir).filter("NOT contains(content, chr(10))").selectExpr("content AS value", oracle.TREE_FOLDER + " AS folder").write.partitionBy("folder").text(root)
+    found = secrets.scan_directory(spark, root, secrets.ScanOptions(ignore_paths=["folder=skip/"]))
+    out = cut(found.groupBy(F.regexp_extract("file_path", "/folder=([^/]+)/", 1).alias("folder"), "rule_id", "severity").agg(F.count("*").alias("findings")))
+    delete(spark, root)
+    return out
 
 
 def secret_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,8 +231,11 @@ def secret_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    kinds = {"token": secrets.high_entropy_tokens(rows, 20, 4.0), "base64": secrets.high_entropy_base64(rows), "hex": secrets.high_entropy_hex(rows)}
+    return _entropy_kinds(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), 4.0)
+
+
+def _entropy_kinds(rows: DataFrame, least: float) -> DataFrame:
+    kinds = {"token": secrets.high_entropy_tokens(rows, 20, least), "base64": secrets.high_entropy_base64(rows), "hex": secrets.high_entropy_hex(rows)}
     out = None
     for kind, found in kinds.items():
         part = found.select("doc_id", F.lit(kind).alias("kind"), "token", F.round("entropy", 6).alias("entropy"))
@@ -247,7 +270,56 @@ def iac_file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iac_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iac.rule_stats(spark)
+    return iac.rule_stats(iac.finding_rows(iac.line_matches(iac_catalog_lines(spark, sf_dir))).withColumnRenamed("iac_type", "type"))
+
+
+# --- catalogs ---
+
+
+def rule_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule file a part; the first of a rule id stays."""
+    rows = tables.metadata(_table(spark, sf_dir, "part").selectExpr("p_partkey AS source_ord", oracle.META_JSON + " AS text"))
+    return rows.select("rule_id", "name", "severity", F.array_join("cwe", ",").alias("cwe"), "source_ord", "language", "category")
+
+
+def rule_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern file a part; the last that names a language stays, malformed ones are passed over."""
+    rows = tables.patterns(_table(spark, sf_dir, "part").selectExpr("p_partkey AS source_ord", oracle.PATTERN_JSON + " AS text"))
+    return rows.select("language", "rule_ord", "rule_id", "category", F.array_join("patterns", " ").alias("patterns"), "message", "suggestion")
+
+
+def leak_rule_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leak scanner's configuration a part; rules whose external id a base catalog (one rule a supplier) has are left out."""
+    imported = tables.leak_rules(_table(spark, sf_dir, "part").selectExpr("p_partkey AS source_ord", oracle.LEAK_JSON + " AS text"))
+    base = _table(spark, sf_dir, "supplier").selectExpr("concat('BASE-', s_suppkey) AS rule_id", "concat('gitleaks/aws-', s_suppkey) AS external_id", "array('x') AS patterns", "'low' AS severity", "'base' AS provider", "'none' AS suggestion", "cast(NULL AS double) AS entropy", "array('k') AS keywords")
+    rows = tables.checked(tables.merged(base, imported))
+    return rows.select("rule_id", "external_id", F.array_join("patterns", " ").alias("patterns"), "severity", "provider", "suggestion", "entropy", F.array_join("keywords", ",").alias("keywords"), "fault")
+
+
+def rule_file_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file from the first source that has it."""
+    sources = _table(spark, sf_dir, "lineitem").selectExpr("concat('f', l_partkey) AS file", "l_orderkey * 10 + l_linenumber AS source_ord", "CASE WHEN l_orderkey % 3 <> 0 THEN concat('t', l_suppkey) END AS text")
+    return tables.preferred(sources)
+
+
+def fix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of fixes by confidence, NaN last."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "CASE WHEN l_partkey % 5 = 0 THEN cast('NaN' AS double) ELSE cast(l_discount AS double) END AS confidence")
+    order = Window.partitionBy("l_orderkey").orderBy(*autofix.confidence_order(), "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", F.row_number().over(order).alias("place"))
+
+
+def inline_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", oracle.COMMENTED + " AS line")
+    return rows.select("o_orderkey", F.pandas_udf(_without_inline_comments, "string")("line").alias("code"))
+
+
+def _without_inline_comments(lines_of_code: pd.Series) -> pd.Series:
+    return lines_of_code.map(without_inline_comment)
+
+
+def entropy_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entropy_kinds(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", oracle.ENTROPY_LINE + " AS content"), 4.5)
 
 
 def code_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +424,7 @@ def project_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     file_length_alerts, lines_of_documents, diff_added_lines, diff_all_lines, diff_chunk_sizes, ci_shell_lines, ci_shell_issues, text_functions, path_functions, ignored_globs, severity_functions, secrets_in_lines, secrets_in_diff,
-    secrets_in_documents, secret_catalog, secrets_in_files, secret_rule_stats, secret_issues, secret_rotation, entropy_tokens, iac_in_lines, iac_in_diff, iac_catalog, iac_in_files, iac_file_issues, iac_rule_stats, code_issues, code_issues_ranked, code_fixes, diff_analysis,
+    secrets_in_documents, secret_catalog, secrets_in_files, secret_rule_stats, secrets_with_allowlist, secrets_in_tree, secret_issues, secret_rotation, entropy_tokens, iac_in_lines, iac_in_diff, iac_catalog, iac_in_files, iac_file_issues, iac_rule_stats, rule_metadata, rule_patterns, leak_rule_import, rule_file_choice, fix_order, inline_comments, entropy_in_lines, code_issues, code_issues_ranked, code_fixes, diff_analysis,
     document_loc, code_loc, pr_sizes, threshold_alerts, function_metrics, file_metrics, change_summary, duplicate_blocks, duplicate_blocks_as_written, duplicate_share, project_list, project_languages, project_targets, project_profile, project_builds,
 )
 

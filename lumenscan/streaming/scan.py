@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lumenscan.catalog.tables import newest
 from lumenscan.operators.metrics import loc
 from lumenscan.operators.secrets import finding_rows, line_matches, scannable, selected
 from lumenscan.operators.secrets import ScanOptions
@@ -22,13 +23,15 @@ def loc_stream(files: DataFrame) -> DataFrame:
     return files.select("path", loc(F.col("content")).alias("x")).select("path", "x.*")
 
 
-def secret_sink(files: DataFrame, folder: str, checkpoint: str, options: ScanOptions | None = None) -> StreamingQuery:
-    """Secrets of each micro-batch, written as Parquet under the batch's id, so that a repeated batch overwrites itself."""
+def secret_sink(files: DataFrame, folder: str, checkpoint: str, options: ScanOptions | None = None, rules_folder: str | None = None) -> StreamingQuery:
+    """Secrets of each micro-batch, written as Parquet under the batch's id, so that a repeated batch overwrites itself. With a folder of
+    published rules, each batch uses the version that is the newest when it starts."""
     options = options or ScanOptions()
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.filter(scannable(F.col("path"), options, SECRET_IGNORED)).withColumn("file_ord", F.monotonically_increasing_id())
-        found = selected(finding_rows(line_matches(lines(rows))), options).drop("file_ord")
+        rules = newest(batch.sparkSession, rules_folder) if rules_folder else None
+        found = selected(finding_rows(line_matches(lines(rows), rules)), options).drop("file_ord")
         found.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,15 @@
 """Secrets, infrastructure files, source code, fixes, whole analyses."""
 
 import json
+import re
 
 import pytest
 
 from lumenscan.catalog import loader as L
+from lumenscan.catalog import tables
+from lumenscan.catalog.loader import RuleBundle, SecretRule
 from lumenscan.operators import autofix, iac, sast, secrets
+from lumenscan.operators.matching import longest_keyword
 from lumenscan.operators.secrets import ScanOptions
 from lumenscan.plans import analysis
 from lumenscan.sources.files import files
@@ -137,3 +141,59 @@ def test_stream(spark, tmp_path):
     streaming.secret_sink(streaming.file_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r["file_path"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.env"]
     assert streaming.loc_stream(streaming.file_stream(spark, str(tmp_path / "in"))).isStreaming
+
+
+def test_rules_reloaded_between_batches(spark, tmp_path):
+    """A rule that is published midway fires only in later batches."""
+    folder, rules = str(tmp_path / "in"), str(tmp_path / "rules")
+    one = SecretRule("OWN-A", "own/a", "A", "An A.", "high", ["aaa[0-9]{6}"], "own", ["aaa"])
+    two = SecretRule("OWN-B", "own/b", "B", "A B.", "low", ["bbb[0-9]{6}"], "own", [], None, ["^bbb9"], 3.0)
+    put = lambda k: files(spark, [(f"src/{k}.env", "aaa123456\nbbb123456\nbbb923456\n")]).coalesce(1).write.mode("append").parquet(folder)
+    scan = lambda: streaming.secret_sink(streaming.file_stream(spark, folder), str(tmp_path / "out"), str(tmp_path / "state"), rules_folder=rules).awaitTermination()
+    assert tables.newest(spark, rules) == [] and tables.newest_version(spark, rules) == 0
+    for k, own in enumerate(([one], [one, two], [])):
+        assert tables.publish(spark, own, rules) == k + 1 and tables.newest(spark, rules) == own
+        put(k)
+        scan()
+    found = spark.read.parquet(str(tmp_path / "out")).select("file_path", "rule_id", "line_number").collect()
+    assert sorted(map(tuple, found)) == [("src/0.env", "OWN-A", 1), ("src/1.env", "OWN-A", 1), ("src/1.env", "OWN-B", 2)]
+
+
+def test_catalog_tables_are_what_the_loader_reads(spark):
+    """The built-in bundle as tables, against the driver's L."""
+    bundle = RuleBundle()
+    text = {n: (L.HOME / "bundle" / n).read_text(encoding="utf-8") for n in ("AllRules.json", "DetectionPatterns.json")}
+    source = lambda n: spark.createDataFrame([(0, text[n])], "source_ord int, text string")
+    meta = {r["rule_id"]: (r["name"], r["severity"], r["cwe"]) for r in tables.metadata(source("AllRules.json")).collect()}
+    assert meta == {k: (v["name"], v["severity"], v["cwe"]) for k, v in bundle.meta.items()}
+    found = {}
+    for r in tables.patterns(source("DetectionPatterns.json")).orderBy("language", "rule_ord").collect():
+        found.setdefault(r["language"], []).append((r["rule_id"], r["category"], r["patterns"], r["message"]))
+    assert found == {k: [(r["rule_id"], r["category"], r["patterns"], r["message"]) for r in v] for k, v in bundle.patterns.items() if v}
+
+
+def test_leak_rules_as_tables(spark):
+    config = {"title": "t", "rules": [{"id": "aws-x", "description": "AWS", "regex": "a+", "tags": ["cloud"], "keywords": ["aws"], "entropy": 3.0, "allowlist": {"regexes": ["b"]}}, {"id": "test-y", "path": "p"}, {"id": "z"}, {"regex": "q"}, {"id": "private-k", "regex": "("}]}
+    rows = tables.checked(tables.leak_rules(spark.createDataFrame([(0, json.dumps(config)), (1, "no json"), (2, None)], "source_ord int, text string"))).orderBy("pos").collect()
+    good = {"rules": [r for r in config["rules"] if "id" in r]}
+    want = L.import_leak_rules(good)
+    assert [L.SecretRule(**{k: r[k] for k in L.SecretRule.__dataclass_fields__}) for r in rows] == want
+    assert [r["fault"] for r in rows] == [None, None, "bad pattern '('"]
+
+
+def test_job_options_and_rule_compilation(spark):
+    """Options of a job, language keys, patterns that do not compile."""
+    options = sast.AnalysisOptions.from_job({"max_issues": 5, "minimum_severity": "major", "model": "x", "only_new_code": None})
+    assert (options.max_issues, options.minimum_severity, options.only_new_code) == (5, "high", True)
+    assert [L.language_key(k) for k in ("JS", "c++", "golang", "YML", "other")] == ["typescript", "cpp", "go", "yaml", "other"]
+    bundle = RuleBundle()
+    bundle.patterns = {"python": [{"rule_id": "BAD", "category": "Bug", "patterns": ["("], "message": "m"}, {"rule_id": "HALF", "category": "Bug", "patterns": ["(", "x1"], "message": "m"}]}
+    rows = spark.createDataFrame([(0, "a.py", 1, "x1"), (0, "a.py", 2, "y")], "file_ord long, path string, line_number int, content string")
+    assert [(r["rule_id"], r["line_start"]) for r in sast.scan_lines(rows, bundle).collect()] == [("HALF", 1)]
+
+
+def test_keywords_found_at_every_place():
+    words = ["a", "ab", "abc", "bc", "c.d", "é", "d(", "b"]
+    found = lambda text: {k for m in re.finditer(longest_keyword(words), text) for k in words if m[1].startswith(k)}
+    for text in ("xabcx", "ab", "c.d(", "cxd", "éa", "", "bcab"):
+        assert found(text) == {k for k in words if k in text}, text
