@@ -11,7 +11,7 @@ from lumenscan.catalog.loader import RuleBundle, SecretRule
 from lumenscan.operators import autofix, iac, sast, secrets
 from lumenscan.operators.matching import longest_keyword
 from lumenscan.operators.secrets import ScanOptions
-from lumenscan.plans import analysis
+from lumenscan.plans import analysis, examples
 from lumenscan.sources.files import files
 from lumenscan.streaming import scan as streaming
 
@@ -197,3 +197,14 @@ def test_keywords_found_at_every_place():
     found = lambda text: {k for m in re.finditer(longest_keyword(words), text) for k in words if m[1].startswith(k)}
     for text in ("xabcx", "ab", "c.d(", "cxd", "éa", "", "bcab"):
         assert found(text) == {k for k in words if k in text}, text
+
+
+def test_every_rule_wins_a_line_or_can_not():
+    """Rules that win none of the example lines hold a placeholder in every match, or repeat an earlier rule that needs no keyword."""
+    rules = L.builtin_secret_rules()
+    won = {r.rule_id for _, line in examples.secret_examples() if (r := examples.first_rule(line))}
+    silent = [(i, r) for i, r in enumerate(rules) if r.rule_id not in won]
+    bare = {p: i for i, r in enumerate(rules) if not r.keywords for p in r.patterns}
+    for i, r in silent:
+        assert all("test" in p.split("[")[0] or bare.get(p, i) < i for p in r.patterns), r.rule_id
+    assert len(silent) == 7
