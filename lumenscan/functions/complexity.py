@@ -1,11 +1,14 @@
-"""Cyclomatic and cognitive complexity and nesting depth of a function's text."""
+"""Cyclomatic and cognitive complexity and nesting depth of functions, as Column expressions on their texts."""
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
 
-from lumenscan.functions.spans import split_lines
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from lumenscan.functions.text import lines, trimmed
 
 #: Decision, loop, switch and catch keywords and Boolean operators of languages.
 KEYWORDS: dict[str, tuple[tuple[str, ...], ...]] = {
@@ -22,79 +25,98 @@ OTHERS = (("if", "else"), ("for", "while"), ("case",), ("catch",), ("&&", "||"))
 #: Languages whose switch cases count, and those whose nesting never closes.
 CASE_LANGUAGES = frozenset(("dotnet", "java", "typescript", "php", "go"))
 UNCLOSED = frozenset(("python", "ruby"))
-STRING = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|`(?:[^`\\]|\\.)*`')
+#: Strings, with runs that never give back what they took, so that long ones need no deep recursion.
+STRING = r'"(?:[^"\\]++|\\[^\n])*+"|\'(?:[^\'\\]++|\\[^\n])*+\'|`(?:[^`\\]++|\\[^\n])*+`'
 #: `//` comments go only on the last line: elsewhere no pattern reaches across a line break.
-COMMENT = re.compile(r"//.*\Z|/\*[\s\S]*?\*/|#[^\n]*")
+COMMENT = r"//[^\n]*\z|/\*[\s\S]*?\*/|#[^\n]*"
+
+
+def stripped_lines(text: Column) -> Column:
+    """The lines of a text without comments, its strings empty."""
+    return lines(F.regexp_replace(F.regexp_replace(text, STRING, '""'), COMMENT, ""))
+
 
+def occurrences(text: Column, part: str) -> Column:
+    """How often the part stands in the text, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
-def without_strings_and_comments(text: str) -> str:
-    return COMMENT.sub("", STRING.sub('""', text))
 
+def _total(parts: list[Column]) -> Column:
+    return sum(parts, F.lit(0))
 
-@lru_cache(maxsize=64)
-def _word(keyword: str) -> re.Pattern:
-    return re.compile(rf"(?<![A-Za-z]){re.escape(keyword)}(?![A-Za-z])")
 
+def _words(low: Column, keywords: list[str]) -> Column:
+    """How often the keywords stand in a lower-cased line with no letter next to them; one inside another counts for both."""
+    return _total([F.size(F.regexp_extract_all(low, F.lit(rf"(?<![A-Za-z]){re.escape(k)}(?![A-Za-z])"), F.lit(0))) for k in keywords])
 
-def _ahead(lines: list[str], at: int, opens, counts) -> int:
+
+def _ahead(all_lines: Column, at: Column, opens: Callable[[Column], Column], counts: Callable[[Column], Column]) -> Column:
     """How many lines count, from the first that opens on, until its braces close."""
-    n, depth, inside = 0, 0, False
-    for line in lines[at:]:
-        inside = inside or opens(line)
-        if inside:
-            depth += line.count("{") - line.count("}")
-            n += counts(line)
-            if depth <= 0 and "}" in line:
-                break
-    return n
-
-
-def match_arms(lines: list[str], at: int, language: str) -> int:
-    if language != "rust":
-        return 0
-    return _ahead(lines, at, lambda x: "match " in x, lambda x: "=>" in x and not x.strip().startswith("//"))
-
-
-def switch_cases(lines: list[str], at: int, language: str) -> int:
-    if language not in CASE_LANGUAGES:
-        return 0
-    return _ahead(lines, at, lambda x: "switch" in x.lower() or "select " in x.lower(), lambda x: x.lower().strip().startswith("case") or "case " in x.lower())
-
-
-def cyclomatic(lines: list[str], language: str) -> int:
-    *words, operators = KEYWORDS.get(language, OTHERS)
-    n = 1
-    for i, line in enumerate(lines):
-        low, text = line.lower(), line.strip()
-        for w in (w for group in words for w in group):
-            if w == "match":
-                n += match_arms(lines, i, language) if w in low else 0
-            else:
-                n += len(_word(w).findall(low))
-        n += sum(text.count(op) for op in operators)
-    return n
-
-
-def cognitive(lines: list[str], language: str) -> tuple[int, int]:
-    """Complexity and deepest nesting."""
-    decisions, loops, switches, _, operators = KEYWORDS.get(language, OTHERS)
-    heads = (*decisions, *loops, *switches)
-    total = deepest = depth = 0
-    for i, line in enumerate(lines):
-        low, text = line.lower().strip(), line.strip()
-        ends = language not in UNCLOSED and text.count("}") > text.count("{")
-        if not ends and any(low.startswith(h) or f"{h} " in low for h in heads):
-            total += max(depth, 1) + switch_cases(lines, i, language) + max(match_arms(lines, i, language) - 1, 0)
-            depth += 1
-            deepest = max(deepest, depth)
-        if ends and depth:
-            depth -= 1
-        if not depth:
-            total += sum(text.count(op) for op in operators)
-    return total, deepest
-
-
-def complexity(text: str, language: str) -> tuple[int, int, int]:
-    """Cyclomatic, cognitive, deepest nesting."""
-    lines = split_lines(without_strings_and_comments(text))
-    return (cyclomatic(lines, language), *cognitive(lines, language))
+    start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("over"), F.lit(0).alias("depth"), F.lit(0).alias("n"))
+
+    def step(s: Column, line: Column) -> Column:
+        inside = s["inside"] | opens(line)
+        depth = s["depth"] + occurrences(line, "{") - occurrences(line, "}")
+        now = F.struct(F.lit(True).alias("inside"), ((depth <= 0) & F.contains(line, F.lit("}"))).alias("over"), depth.alias("depth"), (s["n"] + counts(line).cast("int")).alias("n"))
+        return F.when(s["over"] | ~inside, s).otherwise(now)
+
+    return F.aggregate(F.slice(all_lines, at + 1, F.size(all_lines)), start, step, lambda s: s["n"])
+
+
+def match_arms(all_lines: Column, at: Column) -> Column:
+    return _ahead(all_lines, at, lambda x: F.contains(x, F.lit("match ")), lambda x: F.contains(x, F.lit("=>")) & ~F.startswith(trimmed(x), F.lit("//")))
+
+
+def switch_cases(all_lines: Column, at: Column) -> Column:
+    low = F.lower
+    return _ahead(all_lines, at, lambda x: F.contains(low(x), F.lit("switch")) | F.contains(low(x), F.lit("select ")), lambda x: F.startswith(trimmed(low(x)), F.lit("case")) | F.contains(low(x), F.lit("case ")))
+
+
+def _by_language(language: Column, of: Callable[[str | None], Column]) -> Column:
+    """The expression of each language that has keywords of its own, else that of the others."""
+    out = of(None)
+    for name in KEYWORDS:
+        out = F.when(language == name, of(name)).otherwise(out)
+    return out
+
+
+def cyclomatic(all_lines: Column, language: Column) -> Column:
+    """all_lines: a column, not an expression, as are all that are gone through more than once."""
+
+    def of(name: str | None) -> Column:
+        *words, operators = KEYWORDS.get(name, OTHERS)
+        words = [w for group in words for w in group]
+
+        def line(x: Column, i: Column) -> Column:
+            low = F.lower(x)
+            arms = F.when(F.contains(low, F.lit("match")), match_arms(all_lines, i)).otherwise(0) if "match" in words else F.lit(0)
+            return _words(low, [w for w in words if w != "match"]) + arms + _total([occurrences(trimmed(x), op) for op in operators])
+
+        return F.aggregate(F.transform(all_lines, line), F.lit(1), lambda s, n: s + n)
+
+    return _by_language(language, of)
+
+
+def cognitive(all_lines: Column, language: Column) -> Column:
+    """struct<total, deepest>: complexity and deepest nesting."""
+
+    def of(name: str | None) -> Column:
+        decisions, loops, switches, _, operators = KEYWORDS.get(name, OTHERS)
+        heads = (*decisions, *loops, *switches)
+
+        def line(x: Column, i: Column) -> Column:
+            text, low = trimmed(x), trimmed(F.lower(x))
+            ends = F.lit(False) if name in UNCLOSED else occurrences(text, "}") > occurrences(text, "{")
+            head = low.rlike("|".join(rf"\A{re.escape(h)}|{re.escape(h)} " for h in heads)) & ~ends
+            inside = (switch_cases(all_lines, i) if name in CASE_LANGUAGES else F.lit(0)) + (F.greatest(match_arms(all_lines, i) - 1, F.lit(0)) if name == "rust" else F.lit(0))
+            return F.struct(head.alias("head"), ends.alias("ends"), F.when(head, inside).otherwise(0).alias("inside"), _total([occurrences(text, op) for op in operators]).alias("operators"))
+
+        def step(s: Column, x: Column) -> Column:
+            depth = s["depth"] + F.when(x["head"], 1).when(x["ends"] & (s["depth"] > 0), -1).otherwise(0)
+            total = s["total"] + F.when(x["head"], F.greatest(s["depth"], F.lit(1)) + x["inside"]).otherwise(0) + F.when(depth == 0, x["operators"]).otherwise(0)
+            return F.struct(total.alias("total"), F.greatest(s["deepest"], depth).alias("deepest"), depth.alias("depth"))
+
+        zero = F.struct(*[F.lit(0).alias(n) for n in ("total", "deepest", "depth")])
+        return F.aggregate(F.transform(all_lines, line), zero, step, lambda s: F.struct(s["total"].alias("total"), s["deepest"].alias("deepest")))
+
+    return _by_language(language, of)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenscan.functions.complexity import cognitive, cyclomatic, stripped_lines
 from lumenscan.functions.paths import is_traversal, metrics_language
 from lumenscan.functions.text import lines as lines_of
 from lumenscan.functions.text import trimmed
@@ -96,32 +97,36 @@ def halstead(operators: Column, operands: Column, unique_operators: Column, uniq
     return [c.alias(n) for n, c in named.items()]
 
 
-FUNCTION_DDL = (
-    "file_ord long, path string, language string, function_ord int, name string, line_start int, line_end int, length int, cyclomatic_complexity int, cognitive_complexity int, "
-    "max_nesting_depth int, parameter_count int, parameters array<string>, operators long, operands long, unique_operators long, unique_operands long"
+SPAN_DDL = (
+    "file_ord long, path string, language string, function_ord int, name string, line_start int, line_end int, length int, parameter_count int, parameters array<string>, "
+    "operators long, operands long, unique_operators long, unique_operands long, body string"
 )
 
 
-def _functions(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from lumenscan.functions.complexity import complexity
+def _spans(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from lumenscan.functions.halstead import counts
     from lumenscan.functions.spans import spans
 
-    names = [x.split()[0] for x in FUNCTION_DDL.split(", ")]
+    names = [x.split()[0] for x in SPAN_DDL.split(", ")]
     for frame in source:
         rows = []
         for ord_, path, language, content in zip(frame["file_ord"], frame["path"], frame["language"], frame["content"], strict=True):
             for i, s in enumerate(spans(content or "", language)):
-                rows.append((ord_, path, language, i, s.name, s.start, s.end, s.end - s.start + 1, *complexity(s.body, language), len(s.parameters), s.parameters, *counts(s.body, language)))
+                rows.append((ord_, path, language, i, s.name, s.start, s.end, s.end - s.start + 1, len(s.parameters), s.parameters, *counts(s.body, language), s.body))
         yield pd.DataFrame(rows, columns=names)
 
 
 def functions(file_rows: DataFrame) -> DataFrame:
-    """A row for each function of each file with its complexity and Halstead measures. Where a function ends depends on a scan ahead, so
-    this runs as batches of files in Python, with the path and the text only."""
+    """A row for each function of each file with its complexity and Halstead measures. Where a function ends depends on a scan ahead, and
+    which symbol comes next on the one before, so both run as batches of files in Python; all else are expressions."""
     rows = numbered(file_rows).select("file_ord", "path", metrics_language(F.col("path")).alias("language"), "content")
-    found = rows.mapInPandas(_functions, FUNCTION_DDL)
-    return found.select("*", *halstead(*(F.col(c) for c in ("operators", "operands", "unique_operators", "unique_operands"))))
+    found = rows.mapInPandas(_spans, SPAN_DDL).withColumn("lines", stripped_lines(F.col("body"))).drop("body")
+    found = found.withColumns({"cyclomatic": cyclomatic(F.col("lines"), F.col("language")), "cognitive": cognitive(F.col("lines"), F.col("language"))})
+    return found.select(
+        "file_ord", "path", "language", "function_ord", "name", "line_start", "line_end", "length", F.col("cyclomatic").alias("cyclomatic_complexity"), F.col("cognitive.total").alias("cognitive_complexity"),
+        F.col("cognitive.deepest").alias("max_nesting_depth"), "parameter_count", "parameters", "operators", "operands", "unique_operators", "unique_operands",
+        *halstead(*(F.col(c) for c in ("operators", "operands", "unique_operators", "unique_operands"))),
+    )
 
 
 def files(file_rows: DataFrame) -> DataFrame:

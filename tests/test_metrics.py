@@ -1,12 +1,14 @@
 """Lines of code, functions, complexity, Halstead, duplication, alerts, detection."""
 
 import math
+import random
 
 import pytest
+from brute_complexity import complexity
 from pyspark.sql import functions as F
 
 from lumenscan.functions.comments import without_inline_comment
-from lumenscan.functions.complexity import complexity
+from lumenscan.functions import complexity as C
 from lumenscan.functions.halstead import counts
 from lumenscan.functions.spans import in_range, spans
 from lumenscan.operators import detect, duplication, metrics
@@ -68,6 +70,20 @@ def test_complexity():
     assert complexity("// if\nx", "go")[0] == 2 and complexity("x // if", "go")[0] == 1  # only on the last line
 
 
+def test_complexity_columns(spark):
+    """The Column expressions against the same measures line by line, over code of all languages and lines put together at random."""
+    rng = random.Random(4)
+    bits = [
+        "if (a && b) {", "} else if (c) {", "else if x", "}", "{", "match v {", "  1 => 2,", "  _ => { f(); }", "// => no", "switch (x) {", "case 1:", "  default: y ?? z?.w", "select {", "for x in y:", "while (a || b) {", "do {", "  doubled = 1",
+        'x = "if { \\" } for"', "y = 'case'", "z = `match {`", "/* if { */ while", "# for", "catch (e) {", "except E:", "elsif x unless y", "Ünïf", "\t  return a ? b : c;", "", "If IF iffy", "loop { break; }", "end }}", 'open "string', "// last",
+    ]
+    rows = [(language, text) for language, text, _ in SPANS] + [(language, "\n".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))) for language in (*C.KEYWORDS, "cpp", "kotlin") for _ in range(40)] + [("go", ""), ("rust", '"' + "a" * 200_000 + '"')]
+    found = spark.createDataFrame(rows, "language string, text string").withColumn("lines", C.stripped_lines(F.col("text")))
+    found = found.select("language", "text", C.cyclomatic(F.col("lines"), F.col("language")).alias("c"), C.cognitive(F.col("lines"), F.col("language")).alias("g"))
+    for r in found.collect():
+        assert (r["c"], r["g"]["total"], r["g"]["deepest"]) == complexity(r["text"], r["language"]), r
+
+
 def test_halstead(spark):
     assert counts("a == b", "go") == (2, 2, 1, 2)
     assert counts("x = 1_000", "go") == (1, 3, 1, 3)
