@@ -226,12 +226,10 @@ def with_rotation(findings: DataFrame) -> DataFrame:
 
 
 def rotation_report(findings: DataFrame) -> DataFrame:
-    """with_rotation plus `report`, a readable text."""
+    """with_rotation plus `report`, a readable text of `name: value` lines and the steps; lines without a value are left out."""
     rows = with_rotation(findings)
-    c = F.concat
-    report = c(
-        F.lit("🔐 SECRET ROTATION REPORT\n========================\n\nRule: "), "rule_id", F.lit("\nProvider: "), "provider", F.lit("\nSeverity: "), "severity", F.lit("\nFile: "), "file_path", F.lit(":"), F.col("line_number").cast("string"),
-        F.lit("\n\nMasked Secret: "), "masked_text", F.lit("\nDescription: "), "message", F.lit("\n\n🔄 ROTATION STEPS\n-----------------\n"), F.array_join("rotation_steps", "\n"), F.lit("\n\n📚 Documentation: "), "documentation_url", F.lit("\n"),
-        F.when(F.col("revoke_url").isNotNull(), c(F.lit("🔗 Revoke URL: "), "revoke_url", F.lit("\n"))).otherwise(""), F.lit("\n💡 Suggestion: "), "suggestion", F.lit("\n"),
-    )
-    return rows.withColumn("report", report)
+    place = F.concat_ws(":", "file_path", F.col("line_number").cast("string"))
+    named = (("ROTATION", F.concat_ws(" ", "rotation_provider", "rule_id")), ("Found in", place), ("Secret", F.col("masked_text")), ("Provider", F.col("provider")), ("Severity", F.col("severity")), ("What it is", F.col("message")))
+    after = (("More about it", F.col("documentation_url")), ("Revoke it at", F.col("revoke_url")), ("Instead of it", F.col("suggestion")))
+    said = lambda pairs: [F.concat(F.lit(f"{name}: "), value) for name, value in pairs]
+    return rows.withColumn("report", F.concat_ws("\n", *said(named), F.lit("Steps"), F.transform("rotation_steps", lambda x: F.concat(F.lit("  "), x)), *said(after)))
