@@ -4,7 +4,7 @@ If two sets are similar enough, then under any global order of tokens each has,
 other has among its first ones. Three orders are used. The first puts rare tokens first, by a sketch of token counts of fixed size (any
 function of the token is a valid order, so the sketch's errors cost time, not results); its prefixes go into an inverted index that
 makes the candidates. The other two are by hashes that have nothing to do with it, so that a pair that shares a rare token by chance,
-or a passage, seldom passes them too. A class carries its prefixes under them as 32-bit signatures (shortening a token can only let more
+or a passage, seldom passes them too. A class carries its prefixes under them as 16-bit signatures (shortening a token can only let more
 pass), and a pair that does not meet under both is dropped before any text is fetched. Long lists are divided by the second order's prefix
 tokens, so that only classes that share a token under both orders become pairs.
 
@@ -39,6 +39,9 @@ ORDERS = 3
 FLUSH_TOKENS = 500_000
 #: Prefix tokens that meet in one part of the index, of 21 bytes each.
 PART_TOKENS = 2_000_000
+#: The keys of at most so many texts that are to be compared are broadcast (16 bytes each), so that no other text moves; beyond, all are
+#: shuffled to them.
+BROADCAST_KEYS = 1_000_000
 #: Posting lists of tokens met more often than this are split by class, so that no list has to fit a task.
 LONG_LIST = 1_000_000
 #: So many of a class's least tokens travel with it in the last round.
@@ -78,16 +81,17 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, threshold: int = THRESHOLD) -
 
 
 def signature(tokens: np.ndarray, order: int, threshold: int = THRESHOLD) -> np.ndarray:
-    """32 bits of each of the first tokens under order 1 (their own hashes, as they are sorted) or 2 (the hashes times an odd number)."""
+    """16 bits of each of the first tokens under order 1 (their own hashes, as they are sorted) or 2 (the hashes times an odd number),
+    different ones, in order."""
     size = prefix_size(len(tokens), threshold) if len(tokens) else 0
-    if order == 1:
-        return tokens[:size].astype(np.uint32).view(np.int32)
-    turned = tokens * _U64(0xD6E8FEB86659FD93)
-    return (np.partition(turned, size - 1)[:size] if 0 < size < len(tokens) else turned).astype(np.uint32).view(np.int32)
+    if order == 2:
+        tokens = tokens * _U64(0xD6E8FEB86659FD93)
+        tokens = np.partition(tokens, size - 1) if 0 < size < len(tokens) else tokens
+    return np.unique(tokens[:size].astype(np.uint16).view(np.int16))
 
 
-DOC_DDL = "doc_id long, row_key long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", s1 array<int>, s2 array<int>, chunk int, counts binary"
-_DOC = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((b, pa.int64()) for b in _BITS), ("s1", pa.list_(pa.int32())), ("s2", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
+DOC_DDL = "doc_id long, row_key long, cls long, n long, " + ", ".join(f"{b} long" for b in _BITS) + ", s1 array<smallint>, s2 array<smallint>, chunk int, counts binary"
+_DOC = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), *((b, pa.int64()) for b in _BITS), ("s1", pa.list_(pa.int16())), ("s2", pa.list_(pa.int16())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def _lists_of(arrays: list[np.ndarray]) -> pa.Array:
@@ -235,7 +239,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int
                     sent.update(part.column(0).to_pylist())
                 yield part
 
-    texts = keyed_texts(docs).join(wanted, "row_key").select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
+    wanted = staged(wanted, "join-wanted")
+    texts = keyed_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "row_key").select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
     texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +322,9 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     heads = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEAD_TOKENS).alias("head"))
     rows = staged(rows.join(heads, "cls").join(classes.select("cls", "n", *_BITS, "s1", "s2"), "cls"), "join-apart")
     # a long list is a list for each of the second order's prefix tokens in it
-    long, rows = rows.filter(F.col("k") > whole_list), rows.filter(F.col("k") <= whole_list).drop("k").withColumns({"second": F.lit(0), "second_head": F.array().cast("array<int>")})
+    long, rows = rows.filter(F.col("k") > whole_list), rows.filter(F.col("k") <= whole_list).drop("k").withColumns({"second": F.lit(0), "second_head": F.array().cast("array<smallint>")})
     if not long.isEmpty():
-        second = long.withColumn("second_head", F.slice(F.sort_array("s1"), 1, HEAD_TOKENS)).select("*", F.explode("s1").alias("second")).drop("k")
+        second = long.withColumn("second_head", F.slice(F.sort_array("s1"), 1, HEAD_TOKENS)).select("*", F.explode("s1").alias("second")).withColumn("second", F.col("second").cast("int")).drop("k")
         several = second.groupBy("token", "second").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token", "second")
         rows = rows.unionByName(second.join(several, ["token", "second"]))  # a token's list is whole or divided, never both
     one = rows.select("token", "second", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "head", "second_head", "n", *_BITS, "s1", "s2")])
