@@ -172,10 +172,48 @@ def test_language_id_held_out_accuracy(spark):
     assert len(rows) > 150 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
 
 
-def test_language_sample_is_bounded(spark):
-    """A labelled row that fills a third of the table comes into the sample once."""
-    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'the same text', concat('words number ', id)) as text", "'en' as lang")
-    assert langid.fit(rows, sample_docs=50) is not None
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """A labelled row that fills a third of the table comes into the sample once, and each language gives its share at most."""
+    taken = []
+
+    class Counted(langid.Classifier):
+        def __init__(self, rows, labels):
+            taken.append((np.packbits(rows, axis=1), Counter(labels)))
+
+    monkeypatch.setattr(langid, "Classifier", Counted)
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'the same text', concat('words number ', id)) as text", "if(id % 7 = 1, 'de', 'en') as lang")
+    langid.fit(rows, sample_docs=50)
+    (bits, labels), same = taken[0], np.packbits(langid.present("the same text"))
+    assert 30 <= sum(labels.values()) <= 50 and set(labels) == {"de", "en"} and max(labels.values()) <= 25
+    assert sum((x == same).all() for x in bits) <= 2  # once a label
+
+
+def grams(text):
+    """The n-grams themselves, with nothing hashed."""
+    data = b" " + b" ".join(text.lower().encode().translate(langid._SPACED).split()) + b" "
+    return {data[i : i + n] for n in langid.GRAMS for i in range(len(data) - n + 1)}
+
+
+def brute_values(train, labels, tests, ridge=langid.RIDGE):
+    """Kernel ridge regression, one against the rest, on exact kernels of all pairs; the bias is a constant feature."""
+    own = [grams(t) for t in train]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b)) + 1
+    goals = np.array([[1.0 if x == lang else -1.0 for lang in sorted(set(labels))] for x in labels])
+    weights = np.linalg.solve(np.array([[kernel(a, b) for b in own] for a in own]) + ridge * np.eye(len(own)), goals)
+    return np.array([[kernel(grams(t), b) for b in own] for t in tests]) @ weights
+
+
+def test_language_id_against_exact_kernels():
+    """With every training text as a landmark the model is kernel ridge regression: same labels, values apart by what hashing merges."""
+    g = np.random.default_rng(2)
+    words = {lang: ["".join(g.choice(list(letters), g.integers(2, 9))) for _ in range(150)] for lang, letters in (("aa", "etaoinshrd"), ("bb", "enisratdhu"), ("cc", "eaosrnidlç"))}
+    text = lambda lang, n: " ".join(g.choice(words[lang], n))
+    labels = [lang for lang in words for _ in range(25)]
+    train, tests = [text(lang, int(g.integers(5, 80))) for lang in labels], [(lang, text(lang, n)) for lang in words for n in (4, 10, 40, 300)]
+    model = langid.Classifier(np.array([langid.present(t) for t in train]), labels, landmarks=len(train))
+    found, exact = model.values(np.array([langid.present(t) for _, t in tests])), brute_values(train, labels, [t for _, t in tests])
+    assert found.argmax(1).tolist() == exact.argmax(1).tolist() == [sorted(words).index(lang) for lang, _ in tests]
+    assert np.abs(found - exact).max() < 0.05
 
 
 def test_language_id_without_labels(spark):
