@@ -39,9 +39,9 @@ ORDERS = 3
 FLUSH_TOKENS = 500_000
 #: Prefix tokens that meet in one part of the index, of 21 bytes each.
 PART_TOKENS = 2_000_000
-#: The keys of at most so many texts that are to be compared are broadcast (16 bytes each), so that no other text moves; beyond, all are
-#: shuffled to them.
-BROADCAST_KEYS = 1_000_000
+#: Tables of two numbers a row are broadcast up to so many rows (keys of texts that are to be compared, so that no other text moves, and
+#: classes' components); beyond, both sides of the join are shuffled.
+BROADCAST_ROWS = 300_000
 #: Posting lists of tokens met more often than this are split by class, so that no list has to fit a task.
 LONG_LIST = 1_000_000
 #: So many of a class's least tokens travel with it in the last round.
@@ -201,6 +201,11 @@ def _lists(t: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array(token[keep].view(np.int64)), "cls": pa.array(cls[keep]), "n": pa.array(n[keep].astype(np.int64)), "leader": pa.array(np.repeat(cls[where], length)[keep]), "split": pa.array(split[keep] > 0)})
 
 
+def _light(df: DataFrame) -> DataFrame:
+    """A staged table of two numbers a row, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _may_link(a: str, b: str, threshold: int) -> Column:
     """Sizes and bitmaps allow the pair: t (|a| + |b| + d) <= 100 (|a| + |b| - d), where d is at least the bitmaps' difference."""
     total = F.col(f"{a}n") + F.col(f"{b}n")
@@ -240,7 +245,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int
                 yield part
 
     wanted = staged(wanted, "join-wanted")
-    texts = keyed_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "row_key").select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
+    texts = keyed_texts(docs).join(_light(wanted), "row_key").select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
     texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +312,8 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
     comps = merged_components(comps, staged(verified(tried, classes, docs, n_words, threshold), "join-links"))
 
     # classes that are still apart from others of the least ones of their lists
-    led = lists.join(comps, "cls").join(comps.select(F.col("cls").alias("leader"), F.col("comp").alias("leader_comp")), "leader").filter("comp != leader_comp")
+    light = _light(comps)
+    led = lists.join(light, "cls").join(light.select(F.col("cls").alias("leader"), F.col("comp").alias("leader_comp")), "leader").filter("comp != leader_comp")
     led = led.select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = staged(_screened(led, classes, threshold), "join-pairs")
     if not more.isEmpty():
@@ -315,8 +321,11 @@ def joined_components(docs: DataFrame, n_words: int = WORDS, threshold: int = TH
         comps = merged_components(comps, staged(verified(more, classes, docs, n_words, threshold), "join-links"))
 
     # pairs of a list that are still apart; the one pair of a list of two has been tried
-    placed = lists.select("token", "cls").join(comps, "cls")
-    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("token", "k")
+    placed = lists.select("token", "cls").join(_light(comps), "cls")
+    # lists of the same classes, as those of one passage's tokens are, give the same pairs: the one of least token stands for all
+    same = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"same{i}") for i in (1, 2)]
+    apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), *same).filter("lo != hi and k > 2")
+    apart = apart.groupBy("k", "same1", "same2").agg(F.min("token").alias("token")).select("token", "k")
     rows = placed.join(apart, "token")
     # with the least of each class's tokens, a pair that shares many need not come up at each: it does at the least one they share
     heads = rows.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("token")), 1, HEAD_TOKENS).alias("head"))
