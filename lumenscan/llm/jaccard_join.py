@@ -37,7 +37,7 @@ SKETCH_LOG, SKETCH_CHUNKS = 22, 64
 ORDERS = 3
 #: A task sends its prefix tokens whenever so many have come together.
 FLUSH_TOKENS = 500_000
-#: Prefix tokens that meet in one part of the index, of 21 bytes each.
+#: Prefix tokens that meet in one part of the index, of 17 bytes each.
 PART_TOKENS = 2_000_000
 #: Tables of two numbers a row are broadcast up to so many rows (keys of texts that are to be compared, so that no other text moves, and
 #: classes' components); beyond, both sides of the join are shuffled.
@@ -45,7 +45,7 @@ BROADCAST_ROWS = 300_000
 #: Posting lists of tokens met more often than this are split by class, so that no list has to fit a task.
 LONG_LIST = 1_000_000
 #: So many of a class's least tokens travel with it in the last round.
-HEAD_TOKENS = 24
+HEAD_TOKENS = 8
 #: In the last round, lists of more classes are divided by the second order's prefix tokens: a pair is screened in a fraction of the time
 #: that it takes to deal a class out by each of its tokens.
 WHOLE_LIST = 2_000
@@ -148,7 +148,7 @@ def sketch_of(found: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: int, n_tokens: int) -> DataFrame:
-    """(token, cls, n, leader, split) of prefix tokens under the first order that at least two classes share; leader: the least class of
+    """(token, cls, leader, split) of prefix tokens under the first order that at least two classes share; leader: the least class of
     the list, or of its part if the list is split. n_tokens: at most so many are sent; a part, which is one group in a task's memory, is
     to hold PART_TOKENS of them."""
     parts = max(64, 4 * shuffle_parts(docs.sparkSession), -(-n_tokens // PART_TOKENS))
@@ -160,15 +160,14 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
         def flush() -> Iterator[pa.RecordBatch]:
             tokens = np.concatenate([x[0] for x in held])
             classes = np.repeat(np.array([x[1] for x in held], np.int64), [len(x[0]) for x in held])
-            sizes = np.repeat(np.array([x[2] for x in held], "<u4"), [len(x[0]) for x in held])
             level = levels[(tokens >> _U64(64 - SKETCH_LOG)).astype(np.int64)].astype(np.float64)
             pieces = np.maximum(1, 2 ** ((level + 1) / 2) // long_list).astype(np.uint64)
             part = (mixed(tokens + (classes.view(np.uint64) % pieces) * _U64(0x9E3779B97F4A7C15)) % _U64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[by], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(cuts)).tolist()
-            columns = [[x[by[cuts[p] : cuts[p + 1]]].tobytes() for p in some] for x in (tokens, classes, sizes, (pieces > 1).astype("u1"))]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "tokens", "classes", "sizes", "split"])
+            columns = [[x[by[cuts[p] : cuts[p + 1]]].tobytes() for p in some] for x in (tokens, classes, (pieces > 1).astype("u1"))]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "tokens", "classes", "split"])
 
         for batch in source:
             for chosen in parts_of(pc.binary_length(batch.column(0)).to_pylist(), 500):
@@ -176,7 +175,7 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
                     if len(tokens) and (c := class_of(tokens)) not in seen:
                         if len(seen) < 500_000:
                             seen.add(c)
-                        held.append((prefix(tokens, levels, threshold), c, len(tokens)))
+                        held.append((prefix(tokens, levels, threshold), c))
                         size += len(held[-1][0])
                 if size >= FLUSH_TOKENS:
                     yield from flush()
@@ -184,21 +183,21 @@ def postings(docs: DataFrame, sketch, n_words: int, threshold: int, long_list: i
         if held:
             yield from flush()
 
-    packed = docs.select(utf8("text").alias("text")).mapInArrow(lean(post), "part int, tokens binary, classes binary, sizes binary, split binary")
-    return packed.groupBy("part").applyInArrow(_lists, "token long, cls long, n long, leader long, split boolean")
+    packed = docs.select(utf8("text").alias("text")).mapInArrow(lean(post), "part int, tokens binary, classes binary, split binary")
+    return packed.groupBy("part").applyInArrow(_lists, "token long, cls long, leader long, split boolean")
 
 
 def _lists(t: pa.Table) -> pa.Table:
-    token, cls, n, split = (np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in (("tokens", np.uint64), ("classes", np.int64), ("sizes", "<u4"), ("split", np.uint8)))
+    token, cls, split = (np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()]) for name, kind in (("tokens", np.uint64), ("classes", np.int64), ("split", np.uint8)))
     by = np.lexsort((cls, token))
-    token, cls, n, split = token[by], cls[by], n[by], split[by]
+    token, cls, split = token[by], cls[by], split[by]
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]) if len(token) else np.zeros(0, bool)
-    token, cls, n, split = token[new], cls[new], n[new], split[new]
+    token, cls, split = token[new], cls[new], split[new]
     first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
     where = np.flatnonzero(first)
     length = np.diff(np.concatenate([where, [len(token)]]))
     keep = np.repeat(length > 1, length) | (split > 0)
-    return pa.table({"token": pa.array(token[keep].view(np.int64)), "cls": pa.array(cls[keep]), "n": pa.array(n[keep].astype(np.int64)), "leader": pa.array(np.repeat(cls[where], length)[keep]), "split": pa.array(split[keep] > 0)})
+    return pa.table({"token": pa.array(token[keep].view(np.int64)), "cls": pa.array(cls[keep]), "leader": pa.array(np.repeat(cls[where], length)[keep]), "split": pa.array(split[keep] > 0)})
 
 
 def _light(df: DataFrame) -> DataFrame:
