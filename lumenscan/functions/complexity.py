@@ -81,42 +81,49 @@ def _by_language(language: Column, of: Callable[[str | None], Column]) -> Column
 
 
 def cyclomatic(all_lines: Column, language: Column) -> Column:
-    """all_lines: a column, not an expression, as are all that are gone through more than once."""
+    """all_lines: a column, not an expression, as are all that are gone through more than once. No keyword and no operator holds a line break
+    or stands beside a letter across one, so they are counted in all lines at once."""
+    text = F.array_join(all_lines, "\n")
+    low = F.lower(text)
 
     def of(name: str | None) -> Column:
         *words, operators = KEYWORDS.get(name, OTHERS)
         words = [w for group in words for w in group]
-
-        def line(x: Column, i: Column) -> Column:
-            low = F.lower(x)
-            arms = F.when(F.contains(low, F.lit("match")), match_arms(all_lines, i)).otherwise(0) if "match" in words else F.lit(0)
-            return _words(low, [w for w in words if w != "match"]) + arms + _total([occurrences(trimmed(x), op) for op in operators])
-
-        return F.aggregate(F.transform(all_lines, line), F.lit(1), lambda s, n: s + n)
+        found = _words(low, [w for w in words if w != "match"]) + _total([occurrences(text, op) for op in operators])
+        if "match" in words:
+            arms = F.transform(all_lines, lambda x, i: F.when(F.contains(F.lower(x), F.lit("match")), match_arms(all_lines, i)).otherwise(0))
+            found = found + F.aggregate(arms, F.lit(0), lambda s, n: s + n)
+        return F.lit(1) + found
 
     return _by_language(language, of)
 
 
 def cognitive(all_lines: Column, language: Column) -> Column:
-    """struct<total, deepest>: complexity and deepest nesting."""
+    """struct<total, deepest>: complexity and deepest nesting. What a line is told by several times is found once: first its text without
+    white space around, then that in lower case and whether it closes more than it opens, then the rest."""
 
     def of(name: str | None) -> Column:
         decisions, loops, switches, _, operators = KEYWORDS.get(name, OTHERS)
-        heads = (*decisions, *loops, *switches)
+        heads = "|".join(map(re.escape, (*decisions, *loops, *switches)))
 
-        def line(x: Column, i: Column) -> Column:
-            text, low = trimmed(x), trimmed(F.lower(x))
+        def shown(text: Column) -> Column:
             ends = F.lit(False) if name in UNCLOSED else occurrences(text, "}") > occurrences(text, "{")
-            head = low.rlike("|".join(rf"\A{re.escape(h)}|{re.escape(h)} " for h in heads)) & ~ends
+            return F.struct(text.alias("text"), F.lower(text).alias("low"), ends.alias("ends"))
+
+        def line(x: Column, i: Column) -> Column:
+            head = ~x["ends"] & x["low"].rlike(rf"\A(?:{heads})|(?:{heads}) ")
             inside = (switch_cases(all_lines, i) if name in CASE_LANGUAGES else F.lit(0)) + (F.greatest(match_arms(all_lines, i) - 1, F.lit(0)) if name == "rust" else F.lit(0))
-            return F.struct(head.alias("head"), ends.alias("ends"), F.when(head, inside).otherwise(0).alias("inside"), _total([occurrences(text, op) for op in operators]).alias("operators"))
+            return F.struct(x["text"].alias("text"), x["ends"].alias("ends"), F.when(head, inside).alias("inside"))
 
         def step(s: Column, x: Column) -> Column:
-            depth = s["depth"] + F.when(x["head"], 1).when(x["ends"] & (s["depth"] > 0), -1).otherwise(0)
-            total = s["total"] + F.when(x["head"], F.greatest(s["depth"], F.lit(1)) + x["inside"]).otherwise(0) + F.when(depth == 0, x["operators"]).otherwise(0)
+            head = x["inside"].isNotNull()
+            depth = s["depth"] + F.when(head, 1).when(x["ends"] & (s["depth"] > 0), -1).otherwise(0)
+            total = s["total"] + F.when(head, F.greatest(s["depth"], F.lit(1)) + x["inside"]).otherwise(0) + F.when(depth == 0, x["operators"]).otherwise(0)
             return F.struct(total.alias("total"), F.greatest(s["deepest"], depth).alias("deepest"), depth.alias("depth"))
 
+        counted = lambda x: F.struct(x["inside"].alias("inside"), x["ends"].alias("ends"), _total([occurrences(x["text"], op) for op in operators]).alias("operators"))
+        every = F.transform(F.transform(F.transform(F.transform(all_lines, trimmed), shown), line), counted)
         zero = F.struct(*[F.lit(0).alias(n) for n in ("total", "deepest", "depth")])
-        return F.aggregate(F.transform(all_lines, line), zero, step, lambda s: F.struct(s["total"].alias("total"), s["deepest"].alias("deepest")))
+        return F.aggregate(every, zero, step, lambda s: F.struct(s["total"].alias("total"), s["deepest"].alias("deepest")))
 
     return _by_language(language, of)

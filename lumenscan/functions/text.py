@@ -21,8 +21,12 @@ def lines(text: Column) -> Column:
     return F.when((text == "") | text.isNull(), F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
 
 
+#: All characters of white space (those of `\s` under `(?U)`).
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def holds_any(text: Column, words: tuple[str, ...]) -> Column:

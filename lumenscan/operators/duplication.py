@@ -96,18 +96,23 @@ def _ends(counts: np.ndarray, min_lines: int, min_tokens: int) -> np.ndarray:
 
 
 def _seeds(measured: DataFrame, min_lines: int, min_tokens: int, within_files: bool) -> DataFrame:
-    """file_ord, start, lo, key: the shortest block at each line that has one."""
+    """file_ord, start, lo, key: the shortest block at each line that has one. The files of a batch are gone through at once, as one sequence
+    in which no block reaches beyond its file."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for file_ord, hashes, counts in zip(batch.column(0).to_pylist(), _arrays(batch.column(1)), _arrays(batch.column(2)), strict=True):
-                ends = _ends(counts, min_lines, min_tokens)
-                start = np.flatnonzero(ends <= len(counts))
-                if len(start):
-                    key = Windows(hashes).hash(start, ends[start] - start)
-                    if within_files:
-                        key = scrambled(key ^ scrambled(np.array([file_ord], np.int64).view(np.uint64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), file_ord)), pa.array(start.astype(np.int32)), pa.array((ends[start] - start).astype(np.int32)), pa.array(key.view(np.int64))], ["file_ord", "start", "lo", "key"])
+            hashes, counts, at = batch.column(1).flatten(), batch.column(2).flatten(), np.asarray(batch.column(1).offsets).astype(np.int64)
+            at, hashes, counts = at - at[0], np.asarray(hashes), np.asarray(counts)
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            ends = _ends(counts, min_lines, min_tokens)
+            start = np.flatnonzero(ends <= at[of + 1])
+            if not len(start):
+                continue
+            size, of = ends[start] - start, of[start]
+            key, file_ord = Windows(hashes).hash(start, size), np.asarray(batch.column(0))[of]
+            if within_files:
+                key = scrambled(key ^ scrambled(file_ord.astype(np.int64).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(file_ord), pa.array((start - at[of]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(key.view(np.int64))], ["file_ord", "start", "lo", "key"])
 
     return measured.select("file_ord", "hashes", "tokens").mapInArrow(run, "file_ord long, start int, lo int, key long")
 
@@ -148,6 +153,7 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
+            out = []
             for file_ord, stretch, cls_file, cls_stretch, start, cls_start, lo, hashes, cls_hashes in zip(*(batch.column(i).to_pylist() for i in range(4)), *(_arrays(batch.column(i)) for i in range(4, 9)), strict=True):
                 here = (cls_start >= cls_stretch) & (cls_start < cls_stretch + len(cls_hashes))
                 start, cls_start, lo = start[here], cls_start[here], lo[here]
@@ -158,11 +164,10 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
                 goes_on = i + hi < len(hashes)
                 key = scrambled(np.array([cls_file], np.int64).view(np.uint64) + scrambled(cls_start.astype(np.uint64) << np.uint64(32) | lo.astype(np.uint64)))
                 key = scrambled(key ^ scrambled(hi.astype(np.uint64)) ^ hashes[np.minimum(i + hi, len(hashes) - 1)].view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(start), file_ord)), pa.array(np.full(len(start), stretch, np.int32)), pa.array(start), pa.array(np.full(len(start), cls_file)), pa.array(cls_start), pa.array(lo), pa.array(hi.astype(np.int32)),
-                     pa.array(key.view(np.int64), mask=~goes_on)],
-                    ["file_ord", "stretch", "start", "cls_file", "cls_start", "lo", "hi", "key"],
-                )
+                out.append((np.full(len(start), file_ord), np.full(len(start), stretch, np.int32), start, np.full(len(start), cls_file), cls_start, lo, hi.astype(np.int32), key.view(np.int64), ~goes_on))
+            if out:
+                *columns, keys, ends_here = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys, mask=ends_here)], ["file_ord", "stretch", "start", "cls_file", "cls_start", "lo", "hi", "key"])
 
     return pairs.mapInArrow(run, "file_ord long, stretch int, start int, cls_file long, cls_start int, lo int, hi int, key long")
 
@@ -258,7 +263,7 @@ def profile(found: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _found(rows: DataFrame, min_lines: int, min_tokens: int, within_files: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """families, stretches, pieces, profile, numbers"""
-    found, stretches = families(_measured(rows), min_lines, min_tokens, within_files)
+    found, stretches = families(cut(_measured(rows)), min_lines, min_tokens, within_files)
     parts = cut(pieces(found))
     shape, numbers = profile(found, parts)
     return found, stretches, parts, cut(shape), numbers
@@ -385,11 +390,14 @@ def percentages(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: in
     shown = _overlap(parts, shape, list(CLS)).join(rows.select(F.col("file_ord").alias("first_file"), F.col("path").alias("first_path")), "first_file")
     per_file = shown.select("file_ord", F.col("first_path"), "first_start", "shift", "x", "y", "a", "b")
 
-    def fold(t: pa.Table) -> pa.Table:
-        n = duplicated_lines(list(zip(*(t.column(i).to_pylist() for i in range(1, 8)), strict=True)))
-        return pa.table({"file_ord": pa.array([t.column(0)[0].as_py()], pa.int64()), "duplicated": pa.array([n], pa.int64())})
+    def fold(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            n = [duplicated_lines([tuple(x.values()) for x in own]) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["file_ord", "duplicated"])
 
-    counted = per_file.groupBy("file_ord").applyInArrow(fold, "file_ord long, duplicated long")
+    # a row a file, many to a batch: a file by itself costs a task more than its few pieces
+    listed = per_file.groupBy("file_ord").agg(F.collect_list(F.struct(*per_file.columns[1:])).alias("own"))
+    counted = listed.mapInArrow(fold, "file_ord long, duplicated long")
     sizes = rows.select("file_ord", F.size(lines_of(F.col("content"))).cast("long").alias("lines"))
     both = sizes.join(counted, "file_ord", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0)))
     share = lambda d, n: F.when(n > 0, d / n * 100.0).otherwise(0.0).alias("duplication_percentage")

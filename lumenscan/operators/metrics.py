@@ -26,27 +26,28 @@ def _folded(all_lines: Column, is_open: bool) -> Column:
     before them. Only `*/` (or a quote line) closes a block, so lines are folded in order."""
     start = F.struct(F.lit(is_open).alias("open"), *[F.lit(0).cast("long").alias(n) for n in ("code", "comment", "blank")])
 
-    def step(s: Column, line: Column) -> Column:
-        t = trimmed(line)
-        blank = t == ""
-        closes = F.contains(t, F.lit("*/"))
-        single = t.startswith("//") | t.startswith("#")
-        slashed, angled, quoted = t.startswith("/*"), t.startswith("<!--"), t.startswith("'''") | t.startswith('"""')
-        begin, end = t.startswith("=begin"), t.startswith("=end")
-        comment = s["open"] | single | slashed | angled | begin | end | quoted
-        opened = F.when(blank, s["open"]).when(s["open"], ~closes).when(single, False).when(slashed, ~closes).when(angled, ~F.contains(t, F.lit("-->"))).when(begin | quoted, True).otherwise(False)
+    def kind(t: Column) -> Column:
+        """What a trimmed line is by itself, and whether a block is open behind it: if none was before, and if one was."""
+        blank, closes = t == "", F.contains(t, F.lit("*/"))
+        single, begin, quoted = t.startswith("//") | t.startswith("#"), t.startswith("=begin"), t.startswith("'''") | t.startswith('"""')
+        slashed, angled = t.startswith("/*"), t.startswith("<!--")
+        alone = single | slashed | angled | begin | t.startswith("=end") | quoted
+        shut = F.when(blank | single, False).when(slashed, ~closes).when(angled, ~F.contains(t, F.lit("-->"))).otherwise(begin | quoted)
+        return F.struct(blank.alias("blank"), alone.alias("alone"), shut.alias("shut"), (blank | ~closes).alias("still"))
+
+    def step(s: Column, x: Column) -> Column:
+        comment, code = ~x["blank"] & (s["open"] | x["alone"]), ~x["blank"] & ~s["open"] & ~x["alone"]
         return F.struct(
-            opened.alias("open"), (s["code"] + (~blank & ~comment).cast("long")).alias("code"), (s["comment"] + (~blank & comment).cast("long")).alias("comment"), (s["blank"] + blank.cast("long")).alias("blank")
+            F.when(s["open"], x["still"]).otherwise(x["shut"]).alias("open"), (s["code"] + code.cast("long")).alias("code"), (s["comment"] + comment.cast("long")).alias("comment"), (s["blank"] + x["blank"].cast("long")).alias("blank")
         )
 
-    return F.aggregate(all_lines, start, step)
+    return F.aggregate(F.transform(F.transform(all_lines, trimmed), kind), start, step)
 
 
 def loc(text: Column) -> Column:
     """struct<total_lines, code_lines, comment_lines, blank_lines>, whatever the language."""
-    all_lines = lines_of(text)
-    named = lambda s: F.struct(F.size(all_lines).cast("long").alias("total_lines"), s["code"].alias("code_lines"), s["comment"].alias("comment_lines"), s["blank"].alias("blank_lines"))
-    return F.transform(F.array(_folded(all_lines, False)), named)[0]
+    named = lambda s: F.struct((s["code"] + s["comment"] + s["blank"]).alias("total_lines"), s["code"].alias("code_lines"), s["comment"].alias("comment_lines"), s["blank"].alias("blank_lines"))
+    return F.transform(F.array(_folded(lines_of(text), False)), named)[0]
 
 
 def long_file_loc(file_rows: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:

@@ -34,6 +34,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Splits a core that `dealt` makes.
+DEALT = 4
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Keys and sizes of a table that texts are made of by rule. Such columns are a few bytes a row, so that millions of rows are one split or
+    one row group of a file, and all that is made of them would be one task's work: they are dealt out over all cores."""
+    return _table(spark, sf_dir, name).select(*columns).repartition(DEALT * spark.sparkContext.defaultParallelism)
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("file_ord"), F.format_string("docs/%d.txt", "doc_id").alias("path"), F.col("text").alias("content"))
 
@@ -65,7 +75,7 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small file a part, in a language by its key."""
-    return _table(spark, sf_dir, "part").selectExpr("p_partkey AS file_ord", oracle.FILE_PATH + " AS path", oracle.FILE_TEXT + " AS content")
+    return dealt(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS file_ord", oracle.FILE_PATH + " AS path", oracle.FILE_TEXT + " AS content")
 
 
 def ci_files(spark: SparkSession, sf_dir: str) -> DataFrame:
