@@ -62,13 +62,14 @@ def masked(secret: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits, counts of characters over the length in bytes."""
-    chars, size = F.split(text, ""), F.octet_length(text).cast("double")
+    size = F.octet_length(text).cast("double")
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))  # a run a character, once they are sorted
 
-    def term(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == c)) / size
+    def term(run: Column) -> Column:
+        p = F.length(run) / size
         return -p * F.log2(p)
 
-    total = F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda s, c: s + term(c))
+    total = F.aggregate(runs, F.lit(0.0), lambda s, run: s + term(run))
     return F.when(size > 0, total + F.lit(0.0)).otherwise(0.0)
 
 

@@ -160,9 +160,10 @@ BASE64_ENTROPY, HEX_ENTROPY = 5.0, 3.8
 
 
 def _tokens(rows: DataFrame, pattern: str, min_length: int, least: float, text: str) -> DataFrame:
-    found = rows.withColumn("token", F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    found = found.filter((F.octet_length("token") >= min_length) & ~is_placeholder(F.col("token")))
-    return found.withColumn("entropy", entropy(F.col("token"))).filter(F.col("entropy") >= least)
+    """Filtered before they become rows, so that a token's entropy is computed once."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: (F.octet_length(t) >= min_length) & ~is_placeholder(t))
+    scored = F.transform(found, lambda t: F.struct(t.alias("token"), entropy(t).alias("entropy")))
+    return rows.withColumn("scored", F.explode(F.filter(scored, lambda x: x["entropy"] >= least))).select(*rows.columns, "scored.*")
 
 
 def high_entropy_tokens(rows: DataFrame, min_length: int = 20, least: float = 4.5, text: str = "content") -> DataFrame:

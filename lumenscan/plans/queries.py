@@ -50,7 +50,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line a customer, holding a kind of secret by its key; a stable row id as file_ord."""
-    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS file_ord", oracle.SECRET_PATH + " AS path", "1 AS line_number", oracle.SECRET_LINE + " AS content")
+    rows = dealt(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS file_ord", oracle.SECRET_PATH + " AS path", "1 AS line_number", oracle.SECRET_LINE + " AS content")
     return rows
 
 
@@ -329,7 +329,7 @@ def _without_inline_comments(lines_of_code: pd.Series) -> pd.Series:
 
 
 def entropy_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entropy_kinds(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", oracle.ENTROPY_LINE + " AS content"), 4.5)
+    return _entropy_kinds(dealt(spark, sf_dir, "customer", "c_custkey").selectExpr("c_custkey AS doc_id", oracle.ENTROPY_LINE + " AS content"), 4.5)
 
 
 def code_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
