@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,43 +52,79 @@ def lines(file_rows: DataFrame) -> DataFrame:
 # --- unified diffs ---
 
 
+#: The new file's first line in a hunk's head, up to the first `+`.
+HUNK_START = re.compile(r"[^+]*\+([0-9]+)(?=[,\t\n\x0b\f\r ]|\Z)")
+
+
+def _hunk_start(raw: str) -> int:
+    m = HUNK_START.match(raw)
+    return int(m[1]) if m and int(m[1]) < 2**63 else 1
+
+
+def _last(flags: np.ndarray) -> np.ndarray:
+    """The last place up to each that is flagged, -1 before the first."""
+    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
+
+
+def _begins(raw: pa.Array, text: str) -> np.ndarray:
+    return np.asarray(pc.starts_with(raw, text).cast(pa.uint8())).view(bool)
+
+
+def _placed(raw: pa.Array, first: np.ndarray, is_file: np.ndarray, context: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Lines of several diffs, one after the other (`first` flags each diff's first line, `is_file` the `diff --git` lines): the places of the
+    lines asked for, each one's section and number, then the paths of the sections that name one and these sections.
+
+    Sections are numbered over all the diffs. Running maxima tell each line the section and the hunk that are open."""
+    is_path, is_hunk, is_context = _begins(raw, "+++ "), _begins(raw, "@@ "), _begins(raw, " ")
+    added = _begins(raw, "+") & ~_begins(raw, "+++")
+    step, wanted = added | is_context, added | is_context if context else added
+    section, hunk = np.cumsum(is_file | first) - 1, _last(is_hunk)
+    is_open = hunk >= _last(is_file | first)  # a new section closes the hunk
+    hunks, steps = np.flatnonzero(is_hunk), np.cumsum(step)
+    starts = np.ones(len(raw), np.int64)
+    starts[hunks] = [_hunk_start(x) for x in raw.take(pa.array(hunks)).to_pylist()]
+    at = np.flatnonzero(is_open & wanted)
+    number = starts[hunk[at]] + (steps[at] - 1 - steps[hunk[at]])
+    places = np.flatnonzero(is_path)
+    paths = {int(section[i]): re.sub(r"\A(b/)+", "", x[4:]) for i, x in zip(places, raw.take(pa.array(places)).to_pylist(), strict=True) if x != "+++ /dev/null"}
+    named = np.array(sorted(paths), np.int64)
+    return at, section[at], number, [paths[s] for s in named.tolist()], named
+
+
 def diff_lines(diffs: DataFrame, only_new_code: bool = True) -> DataFrame:
     """diffs: diff_id, diff. Added lines (and context lines unless only_new_code) with their file and line number:
     diff_id, file_ord, path, line_number, content; a file without such lines gives one row without line number.
 
-    A line is classed first; running windows over a diff then carry the section (between `diff --git` lines), the path named last, whether
-    a hunk is open, and the new file's line number. A section's lines belong to the path that is current at its end."""
-    rows = diffs.select("diff_id", F.posexplode(lines_of(F.col("diff"))).alias("pos", "raw"))
-    raw = F.col("raw")
-    kind = (
-        F.when(raw.startswith("diff --git "), "file").when(raw.startswith("+++ "), "path").when(raw.startswith("@@ "), "hunk")
-        .when(raw.startswith("+") & ~raw.startswith("+++"), "add").when(raw.startswith(" "), "context").otherwise("other")
-    )
-    rows = rows.withColumn("kind", kind)
-    so_far = Window.partitionBy("diff_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    named = F.regexp_replace(F.substring(raw, 5, 2**31 - 1), r"\A(b/)+", "")
-    start = F.coalesce(F.regexp_extract(raw, r"\A[^+]*\+(\d+)(?=[,\s]|\z)", 1).try_cast("long") if hasattr(Column, "try_cast") else F.expr(r"try_cast(regexp_extract(raw, '\\A[^+]*\\+(\\d+)(?=[,\\s]|\\z)', 1) as bigint)"), F.lit(1))
-    rows = rows.select(
-        "*", F.sum((F.col("kind") == "file").cast("long")).over(so_far).alias("section"), F.sum((F.col("kind") == "hunk").cast("long")).over(so_far).alias("hunk"),
-        F.when((F.col("kind") == "path") & (raw != "+++ /dev/null"), named).alias("named"), F.when(F.col("kind") == "hunk", start).alias("start"),
-    )
-    in_section = Window.partitionBy("diff_id", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    open_hunk = F.max(F.when(F.col("kind") == "hunk", F.col("hunk"))).over(in_section)  # a new section closes the hunk
-    in_hunk = Window.partitionBy("diff_id", "section", "open").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("open", open_hunk)
-    step = F.col("kind").isin("add", "context").cast("long")
-    number = F.max("start").over(in_hunk) + F.sum(step).over(in_hunk) - step
-    rows = rows.withColumn("line_number", F.when(F.col("open").isNotNull(), number))
-    # the path taken when a section ends; sections that never name one pass their lines on to the next that does
-    ends = rows.groupBy("diff_id", "section").agg(F.max_by("named", F.when(F.col("named").isNotNull(), F.col("pos"))).alias("path"))
-    later = Window.partitionBy("diff_id").orderBy("section").rowsBetween(0, Window.unboundedFollowing)
-    ends = ends.select("diff_id", "section", "path", F.first("path", ignorenulls=True).over(later).alias("owner"), F.min(F.when(F.col("path").isNotNull(), F.col("section"))).over(later).alias("file_ord"))
-    wanted = ["add"] if only_new_code else ["add", "context"]
-    found = rows.filter(F.col("open").isNotNull() & F.col("kind").isin(*wanted)).join(ends.select("diff_id", "section", F.col("owner").alias("path"), "file_ord"), ["diff_id", "section"])
-    found = found.filter("path is not null").select("diff_id", "file_ord", "path", "line_number", F.substring("raw", 2, 2**31 - 1).alias("content"))
-    named_files = ends.filter("path is not null").select("diff_id", F.col("section").alias("file_ord"), "path")
-    empty = named_files.join(found.select("diff_id", "file_ord"), ["diff_id", "file_ord"], "left_anti")
-    return found.unionByName(empty.select("diff_id", "file_ord", "path", F.lit(None).cast("long").alias("line_number"), F.lit(None).cast("string").alias("content")))
+    A diff is a row, so its lines never leave its task: many diffs' lines are classed and numbered at once, in arrays. A section (between
+    `diff --git` lines) belongs to the path named last in it; sections that never name one pass their lines on to the next that does."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            raw, ends = batch.column(1).flatten(), np.asarray(batch.column(1).offsets).astype(np.int64)
+            ends = ends - ends[0]
+            if not len(raw):
+                continue
+            first, is_file, diff = np.zeros(len(raw), bool), _begins(raw, "diff --git "), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            first[ends[:-1][np.diff(ends) > 0]] = True
+            at, section, number, paths, named = _placed(raw, first, is_file, not only_new_code)
+            of = diff[is_file | first]  # each section's diff, and its number in it
+            before = np.concatenate([[0], np.cumsum(is_file)])
+            file_ord = before[1:][is_file | first] - before[ends[:-1]][of]
+            owner = np.searchsorted(named, section)
+            known = owner < len(named)
+            known[known] = of[named[owner[known]]] == of[section[known]]
+            at, number, owner = at[known], number[known], owner[known]
+            empty = np.setdiff1d(np.arange(len(named)), owner)
+            every = named[np.concatenate([owner, empty])]
+            none = np.arange(len(every)) >= len(owner)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of[every])), pa.array(file_ord[every]), pa.array(paths, pa.string()).take(pa.array(np.concatenate([owner, empty]))),
+                 pa.array(np.concatenate([number, np.zeros(len(empty), np.int64)]), mask=none), pa.concat_arrays([pc.utf8_slice_codeunits(raw.take(pa.array(at)), 1), pa.nulls(len(empty), raw.type)])],
+                ["diff_id", "file_ord", "path", "line_number", "content"],
+            )
+
+    rows = diffs.select("diff_id", lines_of(F.col("diff")).alias("lines"))
+    return rows.mapInArrow(run, f"diff_id {rows.schema['diff_id'].dataType.simpleString()}, file_ord long, path string, line_number long, content string")
 
 
 def chunk_starts(sizes: np.ndarray, max_lines: int, max_bytes: int) -> np.ndarray:
