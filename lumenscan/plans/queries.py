@@ -288,19 +288,19 @@ def iac_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule file a part; the first of a rule id stays."""
-    rows = tables.metadata(_table(spark, sf_dir, "part").selectExpr("p_partkey AS source_ord", oracle.META_JSON + " AS text"))
+    rows = tables.metadata(dealt(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS source_ord", oracle.META_JSON + " AS text"))
     return rows.select("rule_id", "name", "severity", F.array_join("cwe", ",").alias("cwe"), "source_ord", "language", "category")
 
 
 def rule_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern file a part; the last that names a language stays, malformed ones are passed over."""
-    rows = tables.patterns(_table(spark, sf_dir, "part").selectExpr("p_partkey AS source_ord", oracle.PATTERN_JSON + " AS text"))
+    rows = tables.patterns(dealt(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS source_ord", oracle.PATTERN_JSON + " AS text"))
     return rows.select("language", "rule_ord", "rule_id", "category", F.array_join("patterns", " ").alias("patterns"), "message", "suggestion")
 
 
 def leak_rule_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leak scanner's configuration a part; rules whose external id a base catalog (one rule a supplier) has are left out."""
-    imported = tables.leak_rules(_table(spark, sf_dir, "part").selectExpr("p_partkey AS source_ord", oracle.LEAK_JSON + " AS text"))
+    imported = tables.leak_rules(dealt(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS source_ord", oracle.LEAK_JSON + " AS text"))
     base = _table(spark, sf_dir, "supplier").selectExpr("concat('BASE-', s_suppkey) AS rule_id", "concat('gitleaks/aws-', s_suppkey) AS external_id", "array('x') AS patterns", "'low' AS severity", "'base' AS provider", "'none' AS suggestion", "cast(NULL AS double) AS entropy", "array('k') AS keywords")
     rows = tables.checked(tables.merged(base, imported))
     return rows.select("rule_id", "external_id", F.array_join("patterns", " ").alias("patterns"), "severity", "provider", "suggestion", "entropy", F.array_join("keywords", ",").alias("keywords"), "fault")
