@@ -55,7 +55,7 @@ def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").selectExpr("p_partkey AS file_ord", oracle.IAC_PATH + " AS path", "cast(p_size AS int) AS line_number", oracle.IAC_LINE + " AS content")
+    return dealt(spark, sf_dir, "part", "p_partkey", "p_size").selectExpr("p_partkey AS file_ord", oracle.IAC_PATH + " AS path", "cast(p_size AS int) AS line_number", oracle.IAC_LINE + " AS content")
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ci_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS file_ord", oracle.CI_PATH + " AS path", oracle.CI_TEXT + " AS content")
+    return dealt(spark, sf_dir, "supplier", "s_suppkey").selectExpr("s_suppkey AS file_ord", oracle.CI_PATH + " AS path", oracle.CI_TEXT + " AS content")
 
 
 def _numbered_examples(spark: SparkSession, rows: list[tuple], name: str, at: str) -> DataFrame:
@@ -90,7 +90,7 @@ def _numbered_examples(spark: SparkSession, rows: list[tuple], name: str, at: st
 def secret_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line a part: one that a secret rule matches, or nearly."""
     rows = examples.secret_examples()
-    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), (F.col("p_partkey") % len(rows)).alias("i"))
+    parts = dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("file_ord"), (F.col("p_partkey") % len(rows)).alias("i"))
     found = parts.join(_numbered_examples(spark, rows, "content", "i"), "i")
     return found.select("file_ord", F.format_string("src/app/f%d.env", "file_ord").alias("path"), F.lit(1).alias("line_number"), "content")
 
@@ -98,21 +98,21 @@ def secret_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a part of two example lines, in folders that are ignored, by default or on request, or not."""
     rows = examples.secret_examples()
-    parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("i"), ((F.col("p_partkey") * 7 + 2) % len(rows)).alias("j"))
+    parts = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("i"), ((F.col("p_partkey") * 7 + 2) % len(rows)).alias("j"))
     found = parts.join(_numbered_examples(spark, rows, "one", "i"), "i").join(_numbered_examples(spark, rows, "two", "j"), "j")
     return found.selectExpr("p_partkey AS file_ord", oracle.SECRET_FILE_PATH + " AS path", "concat(one, chr(10), 'plain', chr(13), chr(10), two, chr(10)) AS content")
 
 
 def iac_catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = examples.iac_examples()
-    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_ord"), (F.col("p_partkey") % len(rows)).alias("i"))
+    parts = dealt(spark, sf_dir, "part", "p_partkey").select(F.col("p_partkey").alias("file_ord"), (F.col("p_partkey") % len(rows)).alias("i"))
     found = parts.join(_numbered_examples(spark, rows, "content", "i"), "i")
     return found.select("file_ord", F.format_string("d%d/%s", "file_ord", "example_path").alias("path"), F.lit(1).alias("line_number"), "content")
 
 
 def iac_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = examples.iac_examples()
-    parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("i"), ((F.col("p_partkey") + 2) % len(rows)).alias("j"))
+    parts = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("i"), ((F.col("p_partkey") + 2) % len(rows)).alias("j"))
     found = parts.join(_numbered_examples(spark, rows, "one", "i"), "i").join(_numbered_examples(spark, rows, "two", "j").drop("example_path"), "j")
     return found.selectExpr("p_partkey AS file_ord", f"concat({oracle.IAC_FILE_DIR}, example_path) AS path", "concat(one, chr(10), two, chr(10), chr(10), one, chr(10)) AS content")
 
