@@ -63,15 +63,20 @@ def rule_frame(spark: SparkSession, bundle: RuleBundle, options: AnalysisOptions
 
 def file_language(path: Column, bundle: RuleBundle) -> Column:
     """By file name or end of path, then by what follows the last dot; of several languages the alphabetically first."""
-    low, name, out = F.lower(path), F.lower(file_name(path)), F.lit(None).cast("string")
-    end = F.concat(F.lit("."), F.substring_index(low, ".", -1))
-    for language, extensions in sorted(bundle.extensions.items(), reverse=True):
-        if extensions:
-            out = F.when(end.isin([e.lower() for e in extensions]), language).otherwise(out)
-    for language, names in sorted(bundle.file_names.items(), reverse=True):
-        for n in reversed(names):
-            out = F.when((name == n.lower()) | ((name != "") & low.endswith(n.lower())), language).otherwise(out)
-    return out
+    low = F.lower(path)
+    parts = F.struct(low.alias("low"), F.lower(file_name(path)).alias("name"), F.concat(F.lit("."), F.substring_index(low, ".", -1)).alias("end"))
+
+    def of(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for language, extensions in sorted(bundle.extensions.items(), reverse=True):
+            if extensions:
+                out = F.when(x["end"].isin([e.lower() for e in extensions]), language).otherwise(out)
+        for language, names in sorted(bundle.file_names.items(), reverse=True):
+            for n in reversed(names):
+                out = F.when((x["name"] == n.lower()) | ((x["name"] != "") & x["low"].endswith(n.lower())), language).otherwise(out)
+        return out
+
+    return F.transform(F.array(parts), of)[0]  # the parts of a path are found once, not once a language
 
 
 def scannable(path: Column, options: AnalysisOptions) -> Column:
@@ -93,7 +98,9 @@ def scan_lines(line_rows: DataFrame, bundle: RuleBundle, options: AnalysisOption
     """Issues of lines (file_ord, path, line_number, content), shell in CI files included, with columns that keep scan order."""
     options = options or AnalysisOptions()
     rules, patterns = rule_frame(line_rows.sparkSession, bundle, options)
-    rows = line_rows.filter("content is not null").filter(scannable(F.col("path"), options)).withColumn("language", file_language(F.col("path"), bundle)).filter("language is not null")
+    rows = line_rows.filter("content is not null").filter(scannable(F.col("path"), options))
+    # a filter on a column would find the language twice, once to test it
+    rows = rows.withColumn("language", F.explode(F.filter(F.array(file_language(F.col("path"), bundle)), lambda x: x.isNotNull())))
     # CI files are recognised by their path; their language may be another one (any YAML file)
     shell = embedded_shell(rows.select("file_ord", "path", "line_number", "content")).filter(trimmed(F.col("content")) != "").withColumn("language", F.lit("shell"))
     return _matched(rows, rules, patterns, False).unionByName(_matched(shell, rules, patterns, True))

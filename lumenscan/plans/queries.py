@@ -59,7 +59,7 @@ def iac_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS file_ord", oracle.CODE_PATH + " AS path", "cast(o_orderkey % 97 + 1 AS int) AS line_number", oracle.CODE_LINE + " AS content")
+    return dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS file_ord", oracle.CODE_PATH + " AS path", "cast(o_orderkey % 97 + 1 AS int) AS line_number", oracle.CODE_LINE + " AS content")
 
 
 def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
