@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, lean, table, unused
+from .common import crc_of_id, give_back, lean, table, unused
 
 GRAMS = (1, 2, 3, 4)
 #: n-grams are hashed to so many places.
@@ -49,15 +49,30 @@ def present(text: str) -> np.ndarray:
     return out
 
 
+class Packed:
+    """Presence vectors, eight places a byte; those that are asked for are unpacked (one row each, bool). The driver holds a whole sample."""
+
+    def __init__(self, rows: list[bytes]):
+        self.bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+    def __len__(self) -> int:
+        return len(self.bits)
+
+    def __getitem__(self, which: slice | list[int]) -> np.ndarray:
+        return np.unpackbits(self.bits[which], axis=1, count=PLACES).view(bool)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self[:] if dtype is None else self[:].astype(dtype)
+
+
 class Classifier:
-    """Fitted on presence vectors (one row each, bool) and labels."""
+    """Fitted on presence vectors (one row each, bool) and labels; few of them are asked for at a time."""
 
-    def __init__(self, rows: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, rows: np.ndarray | Packed, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(labels))
         by_lang = [[i for i, x in enumerate(labels) if x == lang] for lang in self.langs]
         picked = [i for turn in range(max(map(len, by_lang), default=0)) for own in by_lang if turn < len(own) for i in [own[turn]]][:landmarks]
-        marks = rows[picked].astype(np.float32)
-        marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+        marks = self._normed(rows[picked])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
         root = vectors[:, keep] / np.sqrt(values[keep])  # kernel to landmarks -> Nyström features
@@ -71,7 +86,8 @@ class Classifier:
     @staticmethod
     def _normed(rows: np.ndarray) -> np.ndarray:
         x = rows.astype(np.float32)
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
 
     def values(self, rows: np.ndarray) -> np.ndarray:
         return (rows.astype(np.float32) @ self.folded) / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1)) + self.bias
@@ -107,9 +123,15 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier | Non
     for lang, _, bits in found:
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] <= share:
-            rows.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=PLACES).astype(bool))
+            rows.append(bits)
             labels.append(lang)
-    return Classifier(np.array(rows), labels) if rows else None
+    del found
+    if not rows:
+        return None
+    try:
+        return Classifier(Packed(rows), labels)
+    finally:
+        give_back()
 
 
 def identified(docs: DataFrame, model: Classifier | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

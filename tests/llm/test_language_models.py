@@ -5,6 +5,7 @@ import math
 import os
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -188,6 +189,21 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     assert sum((x == same).all() for x in bits) <= 2  # once a label
 
 
+def test_the_fit_is_small_on_the_driver():
+    """pipeline: the sample stays packed while it is fitted, with the same model. A row a place and byte took 157 MB of the driver for 2,400 texts."""
+    g = np.random.default_rng(4)
+    rows, labels = g.random((1200, langid.PLACES), np.float32) < 0.05, ["aa", "bb", "cc"] * 400
+    bits = [x.tobytes() for x in np.packbits(rows, axis=1)]
+    whole = langid.Classifier(rows, labels, landmarks=30)
+    del rows
+    tracemalloc.start()
+    packed = langid.Classifier(langid.Packed(bits), labels, landmarks=30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (packed.folded == whole.folded).all() and (packed.bias == whole.bias).all()
+    assert peak < 80 << 20
+
+
 def grams(text):
     """The n-grams themselves, with nothing hashed."""
     data = b" " + b" ".join(text.lower().encode().translate(langid._SPACED).split()) + b" "
