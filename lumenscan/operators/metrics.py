@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +23,43 @@ from lumenscan.sources.files import numbered
 LONG_FILE, BLOCK_LINES = 4 << 20, 10_000
 
 
+#: What a trimmed line is by itself, as bits: it is blank; is a comment where none is open; leaves a block open if none was before it; and if
+#: one was.
+BLANK, ALONE, OPENS, STAYS = 1, 2, 4, 8
+
+
+def _kind(t: Column) -> Column:
+    """The bits of a trimmed line. Most lines begin with none of the characters that a mark begins with."""
+    mark = lambda *xs: functools.reduce(operator.or_, (t.startswith(x) for x in xs))
+    stays = F.when(F.contains(t, F.lit("*/")), 0).otherwise(STAYS)
+    slashed = F.when(F.contains(t, F.lit("*/")), ALONE).otherwise(ALONE | OPENS | STAYS)
+    angled = F.when(F.contains(t, F.lit("-->")), ALONE).otherwise(ALONE | OPENS) + stays
+    marked = F.when(mark("//", "#", "=end"), ALONE + stays).when(mark("/*"), slashed).when(mark("<!--"), angled).when(mark("=begin", "'''", '"""'), (ALONE | OPENS) + stays).otherwise(stays)
+    return F.when(t == "", BLANK | STAYS).when(F.ascii(t).isin(*map(ord, "/#=<'\"")), marked).otherwise(stays)
+
+
 def _folded(all_lines: Column, is_open: bool) -> Column:
     """struct<open, code, comment, blank>: what lines come to, and whether a comment block is open behind them, if one is open or not
-    before them. Only `*/` (or a quote line) closes a block, so lines are folded in order."""
+    before them. Only `*/` (or a quote line) closes a block, so lines are folded in order, but where no block is ever open they are counted."""
     start = F.struct(F.lit(is_open).alias("open"), *[F.lit(0).cast("long").alias(n) for n in ("code", "comment", "blank")])
-
-    def kind(t: Column) -> Column:
-        """What a trimmed line is by itself, and whether a block is open behind it: if none was before, and if one was."""
-        blank, closes = t == "", F.contains(t, F.lit("*/"))
-        single, begin, quoted = t.startswith("//") | t.startswith("#"), t.startswith("=begin"), t.startswith("'''") | t.startswith('"""')
-        slashed, angled = t.startswith("/*"), t.startswith("<!--")
-        alone = single | slashed | angled | begin | t.startswith("=end") | quoted
-        shut = F.when(blank | single, False).when(slashed, ~closes).when(angled, ~F.contains(t, F.lit("-->"))).otherwise(begin | quoted)
-        return F.struct(blank.alias("blank"), alone.alias("alone"), shut.alias("shut"), (blank | ~closes).alias("still"))
+    has = lambda x, bit: x.bitwiseAND(F.lit(bit)) != 0
 
     def step(s: Column, x: Column) -> Column:
-        comment, code = ~x["blank"] & (s["open"] | x["alone"]), ~x["blank"] & ~s["open"] & ~x["alone"]
+        blank = has(x, BLANK)
+        comment = ~blank & (s["open"] | has(x, ALONE))
         return F.struct(
-            F.when(s["open"], x["still"]).otherwise(x["shut"]).alias("open"), (s["code"] + code.cast("long")).alias("code"), (s["comment"] + comment.cast("long")).alias("comment"), (s["blank"] + x["blank"].cast("long")).alias("blank")
+            F.when(s["open"], has(x, STAYS)).otherwise(has(x, OPENS)).alias("open"), (s["code"] + (~blank & ~comment).cast("long")).alias("code"), (s["comment"] + comment.cast("long")).alias("comment"), (s["blank"] + blank.cast("long")).alias("blank")
         )
 
-    return F.aggregate(F.transform(F.transform(all_lines, trimmed), kind), start, step)
+    def counted(kinds: Column) -> Column:
+        blank, comment = F.size(F.filter(kinds, lambda x: has(x, BLANK))).cast("long"), F.size(F.filter(kinds, lambda x: has(x, ALONE))).cast("long")
+        return F.struct(F.lit(False).alias("open"), (F.size(kinds) - blank - comment).alias("code"), comment.alias("comment"), blank.alias("blank"))
+
+    fold = lambda kinds: F.aggregate(kinds, start, step)
+    kinds = F.transform(F.transform(all_lines, trimmed), _kind)
+    if is_open:
+        return fold(kinds)
+    return F.transform(F.array(kinds), lambda k: F.when(F.exists(k, lambda x: has(x, OPENS)), fold(k)).otherwise(counted(k)))[0]
 
 
 def loc(text: Column) -> Column:
@@ -77,10 +95,12 @@ def code_lines(text: Column) -> Column:
 
 
 def file_loc(file_rows: DataFrame, long_file: int = LONG_FILE) -> DataFrame:
-    """file_ord, path, loc columns: files as they come where they are, those of more than long_file bytes in blocks."""
+    """file_ord, path, loc columns: files as they come where they are, those of more than long_file bytes in blocks. Short ones are told
+    apart where they are counted: a filter would be moved before the texts are made, and make them for itself."""
     rows = numbered(file_rows)
-    is_long = F.coalesce(F.octet_length("content") > long_file, F.lit(False))
-    short = rows.filter(~is_long).select("file_ord", "path", loc(F.col("content")).alias("x")).select("file_ord", "path", "x.*")
+    is_long = F.octet_length("content") > long_file
+    own = F.filter(F.array("content"), lambda x: F.coalesce(F.octet_length(x) <= long_file, F.lit(True)))
+    short = rows.select("file_ord", "path", F.explode(F.transform(own, loc)).alias("x")).select("file_ord", "path", "x.*")
     return short.unionByName(long_file_loc(rows.filter(is_long)))
 
 
@@ -98,36 +118,66 @@ def halstead(operators: Column, operands: Column, unique_operators: Column, uniq
     return [c.alias(n) for n, c in named.items()]
 
 
+#: A function of a text, and the files whose text that is.
 SPAN_DDL = (
-    "file_ord long, path string, language string, function_ord int, name string, line_start int, line_end int, length int, parameter_count int, parameters array<string>, "
-    "operators long, operands long, unique_operators long, unique_operands long, body string"
+    "language string, function_ord int, name string, line_start int, line_end int, length int, parameter_count int, parameters array<string>, "
+    "operators long, operands long, unique_operators long, unique_operands long, body string, at array<struct<file_ord: long, path: string>>"
 )
+_SPAN_TYPES = [
+    pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(),
+    pa.list_(pa.struct([("file_ord", pa.int64()), ("path", pa.string())])),
+]
+_SPAN_SCHEMA = pa.schema([(x.split()[0], t) for x, t in zip(SPAN_DDL.split(", ", len(_SPAN_TYPES) - 1), _SPAN_TYPES, strict=True)])
+#: A task remembers the functions of texts of so many characters together, and sends so many rows (of functions and files) at once.
+REMEMBERED, SENT_ROWS = 8 << 20, 20_000
 
 
-def _spans(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spans(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file_ord, path, language, content: each text of a batch once, whatever files have it; those met before are not parsed again."""
     from lumenscan.functions.halstead import counts
     from lumenscan.functions.spans import spans
 
-    names = [x.split()[0] for x in SPAN_DDL.split(", ")]
-    for frame in source:
-        rows = []
-        for ord_, path, language, content in zip(frame["file_ord"], frame["path"], frame["language"], frame["content"], strict=True):
-            for i, s in enumerate(spans(content or "", language)):
-                rows.append((ord_, path, language, i, s.name, s.start, s.end, s.end - s.start + 1, len(s.parameters), s.parameters, *counts(s.body, language), s.body))
-        yield pd.DataFrame(rows, columns=names)
+    known: dict[tuple[str, str], list[tuple]] = {}
+    held = 0
+    for batch in source:
+        at: dict[tuple[str, str], list[dict]] = {}
+        for ord_, path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at.setdefault((language, content or ""), []).append({"file_ord": ord_, "path": path})
+        rows, n = [], 0
+        for key, files in at.items():
+            if key not in known:
+                if held > REMEMBERED:
+                    known, held = {}, 0
+                language, content = key
+                known[key] = [(language, i, s.name, s.start, s.end, s.end - s.start + 1, len(s.parameters), s.parameters, *counts(s.body, language), s.body) for i, s in enumerate(spans(content, language))]
+                held += 100 + len(content)
+            for own in known[key]:
+                rows.append((*own, files))
+                n += len(files)
+                if n >= SENT_ROWS:
+                    yield _span_batch(rows)
+                    rows, n = [], 0
+        if rows:
+            yield _span_batch(rows)
+
+
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SPAN_SCHEMA, strict=True)], schema=_SPAN_SCHEMA)
 
 
 def functions(file_rows: DataFrame) -> DataFrame:
     """A row for each function of each file with its complexity and Halstead measures. Where a function ends depends on a scan ahead, and
-    which symbol comes next on the one before, so both run as batches of files in Python; all else are expressions."""
+    which symbol comes next on the one before, so both run as batches of files in Python; all else are expressions. Measures are those of a
+    text: copies of it that meet in a batch are measured once."""
     rows = numbered(file_rows).select("file_ord", "path", metrics_language(F.col("path")).alias("language"), "content")
-    found = rows.mapInPandas(_spans, SPAN_DDL).withColumn("lines", stripped_lines(F.col("body"))).drop("body")
+    found = rows.mapInArrow(_spans, SPAN_DDL).withColumn("lines", stripped_lines(F.col("body"))).drop("body")
     found = found.withColumns({"cyclomatic": cyclomatic(F.col("lines"), F.col("language")), "cognitive": cognitive(F.col("lines"), F.col("language"))})
-    return found.select(
-        "file_ord", "path", "language", "function_ord", "name", "line_start", "line_end", "length", F.col("cyclomatic").alias("cyclomatic_complexity"), F.col("cognitive.total").alias("cognitive_complexity"),
+    measured = found.select(
+        "language", "function_ord", "name", "line_start", "line_end", "length", F.col("cyclomatic").alias("cyclomatic_complexity"), F.col("cognitive.total").alias("cognitive_complexity"),
         F.col("cognitive.deepest").alias("max_nesting_depth"), "parameter_count", "parameters", "operators", "operands", "unique_operators", "unique_operands",
-        *halstead(*(F.col(c) for c in ("operators", "operands", "unique_operators", "unique_operands"))),
+        *halstead(*(F.col(c) for c in ("operators", "operands", "unique_operators", "unique_operands"))), "at",
     )
+    return measured.select("*", F.explode("at").alias("file")).select("file.file_ord", "file.path", *[c for c in measured.columns if c != "at"])
 
 
 def files(file_rows: DataFrame) -> DataFrame:
