@@ -139,7 +139,12 @@ def _stretches(members: DataFrame, measured: DataFrame, min_lines: int, min_toke
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.int32()))], ["file_ord", "stretch", "hashes", "tokens"])
 
     runs = members.groupBy("file_ord", "stretch").agg(F.max("start").alias("last")).groupBy("file_ord").agg(F.collect_list(F.struct("stretch", "last")).alias("runs"))
-    return runs.join(measured.select("file_ord", "hashes", "tokens"), "file_ord").mapInArrow(run, "file_ord long, stretch int, hashes array<long>, tokens array<int>")
+    return _dealt(runs.join(measured.select("file_ord", "hashes", "tokens"), "file_ord")).mapInArrow(run, "file_ord long, stretch int, hashes array<long>, tokens array<int>")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of few bytes each of which costs some time, over all cores: by their bytes they would be put together for one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
                 *columns, keys, ends_here = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(keys, mask=ends_here)], ["file_ord", "stretch", "start", "cls_file", "cls_start", "lo", "hi", "key"])
 
-    return pairs.mapInArrow(run, "file_ord long, stretch int, start int, cls_file long, cls_start int, lo int, hi int, key long")
+    return _dealt(pairs).mapInArrow(run, "file_ord long, stretch int, start int, cls_file long, cls_start int, lo int, hi int, key long")
 
 
 def families(measured: DataFrame, min_lines: int = MIN_LINES, min_tokens: int = MIN_TOKENS, within_files: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +234,7 @@ def pieces(found: DataFrame) -> DataFrame:
             rows = [(f, s, lo, o, *piece) for f, s, lo, o, starts, his in frame.itertuples(index=False) for piece in merged_starts(np.asarray(starts), np.asarray(his), lo)]
             yield pd.DataFrame(rows, columns=names)
 
-    return one.unionByName(several.mapInPandas(run, "cls_file long, cls_start int, lo int, file_ord long, x int, y int, a int, b int, k int"))
+    return one.unionByName(_dealt(several).mapInPandas(run, "cls_file long, cls_start int, lo int, file_ord long, x int, y int, a int, b int, k int"))
 
 
 def _overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
