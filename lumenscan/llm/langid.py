@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, give_back, lean, table, unused
+from .common import crc_of_id, give_back, lean, let_go, table, unused
 
 GRAMS = (1, 2, 3, 4)
 #: n-grams are hashed to so many places.
 PLACES_LOG = 15
 PLACES = 1 << PLACES_LOG
 SAMPLE_DOCS, LANDMARKS = 2400, 320
+#: Sampled texts whose places are unpacked at a time.
+FIT_ROWS = 64
 RIDGE = 0.1
 #: Turns the difference of two regression values (about 2 between languages) into odds.
 SHARPNESS = 4.0
@@ -76,7 +78,7 @@ class Classifier:
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
         root = vectors[:, keep] / np.sqrt(values[keep])  # kernel to landmarks -> Nyström features
-        features = np.concatenate([self._normed(rows[k : k + 256]) @ marks.T for k in range(0, len(rows), 256)]).astype(np.float64) @ root
+        features = np.concatenate([self._normed(rows[k : k + FIT_ROWS]) @ marks.T for k in range(0, len(rows), FIT_ROWS)]).astype(np.float64) @ root
         features = np.hstack([features, np.ones((len(rows), 1))])
         goals = np.where(np.array(labels)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0)
         weights = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ goals)
@@ -128,8 +130,12 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier | Non
     del found
     if not rows:
         return None
+    sample = Packed(rows)
+    del rows
+    let_go(labelled.sparkSession)  # the sample's way through the JVM and the fit do not fill the driver at once
+    give_back()
     try:
-        return Classifier(Packed(rows), labels)
+        return Classifier(sample, labels)
     finally:
         give_back()
 

@@ -204,6 +204,22 @@ def test_the_fit_is_small_on_the_driver():
     assert peak < 80 << 20
 
 
+def test_the_fit_unpacks_few_texts_at_once(monkeypatch):
+    """pipeline: beside landmarks and the packed sample the fit holds a block of texts; it was 256 of them, 41 MB. The model stays the same."""
+    g = np.random.default_rng(5)
+    rows, labels = g.random((600, langid.PLACES), np.float32) < 0.05, ["aa", "bb", "cc"] * 200
+    packed = langid.Packed([x.tobytes() for x in np.packbits(rows, axis=1)])
+    del rows
+    tracemalloc.start()
+    model = langid.Classifier(packed, labels, landmarks=30)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    monkeypatch.setattr(langid, "FIT_ROWS", 256)
+    other = langid.Classifier(packed, labels, landmarks=30)
+    assert np.allclose(model.folded, other.folded, rtol=1e-4, atol=1e-7) and np.allclose(model.bias, other.bias, rtol=1e-4)
+
+
 def test_the_driver_lets_go_between_steps(spark, monkeypatch):
     """pipeline: what steps left on the driver's heap goes when the next table is staged, once the heap has filled to a share of its limit. It
     stayed until the JVM collected by itself, with a heap that had grown to that limit on tables of many parts."""
