@@ -2,9 +2,10 @@
 
 Counting: every task hashes its n-grams, sums equal ones and sends them, packed by hash range ("part"), to where the part is reduced.
 A part's reducer quantises each count c to level 1 + floor(log_b c) and sets the bits of the events (n-gram, 1) ... (n-gram, level) in
-the part's block of the filter. The filter has BITS_PER_EVENT bits an event whatever the corpus, so it grows with it. Blocks of up to
-MAX_BROADCAST_BYTES together are collected and broadcast; beyond, they stay where they are and the distinct probes of each chunk of texts
-are shuffled to the blocks by part, and the levels found back to the chunk: the same probes of the same bits. Scoring probes (n-gram, 1),
+the part's block of the filter. The filter has BITS_PER_EVENT bits an event whatever the corpus, so it grows with it. No task
+and no driver holds it whole. Blocks of up to MAX_READ_BYTES together are written to files of the shared folder, and each group of chunks of
+texts reads one block after the other for its probes; beyond, the distinct probes of each chunk are shuffled to the blocks by part,
+and the levels found back to the chunk: the same probes of the same bits. Scoring probes (n-gram, 1),
 (n-gram, 2), ... until one is missing, turns the level back into a count, and interpolates orders: p(w|h) = (c(hw) + a p(w|h')) /
 (c(h) + a). Every text is scored under each a of FIT_GRID; the one that counts is that of most leave-one-out likelihood over all training
 texts, whose sums come from the same pass. Tokens with equal levels have equal probabilities, so few logarithms are taken.
@@ -32,19 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, lean, mixed, parts_of, shuffle_parts, staged, table, utf8, word_hashes
+from .common import crc_of_id, file_system, lean, mixed, new_folder, parts_of, shuffle_parts, staged, table, task_tag, utf8, word_hashes
 
 BASE = 1.5
 #: An event sets 3 bits in each of 2 words; with 12 bits of filter an event, some 6 in 1,000 absent events seem present.
 BITS_PER_EVENT, WORDS, BITS_PER_WORD = 12, 2, 3
-#: A filter of more bytes is not broadcast; its blocks are joined.
-MAX_BROADCAST_BYTES = 256 << 20
+#: A filter of more bytes is not read by each group of texts; its blocks are joined.
+MAX_READ_BYTES = 256 << 20
 #: What a block may take at most: 32 bits choose a word in it.
 MAX_BLOCK_BYTES = 8 << 32
 #: Training bytes a part, so that what a reducer holds does not grow with the corpus.
 PART_BYTES = 64 << 20
 #: Texts are scored in chunks of so many, or of so many bytes.
 CHUNK_TEXTS, CHUNK_BYTES = 1000, 2 << 20
+#: Chunks of so many tokens together read the filter once; a task holds their tokens and probes.
+GROUP_TOKENS = 1_500_000
 #: A part's probes are looked up so many at a time.
 LOOKUP_PROBES = 500_000
 HEAD_WORDS = 1 << 18
@@ -136,6 +139,56 @@ class LogFrequencyFilter:
         return out
 
 
+class FilterFiles:
+    """Blocks in files of the shared folder. For probes of a task, one after the other is in memory, whatever the filter's size."""
+
+    def __init__(self, blocks: DataFrame, parts: int):
+        folder = new_folder(blocks.sparkSession, "lm-filter")
+
+        def write(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, at = None, 0
+            for batch in source:
+                if out is None:
+                    fs, base = file_system(folder)
+                    fs.create_dir(base, recursive=True)
+                    name = f"{task_tag()}.blocks"
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                sizes = pc.binary_length(batch.column(1)).to_pylist()
+                for block in batch.column(1):
+                    out.write(block.as_buffer())
+                starts = at + np.cumsum([0, *sizes])[:-1]
+                at += sum(sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(sizes)), pa.array(starts), pa.array(sizes, pa.int64())], ["part", "file", "start", "size"])
+            if out is not None:
+                out.close()
+
+        self.folder, self.parts = folder, parts
+        self.places = {r[0]: tuple(r[1:]) for r in blocks.mapInArrow(lean(write), "part int, file string, start long, size long").collect()}
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        part, keys = placed(hashes, self.parts)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=self.parts))])
+        by = np.argsort(part.astype(np.uint16) if self.parts <= 1 << 16 else part, kind="stable")
+        del part
+        out, stream, opened = np.zeros(len(hashes), np.uint8), None, None
+        fs, base = file_system(self.folder)
+        try:
+            for p in sorted(self.places, key=self.places.get):
+                own = by[cuts[p] : cuts[p + 1]]
+                if not len(own):
+                    continue
+                file, start, size = self.places[p]
+                if file != opened:
+                    if stream is not None:
+                        stream.close()
+                    stream, opened = fs.open_input_file(f"{base}/{file}"), file
+                out[own] = LogFrequencyFilter([stream.read_at(size, start)]).levels_at(np.zeros(len(own), np.int64), keys[own])
+        finally:
+            if stream is not None:
+                stream.close()
+        return out
+
+
 class Answers:
     """The levels that the blocks gave for a chunk's probes; asked for these only."""
 
@@ -147,6 +200,17 @@ class Answers:
         return self.known[np.searchsorted(self.hashes, hashes)]
 
 
+class InTurn:
+    """The levels that the blocks gave for a chunk's asked_of(), handed out in that order."""
+
+    def __init__(self, levels: np.ndarray):
+        self.left = levels
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        out, self.left = self.left[: len(hashes)], self.left[len(hashes) :]
+        return out.astype(np.int64)
+
+
 def sequence_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' tokens end to end, each text with order-1 START tokens before and END behind; and each text's token count."""
     words, counts = word_hashes(texts)
@@ -180,6 +244,14 @@ def histories(seq: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def asked_of(seq: np.ndarray, order: int) -> np.ndarray:
+    """The hashes that observed() asks for, in its order."""
+    out = [np.unique(mixed(seq), return_inverse=True)[0]]
+    for n, gram, history in zip(range(2, order + 1), grams(seq, order)[1:], histories(seq, order), strict=True):
+        out += [gram] if n == 2 else [history, gram]
+    return np.concatenate(out)
+
+
 def probes_of(seq: np.ndarray, order: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes that observed() asks for, part by part, and where each part begins."""
     h = np.unique(np.concatenate([mixed(seq), *grams(seq, order)[1:], *histories(seq, order)[1:]]))
@@ -265,10 +337,10 @@ def _reducer(parts: int):
 
 
 class Model:
-    """What scoring needs: the filter (broadcast, or its blocks) and the broadcast head counts, the exact word table, the totals; and, once
+    """What scoring needs: the filter (files of it, or its blocks) and the broadcast head counts, the exact word table, the totals; and, once
     scored() or fit() has seen the training texts, the weight."""
 
-    def __init__(self, train: DataFrame, order: int = 2, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, head_words: int = HEAD_WORDS):
+    def __init__(self, train: DataFrame, order: int = 2, max_read_bytes: int = MAX_READ_BYTES, head_words: int = HEAD_WORDS):
         spark = train.sparkSession
         size = train.agg(F.coalesce(F.sum(F.octet_length(utf8("text"))), F.lit(0))).first()[0]
         self.train, self.order, self.weight = train, order, None
@@ -276,12 +348,8 @@ class Model:
         reduced = staged(counted(train, order, self.parts).groupBy("part").applyInArrow(_reducer(self.parts), WORD_ROWS), "lm-counts", row_group=16 << 20)
         self.blocks = reduced.filter("block is not null").select("part", "block")
         self.filter_bytes = self.blocks.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0]
-        self.joined, self.filter = self.filter_bytes > max_broadcast_bytes, None
-        if not self.joined:
-            found = self.blocks.toArrow()
-            at = {p: i for i, p in enumerate(found.column(0).to_pylist())}
-            self.filter = LogFrequencyFilter([memoryview(found.column(1)[at[p]].as_buffer()) if p in at else b"\0" * 8 for p in range(self.parts)])
-            del found
+        self.joined = self.filter_bytes > max_read_bytes
+        self.files = None if self.joined else FilterFiles(self.blocks, self.parts)
         self.words = reduced.filter("block is null").select("word", "n")
         total = self.words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.tokens, self.vocabulary = int(total[0]), int(total[1])
@@ -298,13 +366,11 @@ class Model:
         words = np.asarray(head.column(0)).astype(np.int64).view(np.uint64)
         by = np.argsort(words)
         self.head, self.head_counts = words[by], np.asarray(head.column(1)).astype(np.int64)[by]
-        sc = spark.sparkContext
-        self.shared = sc.broadcast((self.filter, self.head, self.head_counts))
-        del self.filter  # workers have it; the driver need not keep a copy
+        self.shared = spark.sparkContext.broadcast((self.head, self.head_counts))
 
     def _answered(self, rows: DataFrame, judge: Callable[..., Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
         """judge(first row number, doc_ids, held_out, sequence, lengths, filter) over chunks of rows (doc_id, held_out, text)."""
-        shared, order, parts, chunk_texts = self.shared, self.order, self.parts, CHUNK_TEXTS
+        files, order, parts, chunk_texts, group_tokens = self.files, self.order, self.parts, CHUNK_TEXTS, GROUP_TOKENS
 
         def chunks_of(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             row = TaskContext.get().partitionId() << 33
@@ -316,9 +382,25 @@ class Model:
 
         if not self.joined:
 
+            def judged(chunks: list[tuple]) -> Iterator[pa.RecordBatch]:
+                asked = [asked_of(chunk[3], order) for chunk in chunks]
+                sizes = [len(x) for x in asked]
+                asked = np.concatenate(asked)
+                levels = np.split(files.levels(asked), np.cumsum(sizes)[:-1])
+                del asked
+                for chunk, own in zip(chunks, levels, strict=True):
+                    yield from judge(*chunk, InTurn(own))
+
             def direct(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held, size = [], 0
                 for chunk in chunks_of(source):
-                    yield from judge(*chunk, shared.value[0])
+                    held.append(chunk)
+                    size += len(chunk[3])
+                    if size >= group_tokens:
+                        yield from judged(held)
+                        held, size = [], 0
+                if held:
+                    yield from judged(held)
 
             return rows.mapInArrow(lean(direct), ddl)
 
@@ -372,7 +454,7 @@ class Model:
         schema = pa.schema(fields)
 
         def judge(row: int, doc_ids: pa.Array, held_out: pa.Array, seq: np.ndarray, lengths: np.ndarray, answers) -> Iterator[pa.RecordBatch]:
-            _, head, head_counts = shared.value
+            head, head_counts = shared.value
             starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
             counts, kind = observed(seq, answers, order)
             scores = np.stack([np.add.reduceat(log_probabilities(counts, norm, a)[kind], starts) for a in FIT_GRID], axis=1)
@@ -429,7 +511,7 @@ class Model:
         return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(self.tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * norm_log).alias("base_score"), "score")
 
 
-def observed(seq: np.ndarray, model: LogFrequencyFilter | Answers, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def observed(seq: np.ndarray, model: LogFrequencyFilter | Answers | InTurn, order: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """For n = 1 ... order the counts of an n-gram and of its history, by membership probes, of each kind of token; and the kind of each
     token that is no START. Tokens are of a kind if all these levels are equal."""
     words, inverse = np.unique(mixed(seq), return_inverse=True)
@@ -440,7 +522,7 @@ def observed(seq: np.ndarray, model: LogFrequencyFilter | Answers, order: int) -
     for n, gram, history in zip(range(2, order + 1), grams(seq, order)[1:], histories(seq, order), strict=True):
         before = every[at - 1] if n == 2 else model.levels(history)
         # an n-gram is no more frequent than its parts: a false positive without them counts nothing
-        c = np.minimum(np.minimum(model.levels(gram), before), c)
+        c = np.minimum(np.minimum(model.levels(gram), before), c)  # asked_of() has the order of what is asked
         levels += [c, before]
     code = np.zeros(len(at), np.int64)
     for x in levels:  # below 128

@@ -105,6 +105,26 @@ def test_score_against_counting(spark, order, monkeypatch):
     assert max(apart) < 0.02 and np.mean([x < 1e-9 for x in apart]) > 0.8
 
 
+def test_no_task_holds_the_whole_filter(spark, monkeypatch):
+    """Neither the broadcast nor a lookup has more of the filter than a block; groups of few tokens, and whole tasks, score alike."""
+    held = (crc_of_id() % 10) == 0
+    rows = docs(spark, TEXTS).repartition(3)
+    model = lm.Model(rows.filter(~held))
+    assert sum(x.nbytes for x in model.shared.value) < model.filter_bytes + 16 * len(model.shared.value[0]) and len(model.shared.value) == 2
+    blocks = {r["part"]: bytes(r["block"]) for r in model.blocks.collect()}
+    whole = lm.LogFrequencyFilter([blocks.get(p, b"\0" * 8) for p in range(model.parts)])
+    asked = np.concatenate([lm.asked_of(lm.sequence_of([(t or "").encode()], 2)[0], 2) for t in TEXTS])
+    expected, read = whole.levels(asked), []
+    one = lm.LogFrequencyFilter
+    monkeypatch.setattr(lm, "LogFrequencyFilter", lambda b: read.append(len(b)) or one(b))
+    assert model.files.levels(asked).tolist() == expected.tolist() and set(read) == {1} and expected.max() > 1
+    a = sorted(map(tuple, model.scored(rows, held).collect()))
+    monkeypatch.setattr(lm, "CHUNK_TEXTS", 2)
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 5)
+    b = sorted(map(tuple, lm.Model(rows.filter(~held)).scored(rows, held).collect()))
+    assert [x[:5] for x in a] == [x[:5] for x in b] and [x[6] for x in a] == pytest.approx([x[6] for x in b])
+
+
 def test_weight_without_training_rows(spark):
     """Texts that are all held out are scored with the weight of the training texts."""
     rows = docs(spark, TEXTS)
