@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def described(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
                 total[cells.astype(np.int64)] = np.minimum(total[cells.astype(np.int64)] + n, 65535)
         if total is not None:
             none = [pa.nulls(SKETCH_CHUNKS, f.type) for f in list(_DOC)[:-2]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SKETCH_CHUNKS, -1)], pa.binary())], schema=_DOC)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in total.reshape(SKETCH_CHUNKS, -1)], pa.binary())], schema=_DOC)
 
     return keyed_texts(docs).mapInArrow(lean(describe), DOC_DDL)
 
@@ -133,7 +134,7 @@ def described(docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
 def _summed(t: pa.Table) -> pa.Table:
     total = np.zeros((1 << SKETCH_LOG) // SKETCH_CHUNKS, np.int64)
     for x in t.column("counts").to_pylist():
-        total += np.frombuffer(x, "<u2")
+        total += np.frombuffer(zstandard.decompress(x), "<u2")
     level = np.where(total > 0, np.floor(2 * np.log2(np.maximum(total, 1))) + 1, 0)  # half powers of two
     return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()], pa.int32()), "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary())})
 
@@ -218,17 +219,26 @@ def _in_orders() -> Column:
 
 
 def _screened(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """pairs (a, b) that sizes and bitmaps allow, and that share prefix tokens under the second and third order."""
-    carried = ("n", *_BITS, "s1", "s2")
-    left, right = (classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in carried]) for x in ("a", "b"))
-    allowed = F.when(_may_link("a_", "b_", threshold), _in_orders()).otherwise(False)
-    return pairs.join(left, "a").join(right, "b").filter(allowed).select("a", "b")
+    """pairs (a, b) that sizes and bitmaps allow, and that share prefix tokens under the second and third order. Signatures, most of a
+    class's bytes, move only for the classes of pairs that sizes and bitmaps allow."""
+
+    def with_both(pairs: DataFrame, classes: DataFrame, *carried: str) -> DataFrame:
+        left, right = (classes.select(F.col("cls").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in carried]) for x in ("a", "b"))
+        return pairs.join(left, "a").join(right, "b")
+
+    allowed = staged(with_both(pairs, classes, "n", *_BITS).filter(_may_link("a_", "b_", threshold)).select("a", "b"), "join-allowed")
+    signed = classes.select("cls", "s1", "s2").join(_light(staged(_ends(allowed), "join-wanted")), "cls")
+    return with_both(allowed, signed, "s1", "s2").filter(_in_orders()).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """pairs (a, b) whose sets are similar enough. The text of a class is that of its row of smallest key, so that a row meets its own
     class only, whatever its doc id; texts of pairs alone move, once a class and task, and those of the second side once a pair."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "row_key"), "cls")
+    wanted = _ends(pairs).join(classes.select("cls", "row_key"), "cls")
 
     def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()  # of rows with one key one is enough; each is a copy of the others
@@ -245,7 +255,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int
 
     wanted = staged(wanted, "join-wanted")
     texts = keyed_texts(docs).join(_light(wanted), "row_key").select("cls", "text").mapInArrow(lean(own), "cls long, text binary")
-    texts = staged(texts.dropDuplicates(["cls"]), "join-texts")
+    texts = staged(texts, "join-texts").dropDuplicates(["cls"])  # one shuffle serves this and both sides of the join
 
     def compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)

@@ -226,6 +226,18 @@ def test_bounds_hold(a, b):
             assert set(jaccard_join.signature(x, k).tolist()) & set(jaccard_join.signature(y, k).tolist())
 
 
+def test_join_moves_little(spark, docs, monkeypatch):
+    """Tasks send their counts packed; signatures move for the classes of pairs that sizes and bitmaps allow; texts are shuffled by class once."""
+    counts = jaccard_join.described(docs, 4, 85).filter("chunk is not null").agg(F.sum(F.octet_length("counts")), F.count("*")).first()
+    assert counts[0] < 1000 * counts[1]  # 131,072 bytes each before
+    seen, plain = {}, jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, name, **more: seen.setdefault(name, []).append(df) or plain(df, name, **more))
+    jaccard_join.joined_components(docs).count()
+    steps = {name: [line for df in seen[name] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()] for name in ("join-allowed", "join-texts")}
+    assert not any("Project" in line and "s1#" in line for line in steps["join-allowed"]) and any("Project" in line and "b0#" in line for line in steps["join-allowed"])
+    assert not any("Aggregate" in line for line in steps["join-texts"])
+
+
 def test_orders_drop_pairs_by_chance(spark):
     """Sets that share one rare token meet under the first order only: their pair is dropped by the signatures."""
     rng = np.random.default_rng(2)
