@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lumenscan.functions.sequences import CONFIRM, Windows, common, scrambled
 from lumenscan.functions.text import lines as lines_of
-from lumenscan.operators.work import cut
+from lumenscan.operators.work import cut, shuffled
 from lumenscan.sources.files import numbered
 
 MIN_LINES, MIN_TOKENS, GAP = 10, 50, 5
@@ -121,7 +121,7 @@ def _classed(members: DataFrame, key: str) -> DataFrame:
     """Members whose key others have too, with the one that all are compared with, chosen by a hash of its file."""
     chosen = F.min(F.struct(F.xxhash64("file_ord").alias("by"), "file_ord", "start")).alias("x")
     shared = members.groupBy(key).agg(F.count("*").alias("n"), chosen).filter("n > 1")
-    return members.join(shared.select(key, F.col("x.file_ord").alias("cls_file"), F.col("x.start").alias("cls_start")), key).drop(key)
+    return members.join(shuffled(shared.select(key, F.col("x.file_ord").alias("cls_file"), F.col("x.start").alias("cls_start"))), key).drop(key)
 
 
 def _stretches(members: DataFrame, measured: DataFrame, min_lines: int, min_tokens: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _stretches(members: DataFrame, measured: DataFrame, min_lines: int, min_toke
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.int32()))], ["file_ord", "stretch", "hashes", "tokens"])
 
     runs = members.groupBy("file_ord", "stretch").agg(F.max("start").alias("last")).groupBy("file_ord").agg(F.collect_list(F.struct("stretch", "last")).alias("runs"))
-    return _dealt(runs.join(measured.select("file_ord", "hashes", "tokens"), "file_ord")).mapInArrow(run, "file_ord long, stretch int, hashes array<long>, tokens array<int>")
+    return _dealt(runs.join(shuffled(measured.select("file_ord", "hashes", "tokens")), "file_ord")).mapInArrow(run, "file_ord long, stretch int, hashes array<long>, tokens array<int>")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
     own = members.filter((F.col("file_ord") != F.col("cls_file")) | (F.col("start") != F.col("cls_start")))
     own = own.groupBy("file_ord", "stretch", "cls_file").agg(F.collect_list("start").alias("starts"), F.collect_list("cls_start").alias("cls_starts"), F.collect_list("lo").alias("los"), F.min("cls_start").alias("least"), F.max("cls_start").alias("most"))
     theirs = stretches.select(F.col("file_ord").alias("cls_file"), F.col("stretch").alias("cls_stretch"), F.col("hashes").alias("cls_hashes"))
-    pairs = own.join(stretches.drop("tokens"), ["file_ord", "stretch"]).join(theirs, "cls_file")
+    pairs = own.join(shuffled(stretches.drop("tokens")), ["file_ord", "stretch"]).join(shuffled(theirs), "cls_file")
     pairs = pairs.filter((F.col("cls_stretch") <= F.col("most")) & (F.col("cls_stretch") + F.size("cls_hashes") > F.col("least")))
     pairs = pairs.select("file_ord", "stretch", "cls_file", "cls_stretch", "starts", "cls_starts", "los", "hashes", "cls_hashes")
 
@@ -189,7 +189,7 @@ def families(measured: DataFrame, min_lines: int = MIN_LINES, min_tokens: int =
     while found is None or not members.isEmpty():
         compared = cut(_compared(members, stretches))
         reached = compared.groupBy(*CLS).agg(F.max("hi").alias("hi"))
-        chosen = members.filter((F.col("file_ord") == F.col("cls_file")) & (F.col("start") == F.col("cls_start"))).join(reached, list(CLS))
+        chosen = members.filter((F.col("file_ord") == F.col("cls_file")) & (F.col("start") == F.col("cls_start"))).join(shuffled(reached), list(CLS))
         part = compared.drop("key").unionByName(chosen.select("file_ord", "stretch", "start", *CLS, "hi"))
         found = part if found is None else found.unionByName(part)
         members = cut(_classed(compared.filter("key is not null").drop(*CLS).withColumn("lo", F.col("hi") + 1).drop("hi"), "key"))
@@ -240,7 +240,7 @@ def pieces(found: DataFrame) -> DataFrame:
 def _overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of equal keys whose ranges x to y overlap, with the common range."""
     right = right.withColumnsRenamed({"x": "x2", "y": "y2"})
-    both = left.join(right, keys).filter((F.col("x") <= F.col("y2")) & (F.col("x2") <= F.col("y")))
+    both = left.join(shuffled(right), keys).filter((F.col("x") <= F.col("y2")) & (F.col("x2") <= F.col("y")))
     return both.withColumns({"x": F.greatest("x", "x2"), "y": F.least("y", "y2")}).drop("x2", "y2")
 
 
@@ -292,7 +292,7 @@ def _digests(shape: DataFrame, rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=names)
 
     texts = rows.select(F.col("file_ord").alias("first_file"), "norm")
-    asked = shape.select(*CLS, "x", "y", "first_file", "first_start").join(texts, "first_file").select(*CLS, "x", "y", "first_start", "norm")
+    asked = shape.select(*CLS, "x", "y", "first_file", "first_start").join(shuffled(texts), "first_file").select(*CLS, "x", "y", "first_start", "norm")
     return asked.mapInPandas(run, "cls_file long, cls_start int, lo int, l int, hash string, tokens int")
 
 
@@ -302,9 +302,9 @@ def instances(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: int
     group_counts() answer without the list. normalizer: ignore_whitespace (by default) and ignore_identifiers (not)."""
     rows = _files(file_rows, **normalizer)
     _, _, parts, shape, _ = _found(rows, min_lines, min_tokens, within_files)
-    listed = _overlap(parts, shape, list(CLS)).withColumn("l", F.explode(F.sequence("x", "y"))).join(_digests(shape, rows), [*CLS, "l"])
+    listed = _overlap(parts, shape, list(CLS)).withColumn("l", F.explode(F.sequence("x", "y"))).join(shuffled(_digests(shape, rows)), [*CLS, "l"])
     paths = rows.select(F.col("file_ord").alias("first_file"), F.col("path").alias("first_path"))
-    listed = listed.join(rows.select("file_ord", "path", "raw"), "file_ord").join(paths, "first_file")
+    listed = listed.join(shuffled(rows.select("file_ord", "path", "raw")), "file_ord").join(shuffled(paths), "first_file")
     return listed.select(
         "hash", "file_ord", "path", (F.col("a") + 1).alias("line_start"), (F.col("b") + F.col("l")).alias("line_end"), F.array_join(F.slice("raw", F.col("a") + 1, 3), "\n").alias("preview"),
         (F.col("first_k") * F.col("tokens")).cast("long").alias("token_count"), (F.col("l") + F.col("shift")).alias("line_count"), "first_path", (F.col("first_start") + 1).alias("first_line"),
@@ -326,7 +326,7 @@ def group_counts(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: i
     rows = _files(file_rows, **normalizer)
     found, stretches, _, shape, numbers = _found(rows, min_lines, min_tokens, False)
     at = found.select(F.col("file_ord").alias("first_file"), F.col("start").alias("first_start"), "stretch").distinct()
-    ranges = _overlap(shape, numbers, list(CLS)).join(at, ["first_file", "first_start"])
+    ranges = _overlap(shape, numbers, list(CLS)).join(shuffled(at), ["first_file", "first_start"])
     ranges = ranges.groupBy("first_file", "stretch").agg(F.collect_list(F.struct("first_start", "x", "y", "shift", "first_k", F.col("n").cast("int").alias("n"))).alias("ranges"))
     lines = stretches.select(F.col("file_ord").alias("first_file"), "stretch", "tokens")
 
@@ -343,7 +343,7 @@ def group_counts(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: i
                 counted.clear()
         yield _counted(counted)
 
-    every = ranges.join(lines, ["first_file", "stretch"]).select("stretch", "ranges", "tokens").mapInArrow(run, "line_count int, token_count long, n long, n_groups long")
+    every = ranges.join(shuffled(lines), ["first_file", "stretch"]).select("stretch", "ranges", "tokens").mapInArrow(run, "line_count int, token_count long, n long, n_groups long")
     return every.groupBy("line_count", "token_count", "n").agg(F.sum("n_groups").alias("n_groups"))
 
 
@@ -392,7 +392,7 @@ def percentages(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: in
     """duplication_percentage, of all files together (one row) or of each by itself (file_ord)."""
     rows = numbered(file_rows)
     _, _, parts, shape, _ = _found(_files(rows, **normalizer), min_lines, min_tokens, within_files)
-    shown = _overlap(parts, shape, list(CLS)).join(rows.select(F.col("file_ord").alias("first_file"), F.col("path").alias("first_path")), "first_file")
+    shown = _overlap(parts, shape, list(CLS)).join(shuffled(rows.select(F.col("file_ord").alias("first_file"), F.col("path").alias("first_path"))), "first_file")
     per_file = shown.select("file_ord", F.col("first_path"), "first_start", "shift", "x", "y", "a", "b")
 
     def fold(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +404,7 @@ def percentages(file_rows: DataFrame, min_lines: int = MIN_LINES, min_tokens: in
     listed = per_file.groupBy("file_ord").agg(F.collect_list(F.struct(*per_file.columns[1:])).alias("own"))
     counted = listed.mapInArrow(fold, "file_ord long, duplicated long")
     sizes = rows.select("file_ord", F.size(lines_of(F.col("content"))).cast("long").alias("lines"))
-    both = sizes.join(counted, "file_ord", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0)))
+    both = sizes.join(shuffled(counted), "file_ord", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0)))
     share = lambda d, n: F.when(n > 0, d / n * 100.0).otherwise(0.0).alias("duplication_percentage")
     if within_files:
         return both.select("file_ord", share(F.col("duplicated"), F.col("lines")))

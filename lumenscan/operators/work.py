@@ -28,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join that is shuffled whatever Spark takes their size for. It estimates by the columns of the table that rows are made from:
+    texts and lists that a rule makes of a few bytes a row count as next to nothing, and a broadcast of them is put together by the driver."""
+    return rows.hint("merge")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the work folder that nobody has used."""
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
